@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency
+from . import line_frequency, mixing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": line_frequency.op2_line_quality,
+    "op4_shards": sharding.op4_shards,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op7_mix": mixing.op7_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_quality": line_frequency.OP2_SQL,
+    "op7_mix": mixing.OP7_SQL,
 }
