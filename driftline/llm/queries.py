@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency, mixing, secrets, sharding
+from . import byte_bpe, line_frequency, mixing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": line_frequency.op2_line_quality,
     "op4_shards": sharding.op4_shards,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op7_mix": mixing.op7_mix,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
