@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_frequency, mixing, secrets, sharding
+from . import byte_bpe, line_frequency, mixing, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": line_frequency.op2_line_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op7_mix": mixing.op7_mix,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_warc_revisits": warc.op9_warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {
