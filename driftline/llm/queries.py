@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_frequency, mixing, secrets, sharding, warc
+from . import byte_bpe, graph_index, line_frequency, minhash, mixing, secrets, sharding, suffix_repeats, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": graph_index.op1_nearest,
     "op2_line_quality": line_frequency.op2_line_quality,
     "op4_shards": sharding.op4_shards,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_near_duplicates": minhash.op6_near_duplicates,
     "op7_mix": mixing.op7_mix,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_warc_revisits": warc.op9_warc_revisits,
+    "op10_repeats": suffix_repeats.op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_quality": line_frequency.OP2_SQL,
     "op7_mix": mixing.OP7_SQL,
+    "op10_repeats": suffix_repeats.OP10_SQL,
 }
