@@ -4,23 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import store
+from driftline.llm import byte_bpe, store
 from driftline.llm.line_frequency import line_quality
+from driftline.llm.minhash import near_duplicates
+from driftline.llm.mixing import MixRules, mix
+from driftline.llm.secrets import scan
+from driftline.llm.text import SPACE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their boilerplate lines."""
-    judged = line_quality(docs, keep=docs.columns).where("kept")
-    changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return _with_text(line_quality(docs, keep=docs.columns).where("kept"), F.col("clean_text"), docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id.
+    Documents without words, and those without an id, are groups of their own."""
+    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret."""
+    return _with_text(scan(docs, keep=docs.columns), F.col("redacted"), docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes: a row for each epoch in which it takes
+    words of one, with the text up to the last word that it takes."""
+    taken = mix(docs, MixRules(), keep=docs.columns).documents.where("taken > 0")
+    by_epoch = taken.select("row", "size", F.explode("epochs").alias("words")).where("words > 0")
+    # a block that ends inside a document cuts it: one document a source and epoch
+    cut = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(F.filter(F.split("row.text", SPACE + "+"), lambda w: w != ""), 1, F.col("words").cast("int")), " "))
+    return _with_text(by_epoch, cut, docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document's text, as digests, and the decoded bytes'."""
+    return byte_bpe.digests(docs, byte_bpe.public_tokenizer())
+
+
+def _with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The fields of ``row``, with a new text and its length."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
 #: Signatures, Markov scores and byte merges are not for SQL; tests hold the
 #: stages against plain versions.

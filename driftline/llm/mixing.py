@@ -103,19 +103,21 @@ class Mix:
     documents: DataFrame
 
 
-def mix(docs: DataFrame, rules: MixRules = MixRules(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix(docs: DataFrame, rules: MixRules = MixRules(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> Mix:
     """The mix of ``docs``.
 
     Null and empty texts have no words and are never taken. Null ids are
     allowed; they take their place by size. Repeated rows are documents of
     their own, told apart by their place in the stream; which of two equal
     rows has which place is left open, but the set of results is the same. An
-    empty table gives an empty mix. Other columns are ignored.
+    empty table gives an empty mix. Other columns are ignored unless named in
+    ``keep``; those come back in ``documents``, unchanged, in a struct ``row``.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*keep).alias("row")] if keep else []))
     sized = store.written(sized.withColumn("key", order_key(F.col("doc_id"), F.col("size"))), "sizes")
     sources = store.written(targets(sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")), rules), "sources")
-    placed = running(sized, "source", "key", ["doc_id", "size"], F.col("size"), "start")
+    # starts are fixed once they are written, even among rows that tie
+    placed = store.written(running(sized, "source", "key", ["doc_id", "size"], F.col("size"), "start"), "starts")
     end = F.col("start") + F.col("size") - 1
     holes = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / rules.block), F.floor(end / rules.block))))
     overlap = F.least(end + 1, (F.col("block") + 1) * rules.block) - F.greatest(F.col("start"), F.col("block") * rules.block)
@@ -126,10 +128,12 @@ def mix(docs: DataFrame, rules: MixRules = MixRules(), id_col: str = "doc_id", t
     taken = p.join(t, F.expr("p.source <=> t.source AND p.block = t.block"), "left").select("p.*", F.coalesce("times", F.lit(0)).alias("times"))
     epoch = [F.sum(F.when(F.col("times") > e, F.col("words")).otherwise(0)) for e in range(rules.max_epochs)]
     # a start within a source belongs to one document with words, so no id is needed
-    per_doc = taken.groupBy("source", "start").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(F.col("words") * F.col("times")).alias("taken"), F.array(*epoch).alias("epochs"))
-    none = sized.where("size = 0").select("source", F.lit(0).cast("long").alias("start"), "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.array_repeat(F.lit(0).cast("long"), rules.max_epochs).alias("epochs"))
-    d, s = per_doc.unionByName(none).alias("d"), sources.alias("s")
-    documents = d.join(s, F.expr("d.source <=> s.source")).select("doc_id", "d.source", "size", "source_size", "target", "taken", "epochs")
+    per_doc = taken.groupBy("source", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array(*epoch).alias("epochs"))
+    d, n, s = placed.drop("key").alias("d"), per_doc.alias("n"), sources.alias("s")
+    counted = d.join(n, F.expr("d.source <=> n.source AND d.start = n.start AND d.size > 0"), "left").select(
+        "d.*", F.coalesce("n.taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("n.epochs", F.array_repeat(F.lit(0).cast("long"), rules.max_epochs)).alias("epochs")
+    )
+    documents = counted.alias("d").join(s, F.expr("d.source <=> s.source")).select(*[f"d.{c}" for c in counted.columns if c != "start"], "source_size", "target")
     return Mix(slots, pieces, documents)
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, graph_index, line_frequency, minhash, mixing, secrets, sharding, suffix_repeats, warc
+from . import byte_bpe, graph_index, line_frequency, minhash, mixing, secrets, sharding, suffix_repeats, toxic_spans, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": graph_index.op1_nearest,
     "op2_line_quality": line_frequency.op2_line_quality,
+    "op3_toxicity": toxic_spans.op3_toxicity,
     "op4_shards": sharding.op4_shards,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_near_duplicates": minhash.op6_near_duplicates,

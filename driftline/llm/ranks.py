@@ -24,16 +24,16 @@ def order_key(*columns: Column) -> Column:
 def running(df: DataFrame, group: str, key: str, then: list[str], amount: Column, name: str, per_bucket: int = 20_000) -> DataFrame:
     """``df`` with ``name``: the sum of ``amount`` over the rows of the same
     ``group`` that come before, by ``key`` and the columns in ``then``. ``key``
-    must be uniform in 0 .. SPAN - 1; a bucket holds about ``per_bucket``
-    rows. Rows that tie in all of these come in any order."""
-    counts = df.groupBy(group).agg(F.count("*").alias("_rows"))
-    wide = df.join(counts, df[group].eqNullSafe(counts[group])).drop(counts[group])
-    buckets = F.ceil(F.col("_rows") / per_bucket)
-    placed = wide.withColumn("_bucket", F.floor(F.col(key) * buckets / SPAN).cast("long")).withColumn("_amount", amount)
-    totals = placed.groupBy(group, "_bucket").agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
+    must be uniform in 0 .. SPAN - 1; a bucket holds ``per_bucket`` rows of
+    all groups on average. Rows that tie in all of these come in any order.
+    ``df`` is read twice, so it should be a written table."""
+    buckets = max(1, -(-df.count() // per_bucket))
+    # never null, so that a plain join keeps the window's partitioning
+    no_null = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    placed = df.withColumn("_g", no_null).withColumn("_bucket", F.floor(F.col(key) * buckets / SPAN).cast("long")).withColumn("_amount", amount.cast("long"))
+    totals = placed.groupBy("_g", "_bucket").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_g", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_g", "_bucket").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    joined = ranked.join(starts, ranked[group].eqNullSafe(starts["_g"]) & (ranked["_bucket"] == starts["_b"]))
-    return joined.withColumn(name, F.col("_start") + F.col("_inside")).drop("_rows", "_bucket", "_amount", "_start", "_inside", "_g", "_b")
+    return ranked.join(starts, ["_g", "_bucket"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_g", "_bucket", "_amount", "_start", "_inside")
