@@ -37,8 +37,7 @@ def merged_in_order(df: DataFrame, label: str, gap_s: float, entity: str = "enti
 
 def union_minutes(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, minutes): time that the intervals of a group cover."""
-    length = (F.col("end_us") - F.col("start_us")).cast("double") / S / 60
-    return merged(df, by).groupBy(*by).agg(F.sum(length).alias("minutes"))
+    return merged(df, by).groupBy(*by).agg((F.sum(F.col("end_us") - F.col("start_us")).cast("double") / S / 60).alias("minutes"))
 
 
 def session_summary(df: DataFrame, labels: list[str], asleep: list[str], gap_s: float, entity: str = "entity", label: str = "label", source: str = "source") -> DataFrame:

@@ -1 +1,16 @@
 """Queries over the driver's tables, each with SQL that says the same."""
+
+from __future__ import annotations
+
+from . import spans, windows
+from .registry import QUERIES, SQL
+
+__all__ = ["queries", "spans", "sql", "windows"]
+
+
+def queries():
+    return QUERIES
+
+
+def sql():
+    return SQL
