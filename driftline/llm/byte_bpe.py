@@ -9,14 +9,15 @@ encodes the pre-tokens from there to where the next one takes over. A text
 where two chunks share no boundary within the overlap (one pre-token longer
 than that) is encoded as a whole.
 
-Only texts beyond ``chunk`` are shuffled. Merges within a pre-token are done
-by the tiktoken library, once per distinct pre-token and worker.
+Only texts beyond ``chunk`` are shuffled. The tiktoken library encodes a whole
+text, or, where chunks are stitched, one pre-token at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -51,8 +52,8 @@ class Codec:
         with open(tokenizer.ranks, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.pattern = regex.compile(tokenizer.pattern)
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.merge = tiktoken.Encoding("ranks", pat_str=tokenizer.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=tokenizer.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.decode = encoding.encode_ordinary, encoding.decode_bytes
         self.known: dict[str, list[int]] = {}
 
     def ids(self, pieces: list[str]) -> list[int]:
@@ -60,12 +61,9 @@ class Codec:
         if len(known) > CACHE:
             known.clear()
         for piece in set(pieces).difference(known):
-            known[piece] = self.merge(piece)
+            known[piece] = self.encode(piece)
         return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 @functools.lru_cache(maxsize=2)
 def codec(tokenizer: Tokenizer) -> Codec:
@@ -89,7 +87,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists([code.ids(code.pattern.findall(t)) for t in texts])], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists([code.encode(t) for t in texts])], ["doc_id", "ids"])
 
     short = rows.where(size <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>")
     # the number of a row tells repeated rows apart; it is fixed once the chunks are written
@@ -172,7 +170,7 @@ def decode(ids: Column, tokenizer: Tokenizer) -> Column:
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = codec(tokenizer)
         for batch in batches:
-            yield pa.array([None if x is None else code.decode(x.values.to_pylist()) for x in batch], pa.binary())
+            yield pa.array([None if x is None else code.decode(x.values.to_numpy().tolist()) for x in batch], pa.binary())
 
     return joined(ids)
 
@@ -184,12 +182,23 @@ def public_tokenizer() -> Tokenizer:
 
 
 def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids of each text,
+    and of the bytes that they decode to. Made in Python: a string for each id
+    would fill the JVM's heap."""
     encoded = encode(docs, tokenizer)
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), tokenizer), 256).alias("decoded_sha256"),
-    )
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codec(tokenizer)
+        for batch in batches:
+            out: list[tuple] = []
+            for ids in (x.values.to_numpy().tolist() for x in batch.column("ids")):
+                joined = " ".join(map(str, ids)).encode()
+                out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True))], names)
+
+    return encoded.mapInArrow(digest, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
