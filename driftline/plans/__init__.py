@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import spans, windows
+from . import aggregates, formats, scoring, spans, windows
 from .registry import QUERIES, SQL
 
-__all__ = ["queries", "spans", "sql", "windows"]
+__all__ = ["aggregates", "formats", "queries", "scoring", "spans", "sql", "windows"]
 
 
 def queries():

@@ -104,7 +104,7 @@ def hypnogram(spark: SparkSession, path: str, stages: dict[str, int], unknown: i
     """(file, line, clock, duration_s, stage) of the sleep events of
     tab-separated Latin-1 exports, whose table begins after a header line that
     starts with ``Sleep Stage``. Columns are found by the header's names."""
-    whole = spark.read.option("wholetext", True).option("encoding", "ISO-8859-1").text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("value"))
     lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text")).withColumn("cells", F.transform(F.split("text", "\t"), lambda c: F.trim(c)))
     head = lines.where(F.col("text").startswith("Sleep Stage")).groupBy("file").agg(F.min_by("cells", "line").alias("head"), F.min("line").alias("top"))
     rows = lines.join(head, "file").where("line > top")
