@@ -6,11 +6,13 @@ round ``BINS`` on, a round fills one bin for sure, so every coordinate is
 filled, in expected time n + BINS log BINS.
 
 Documents with one set of shingles are one node from the start, so exact
-copies cost nothing. Nodes meet in buckets of equal bands. A bucket links its
-nodes to its smallest node, never all pairs; what those links don't bring
-together is compared in full if the bucket is small, or else dealt into
-smaller buckets by a second band, and so on. Every link is checked on the full
-sets. Texts of candidates are gathered once and kept in the shared folder.
+copies cost nothing. Nodes meet in buckets of equal bands. First each bucket
+links its nodes to its smallest node. Most buckets then are of one component.
+In the others, only nodes outside of the bucket's largest component are still
+compared with the rest: cells of at most a few hundred nodes are dealt over
+all tasks; a cell compares sketches, and checks the pairs that come near on
+their full sets. A pair is looked at in the first band that it shares, no
+pair is a row, and every link is checked on the full sets.
 """
 
 from __future__ import annotations
@@ -34,8 +36,11 @@ _ROW = _random.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND = _random.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 _NONE = np.uint64((1 << 64) - 1)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
-#: Buckets up to this size are compared in full where links are missing.
-SMALL = 32
+#: Nodes on each side of a cell.
+CELL = 256
+#: Equal coordinates from which on a pair is checked: 4.9 standard deviations
+#: below those that pairs of similarity 0.75 have on average.
+NEAR = BINS * 9 // 16
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -80,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text)
                 sizes.append(len(found))
-                f1.append(int(mixed(found).sum().view(np.int64)) if len(found) else 0)
+                f1.append(fingerprint(found))
                 f2.append(int(np.bitwise_xor.reduce(mixed(found + np.uint64(1))).view(np.int64)) if len(found) else 0)
                 all_bands.append(bands(sketch(found)) if len(found) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in all_bands])]).astype("int32")
@@ -90,94 +95,120 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
-def checked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. ``texts``: (doc_id, text)."""
+def fingerprint(elements: np.ndarray) -> int:
+    """Stands for a whole set, in any order."""
+    return int(mixed(elements).sum().view(np.int64)) if len(elements) else 0
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles binary): the fingerprint of each text's set, and its
+    sorted hashes, eight bytes each."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(fingerprint, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
+
+    return docs.select("text").mapInArrow(make, "node long, shingles binary")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. ``sets``: (node, shingles)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "x", "y")), strict=True):
-                if last[0] != (b, y):  # neighbours share the hub of a bucket
-                    last = ((b, y), shingle_set(y))
-                keep.append(similar(shingle_set(x), last[1], percent))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def compared(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between nodes of one bucket that differ in label.
+    ``apart``: (g, band, node, label) of the buckets with several labels. Nodes
+    outside of a bucket's largest label meet all others, in cells."""
+
+    def compare(key: tuple, cell: pa.Table) -> pa.Table:
+        band = key[1].as_py()
+        outer = cell.column("outer").to_numpy(zero_copy_only=False)
+        node, label = cell.column("node").to_numpy(), cell.column("label").to_numpy().copy()
+        full = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
+        coords = np.array([sketch(x).astype(np.uint32) for x in full])
+        links: list[tuple] = []
+        members = np.flatnonzero(~outer)
+        same = coords.reshape(len(coords), BANDS, ROWS)
+        for i in np.flatnonzero(outer):
+            equal = coords[members] == coords[i]
+            count = equal.sum(axis=1)
+            near = (count >= NEAR) & (label[members] != label[i])
+            if not near.any():
+                continue
+            near_at = np.flatnonzero(near)
+            # a pair belongs to the first band that it shares
+            first = (same[members[near_at]] == same[i]).all(axis=2).argmax(axis=1)
+            near_at = near_at[first == band]
+            for j in members[near_at[np.argsort(-count[near_at], kind="stable")]]:
+                if label[j] != label[i] and similar(full[i], full[j], percent):
+                    links.append((max(node[i], node[j]), min(node[i], node[j])))
+                    label[label == label[i]] = label[j]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    counts = apart.groupBy("g", "label").agg(F.count("*").alias("n"))
+    top = counts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("g", F.col("top.label").alias("top"), F.ceil(F.col("all") / CELL).alias("cells"), F.ceil((F.col("all") - F.col("top.n")) / CELL).alias("outer_cells"))
+    placed = apart.join(top, "g").withColumn("h", F.xxhash64("node", "g"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_member = F.transform(every("outer_cells"), lambda o: F.struct(F.pmod("h", "cells").alias("m"), o.alias("o"), F.lit(False).alias("outer")))
+    as_outer = F.when(F.col("label") != F.col("top"), F.transform(every("cells"), lambda m: F.struct(m.alias("m"), F.pmod("h", "outer_cells").alias("o"), F.lit(True).alias("outer"))))
+    roles = F.concat(as_member, F.coalesce(as_outer, F.array().cast("array<struct<m:bigint,o:bigint,outer:boolean>>")))
+    cells = placed.select("g", "band", "node", "label", F.explode(roles).alias("r")).select("g", "band", "node", "label", "r.*")
+    filled = cells.join(sets, "node")
+    return filled.groupBy("g", "band", "m", "o").applyInArrow(compare, "a long, b long")
+
+
 def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the nodes that have a link. ``nodes``: (node,
-    bands), one per set; ``docs``: (doc_id, text)."""
-    spark = nodes.sparkSession
-    groups = nodes.select(F.explode("bands").alias("g"), "node")
-    hubs = groups.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = store.written(groups.join(hubs, "g").select("g", "node", "hub"), "members")
-    candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = store.written(docs.join(candidates, "doc_id", "left_semi"), "texts")
-    links, labels = None, None
-    while True:
-        # first each bucket's smallest node, then what that has left apart
-        star = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        links = _with(links, checked(_apart(star, labels), texts, percent))
-        labels = components(links)
-        apart = _labelled(members, labels)
-        split = apart.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high").select("g", "n")
-        apart = store.written(apart.join(split, "g").select("g", "n", "node", "label"), "apart")
-        small = apart.where(F.col("n") <= SMALL)
-        x, y = small.alias("x"), small.alias("y")
-        pairs = x.join(y, F.expr("x.g = y.g AND x.label != y.label AND x.node > y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if small.isEmpty():
-            pairs = None
-        else:
-            links = _with(links, checked(pairs, texts, percent))
-            labels = components(links)
-        large = _labelled(apart.where(F.col("n") > SMALL).select("g", "node"), labels)
-        if large.isEmpty():
-            return labels
-        dealt = large.join(nodes, "node").select("g", "node", F.explode("bands").alias("band")).where("g != band").select(F.xxhash64("g", "band").alias("g"), "node")
-        again = dealt.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        members = store.written(dealt.join(again, "g").select("g", "node", "hub"), "members")
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-
-
-def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct pairs, without those already in one component."""
-    pairs = pairs.distinct()
-    if labels is None:
-        return pairs
-    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _with(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return store.written(more if links is None else links.unionByName(more), "links")
+    """(node, component) of the nodes that have a link. ``nodes``: (node, id,
+    bands), one per set, with the id of a document that has it; ``docs``:
+    (doc_id, text)."""
+    groups = nodes.select(F.posexplode("bands").alias("band", "g"), "node", "id")
+    hubs = groups.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = store.written(groups.join(hubs, "g").select("g", "band", "node", "id", "hub"), "members")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = members.select("node").distinct()
+    # a document may have several rows, with texts that aren't wanted
+    found = shingle_sets(docs.join(ids, "doc_id", "left_semi")).join(wanted, "node", "left_semi")
+    sets = store.written(found.dropDuplicates(["node"]), "sets")
+    star = members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = store.written(checked(star, sets, percent), "links")
+    labelled = members.select("g", "band", "node").join(components(links), "node", "left").select("g", "band", "node", F.coalesce("component", "node").alias("label"))
+    labelled = store.written(labelled, "labels")
+    several = labelled.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("g")
+    more = compared(labelled.join(several, "g", "left_semi"), sets, percent)
+    return components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row per input row.
 
     Documents without words, and rows with a null id, link with nothing: their
-    component is their own id, and they are kept. Rows that share an id count
-    as one document, so their classes are one, and all of the first id's rows
-    are kept. An empty table gives an empty result. Other columns are ignored.
+    component is their own id, and they are kept. Rows that repeat id and text
+    have one class, and are kept all or none; rows that share an id with other
+    texts are classed each by its own text. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     store.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = store.written(signatures(rows), "signatures")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    nodes = store.written(some.join(sets.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").select(F.col("doc_id").alias("node"), "bands").dropDuplicates(["node"]), "nodes")
-    labels = linked(nodes, rows, percent)
-    per_set = sets.join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("set_component"))
-    joined = signed.withColumn("linkable", F.expr("n_shingles > 0 AND doc_id IS NOT NULL")).join(per_set, ["f1", "f2"], "left")
+    sets = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
+    first = some.join(sets, ["f1", "f2"]).where("doc_id = id").select(F.col("f1").alias("node"), "id", "bands")
+    labels = linked(store.written(first.dropDuplicates(["node"]), "nodes"), rows, percent)
+    per_set = sets.join(labels.withColumnRenamed("node", "f1"), "f1", "left").withColumn("label", F.coalesce("component", "f1"))
+    least = per_set.groupBy("label").agg(F.min("id").alias("set_component"))
+    classes = per_set.join(least, "label").select("f1", "f2", "set_component")
+    joined = signed.withColumn("linkable", F.expr("n_shingles > 0 AND doc_id IS NOT NULL")).join(classes, ["f1", "f2"], "left")
     component = F.when(F.col("linkable"), F.col("set_component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
