@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import joins, series, stats
-from .registry import DAY, DAYS, EV, days, query, r, table
+from .registry import DAY, DAYS, EV, US, V, days, query, r, table
 
-V, US = F.col("value"), F.col("us")
 BY = "(PARTITION BY entity ORDER BY us)"
 
 
@@ -25,13 +24,13 @@ def minmax_by_key(ev: DataFrame) -> DataFrame:
 
 @query("mean_median", f"{EV} SELECT entity, round(sum(round(value * 100)::BIGINT)::DOUBLE / count(*), 6) AS mean_cents, quantile_cont(value, 0.5) AS med FROM ev GROUP BY 1")
 def mean_median(ev: DataFrame) -> DataFrame:
-    cents = F.sum(F.round(V * 100).cast("long")).cast("double") / F.count("*")
-    return ev.groupBy("entity").agg(r(cents).alias("mean_cents"), stats.quantile(V, 0.5).alias("med"))
+    cents = F.sum(F.round(V() * 100).cast("long")).cast("double") / F.count("*")
+    return ev.groupBy("entity").agg(r(cents).alias("mean_cents"), stats.quantile(V(), 0.5).alias("med"))
 
 
 @query("quantile_linear", f"{EV} SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.95), 6) AS p95 FROM ev GROUP BY 1")
 def quantile_linear(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("event_type").agg(r(stats.quantile(V, 0.25)).alias("q1"), r(stats.quantile(V, 0.95)).alias("p95"))
+    return ev.groupBy("event_type").agg(r(stats.quantile(V(), 0.25)).alias("q1"), r(stats.quantile(V(), 0.95)).alias("p95"))
 
 
 @query("quantile_exclusive", f"""{EV}, k AS (SELECT entity, value, row_number() OVER (PARTITION BY entity ORDER BY value) AS k, count(*) OVER (PARTITION BY entity) AS n FROM ev),
@@ -50,12 +49,12 @@ def five_number_summary(ev: DataFrame) -> DataFrame:
 
 @query("stddev_pop_vs_samp", f"{EV} SELECT entity, round(stddev_pop(value), 6) AS sd_pop, round(stddev_samp(value), 6) AS sd_samp FROM ev GROUP BY 1")
 def stddev_pop_vs_samp(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("entity").agg(r(F.stddev_pop(V)).alias("sd_pop"), r(F.stddev_samp(V)).alias("sd_samp"))
+    return ev.groupBy("entity").agg(r(F.stddev_pop(V())).alias("sd_pop"), r(F.stddev_samp(V())).alias("sd_samp"))
 
 
 @query("rms", f"{EV} SELECT entity, round(sqrt(avg(value * value)), 6) AS rms FROM ev GROUP BY 1")
 def rms(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("entity").agg(r(stats.rms(V)).alias("rms"))
+    return ev.groupBy("entity").agg(r(stats.rms(V())).alias("rms"))
 
 
 @query("time_bin_agg", f"""{EV}, p AS (SELECT entity, value, floor((us - min(us) OVER (PARTITION BY entity)) / 86400000000)::BIGINT AS b FROM ev),
@@ -67,7 +66,7 @@ def time_bin_agg(ev: DataFrame) -> DataFrame:
 
 @query("bin_end_mean", f"{EV} SELECT entity, ceil(us / 86400000000)::BIGINT * 86400000000 AS end_us, round_even(avg(value), 0) AS mean FROM ev GROUP BY 1, 2")
 def bin_end_mean(ev: DataFrame) -> DataFrame:
-    return stats.bin_end_means(ev, DAY, V)
+    return stats.bin_end_means(ev, DAY, V())
 
 
 @query("mode_day_topk", f"{DAYS} SELECT k AS day, count(*) AS n, quantile_cont(value, 0.5) AS median_value FROM d GROUP BY 1 ORDER BY n DESC, day LIMIT 5", of=days)
@@ -115,18 +114,18 @@ def within_group_spread(o: DataFrame) -> DataFrame:
 @query("share_by_class", f"""{EV}, f AS (SELECT entity, value > 80 AS failed, event_type IN ('error', 'purchase') AS hard FROM ev)
 SELECT entity, count(*) AS n, count(*) FILTER (failed) AS fails, round(CASE WHEN count(*) FILTER (failed) > 0 THEN 100.0::DOUBLE * count(*) FILTER (failed AND hard) / count(*) FILTER (failed) END, 6) AS fail_share_pct, round(100.0::DOUBLE * count(*) FILTER (hard) / count(*), 6) AS row_share_pct FROM f GROUP BY 1""")
 def share_by_class(ev: DataFrame) -> DataFrame:
-    out = stats.share_by_class(ev, V > 80, F.col("event_type").isin("error", "purchase"), ["entity"])
+    out = stats.share_by_class(ev, V() > 80, F.col("event_type").isin("error", "purchase"), ["entity"])
     return out.select("entity", "n", "fails", r("fail_share_pct").alias("fail_share_pct"), r("row_share_pct").alias("row_share_pct"))
 
 
 @query("sum_and_count", f"{EV} SELECT entity, count(*) AS n, round(sum(value), 4) AS total FROM ev WHERE us BETWEEN 1704844800000000 AND 1705708800000000 GROUP BY 1")
 def sum_and_count(ev: DataFrame) -> DataFrame:
-    return ev.where(US.between(1_704_844_800_000_000, 1_705_708_800_000_000)).groupBy("entity").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+    return ev.where(US().between(1_704_844_800_000_000, 1_705_708_800_000_000)).groupBy("entity").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
 @query("weighted_bincount", f"{EV} SELECT floor(value / 25)::BIGINT AS bin, count(*) AS n, round(sum(value), 3) AS total FROM ev GROUP BY 1")
 def weighted_bincount(ev: DataFrame) -> DataFrame:
-    return ev.groupBy(F.floor(V / 25).alias("bin")).agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+    return ev.groupBy(F.floor(V() / 25).alias("bin")).agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
 
 
 @query("histogram", f"{EV} SELECT floor(value / 10)::BIGINT AS bin, count(*) AS n FROM ev GROUP BY 1")
@@ -136,7 +135,7 @@ def histogram(ev: DataFrame) -> DataFrame:
 
 @query("prevalence", f"{EV} SELECT event_type, round(avg(CASE WHEN value < 34 THEN 1.0::DOUBLE ELSE 0 END), 9) AS below FROM ev GROUP BY 1")
 def prevalence(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("event_type").agg(r(F.avg((V < 34).cast("double")), 9).alias("below"))
+    return ev.groupBy("event_type").agg(r(F.avg((V() < 34).cast("double")), 9).alias("below"))
 
 
 CADENCE = f"""{EV}, g AS (SELECT entity, us, (us - lag(us) OVER {BY})::DOUBLE / 1e6 AS gap FROM ev),
@@ -166,7 +165,7 @@ def corpus_inventory(ev: DataFrame) -> DataFrame:
 
 @query("per_source_distribution", f"{EV}, x AS (SELECT event_type, floor(value * 10) AS d FROM ev) SELECT event_type, quantile_cont(d, 0.5) AS med, round(quantile_cont(d, 0.95), 6) AS p95 FROM x GROUP BY 1")
 def per_source_distribution(ev: DataFrame) -> DataFrame:
-    d = F.floor(V * 10)
+    d = F.floor(V() * 10)
     return ev.groupBy("event_type").agg(stats.quantile(d, 0.5).alias("med"), r(stats.quantile(d, 0.95)).alias("p95"))
 
 
@@ -193,7 +192,7 @@ def pooled_rollup(ev: DataFrame) -> DataFrame:
 
 @query("to_relative_minutes", f"{EV} SELECT event_id, round((us - min(us) OVER (PARTITION BY entity))::DOUBLE / 1e6 / 60, 9) AS minutes FROM ev")
 def to_relative_minutes(ev: DataFrame) -> DataFrame:
-    since = (US - F.min("us").over(Window.partitionBy("entity"))).cast("double") / 1e6
+    since = (US() - F.min("us").over(Window.partitionBy("entity"))).cast("double") / 1e6
     return ev.select("event_id", r(scalar.relative_minutes(since, F.lit(0)), 9).alias("minutes"))
 
 
@@ -204,7 +203,7 @@ def vector_magnitude(e: DataFrame) -> DataFrame:
 
 @query("gravity_removed", f"{EV} SELECT event_id, round(value - quantile_cont(value, 0.5) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING), 6) AS rest FROM ev")
 def gravity_removed(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(V - F.percentile(V, F.lit(0.5)).over(series.centred(2 * DAY))).alias("rest"))
+    return ev.select("event_id", r(V() - F.percentile(V(), F.lit(0.5)).over(series.centred(2 * DAY))).alias("rest"))
 
 
 @query("wrist_orientation", "SELECT vec_id, CASE WHEN embedding[1] < -0.1::FLOAT THEN 'down' ELSE 'up' END AS wrist FROM embeddings", of=table("embeddings"))
@@ -214,7 +213,7 @@ def wrist_orientation(e: DataFrame) -> DataFrame:
 
 @query("instantaneous_rate", f"{EV} SELECT event_id, round(60000 / (value * 10), 6) AS rate FROM ev")
 def instantaneous_rate(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(scalar.rate_of(V * 10)).alias("rate"))
+    return ev.select("event_id", r(scalar.rate_of(V() * 10)).alias("rate"))
 
 
 @query("epoch_index", f"{EV} SELECT event_id, floor((t - 1705000000.5::DOUBLE) / 3600)::BIGINT - 2 AS k FROM ev")
@@ -224,7 +223,7 @@ def epoch_index(ev: DataFrame) -> DataFrame:
 
 @query("clip", f"{EV} SELECT event_id, least(greatest(value, 5), 150) AS clipped FROM ev")
 def clip(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", scalar.clip(V, 5.0, 150.0).alias("clipped"))
+    return ev.select("event_id", scalar.clip(V(), 5.0, 150.0).alias("clipped"))
 
 
 @query("prefix_strip", "SELECT o_orderkey, regexp_replace(o_orderpriority, '^(1-|2-|3-|4-|5-)', '') AS priority FROM orders", of=table("orders"))
@@ -245,12 +244,12 @@ def stage_recode(ev: DataFrame) -> DataFrame:
 
 @query("calibrate", f"{EV} SELECT event_id, round((value - 0) * ((1 - -1) / (500 - 0)::DOUBLE) + -1, 6) AS physical FROM ev")
 def calibrate(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(scalar.calibrate(V, F.lit(0.0), F.lit(500.0), F.lit(-1.0), F.lit(1.0))).alias("physical"))
+    return ev.select("event_id", r(scalar.calibrate(V(), F.lit(0.0), F.lit(500.0), F.lit(-1.0), F.lit(1.0))).alias("physical"))
 
 
 @query("fmt_duration", f"{EV}, x AS (SELECT event_id, floor(value * 97) AS s FROM ev) SELECT event_id, CASE WHEN s < 60 THEN format('{{:.0f}}s', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) ELSE printf('%.2fh', s / 3600) END AS text FROM x WHERE s % 3 <> 0")
 def fmt_duration(ev: DataFrame) -> DataFrame:
-    s = F.floor(V * 97).cast("double")
+    s = F.floor(V() * 97).cast("double")
     # multiples of 3 seconds can tie in the last digit, which C and Java round apart
     return ev.where(s % 3 != 0).select("event_id", scalar.duration_text(s).alias("text"))
 
@@ -259,7 +258,7 @@ def fmt_duration(ev: DataFrame) -> DataFrame:
 x AS (SELECT event_id, value * 200 - 40000 AS o FROM ev), p AS (SELECT event_id, m, o - 60 * m AS res, row_number() OVER (PARTITION BY event_id ORDER BY abs(o - 60 * m), m) AS k FROM x, z)
 SELECT event_id, m::INT AS minutes, round(res, 6) AS residual_s FROM p WHERE k = 1""")
 def nearest_clean_zone(ev: DataFrame) -> DataFrame:
-    z = scalar.nearest_zone(V * 200 - 40_000)
+    z = scalar.nearest_zone(V() * 200 - 40_000)
     return ev.select("event_id", z.minutes.alias("minutes"), r(z.residual_s).alias("residual_s"))
 
 
@@ -285,7 +284,7 @@ def watch_filter(ev: DataFrame) -> DataFrame:
 
 @query("cutoff_filter", f"{EV} SELECT event_id FROM ev WHERE us + floor(value * 10)::BIGINT * 60000000 >= 1705708800000000")
 def cutoff_filter(ev: DataFrame) -> DataFrame:
-    return ev.where(US + F.floor(V * 10) * 60_000_000 >= 1_705_708_800_000_000).select("event_id")
+    return ev.where(US() + F.floor(V() * 10) * 60_000_000 >= 1_705_708_800_000_000).select("event_id")
 
 
 @query("drop_unknown", "SELECT event_id FROM events WHERE event_type <> 'signup'")
@@ -295,12 +294,12 @@ def drop_unknown(ev: DataFrame) -> DataFrame:
 
 @query("in_window", f"{EV}, k AS (SELECT event_id, floor((us - 1704844800000000) / 86400000000)::BIGINT AS k FROM ev) SELECT event_id, k FROM k WHERE k >= 0 AND k < 10")
 def in_window(ev: DataFrame) -> DataFrame:
-    return ev.withColumn("k", F.floor((US - 1_704_844_800_000_000) / 86_400_000_000)).where("k >= 0 AND k < 10").select("event_id", "k")
+    return ev.withColumn("k", F.floor((US() - 1_704_844_800_000_000) / 86_400_000_000)).where("k >= 0 AND k < 10").select("event_id", "k")
 
 
 @query("record_exclusion", f"{EV}, x AS (SELECT entity, avg(CASE WHEN value > 60 THEN 1.0::DOUBLE ELSE 0 END) AS removed FROM ev GROUP BY 1) SELECT entity, round(removed, 9) AS removed FROM x WHERE removed <= 0.2::DOUBLE AND entity NOT IN (3, 7)")
 def record_exclusion(ev: DataFrame) -> DataFrame:
-    removed = ev.groupBy("entity").agg(F.avg((V > 60).cast("double")).alias("removed"))
+    removed = ev.groupBy("entity").agg(F.avg((V() > 60).cast("double")).alias("removed"))
     return removed.where((F.col("removed") <= 0.2) & ~F.col("entity").isin(3, 7)).select("entity", r("removed", 9).alias("removed"))
 
 
@@ -308,7 +307,7 @@ def record_exclusion(ev: DataFrame) -> DataFrame:
 def scorable(ev: DataFrame) -> DataFrame:
     from ..operators.evaluate import scorable as keep
 
-    return keep(ev.groupBy("entity").agg(F.min("us").alias("start_us"), F.min(F.when(F.col("event_type") == "error", US)).alias("event_us")), DAY).select("entity")
+    return keep(ev.groupBy("entity").agg(F.min("us").alias("start_us"), F.min(F.when(F.col("event_type") == "error", US())).alias("event_us")), DAY).select("entity")
 
 
 @query("min_group_size", f"{EV} SELECT entity, count(*) AS n FROM ev GROUP BY 1 HAVING count(*) >= 70")
@@ -367,7 +366,7 @@ def natural_sort(ev: DataFrame) -> DataFrame:
 
 @query("first_cross", f"{EV} SELECT entity, min(us) FILTER (value >= 120) AS cross_us FROM ev GROUP BY 1")
 def first_cross(ev: DataFrame) -> DataFrame:
-    return series.first_true(ev, V >= 120, "cross_us")
+    return series.first_true(ev, V() >= 120, "cross_us")
 
 
 @query("pooled_concat", "SELECT event_id AS id, value FROM events UNION ALL SELECT o_orderkey, o_totalprice FROM orders", of=lambda s, d: (s.read.parquet(f"{d}/events.parquet"), s.read.parquet(f"{d}/orders.parquet")))
@@ -394,7 +393,7 @@ def distinct_sorted(ev: DataFrame) -> DataFrame:
 @query("param_grid", f"""{EV}, g AS (SELECT m, d FROM (VALUES (0), (20), (40), (60)) AS a(m), (VALUES (0), (5), (10)) AS b(d)) SELECT m, d, count(*) FILTER (value < m - d) AS below FROM ev, g GROUP BY 1, 2""")
 def param_grid(ev: DataFrame) -> DataFrame:
     g = joins.parameter_grid(ev.sparkSession, m=[0, 20, 40, 60], d=[0, 5, 10])
-    return ev.crossJoin(F.broadcast(g)).groupBy("m", "d").agg(F.count(F.when(V < F.col("m") - F.col("d"), 1)).alias("below"))
+    return ev.crossJoin(F.broadcast(g)).groupBy("m", "d").agg(F.count(F.when(V() < F.col("m") - F.col("d"), 1)).alias("below"))
 
 
 @query("parabolic_peak", f"""{EV}, p AS (SELECT event_id, lag(value) OVER {BY} AS a, value AS b, lead(value) OVER {BY} AS c FROM ev)
@@ -403,7 +402,7 @@ def parabolic_peak(ev: DataFrame) -> DataFrame:
     from ..operators.beats import parabolic_peak as peak
 
     w = series.along()
-    near = ev.select("event_id", F.lag("value").over(w).alias("a"), V.alias("b"), F.lead("value").over(w).alias("c")).where("b > a AND b > c")
+    near = ev.select("event_id", F.lag("value").over(w).alias("a"), V().alias("b"), F.lead("value").over(w).alias("c")).where("b > a AND b > c")
     return near.select("event_id", r(peak(F.col("a"), F.col("b"), F.col("c"))).alias("shift"))
 
 

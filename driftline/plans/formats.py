@@ -11,9 +11,8 @@ from ..params import PhaseRules
 from ..shared import new_path
 from ..sources import text
 from ..streaming import phase
-from .registry import EV, query
+from .registry import EV, US, V, query
 
-V, US = F.col("value"), F.col("us")
 STAMP = "date_format(timestamp_micros(us div 1000000 * 1000000), 'yyyy-MM-dd HH:mm:ss')"
 
 
@@ -51,14 +50,14 @@ def scan_xml_summary(ev: DataFrame) -> DataFrame:
 @query("scan_ndjson_log", f"{EV} SELECT t, value AS bpm, event_id::VARCHAR AS uuid FROM ev WHERE event_id % 7 <> 0")
 def scan_ndjson_log(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "log")
-    message = F.concat(F.lit("HR sample t="), F.format_string("%.6f", "t"), F.lit(" bpm="), V.cast("string"), F.lit(" uuid="), F.col("event_id").cast("string"))
+    message = F.concat(F.lit("HR sample t="), F.format_string("%.6f", "t"), F.lit(" bpm="), V().cast("string"), F.lit(" uuid="), F.col("event_id").cast("string"))
     line = F.when(F.col("event_id") % 7 == 0, "not json {").otherwise(F.to_json(F.struct(message.alias("eventMessage"))))
     ev.select(line.alias("value")).write.text(path)
     return text.log_samples(ev.sparkSession, path)
 
 
 def _documents(ev: DataFrame) -> DataFrame:
-    samples = F.array_sort(F.collect_list(F.struct("t", V.alias("bpm"))))
+    samples = F.array_sort(F.collect_list(F.struct("t", V().alias("bpm"))))
     grouped = ev.groupBy(F.col("entity").cast("string").alias("sessionUUID")).agg(F.min("t").alias("startTimestamp"), F.max("t").alias("endTimestamp"), samples.alias("heartRateSamples"))
     cause = F.when(F.col("sessionUUID").endswith("3"), "unknown").otherwise("manual_wake")
     return grouped.withColumn("endCause", cause)
@@ -91,7 +90,7 @@ def document_upsert(ev: DataFrame) -> DataFrame:
 @query("scan_hr_csv", f"{EV} SELECT t, value FROM ev WHERE event_id % 11 <> 0")
 def scan_hr_csv(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "series")
-    line = F.when(F.col("event_id") % 22 == 0, "bad,row").when(F.col("event_id") % 11 == 0, "7").otherwise(F.concat_ws(",", F.format_string("%.6f", "t"), V.cast("string")))
+    line = F.when(F.col("event_id") % 22 == 0, "bad,row").when(F.col("event_id") % 11 == 0, "7").otherwise(F.concat_ws(",", F.format_string("%.6f", "t"), V().cast("string")))
     ev.select(line.alias("value")).write.text(path)
     return text.csv_series(ev.sparkSession, path).select("t", "value")
 
@@ -100,7 +99,7 @@ def scan_hr_csv(ev: DataFrame) -> DataFrame:
 def scan_csv_dict(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "table")
     flag = F.when(F.col("event_id") % 5 == 0, "True").otherwise("False")
-    ev.select("event_id", flag.alias("usable"), F.when(F.col("event_id") % 3 == 0, F.lit("nan")).otherwise(V.cast("string")).alias("sep")).write.option("header", True).csv(path)
+    ev.select("event_id", flag.alias("usable"), F.when(F.col("event_id") % 3 == 0, F.lit("nan")).otherwise(V().cast("string")).alias("sep")).write.option("header", True).csv(path)
     rows = text.header_csv(ev.sparkSession, path, "event_id LONG, usable STRING, sep DOUBLE", "usable = 'True'")
     return rows.select("event_id", "sep")
 
@@ -152,7 +151,7 @@ def dedup_by_id(ev: DataFrame) -> DataFrame:
 
 @query("stream_bins", "SELECT event_type, epoch_us(ts) // 86400000000 AS b, count(*) AS n FROM events GROUP BY ALL")
 def stream_bins(ev: DataFrame) -> DataFrame:
-    counted = _as_stream(ev).groupBy("event_type", F.floor(US / 86_400_000_000).alias("b")).agg(F.count("*").alias("n"))
+    counted = _as_stream(ev).groupBy("event_type", F.floor(US() / 86_400_000_000).alias("b")).agg(F.count("*").alias("n"))
     return _drained(counted, "complete")
 
 

@@ -52,6 +52,15 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("k", F.floor(F.col("us") / 86_400_000_000))
 
 
+def V() -> Column:  # noqa: N802
+    """The value of a sample. Columns need a session, so they are made when a query runs."""
+    return F.col("value")
+
+
+def US() -> Column:  # noqa: N802
+    return F.col("us")
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 

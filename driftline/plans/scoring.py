@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, firing, joins, series
 from ..params import FiringRules
-from .registry import DAY, EV, query, r, table
+from .registry import DAY, EV, US, V, query, r, table
 from .windows import DECISIONS, points
 
-V, US = F.col("value"), F.col("us")
 LEADS = [DAY * x for x in (1.0, 3.0, 5.0)]
 LEAD_SQL = f"{DECISIONS}, l AS (SELECT r.*, e AS lead_s, coalesce(tau <= e, false)::INT AS yl, entity % 5 AS fold FROM ready r, (VALUES (86400.0::DOUBLE), (259200.0::DOUBLE), (432000.0::DOUBLE)) AS x(e))"
 
@@ -98,8 +97,8 @@ def common_rows(ev: DataFrame) -> DataFrame:
 def decision_mask(ev: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    first = F.min(F.when(F.col("event_type") == "error", US)).over(Window.partitionBy("entity"))
-    marked = ev.withColumn("tau_first", (first - US).cast("double") / series.S)
+    first = F.min(F.when(F.col("event_type") == "error", US())).over(Window.partitionBy("entity"))
+    marked = ev.withColumn("tau_first", (first - US()).cast("double") / series.S)
     return evaluate.first_event_only(marked, "tau_first").where("event_type <> 'error'").select("event_id")
 
 
@@ -151,7 +150,7 @@ round(CASE WHEN count(onset_us) > 0 THEN count(*) FILTER (outcome = 'hit') / cou
 
 
 def _onsets(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("entity").agg(F.min("us").alias("start_us"), F.min(F.when((F.col("event_type") == "error") & (V > 20), US)).alias("onset_us"))
+    return ev.groupBy("entity").agg(F.min("us").alias("start_us"), F.min(F.when((F.col("event_type") == "error") & (V() > 20), US())).alias("onset_us"))
 
 
 def _highs(ev: DataFrame) -> DataFrame:
@@ -193,7 +192,7 @@ gt AS (SELECT x.fold, coalesce(quantile_cont(false_high, 0.8), 1.01) AS threshol
 
 
 def _guarded(ev: DataFrame) -> DataFrame:
-    allowed = F.col("onset_us").isNull() | (US < F.col("onset_us") - int(RULES.early_s * series.S))
+    allowed = F.col("onset_us").isNull() | (US() < F.col("onset_us") - int(RULES.early_s * series.S))
     false_values = _onsets(ev).join(_highs(ev), "entity", "left").groupBy("entity").agg(F.max(F.when(allowed, F.col("high"))).alias("false_high"))
     train = false_values.withColumn("fold", F.explode(F.array(*map(F.lit, range(5))))).where(F.col("fold") != F.col("entity") % 5)
     return firing.guarded_threshold(train, 0.2, ["fold"])
@@ -218,7 +217,7 @@ def event_surface(ev: DataFrame) -> DataFrame:
 @query("floor_ceiling", HIGHS + """, g AS (SELECT entity, start_us, min(us) AS fire_us, min(us) FILTER (us - start_us BETWEEN 172800000000 AND 864000000000) AS gated_us FROM hs JOIN on_ USING (entity) WHERE high >= 30 GROUP BY 1, 2)
 SELECT entity, fire_us, gated_us FROM g""")
 def floor_ceiling(ev: DataFrame) -> DataFrame:
-    held, ok = series.sustained_min(V, US, RULES.sustain_s, RULES.tolerance_s)
+    held, ok = series.sustained_min(V(), US(), RULES.sustain_s, RULES.tolerance_s)
     rows = ev.withColumn("high", held).withColumn("_ok", ok).where("_ok").select("entity", "us", "high")
     return firing.gated(rows, _onsets(ev).select("entity", "start_us"), 2 * DAY, 10 * DAY, F.lit(30))
 
@@ -260,7 +259,7 @@ dp AS (SELECT f.entity, onset_us, min(us) FILTER (event_type = 'error' AND us >=
 
 def _latency(ev: DataFrame) -> DataFrame:
     onset = series.runs(ev, F.col("event_type") != "view").where("n >= 3").groupBy("entity").agg(F.min("start_us").alias("onset_us"))
-    deep = F.min(F.when((F.col("event_type") == "error") & (US >= F.col("onset_us")), US))
+    deep = F.min(F.when((F.col("event_type") == "error") & (US() >= F.col("onset_us")), US()))
     return ev.join(onset, "entity").groupBy("entity", "onset_us").agg(deep.alias("deep_us"))
 
 
@@ -280,19 +279,19 @@ m AS (SELECT *, max(med) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 172
 def detect_onset(ev: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    q, whole = F.percentile(V, F.lit(0.5)), Window.partitionBy("entity")
+    q, whole = F.percentile(V(), F.lit(0.5)), Window.partitionBy("entity")
     rows = ev.select("entity", "us", q.over(series.centred(3 * DAY)).alias("med"), q.over(whole).alias("base"), F.min("us").over(whole).alias("u0"))
     held = rows.withColumn("hi", F.max("med").over(series.trailing(2 * DAY)))
-    return held.where((US - F.col("u0") >= DAY * series.S) & (F.col("hi") <= F.col("base") - 2)).groupBy("entity").agg(F.min("us").alias("onset_us"))
+    return held.where((US() - F.col("u0") >= DAY * series.S) & (F.col("hi") <= F.col("base") - 2)).groupBy("entity").agg(F.min("us").alias("onset_us"))
 
 
 @query("shape_by_stage", f"""{EV}, s AS (SELECT event_type, stddev_samp(value) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW) AS sd FROM ev)
 SELECT event_type, count(sd) AS n, round(quantile_cont(sd, 0.5), 6) AS median_sd FROM s GROUP BY 1""")
 def shape_by_stage(ev: DataFrame) -> DataFrame:
-    rows = ev.select("event_type", series.trailing_sd(V, series.trailing(3 * DAY)).alias("sd"))
+    rows = ev.select("event_type", series.trailing_sd(V(), series.trailing(3 * DAY)).alias("sd"))
     return rows.groupBy("event_type").agg(F.count("sd").alias("n"), r(F.percentile("sd", F.lit(0.5))).alias("median_sd"))
 
 
 @query("quiet_report", f"""{EV}, x AS (SELECT entity, count(*) FILTER (value < 20) AS quiet, max(value) AS ceiling, count(*) AS n FROM ev GROUP BY 1) SELECT entity, quiet, ceiling, n FROM x WHERE n >= 50""")
 def quiet_report(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("entity").agg(F.count(F.when(V < 20, 1)).alias("quiet"), F.max("value").alias("ceiling"), F.count("*").alias("n")).where("n >= 50")
+    return ev.groupBy("entity").agg(F.count(F.when(V() < 20, 1)).alias("quiet"), F.max("value").alias("ceiling"), F.count("*").alias("n")).where("n >= 50")

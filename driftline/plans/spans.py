@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import align, intervals, joins, series, stats
 from ..params import AlignmentRules, DensityGate
-from .registry import DAY, DAYS, EV, IV, as_intervals, days, query, r
+from .registry import DAY, DAYS, EV, IV, US, V, as_intervals, days, query, r
 from .registry import intervals as iv_of
 
-US, V = F.col("us"), F.col("value")
 BY = "(PARTITION BY entity ORDER BY us)"
 JOINED = f"""{IV}, m AS (SELECT *, max(end_us) OVER (PARTITION BY entity ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM iv),
 n AS (SELECT *, CASE WHEN reached IS NULL OR start_us - reached > {{gap}} THEN 1 ELSE 0 END AS new FROM m),
@@ -152,7 +151,7 @@ SELECT e.event_id, max(b.value) AS peak FROM ev e JOIN b ON e.entity = b.entity
 
 
 def _coincide(ev: DataFrame) -> DataFrame:
-    bins = ev.groupBy("entity", (F.floor(US / 21_600_000_000) * 21_600_000_000).alias("us")).agg(F.max("value").alias("value"))
+    bins = ev.groupBy("entity", (F.floor(US() / 21_600_000_000) * 21_600_000_000).alias("us")).agg(F.max("value").alias("value"))
     return joins.coincidences(ev.where("event_type = 'error'").select("event_id", "entity", "us"), bins, F.lit(80), DAY / 2).select("event_id", "peak")
 
 
@@ -186,7 +185,7 @@ def covered_pair_semi(d: DataFrame) -> DataFrame:
 
 @query("sample_to_epoch", f"{DAYS}, l AS (SELECT entity, k, min(event_type) AS label FROM d GROUP BY 1, 2) SELECT d.event_id, l.label FROM d JOIN l USING (entity, k)")
 def sample_to_epoch(ev: DataFrame) -> DataFrame:
-    k = F.floor(US / (DAY * series.S))
+    k = F.floor(US() / (DAY * series.S))
     labels = ev.groupBy("entity", k.alias("k")).agg(F.min("event_type").alias("label"))
     return joins.at_epoch(ev, labels, k).select("event_id", "label")
 

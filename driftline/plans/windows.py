@@ -7,29 +7,28 @@ from pyspark.sql import functions as F
 
 from ..operators import beats, series
 from ..params import BeatRules, FeatureWindows
-from .registry import DAY, EV, query, r
+from .registry import DAY, EV, US, V, query, r
 
 W3 = "(PARTITION BY entity ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW)"
 W7 = "(PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)"
 BY = "(PARTITION BY entity ORDER BY us)"
-V, US = F.col("value"), F.col("us")
 
 
 @query("trailing_sd", f"{EV} SELECT event_id, round(stddev_samp(value) OVER {W3}, 6) AS sd FROM ev")
 def trailing_sd(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.trailing_sd(V, series.trailing(3 * DAY))).alias("sd"))
+    return ev.select("event_id", r(series.trailing_sd(V(), series.trailing(3 * DAY))).alias("sd"))
 
 
 @query("centred_rolling", f"""{EV} SELECT event_id, round(quantile_cont(value, 0.5) OVER w, 6) AS med, round(stddev_pop(value) OVER w, 6) AS sd FROM ev
 WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING)""")
 def centred_rolling(ev: DataFrame) -> DataFrame:
     w = series.centred(2 * DAY)
-    return ev.select("event_id", r(F.percentile(V, F.lit(0.5)).over(w)).alias("med"), r(F.stddev_pop(V).over(w)).alias("sd"))
+    return ev.select("event_id", r(F.percentile(V(), F.lit(0.5)).over(w)).alias("med"), r(F.stddev_pop(V()).over(w)).alias("sd"))
 
 
 @query("trailing_mean_pair", f"""{EV} SELECT event_id, round(CASE WHEN count(*) OVER {W3} >= 3 AND count(*) OVER {W7} >= 5 THEN avg(value) OVER {W3} - avg(value) OVER {W7} END, 6) AS drop_vs_base FROM ev""")
 def trailing_mean_pair(ev: DataFrame) -> DataFrame:
-    short, base = series.counted_mean(V, series.trailing(3 * DAY), 3), series.counted_mean(V, series.trailing(7 * DAY), 5)
+    short, base = series.counted_mean(V(), series.trailing(3 * DAY), 3), series.counted_mean(V(), series.trailing(7 * DAY), 5)
     return ev.select("event_id", r(short - base).alias("drop_vs_base"))
 
 
@@ -38,13 +37,13 @@ SLOPE = f"""CASE WHEN count(*) OVER {W3} >= 4 AND us - min(us) OVER {W3} >= 1296
 
 @query("trailing_ols_slope", f"{EV} SELECT event_id, round({SLOPE}, 6) AS slope FROM ev")
 def trailing_ols_slope(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.ols_slope(V, US, series.trailing(3 * DAY), 4, 1.5 * DAY, DAY)).alias("slope"))
+    return ev.select("event_id", r(series.ols_slope(V(), US(), series.trailing(3 * DAY), 4, 1.5 * DAY, DAY)).alias("slope"))
 
 
 @query("trailing_min_sustain", f"""{EV} SELECT event_id, min(value) OVER w AS held, us - min(us) OVER w >= 129600000000 AS ok FROM ev
 WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)""")
 def trailing_min_sustain(ev: DataFrame) -> DataFrame:
-    held, ok = series.sustained_min(V, US, 2 * DAY, DAY / 2)
+    held, ok = series.sustained_min(V(), US(), 2 * DAY, DAY / 2)
     return ev.select("event_id", held.alias("held"), ok.alias("ok"))
 
 
@@ -90,7 +89,7 @@ kept AS (SELECT event_id, entity, us, i, rr, n < 11 OR abs(rr - med) <= 0.8::DOU
 
 
 def _beats(ev: DataFrame) -> DataFrame:
-    return beats.ectopic_filter(ev.select("event_id", "entity", "us", (V * 10).alias("rr"), F.row_number().over(series.along()).alias("i")), RULES)
+    return beats.ectopic_filter(ev.select("event_id", "entity", "us", (V() * 10).alias("rr"), F.row_number().over(series.along()).alias("i")), RULES)
 
 
 @query("ectopic_filter", f"{RR} SELECT event_id, keep FROM kept")
@@ -121,7 +120,7 @@ def hrv_features(ev: DataFrame) -> DataFrame:
 
 @query("physiologic_range", f"{EV} SELECT event_id, value * 10 BETWEEN 300 AND 2000 AS ok FROM ev")
 def physiologic_range(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", beats.in_range(V * 10).alias("ok"))
+    return ev.select("event_id", beats.in_range(V() * 10).alias("ok"))
 
 
 @query("spectral_bands")
@@ -145,7 +144,7 @@ def beat_ingest(ev: DataFrame) -> DataFrame:
 
 @query("lag_delta", f"{EV} SELECT event_id, round((us - lag(us) OVER {BY})::DOUBLE / 1e6, 6) AS gap_s FROM ev")
 def lag_delta(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.lag_gap(US)).alias("gap_s"))
+    return ev.select("event_id", r(series.lag_gap(US())).alias("gap_s"))
 
 
 @query("rising_edge", f"{EV} SELECT event_id FROM (SELECT *, event_type = 'error' AND lag(event_type) OVER {BY} <> 'error' AS e FROM ev) WHERE e")
@@ -164,12 +163,12 @@ runs AS (SELECT entity, min(us) AS start_us, max(us) AS end_us, count(*) AS n FR
 
 @query("true_runs", f"{RUNS} SELECT * FROM runs WHERE n >= 2")
 def true_runs(ev: DataFrame) -> DataFrame:
-    return series.runs(ev, V > 34).where("n >= 2")
+    return series.runs(ev, V() > 34).where("n >= 2")
 
 
 @query("consecutive_run_ge3", f"{RUNS} SELECT entity, min(start_us) AS start_us FROM runs WHERE n >= 3 GROUP BY entity")
 def consecutive_run_ge3(ev: DataFrame) -> DataFrame:
-    return series.runs(ev, V > 34).where("n >= 3").groupBy("entity").agg(F.min("start_us").alias("start_us"))
+    return series.runs(ev, V() > 34).where("n >= 3").groupBy("entity").agg(F.min("start_us").alias("start_us"))
 
 
 @query("quiet_runs", f"""{EV}, q AS (SELECT entity, us, CASE WHEN us - lag(us) OVER {BY} <= 86400000000 THEN 0 ELSE 1 END AS new FROM (SELECT *, value < 50 AS o FROM ev) WHERE o),
@@ -178,7 +177,7 @@ SELECT * FROM u WHERE end_us - start_us >= 43200000000""")
 def quiet_runs(ev: DataFrame) -> DataFrame:
     from ..operators.intervals import merged
 
-    points = ev.where(V < 50).select("entity", US.alias("start_us"), US.alias("end_us"))
+    points = ev.where(V() < 50).select("entity", US().alias("start_us"), US().alias("end_us"))
     return merged(points, ["entity"], DAY).where(F.col("end_us") - F.col("start_us") >= DAY // 2 * series.S)
 
 
@@ -188,45 +187,45 @@ SELECT entity, count(*) AS trips FROM n WHERE up AND back - us <= 86400000000 GR
 def round_trips(ev: DataFrame) -> DataFrame:
     from ..operators.joins import next_event
 
-    edges = ev.withColumn("up", series.rising(V > 50)).withColumn("down", series.rising(V <= 50))
+    edges = ev.withColumn("up", series.rising(V() > 50)).withColumn("down", series.rising(V() <= 50))
     return next_event(edges, F.col("down"), "back_s").where(F.col("up") & (F.col("back_s") <= DAY)).groupBy("entity").agg(F.count("*").alias("trips"))
 
 
 @query("gradient", f"""{EV} SELECT event_id, round(coalesce((lead(value) OVER {BY} - lag(value) OVER {BY}) / 2, lead(value) OVER {BY} - value, value - lag(value) OVER {BY}), 6) AS gradient FROM ev""")
 def gradient(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.gradient(V)).alias("gradient"))
+    return ev.select("event_id", r(series.gradient(V())).alias("gradient"))
 
 
 @query("boxcar15", f"""{EV}, b AS (SELECT event_id, value, row_number() OVER {BY} AS i, count(*) OVER (PARTITION BY entity) AS n, entity FROM ev),
 ends AS (SELECT entity, max(value) FILTER (i = 1) AS a, max(value) FILTER (i = n) AS z FROM b GROUP BY entity)
 SELECT event_id, round((sum(value) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) + greatest(8 - i, 0) * a + greatest(7 - n + i, 0) * z) / 15, 6) AS smooth FROM b JOIN ends USING (entity)""")
 def boxcar15(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.boxcar(V)).alias("smooth"))
+    return ev.select("event_id", r(series.boxcar(V())).alias("smooth"))
 
 
 @query("baseline_window", f"""{EV}, f AS (SELECT *, us - min(us) OVER (PARTITION BY entity) <= 432000000000 AND value < 100 AS early FROM ev)
 SELECT entity, round(coalesce(quantile_cont(value, 0.5) FILTER (early), quantile_cont(value, 0.5)), 6) AS baseline FROM f GROUP BY entity""")
 def baseline_window(ev: DataFrame) -> DataFrame:
-    early = (US - F.col("first") <= 5 * DAY * series.S) & (V < 100)
+    early = (US() - F.col("first") <= 5 * DAY * series.S) & (V() < 100)
     first = ev.withColumn("first", F.min("us").over(Window.partitionBy("entity")))
     q = lambda x: F.percentile(x, F.lit(0.5))
-    return first.groupBy("entity").agg(r(F.coalesce(q(F.when(early, V)), q(V))).alias("baseline"))
+    return first.groupBy("entity").agg(r(F.coalesce(q(F.when(early, V())), q(V()))).alias("baseline"))
 
 
 @query("deviation_from_own_mean", f"{EV} SELECT event_id, round(avg(value) OVER (PARTITION BY entity) - value, 9) AS dev FROM ev")
 def deviation_from_own_mean(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(F.avg("value").over(Window.partitionBy("entity")) - V, 9).alias("dev"))
+    return ev.select("event_id", r(F.avg("value").over(Window.partitionBy("entity")) - V(), 9).alias("dev"))
 
 
 @query("z_normalize", f"{EV} SELECT event_id, round(CASE WHEN stddev_pop(value) OVER p > 0 THEN (value - avg(value) OVER p) / stddev_pop(value) OVER p END, 6) AS z FROM ev WINDOW p AS (PARTITION BY entity)")
 def z_normalize(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.z_normalized(V, Window.partitionBy("entity"))).alias("z"))
+    return ev.select("event_id", r(series.z_normalized(V(), Window.partitionBy("entity"))).alias("z"))
 
 
 @query("epoch_gap", f"""{EV}, g AS (SELECT entity, lead(us) OVER {BY} - us - floor(value * 10)::BIGINT * 60000000 AS gap FROM ev)
 SELECT entity, count(*) FILTER (abs(gap) > 500000) AS n_gaps, round(max(gap)::DOUBLE / 1e6, 6) AS max_gap_s FROM g GROUP BY entity""")
 def epoch_gap(ev: DataFrame) -> DataFrame:
-    gap = F.lead("us").over(series.along()) - US - F.floor(V * 10) * 60_000_000
+    gap = F.lead("us").over(series.along()) - US() - F.floor(V() * 10) * 60_000_000
     g = ev.select("entity", gap.alias("gap"))
     return g.groupBy("entity").agg(F.count(F.when(F.abs("gap") > 500_000, 1)).alias("n_gaps"), r(F.max("gap").cast("double") / 1e6).alias("max_gap_s"))
 
