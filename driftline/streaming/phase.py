@@ -160,3 +160,21 @@ def one_each(samples: DataFrame, id_col: str = "id", time_col: str | None = None
 def timers(ratings: DataFrame, delay_s: float) -> DataFrame:
     """When a follow-up to each rating is due."""
     return ratings.withColumn("due_us", F.col("us") + int(delay_s * 1e6))
+
+
+def edges(states: DataFrame) -> DataFrame:
+    """(entity, event_id, us, state): the rows of a stream at which an entity's
+    state differs from the one before; the first row counts. Each batch is
+    sorted by time."""
+    kind = dict(states.dtypes)["entity"]
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
+        before = rows["state"].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        out = rows[(rows["state"] != before).to_numpy()]
+        state.update((rows["state"].iloc[-1],))
+        yield out[["entity", "event_id", "us", "state"]]
+
+    return states.groupBy("entity").applyInPandasWithState(decide, f"entity {kind}, event_id long, us long, state string", "last string", "append", GroupStateTimeout.NoTimeout)
