@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -210,7 +208,3 @@ def grid(df: DataFrame, step_s: float, value: str = "value", entity: str = "enti
 def first_true(df: DataFrame, flag: Column, name: str, entity: str = "entity") -> DataFrame:
     """(entity, name): the first time at which ``flag`` holds, or null."""
     return df.groupBy(entity).agg(F.min(F.when(flag, F.col("us"))).alias(name))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

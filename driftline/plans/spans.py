@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, intervals, joins, series, stats
 from ..params import AlignmentRules, DensityGate
-from .registry import DAY, DAYS, EV, IV, US, V, as_intervals, days, query, r
+from .registry import DAY, DAYS, EV, IV, US, as_intervals, days, query, r
 from .registry import intervals as iv_of
 
 BY = "(PARTITION BY entity ORDER BY us)"
