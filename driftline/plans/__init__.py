@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, formats, recordings, scoring, spans, windows
+from . import aggregates, formats, recordings, scoring, shapes, spans, windows
 from .registry import QUERIES, SQL
 
-__all__ = ["aggregates", "formats", "queries", "recordings", "scoring", "spans", "sql", "windows"]
+__all__ = ["aggregates", "formats", "queries", "recordings", "scoring", "shapes", "spans", "sql", "windows"]
 
 
 def queries():
