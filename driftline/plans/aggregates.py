@@ -272,9 +272,9 @@ def densify_epochs(d: DataFrame) -> DataFrame:
     return dense_epochs(marked, DAY, F.lit(1e18)).select(F.col("file").alias("entity"), "k", "stage")
 
 
-@query("source_filter", "SELECT event_id FROM events WHERE lower(event_type || chr(160) || 'Ellis') LIKE '%error' || chr(160) || 'ellis%'")
+@query("source_filter", "SELECT event_id FROM events WHERE lower(event_type || chr(160) || 'Robin') LIKE '%error' || chr(160) || 'robin%'")
 def source_filter(ev: DataFrame) -> DataFrame:
-    return ev.where(scalar.source_matches(F.concat("event_type", F.lit(" Ellis")), "Error Ellis")).select("event_id")
+    return ev.where(scalar.source_matches(F.concat("event_type", F.lit(" Robin")), "Error Robin")).select("event_id")
 
 
 @query("watch_filter", "SELECT event_id FROM events WHERE props LIKE '%\"k\": 6%'")

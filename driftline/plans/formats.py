@@ -19,7 +19,7 @@ STAMP = "date_format(timestamp_micros(us div 1000000 * 1000000), 'yyyy-MM-dd HH:
 def _xml(ev: DataFrame) -> str:
     path = new_path(ev.sparkSession, "export")
     rows = ev.select(
-        F.col("event_type").alias("_type"), F.when(F.col("entity") % 2 == 0, f"Ellis's{chr(0xA0)}Watch").otherwise("Phone").alias("_sourceName"), F.lit("count").alias("_unit"),
+        F.col("event_type").alias("_type"), F.when(F.col("entity") % 2 == 0, f"Robin's{chr(0xA0)}Watch").otherwise("Phone").alias("_sourceName"), F.lit("count").alias("_unit"),
         F.expr(f"concat({STAMP}, ' +0000')").alias("_startDate"), F.expr(f"concat({STAMP}, CASE WHEN event_id % 50 = 0 THEN ' ?' ELSE ' -0100' END)").alias("_endDate"), F.col("event_id").cast("string").alias("_value"),
     )
     rows.write.format("xml").option("rootTag", "HealthData").option("rowTag", "Record").save(path)
