@@ -6,17 +6,18 @@ the content alone selects. Every stretch of ``min_words`` words has a first
 minimiser within its first ``window`` words; so the stretch has one anchor,
 and at least ``core`` words of it lie to the anchor's right.
 
-1. Retained suffixes whose first ``core`` words start no suffix of another
-   document are dropped: one hash per suffix is counted.
-2. The others, with ``window - 1`` words to the left, are sorted. Equal ones
-   become one row that knows its least and greatest document.
+1. A retained suffix is first known by two hashes: of its ``core`` words, and
+   of its context, ``min_words`` words to the right and ``window - 1`` to the
+   left. Suffixes whose core is in no other document are dropped; contexts
+   that several documents hold settle all of their stretches.
+2. What is left, contexts of one document among others with the same core, is
+   sorted word by word as a suffix array.
 3. Neighbours are compared: common words to the right, then, from the anchor,
-   to the left. Where a suffix shares its core with one other suffix only,
-   this settles all stretches that it anchors.
-4. Larger groups of suffixes, and those at the edge of a sorted partition,
-   settle the stretches that they anchor by counting one hash for each, spread
-   over all tasks. So a passage that a third of all documents hold is no hot
-   group, and none of its pairs are made.
+   to the left. Where a core has two contexts, this settles all stretches.
+4. More contexts of one core, and those at the edge of a sorted partition,
+   settle their stretches by counting one hash for each, spread over all
+   tasks. So a passage that a third of all documents hold is no hot group, and
+   none of its pairs are made.
 5. Settled stretches go back to their documents, where they are united.
 
 The result is exact, up to collisions of 64-bit hashes.
@@ -43,7 +44,7 @@ class RepeatRules:
     #: Words of a k-mer.
     kmer: int = 6
     #: Neighbouring k-mers of which the least is retained.
-    window: int = 16
+    window: int = 24
 
     @property
     def core(self) -> int:
@@ -90,31 +91,45 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes(text.encode("utf-8").split() if text else [])
 
 
-def cores(docs: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(core, doc_id, at): the retained suffixes of each document."""
+def run_hashes(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of ``words[i : i + length]`` for each start."""
+    return mixed((np.lib.stride_tricks.sliding_window_view(words, length)[starts] * _FACTORS[:length]).sum(axis=1))
+
+
+def context_hashes(words: np.ndarray, at: np.ndarray, rules: RepeatRules) -> np.ndarray:
+    padded = np.concatenate([np.zeros(rules.window - 1, np.uint64), words, np.zeros(rules.min_words, np.uint64)])
+    return run_hashes(padded, at, rules.window - 1 + rules.min_words).view(np.int64)
+
+
+def offset_masks(first: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bit o for each stretch that starts o words before its anchor; the
+    stretches of an anchor start one after another."""
+    high = at - first
+    return ((1 << (high + 1)) - (1 << (high - counts + 1))).astype(np.int32)
+
+
+def retained(docs: DataFrame, rules: RepeatRules) -> DataFrame:
+    """(core, ctx, doc_id, at, offsets): the retained suffixes of each document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["core", "ctx", "doc_id", "at", "offsets"]
         for batch in batches:
-            hashes, ids, places = [], [], []
+            parts: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                at = np.unique(anchors_of(words, rules))
-                if not len(at):
-                    continue
-                hashes.append(hashed_runs(words, rules.core)[at])
-                ids.append(np.full(len(at), doc_id))
-                places.append(at)
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["core", "doc_id", "at"])
+                at, first, counts = np.unique(anchors_of(words, rules), return_index=True, return_counts=True)
+                if len(at):
+                    parts.append((run_hashes(words, at, rules.core).view(np.int64), context_hashes(words, at, rules), np.full(len(at), doc_id), at.astype(np.int32), offset_masks(first, counts, at)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
-    return docs.mapInArrow(find, "core long, doc_id long, at int")
+    return docs.mapInArrow(find, "core long, ctx long, doc_id long, at int, offsets int")
 
 
 def contexts(docs: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(doc_id, at, key, right, left, offsets): words around each place in
-    ``places``. ``right`` and ``left`` hold four bytes a word, ``left`` from
-    the anchor outwards; ``offsets`` has bit o for a stretch that starts o
-    words before the anchor."""
+    """(ctx, doc_id, several, right, left, offsets) of each of ``places``.
+    ``right`` and ``left`` hold four bytes a word, ``left`` from the anchor
+    outwards."""
     reach = rules.window - 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,30 +137,22 @@ def contexts(docs: DataFrame, rules: RepeatRules) -> DataFrame:
             rows: list[tuple] = []
             for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 words = words_of(text)
-                anchors = anchors_of(words, rules)
+                at, first, counts = np.unique(anchors_of(words, rules), return_index=True, return_counts=True)
+                masks = dict(zip(at.tolist(), zip(offset_masks(first, counts, at).tolist(), context_hashes(words, at, rules).tolist(), strict=True), strict=True)) if len(at) else {}
                 short = (words >> np.uint64(32)).astype(">u4")
                 back = short[::-1]
                 n = len(words)
-                owners, first, counts = np.unique(anchors, return_index=True, return_counts=True)
-                span = dict(zip(owners.tolist(), zip(first.tolist(), counts.tolist(), strict=True), strict=True))
-                for at in places:
-                    start, count = span[at]
-                    offsets = sum(1 << (at - s) for s in range(start, start + count))
-                    right = short[at : at + rules.min_words].tobytes()
-                    left = back[n - at : n - at + reach].tobytes()
-                    rows.append((doc_id, at, right, left, offsets))
-                    if len(rows) == 8192:
-                        yield to_batch(rows)
-                        rows = []
+                for p in places:
+                    mask, ctx = masks.get(p["at"], (0, None))
+                    if ctx != p["ctx"]:
+                        continue  # another text with this id
+                    i = p["at"]
+                    rows.append((ctx, doc_id, p["several"], short[i : i + rules.min_words].tobytes(), back[n - i : n - i + reach].tobytes(), mask))
             if rows:
-                yield to_batch(rows)
-
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "at", "right", "left", "offsets"])
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["ctx", "doc_id", "several", "right", "left", "offsets"])
 
-    found = docs.mapInArrow(find, "doc_id long, at int, right binary, left binary, offsets int")
-    return found.withColumn("key", F.struct(F.xxhash64("right", "left").alias("a"), F.xxhash64(F.lit("second"), "right", "left").alias("b")))
+    return docs.mapInArrow(find, "ctx long, doc_id long, several boolean, right binary, left binary, offsets int")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -157,10 +164,13 @@ def common(a: bytes, b: bytes) -> int:
     return int((x != y).argmax())
 
 
+VERDICT = "ctx long, settled int, open int, doc_id long, several boolean, right binary, left binary"
+
+
 def neighbours(rows: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(key, settled, open): ``rows`` has each context once, sorted. Bit o of
-    ``settled``: the stretch at offset o is in another document; of ``open``:
-    that must be counted."""
+    """(ctx, settled, open, ...) of sorted contexts. Bit o of ``settled``: the
+    stretch at offset o is in another document; of ``open``: that must be
+    counted."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the rows of one core follow one another; edge: the first or last core of the partition
@@ -169,13 +179,14 @@ def neighbours(rows: DataFrame, rules: RepeatRules) -> DataFrame:
         out: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
+                if block and block[-1]["ctx"] == row["ctx"]:
+                    continue  # a document's row that is repeated
                 if block and block[0]["right"][: 4 * rules.core] != row["right"][: 4 * rules.core]:
                     out += settle(block, edge, rules)
                     block, edge = [], False
                 if len(block) == 3:  # larger groups are counted; their rows needn't stay
-                    out += [(r, 0, r["offsets"]) for r in block[:1]]
-                    block = [*block[1:], row]
-                    continue
+                    out.append((block[0], 0, block[0]["offsets"]))
+                    del block[0]
                 block.append(row)
             if len(out) >= 4096:
                 yield settled_batch(out)
@@ -184,48 +195,44 @@ def neighbours(rows: DataFrame, rules: RepeatRules) -> DataFrame:
         if out:
             yield settled_batch(out)
 
-    return rows.mapInArrow(compare, "a long, b long, settled int, open int, low long, high long, right binary, left binary")
+    return rows.mapInArrow(compare, VERDICT)
 
 
 def settle(block: list[dict], edge: bool, rules: RepeatRules) -> list[tuple]:
-    """(row, settled, open) of the rows that share a core."""
-    if len(block) == 1 and not edge:
-        row = block[0]
-        return [(row, row["offsets"] if row["low"] != row["high"] else 0, 0)]
+    """(row, settled, open) of the contexts of one core."""
     if len(block) != 2 or edge:
         return [(row, 0, row["offsets"]) for row in block]
     one, two = block
     right, left = common(one["right"], two["right"]), common(one["left"], two["left"])
     # o words left and min_words - o right must be common
     shared = sum(1 << o for o in range(max(0, rules.min_words - right), min(left, rules.window - 1) + 1))
-    others = one["low"] != two["low"] or one["low"] != one["high"] or two["low"] != two["high"]
-    return [(row, row["offsets"] if row["low"] != row["high"] else row["offsets"] & shared * others, 0) for row in block]
+    others = one["doc_id"] != two["doc_id"] or one["several"] or two["several"]
+    return [(row, row["offsets"] & shared if others else 0, 0) for row in block]
 
 
 def settled_batch(out: list[tuple]) -> pa.RecordBatch:
-    rows = [(r["a"], r["b"], s, o, r["low"], r["high"], r["right"] if o else None, r["left"] if o else None) for r, s, o in out]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "b", "settled", "open", "low", "high", "right", "left"])
+    rows = [(r["ctx"], s, o, r["doc_id"], r["several"], r["right"] if o else None, r["left"] if o else None) for r, s, o in out]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["ctx", "settled", "open", "doc_id", "several", "right", "left"])
 
 
 def stretches(rows: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(a, b, offset, stretch, low, high): a row for each open offset; stretch
-    is a hash of its words."""
+    """(ctx, mask, stretch, doc_id, several): a row for each open offset;
+    stretch is a hash of its words."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows_out: list[tuple] = []
+            out: list[tuple] = []
             for r in batch.to_pylist():
                 right, left = np.frombuffer(r["right"], np.uint32).astype(np.uint64), np.frombuffer(r["left"], np.uint32).astype(np.uint64)
-                hashes = hashed_runs(np.concatenate([left[::-1], right]), rules.min_words)
-                for o in range(rules.window):
-                    if r["open"] >> o & 1:
-                        rows_out.append((r["a"], r["b"], o, int(hashes[len(left) - o : len(left) - o + 1].view(np.int64)[0]), r["low"], r["high"]))
-            if rows_out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), kinds, strict=True)], ["a", "b", "offset", "stretch", "low", "high"])
+                offsets = [o for o in range(rules.window) if r["open"] >> o & 1]
+                hashes = run_hashes(np.concatenate([left[::-1], right]), len(left) - np.array(offsets), rules.min_words).view(np.int64)
+                out += [(r["ctx"], 1 << o, h, r["doc_id"], r["several"]) for o, h in zip(offsets, hashes.tolist(), strict=True)]
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["ctx", "mask", "stretch", "doc_id", "several"])
 
-    return rows.mapInArrow(find, "a long, b long, offset int, stretch long, low long, high long")
+    return rows.mapInArrow(find, "ctx long, mask int, stretch long, doc_id long, several boolean")
 
 
 def united(docs: DataFrame, rules: RepeatRules) -> DataFrame:
@@ -261,19 +268,27 @@ def repeated_passages(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_co
     spark = docs.sparkSession
     store.bounded_batches(spark)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    retained = store.written(cores(rows, rules), "cores")
-    shared = retained.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("core")
-    places = retained.join(shared, "core", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    suffixes = store.written(retained(rows, rules), "suffixes")
+    twice = (F.min("doc_id") != F.max("doc_id")).alias("several")
+    shared = store.written(suffixes.groupBy("core").agg(twice).where("several").select("core"), "shared")
+    found = store.written(suffixes.join(shared, "core", "left_semi"), "found")
+    store.drop(suffixes)
+    # a context is one row from here on
+    each = store.written(found.groupBy("core", "ctx").agg(twice, F.min(F.struct("doc_id", "at")).alias("place"), F.bit_or("offsets").alias("offsets")), "contexts")
+    alone = each.where("NOT several").select("core").distinct()
+    unsettled = each.join(alone, "core", "left_semi").select("place.doc_id", F.struct("place.at", "ctx", "several").alias("p"))
+    places = store.written(unsettled.groupBy("doc_id").agg(F.collect_list("p").alias("places")), "places")
     around = contexts(rows.join(places, "doc_id").select("doc_id", "text", "places"), rules)
-    around = store.written(around.select("doc_id", "at", "key.a", "key.b", "right", "left", "offsets"), "contexts")
-    one_each = around.groupBy("a", "b", "right", "left").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_or("offsets").alias("offsets"))
-    ordered = one_each.repartitionByRange("right", "left").sortWithinPartitions("right", "left")
+    ordered = around.repartitionByRange("right", "left").sortWithinPartitions("right", "left")
     verdicts = store.written(neighbours(ordered, rules), "verdicts")
     counted = store.written(stretches(verdicts.where("open != 0"), rules), "stretches")
-    again = counted.groupBy("stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("stretch")
-    late = counted.join(again, "stretch", "left_semi").select("a", "b", F.expr("shiftleft(1, offset)").alias("mask"))
-    masks = verdicts.where("settled != 0").select("a", "b", F.col("settled").alias("mask")).unionByName(late).groupBy("a", "b").agg(F.bit_or("mask").alias("mask"))
-    hits = around.select("doc_id", "at", "a", "b", "offsets").join(masks, ["a", "b"]).select("doc_id", "at", F.col("mask").bitwiseAND(F.col("offsets")).alias("mask")).where("mask != 0")
+    again = counted.groupBy("stretch").agg((F.bool_or("several") | (F.min("doc_id") != F.max("doc_id"))).alias("twice")).where("twice").select("stretch")
+    late = counted.join(again, "stretch", "left_semi").select("ctx", "mask")
+    parts = each.where("several").select("ctx", F.col("offsets").alias("mask")).unionByName(verdicts.where("settled != 0").select("ctx", F.col("settled").alias("mask"))).unionByName(late)
+    masks = store.written(parts.groupBy("ctx").agg(F.bit_or("mask").alias("mask")), "masks")
+    for table in (each, verdicts, counted):
+        store.drop(table)
+    hits = found.join(masks, "ctx").select("doc_id", "at", F.col("mask").bitwiseAND(F.col("offsets")).alias("mask")).where("mask != 0")
     return united(hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "mask")).alias("found")), rules)
 
 

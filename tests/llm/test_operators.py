@@ -433,7 +433,6 @@ def test_repeats_against_brute_force(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["start"], r["end"]) for r in suffix_repeats.repeated_passages(df).collect()}
     assert got == repeats_plain(texts, 50)
-    assert got == {(r["doc_id"], r["start"], r["end"]) for r in suffix_repeats.repeated_passages(df, suffix_repeats.RepeatRules(broadcast_bytes=0)).collect()}
 
 
 def test_repeats_odd_rows(odd, empty):
