@@ -11,7 +11,7 @@ from ..functions.scalar import parse_offset_time, source_matches
 RECORD = "_type STRING, _sourceName STRING, _unit STRING, _startDate STRING, _endDate STRING, _value STRING"
 WORKOUT = "_workoutActivityType STRING, _startDate STRING"
 CELLS = "model STRING, sustain_s INT, early_s INT, late_s INT, ff_budget DOUBLE, hit_mean DOUBLE, hit_min DOUBLE, hit_max DOUBLE, realized_ff_mean DOUBLE"
-#: The session document; all fields may be missing.
+#: Fixed values of the format: the session document; all fields may be missing.
 SESSION = """sessionUUID STRING, buildMarker STRING, startTimestamp DOUBLE, endTimestamp DOUBLE, endCause STRING, batteryStart FLOAT, batteryEnd FLOAT,
 heartRateSamples ARRAY<STRUCT<t:DOUBLE,bpm:DOUBLE>>,
 motionSamples ARRAY<STRUCT<t:DOUBLE,gx:DOUBLE,gy:DOUBLE,gz:DOUBLE,ax:DOUBLE,ay:DOUBLE,az:DOUBLE>>,
@@ -21,6 +21,7 @@ experimentAudit STRUCT<pausedImmediately:BOOLEAN,activeEnergyBurnedSampleCount:I
 wakeRating STRING, followupRating STRING, followupRespondedAt DOUBLE,
 algorithmDecisions ARRAY<STRUCT<t:DOUBLE,phase_from:STRING,phase_to:STRING,reason:STRING,awake_reference_hr:DOUBLE,light_ref_hr:DOUBLE,light_ref_sd:DOUBLE,current_avg_hr:DOUBLE,current_sd:DOUBLE>>,
 algorithmParameters STRUCT<version:STRING,settling_to_asleep_hr_drop:DOUBLE,settling_to_asleep_sustain_s:INT,awake_reference_window_s:INT,light_reference_window_s:INT,motion_threshold_rms:DOUBLE,n_avg_s:INT,n_var_s:INT,t_hr:DOUBLE,t_var:DOUBLE,d_sustain_s:INT,d_confirm_s:INT,observeOnly:BOOLEAN>""".replace("\n", " ")
+#: Fixed values of the format: what enumerated fields may hold.
 ALLOWED = {
     "endCause": ("manual_wake", "backby_fired", "app_closed"),
     "wakeRating": ("sharp", "fine", "groggy", "worse"),
