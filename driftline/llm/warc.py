@@ -5,7 +5,8 @@ into gzip files of a bounded number of records, on any file system that Spark
 reaches, and the binary reader brings the files back. Only headers are
 shuffled by payload digest; the largest id per digest comes from a partial
 aggregate, so a payload that a third of all pages share is no hot task.
-Payloads move once, when the deduplicated archive is written.
+Payloads move once, in compressed files, when the deduplicated archive is
+written.
 """
 
 from __future__ import annotations
@@ -130,20 +131,38 @@ def originals(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_deduplicated(spark: SparkSession, source: str, path: str, id_type: str = "long", min_bytes: int = 0, per_file: int = 2_000) -> None:
     """Writes the archive in ``source`` again to ``path``, with a revisit
-    record for each payload that another record has as its original."""
+    record for each payload that another record has as its original. Files
+    meet the list of their revisits, of ``per_file`` records at most, as they
+    lie, compressed; records that are no responses stay as they are."""
     headers = store.written(read(spark, source, id_type), "headers")
     o = originals(headers, min_bytes).select("payload_digest", "payload_bytes", F.col("record_id").alias("original"))
-    revisits = headers.join(o, ["payload_digest", "payload_bytes"]).where("record_id != original").select("record_id", "original")
+    revisits = headers.where("kind = 'response'").join(o, ["payload_digest", "payload_bytes"]).where("record_id != original")
+    by_file = revisits.groupBy("file").agg(F.collect_list(F.struct("place", "original")).alias("revisits"))
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page_id, record_id, digest, url, date, payload, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append(record("revisit" if original else "response", record_id, page_id, url, date, payload, digest, original))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    records = read(spark, source, id_type, with_record=True).join(revisits, "record_id", "left")
-    save(records.select("page_id", "record_id", "payload_digest", "url", "date", "payload", "original").mapInArrow(fresh, "record binary"), path, per_file)
+            for data, found in zip(batch.column("content").to_pylist(), batch.column("revisits").to_pylist(), strict=True):
+                original = {x["place"]: x["original"] for x in found or []}
+                out: list[bytes] = []
+                for place, (fields, block) in enumerate(parse(data)):
+                    out.append(again(fields, block, original.get(place)))
+                    if len(out) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select(F.col("path").alias("file"), "content")
+    save(files.join(by_file, "file", "left").select("content", "revisits").mapInArrow(fresh, "record binary"), path, per_file)
+
+
+def again(fields: dict[str, str], block: bytes, original: str | None) -> bytes:
+    """A record with fresh headers: a revisit of ``original``, if it has one."""
+    if fields["WARC-Type"] != "response":
+        return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields.items())]).encode() + END.encode() + block
+    payload = block.split(END.encode(), 1)[1]
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    return record("revisit" if original else "response", fields["WARC-Record-ID"][1:-1], fields.get("X-Page-Id"), fields.get("WARC-Target-URI"), fields["WARC-Date"], payload, digest, original)
 
 
 def resolve(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:

@@ -40,3 +40,22 @@ def test_pipeline_on_no_rows(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = store.written(stage(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, and clashing columns."""
+    from pyspark.sql import functions as F
+
+    good = lambda k: " ".join(f"g{k}q{i}" for i in range(80))
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, long, None, "a", None), (4, good(1), "en", "b", 1), (4, good(1), "en", "b", 1), (5, good(1), "en", "b", 1), (None, good(2), None, None, None), (8, good(4) + " password = abcdefgh12345", None, "z", 3)]
+    clash = {c: F.lit(1) for c in ("row", "key", "size", "epochs", "words", "doc", "h", "host", "lines", "node", "spans", "ids", "text_crc32")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = store.written(stage(spark, docs, ""), name)
+        counts.append(docs.count())
+        if name == "secrets":
+            assert {r["doc_id"] for r in docs.collect()} == {3, 4, 8, None}
+            assert docs.where("doc_id = 8").first()["text"].endswith("q79 [SECRET]")
+    assert counts[:3] == [6, 5, 5] and counts[3] == counts[4] >= 3
