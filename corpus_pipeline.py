@@ -12,7 +12,7 @@ from driftline.llm.line_frequency import line_quality
 from driftline.llm.minhash import near_duplicates
 from driftline.llm.mixing import MixRules, mix
 from driftline.llm.secrets import scan
-from driftline.llm.text import SPACE
+from driftline.llm.text import SPACE, text_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,9 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id.
-    Documents without words, and those without an id, are groups of their own."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    Documents without words, and those without an id, are groups of their own.
+    Rows that share an id with other texts stay or go each by its own text."""
+    dropped = near_duplicates(docs, keyed=True).where("NOT kept").select("doc_id", "key_a", "key_b").distinct()
+    key = text_key(docs["text"])
+    same = (docs["doc_id"] == dropped["doc_id"]) & (key["a"] == dropped["key_a"]) & (key["b"] == dropped["key_b"])
+    return docs.join(dropped, same, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import store
 from .components import components
 from .shingles import mixed, shingle_set
+from .text import text_key
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
@@ -77,7 +78,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bands): f1 and f2 stand for the whole set."""
+    """(doc_id, n_shingles, f1, f2, bands): f1 and f2 stand for the whole set.
+    Further columns of ``docs`` besides the text, longs all, come back."""
+    further = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +93,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 all_bands.append(bands(sketch(found)) if len(found) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in all_bands])]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_bands)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, *map(batch.column, further)], ["doc_id", "n_shingles", "f1", "f2", "bands", *further])
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(make, ", ".join(["doc_id long, n_shingles long, f1 long, f2 long, bands array<long>", *[f"{c} long" for c in further]]))
 
 
 def fingerprint(elements: np.ndarray) -> int:
@@ -189,8 +192,9 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): a row per input row.
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): a row per input row; with
+    ``keyed`` also key_a and key_b, the ``text_key`` of the row's text.
 
     Documents without words, and rows with a null id, link with nothing: their
     component is their own id, and they are kept. Rows that repeat id and text
@@ -200,7 +204,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     spark = docs.sparkSession
     store.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = store.written(signatures(rows), "signatures")
+    key = [text_key(F.col("text"))[x].alias(f"key_{x}") for x in ("a", "b") if keyed]
+    signed = store.written(signatures(rows.select("*", *key)), "signatures")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
     first = some.join(sets, ["f1", "f2"]).where("doc_id = id").select(F.col("f1").alias("node"), "id", "bands")
@@ -210,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     classes = per_set.join(least, "label").select("f1", "f2", "set_component")
     joined = signed.withColumn("linkable", F.expr("n_shingles > 0 AND doc_id IS NOT NULL")).join(classes, ["f1", "f2"], "left")
     component = F.when(F.col("linkable"), F.col("set_component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *[f"key_{x}" for x in ("a", "b") if keyed])
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

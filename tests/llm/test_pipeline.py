@@ -59,3 +59,11 @@ def test_pipeline_on_odd_rows(spark):
             assert {r["doc_id"] for r in docs.collect()} == {3, 4, 8, None}
             assert docs.where("doc_id = 8").first()["text"].endswith("q79 [SECRET]")
     assert counts[:3] == [6, 5, 5] and counts[3] == counts[4] >= 3
+
+
+def test_rows_that_share_an_id_go_each_by_its_own_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in left} == {(3, a), (5, b), (7, None), (7, "")}
