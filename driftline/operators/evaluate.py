@@ -23,21 +23,26 @@ def hash_folds(group: Column, folds: int) -> Column:
     return F.pmod(F.crc32(group.cast("string")), F.lit(folds)).cast("int")
 
 
-def group_folds(df: DataFrame, group: str, folds: int, max_groups: int = 100_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, folds: int, parts: int = 250) -> DataFrame:
     """(group, fold): whole groups, the largest first, each to the lightest
-    fold. Up to ``max_groups`` groups are placed one by one on the driver;
-    beyond, they are dealt out by rank, which is as even for many groups."""
+    fold. Groups of at most a ``folds * parts``-th of all rows are gathered by
+    a hash into as many bundles, which are placed like groups, so that at most
+    twice ``folds * parts`` items reach the driver, however many groups."""
+    bundles = folds * parts
+    a, b = F.xxhash64(group), F.xxhash64(F.lit("second"), group)
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    if sizes.limit(max_groups + 1).count() > max_groups:
-        return sizes.select(group, hash_folds(F.col(group), folds).alias("fold"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    large = F.col("_n") * bundles > total
+    keyed = sizes.select(group, "_n", large.alias("_own"), F.when(large, a).otherwise(F.pmod(a, F.lit(bundles))).alias("_a"), F.when(large, b).otherwise(F.lit(0)).alias("_b"))
+    items = keyed.groupBy("_own", "_a", "_b").agg(F.sum("_n").alias("_n")).collect()
     heap = [(0, k) for k in range(folds)]
     placed = []
-    for row in sorted(sizes.collect(), key=lambda r: (-r["_n"], str(r[group]))):
+    for row in sorted(items, key=lambda r: (-r["_n"], r["_own"], r["_a"], r["_b"])):
         load, fold = heapq.heappop(heap)
-        placed.append((row[group], fold))
+        placed.append((row["_own"], row["_a"], row["_b"], fold))
         heapq.heappush(heap, (load + row["_n"], fold))
-    kind = dict(sizes.dtypes)[group]
-    return df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int")
+    table = df.sparkSession.createDataFrame(placed, "_own boolean, _a long, _b long, fold int")
+    return keyed.join(F.broadcast(table), ["_own", "_a", "_b"]).select(group, "fold")
 
 
 def auroc(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:

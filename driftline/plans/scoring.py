@@ -105,7 +105,7 @@ def decision_mask(ev: DataFrame) -> DataFrame:
 @query("group_kfold")
 def group_kfold(ev: DataFrame) -> DataFrame:
     folds = evaluate.group_folds(ev, "entity", 5)
-    return ev.join(F.broadcast(folds), "entity").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"))
+    return ev.join(folds, "entity").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"))
 
 
 @query("logreg_auroc")

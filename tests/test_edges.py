@@ -185,3 +185,15 @@ def test_group_folds_keep_groups_together(spark):
     folds = {r["g"]: r["fold"] for r in evaluate.group_folds(df, "g", 3).collect()}
     loads = [sum(g + 1 for g, f in folds.items() if f == k) for k in range(3)]
     assert len(folds) == 9 and max(loads) - min(loads) <= 3
+
+
+def test_group_folds_are_even_beyond_what_the_driver_places_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(120_000).select(F.col("id").alias("g"))
+    one = spark.range(60_000).select(F.lit(-1).cast("long").alias("g"))
+    df = many.unionByName(one)
+    placed = evaluate.group_folds(df, "g", 3)
+    assert placed.count() == 120_001
+    loads = [r["count"] for r in df.join(placed, "g").groupBy("fold").count().collect()]
+    assert len(loads) == 3 and max(loads) - min(loads) < 1_000
