@@ -117,21 +117,51 @@ def logreg_auroc(ev: DataFrame) -> DataFrame:
 
 @query("random_forest_auroc")
 def random_forest_auroc(ev: DataFrame) -> DataFrame:
-    rows = points(ev).withColumn("fold", F.col("entity") % 2)
-    scored = evaluate.cross_scored(rows, ["sd", "drop_vs_base", "slope"], "y", 2, forest=True)
+    rows = points(ev).withColumn("fold", F.col("entity") % 5)
+    scored = evaluate.cross_scored(rows, ["sd", "drop_vs_base", "slope"], "y", 5, forest=True)
     return evaluate.auroc(scored.where("score IS NOT NULL"), "score", "y", ["fold"])
 
 
-@query("forward_selection")
-def forward_selection(ev: DataFrame) -> DataFrame:
-    rows = evaluate.lead_labels(points(ev), LEADS[:1]).withColumn("fold", F.col("entity") % 5).select("fold", "y", "sd", "drop_vs_base", "slope").cache()
+SHAPES = ["ac1", "curvature", "reversals"]
+
+
+def _shaped(ev: DataFrame) -> DataFrame:
+    """Decision points that have all shape features too, so that every set of
+    features is measured on the same rows."""
+    rows = series.lag1_autocorrelation(ev, "value", 7 * DAY, "ac1")
+    rows = series.quadratic(series.reversal_rate(rows, "value", 7 * DAY, "reversals"), "value", 7 * DAY, "curvature", scale_s=DAY)
+    return points(ev).join(rows.select("event_id", *SHAPES), "event_id").dropna(subset=SHAPES)
+
 
-    def measure(columns: list[str]) -> tuple[float, float]:
-        score = sum((F.col(c) for c in columns), F.lit(0.0))
-        found = evaluate.auroc(rows.withColumn("score", score), "score", "y", ["fold"]).agg(F.avg("auroc"), F.min("auroc")).first()
-        return found[0] or 0.0, found[1] or 0.0
+def _cross_read(rows: DataFrame, columns: list[str]) -> tuple[float, float]:
+    """Mean and least over five folds of a model's AUROC, averaged over the
+    leads. ``rows``: decision points with their fold, without labels."""
+    per = None
+    for lead in LEADS:
+        scored = evaluate.cross_scored(evaluate.lead_labels(rows, [lead]), columns, "y", 5).where("score IS NOT NULL")
+        one = evaluate.auroc(scored, "score", "y", ["lead_s", "fold"])
+        per = one if per is None else per.unionByName(one)
+    found = evaluate.read_average(per.withColumn("arm", F.lit("model")), "auroc", ["arm"]).first()
+    return (found["mean"] or 0.0, found["least"] or 0.0) if found else (0.0, 0.0)
 
-    kept = evaluate.forward_selection(["drop_vs_base", "slope"], ["sd"], measure)
+
+@query("learnability_models")
+def learnability_models(ev: DataFrame) -> DataFrame:
+    """The curve of a model over five folds at each lead, with both metrics;
+    ``learnability_curve`` ranks by one feature, as its SQL says."""
+    rows, by, out = points(ev).withColumn("fold", F.col("entity") % 5), ["lead_s", "fold"], None
+    for lead in LEADS:
+        scored = evaluate.cross_scored(evaluate.lead_labels(rows, [lead]), ["sd", "drop_vs_base", "slope"], "y", 5).where("score IS NOT NULL")
+        one = evaluate.auroc(scored, "score", "y", by).join(evaluate.auprc(scored, "score", "y", by), by)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("forward_selection")
+def forward_selection(ev: DataFrame) -> DataFrame:
+    features = ["sd", "drop_vs_base", "slope", *SHAPES]
+    rows = _shaped(ev).withColumn("fold", F.col("entity") % 5).select("fold", "tau", *features).cache()
+    kept = evaluate.forward_selection(features[1:], features[:1], lambda columns: _cross_read(rows, columns))
     return ev.sparkSession.createDataFrame([(k, c) for k, c in enumerate(kept)], "place int, feature string")
 
 
