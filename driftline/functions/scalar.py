@@ -75,6 +75,19 @@ def duration_text(s: Column) -> Column:
     return F.when(s < 60, F.format_string("%.0fs", s)).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.2fh", s / 3600))
 
 
+def duration_text_even(s: Column) -> Column:
+    """The same for whole seconds from 0 on, with ties rounded to even."""
+
+    def even(unit: int) -> Column:
+        whole, twice = F.floor(s / unit), 2 * (s % unit)
+        return whole + F.when((twice > unit) | ((twice == unit) & (whole % 2 == 1)), 1).otherwise(0)
+
+    tenths, hundredths = even(6), even(36)
+    minutes = F.format_string("%d.%dm", F.floor(tenths / 10), tenths % 10)
+    hours = F.format_string("%d.%02dh", F.floor(hundredths / 100), hundredths % 100)
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, minutes).otherwise(hours)
+
+
 def offset_text(s: Column) -> Column:
     """A signed offset as +1h02m03.25s."""
     a = F.abs(s)

@@ -254,6 +254,14 @@ def fmt_duration(ev: DataFrame) -> DataFrame:
     return ev.where(s % 3 != 0).select("event_id", scalar.duration_text(s).alias("text"))
 
 
+@query("fmt_duration_all", f"""{EV}, x AS (SELECT event_id, floor(value * 97)::BIGINT AS s FROM ev),
+h AS (SELECT *, s // 6 + CASE WHEN s % 6 > 3 OR (s % 6 = 3 AND (s // 6) % 2 = 1) THEN 1 ELSE 0 END AS tenths, s // 36 + CASE WHEN s % 36 > 18 OR (s % 36 = 18 AND (s // 36) % 2 = 1) THEN 1 ELSE 0 END AS hundredths FROM x)
+SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (tenths // 10) || '.' || (tenths % 10) || 'm' ELSE (hundredths // 100) || '.' || lpad((hundredths % 100)::VARCHAR, 2, '0') || 'h' END AS text FROM h""")
+def fmt_duration_all(ev: DataFrame) -> DataFrame:
+    # every row; whole tenths and hundredths, ties to even, so no formatter rounds
+    return ev.select("event_id", scalar.duration_text_even(F.floor(V() * 97)).alias("text"))
+
+
 @query("nearest_clean_zone", f"""{EV}, z AS (SELECT DISTINCT unnest(list_concat(range(-720, 841, 60), [-570, -210, 210, 270, 330, 345, 390, 525, 570, 630, 765])) AS m),
 x AS (SELECT event_id, value * 200 - 40000 AS o FROM ev), p AS (SELECT event_id, m, o - 60 * m AS res, row_number() OVER (PARTITION BY event_id ORDER BY abs(o - 60 * m), m) AS k FROM x, z)
 SELECT event_id, m::INT AS minutes, round(res, 6) AS residual_s FROM p WHERE k = 1""")
