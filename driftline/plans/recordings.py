@@ -110,6 +110,38 @@ def scan_npz(ev: DataFrame) -> DataFrame:
     return ev.sparkSession.read.parquet(path).where("entity < 50").groupBy("entity").agg(F.count("*").alias("n"))
 
 
+# whole tables: the three queries of nearly the same names keep the ids of their SQL
+
+
+@query("scan_recovered_json_all", f"{EV} SELECT t, value AS bpm, event_type AS stage FROM ev")
+def scan_recovered_json_all(ev: DataFrame) -> DataFrame:
+    path = new_path(ev.sparkSession, "recovered")
+    found = {}
+    for name, field, kind, value in (("hr", "bpm", "DOUBLE", V()), ("stages", "stage", "STRING", F.col("event_type"))):
+        lists = ev.groupBy("entity").agg(F.to_json(F.collect_list(F.struct("t", value.alias(field)))).alias("value"))
+        lists.write.partitionBy("entity").text(f"{path}/{name}")
+        read = ev.sparkSession.read.schema("value STRING, entity LONG").text(f"{path}/{name}")
+        found[name] = read.select("entity", F.explode(F.from_json("value", f"ARRAY<STRUCT<t: DOUBLE, {field}: {kind}>>")).alias("s")).select("entity", "s.*")
+    return found["hr"].join(found["stages"], ["entity", "t"]).select("t", "bpm", "stage")
+
+
+@query("list_files_all", "SELECT user_id::VARCHAR AS entity, event_type AS night FROM events GROUP BY ALL HAVING max(value) > 50")
+def list_files_all(ev: DataFrame) -> DataFrame:
+    path = new_path(ev.sparkSession, "nights")
+    rows = ev.select("entity", F.col("event_type").alias("night"), "value").repartition("entity", "night")
+    rows.write.partitionBy("entity", "night").mode("append").csv(path)
+    rows.where("value > 50").write.partitionBy("entity", "night").mode("append").json(path)
+    name = lambda c: F.split(c, "=")[1].alias(c)
+    return text.paired_files(ev.sparkSession, path, "*.csv", "*.json").select(name("entity"), name("night"))
+
+
+@query("scan_npz_all", f"{EV} SELECT entity, count(*) AS n FROM ev GROUP BY 1")
+def scan_npz_all(ev: DataFrame) -> DataFrame:
+    path = new_path(ev.sparkSession, "derived")
+    ev.withColumn("part", F.col("entity") % 8).write.partitionBy("part").parquet(path)
+    return ev.sparkSession.read.parquet(path).groupBy("entity").agg(F.count("*").alias("n"))
+
+
 @query("sink_sessions_json", f"{EV}, s AS (SELECT event_type, count(*) AS n FROM ev GROUP BY 1) SELECT 5::BIGINT AS count, event_type, n FROM s")
 def sink_sessions_json(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "summary")
