@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import joins, series, stats
+from ..shared import new_path
 from .registry import DAY, DAYS, EV, US, V, days, query, r, table
 
 BY = "(PARTITION BY entity ORDER BY us)"
@@ -367,9 +368,18 @@ def source_resolution(ev: DataFrame) -> DataFrame:
 
 @query("natural_sort", "SELECT entity, row_number() OVER (ORDER BY try_cast(entity AS INT), entity) AS place FROM (SELECT DISTINCT user_id::VARCHAR AS entity FROM events)")
 def natural_sort(ev: DataFrame) -> DataFrame:
-    # one row per entity, numbered for a report
-    ids = ev.select(F.col("entity").cast("string").alias("entity")).distinct()
-    return ids.select("entity", F.row_number().over(Window.orderBy(F.col("entity").try_cast("int"), "entity")).cast("long").alias("place"))
+    # ranges are numbered each in its own task, from where the ones before end
+    path = new_path(ev.sparkSession, "ranges")
+    ids = ev.select(F.col("entity").cast("string").alias("entity")).distinct().withColumn("number", F.col("entity").try_cast("int"))
+    ids.repartitionByRange("number", "entity").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranges = ev.sparkSession.read.schema("entity STRING, number INT, part INT").parquet(path)
+    before, starts = 0, []
+    for row in sorted(ranges.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        starts.append((row["part"], before))
+        before += row["n"]
+    placed = ranges.join(F.broadcast(ev.sparkSession.createDataFrame(starts, "part int, before long")), "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("number", "entity")) + F.col("before")
+    return placed.select("entity", place.alias("place"))
 
 
 @query("first_cross", f"{EV} SELECT entity, min(us) FILTER (value >= 120) AS cross_us FROM ev GROUP BY 1")

@@ -233,5 +233,5 @@ def periodic_checkpoint(ev: DataFrame) -> DataFrame:
 
 @query("edge_stream", f"{EV}, e AS (SELECT *, event_type <> coalesce(lag(event_type) OVER (PARTITION BY entity ORDER BY us), '') AS c FROM ev) SELECT event_id, event_type FROM e WHERE c")
 def edge_stream(ev: DataFrame) -> DataFrame:
-    live = _as_stream(ev.coalesce(1).sortWithinPartitions("us").select("event_id", "entity", "us", F.col("event_type").alias("state")))
+    live = _as_stream(ev.select("event_id", "entity", "us", F.col("event_type").alias("state")))
     return _drained(phase.edges(live)).select("event_id", F.col("state").alias("event_type"))

@@ -36,3 +36,17 @@ def test_one_shuffle_per_entity(name, spark, sf_dir):
 def test_range_joins_have_equal_keys(name, spark, sf_dir):
     p = plan(plans.queries()[name](spark, sf_dir))
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_numbering_is_not_one_window(spark, sf_dir):
+    p = plan(plans.queries()["natural_sort"](spark, sf_dir))
+    assert "SinglePartition" not in p
+
+
+def test_edges_are_not_fed_through_one_task(spark, sf_dir, monkeypatch):
+    from driftline.plans import recordings
+
+    fed, whole = [], recordings._as_stream
+    monkeypatch.setattr(recordings, "_as_stream", lambda rows: fed.append(plan(rows)) or whole(rows))
+    plans.queries()["edge_stream"](spark, sf_dir)
+    assert len(fed) == 1 and "Coalesce" not in fed[0]
