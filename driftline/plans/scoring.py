@@ -282,6 +282,27 @@ def depth_grid(o: DataFrame) -> DataFrame:
     return _nights(o).crossJoin(F.broadcast(grid)).groupBy("m", "d").agg(count(fail).alias("fails"), count(before & ~fail).alias("in_band"), count(before).alias("before"))
 
 
+@query("depth_costs", of=table("orders"))
+def depth_costs(o: DataFrame) -> DataFrame:
+    """By margin and tolerated depth: failures, their depth past the onset, the
+    hard class's share of them and of all nights, and what firing sacrifices.
+    With a tolerance of 0 these are the figures of the firing sweep."""
+    from pyspark.sql import Window
+
+    sd = F.stddev_samp("o2d").over(Window.partitionBy("o_custkey"))
+    grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6], d=[0, 1, 2, 3, 5])
+    rows = _nights(o).withColumn("hard", sd > 10).crossJoin(F.broadcast(grid)).withColumn("depth", F.col("mean") - F.col("m") - F.col("o2d"))
+    fail, early = F.col("depth") > F.col("d"), F.col("depth") <= 0
+    deep = F.when(fail, F.col("depth"))
+    count = lambda c: F.count(F.when(c, 1))
+    quartiles = [F.percentile(deep, F.lit(p)).alias(name) for name, p in (("depth_q1", 0.25), ("depth_median", 0.5), ("depth_q3", 0.75))]
+    return rows.groupBy("m", "d").agg(
+        F.count("*").alias("nights"), count(fail).alias("fails"), *quartiles, F.max(deep).alias("depth_max"),
+        F.avg(F.when(early, -F.col("depth"))).alias("sacrifice_nonfail"), F.avg(F.greatest(-F.col("depth"), F.lit(0.0))).alias("sacrifice_all"),
+        F.try_divide(count(fail & F.col("hard")), count(fail)).alias("hard_share"), (count(F.col("hard")) / F.count("*")).alias("hard_nights"),
+    )
+
+
 LATENCY = f"""{EV}, o AS (SELECT *, event_type <> 'view' AS o FROM ev), g AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY us) AS g FROM o),
 rn AS (SELECT entity, min(us) AS s FROM g WHERE o GROUP BY entity, g HAVING count(*) >= 3), f AS (SELECT entity, min(s) AS onset_us FROM rn GROUP BY 1),
 dp AS (SELECT f.entity, onset_us, min(us) FILTER (event_type = 'error' AND us >= onset_us) AS deep_us FROM f JOIN ev USING (entity) GROUP BY 1, 2)"""

@@ -34,3 +34,15 @@ def test_learnability_models_have_a_row_for_each_lead_and_fold(spark, sf_dir):
     found = plans.queries()["learnability_models"](spark, sf_dir).collect()
     assert {(r["lead_s"], r["fold"]) for r in found} == {(lead, k) for lead in scoring.LEADS for k in range(5)}
     assert all(0 < r["auprc"] <= 1 for r in found if r["positives"])
+
+
+def test_depth_costs_by_hand(spark):
+    # customer 1 swings by 14.1 around 20, customer 2 by 1.4 around 11
+    nights = [(1, 1, 100_000.0), (1, 2, 300_000.0), (2, 3, 100_000.0), (2, 4, 120_000.0)]
+    o = spark.createDataFrame(nights, "o_custkey long, o_orderkey long, o_totalprice double")
+    found = {(r["m"], r["d"]): r for r in scoring.depth_costs(o).collect()}
+    assert len(found) == 20
+    one = found[0, 0]
+    assert (one["nights"], one["fails"], one["depth_median"], one["depth_max"]) == (4, 2, 5.5, 10.0)
+    assert (one["sacrifice_nonfail"], one["sacrifice_all"], one["hard_share"], one["hard_nights"]) == (5.5, 2.75, 0.5, 0.5)
+    assert (found[4, 3]["fails"], found[4, 3]["hard_share"], found[4, 3]["depth_max"]) == (1, 1.0, 6.0)
