@@ -8,13 +8,17 @@ few and diverse ones; reverse edges are added, and pruned where a list is
 full. Equal vectors of a shard are one point.
 
 The index is a table with one row per shard, written to the shared folder.
-Queries are packed into blocks; each block meets each shard once, in a join on
-the shard, and is searched there by a beam search from the shard's centre.
-What is found is scored in double precision on the original vectors, and the
-best of all shards are ranked per query.
+Queries are packed into blocks, and a copy of each block goes to every shard.
+A task loads a shard once and streams its blocks through it, by a beam search
+from the shard's centre; with very many blocks, waves of ``wave`` blocks make
+tasks of their own, each with the shard loaded once. What is found is scored
+in double precision on the original vectors, and the best of all shards are
+ranked per query.
 
 Largest inner product is nearest by distance once each vector has one more
 component that lifts it to the shard's greatest norm; queries have 0 there.
+Searches run in single precision on vectors scaled by the shard's greatest
+component, so that huge values don't overflow.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ class GraphRules:
     batch: int = 256
     #: Queries searched in step.
     block: int = 512
+    #: Blocks that one task streams through a shard.
+    wave: int = 64
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +120,18 @@ def robust_prune(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, deg
     return out
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """In single precision, with components of at most 1. The order of inner
+    products is that of the vectors themselves."""
+    top = np.abs(vectors).max(initial=0.0)
+    return (vectors / top if top else vectors).astype(np.float32)
+
+
 def build_graph(vectors: np.ndarray, rules: GraphRules) -> tuple[np.ndarray, int]:
     """(graph, entry): neighbours of each point, len(vectors) for none, and the
     point nearest to the mean. ``vectors`` are distinct."""
     n = len(vectors)
+    vectors = scaled(vectors)
     squares = np.einsum("ij,ij->i", vectors, vectors)
     lift = np.sqrt(np.maximum(squares.max() - squares, 0))
     points = np.concatenate([vectors, lift[:, None]], axis=1).astype(np.float32)
@@ -174,6 +188,19 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & finite & F.exists(embedding, lambda x: x != 0)
 
 
+def element(df: DataFrame, column: str) -> str:
+    """The type that vectors are kept in: float for floats, double for all
+    other numbers."""
+    return "float" if dict(df.dtypes)[column] == "array<float>" else "double"
+
+
+KINDS = {"float": np.float32, "double": np.float64}
+
+
+def shard_count(rows: DataFrame, rules: GraphRules) -> int:
+    return max(1, math.ceil(rows.count() / rules.shard_rows))
+
+
 INDEX = "dim int, shard int, entry int, ids binary, starts binary, vectors binary, graph binary"
 
 
@@ -181,8 +208,8 @@ def build_index(rows: DataFrame, rules: GraphRules, k: int) -> DataFrame:
     """A row per shard and dimension. ``rows``: (id long, embedding
     array<float or double>), usable ones only. A point keeps the ``k + 1``
     smallest ids that have its vector."""
-    shards = max(1, math.ceil(rows.count() / rules.shard_rows))
-    kind = np.float64 if "double" in dict(rows.dtypes)["embedding"] else np.float32
+    shards = shard_count(rows, rules)
+    kind = KINDS[element(rows, "embedding")]
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -228,37 +255,57 @@ def pack_queries(queries: DataFrame, rules: GraphRules) -> DataFrame:
     return queries.select("id", "embedding", F.size("embedding").alias("dim")).mapInArrow(pack, "dim int, query_ids binary, queries binary")
 
 
-def search_index(index: DataFrame, queries: DataFrame, rules: GraphRules, k: int) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, rules: GraphRules, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best found for each query
-    but rows of its own id; ties go to the smaller id."""
-    kind = np.float32 if "float" in dict(queries.dtypes)["embedding"] else np.float64
+    but rows of its own id; ties go to the smaller id. ``shards``: their number
+    in the index."""
+    kind = KINDS[element(queries, "embedding")]
     width = 2 * rules.degree
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: dict | None = None
         for batch in batches:
             for x in batch.to_pylist():
-                points = np.frombuffer(x["vectors"], kind).reshape(-1, x["dim"])
-                graph = np.frombuffer(x["graph"], np.int32).reshape(-1, width)
-                ids, starts = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["starts"], np.int32)
-                query_ids = np.frombuffer(x["query_ids"], np.int64)
-                wanted = np.frombuffer(x["queries"], np.float64).reshape(-1, x["dim"])
-                found, _ = beam_search(points.astype(np.float32), graph, x["entry"], wanted.astype(np.float32), max(rules.search_beam, k + 1))
-                yield _best(found, points, ids, starts, query_ids, wanted, k)
-
-    shards = index.select("dim", "shard").distinct()
-    blocks = pack_queries(queries, rules).join(shards, "dim")
-    pairs = index.join(blocks, ["dim", "shard"]).select("dim", "entry", "ids", "starts", "vectors", "graph", "query_ids", "queries")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+                at = (x["dim"], x["shard"])
+                if x["graph"] is not None:
+                    points = np.frombuffer(x["vectors"], kind).reshape(-1, x["dim"])
+                    shard = {"at": at, "points": points, "near": scaled(points), "graph": np.frombuffer(x["graph"], np.int32).reshape(-1, width), "entry": x["entry"], "ids": np.frombuffer(x["ids"], np.int64), "starts": np.frombuffer(x["starts"], np.int32)}
+                elif shard is not None and shard["at"] == at:  # else no row of the shard has as many components
+                    query_ids = np.frombuffer(x["query_ids"], np.int64)
+                    wanted = np.frombuffer(x["queries"], np.float64).reshape(-1, x["dim"])
+                    near = wanted / np.abs(wanted).max(axis=1, keepdims=True)
+                    found, _ = beam_search(shard["near"], shard["graph"], shard["entry"], near.astype(np.float32), max(rules.search_beam, k + 1))
+                    yield _best(found, shard["points"], shard["ids"], shard["starts"], query_ids, wanted, k)
+
+    blocks = pack_queries(queries, rules)
+    waves = max(1, math.ceil(queries.count() / (rules.block * rules.wave)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    loads = index.withColumn("wave", every(waves))
+    asks = blocks.withColumn("wave", F.pmod(F.monotonically_increasing_id(), F.lit(waves)).cast("int")).withColumn("shard", every(shards))
+    both = loads.unionByName(asks, allowMissingColumns=True).repartition("dim", "shard", "wave")
+    # the shard itself comes before its blocks
+    ordered = both.sortWithinPartitions("dim", "shard", "wave", F.col("graph").isNull())
+    found = ordered.select("dim", "shard", "entry", "ids", "starts", "vectors", "graph", "query_ids", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def inner_products(points: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = (points * vector).sum(axis=1)
+        lost = ~np.isfinite(scores)
+        if lost.any():  # beyond a double's range: the sign, or the value if only a part was
+            by, top = np.abs(points[lost]).max(axis=1), np.abs(vector).max()
+            scores[lost] = ((points[lost] / by[:, None]) * (vector / top)).sum(axis=1) * by * top
+    return scores
+
+
 def _best(found: np.ndarray, points: np.ndarray, ids: np.ndarray, starts: np.ndarray, query_ids: np.ndarray, wanted: np.ndarray, k: int) -> pa.RecordBatch:
     n = len(points)
     out: tuple[list, list, list] = ([], [], [])
     for row, query, vector in zip(found, query_ids, wanted, strict=True):
         own = row[row < n]
-        scores = (points[own].astype(np.float64) * vector).sum(axis=1)
+        scores = inner_products(points[own].astype(np.float64), vector)
         order = np.argsort(-scores, kind="stable")
         own, scores = own[order], scores[order]
         counts = starts[own + 1] - starts[own]
@@ -283,15 +330,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rules: GraphRules
     never meet. Equal vectors are all candidates, the smaller ids first. Rows
     that repeat an id and its vector are one row; those that repeat an id with
     another vector are candidates of their own, and the least vector is the
-    query. An empty table gives an empty result. Other columns are ignored.
+    query. Vectors of integers are taken as doubles. Scores beyond a double's
+    range are infinite. An empty table gives an empty result. Other columns are
+    ignored.
     """
     spark = vectors.sparkSession
     store.bounded_batches(spark)
-    valid = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    rows = valid.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
-    queries = valid.where(is_query).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("embedding"))
+    vector = F.col(vector_col).cast(f"array<{element(vectors, vector_col)}>")
+    valid = vectors.where(F.col(id_col).isNotNull() & usable(vector))
+    rows = valid.select(F.col(id_col).cast("long").alias("id"), vector.alias("embedding"))
+    queries = store.written(valid.where(is_query).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector).alias("embedding")), "queries")
     index = store.written(build_index(rows, rules, k), "graphs")
-    return search_index(index, queries, rules, k)
+    return search_index(index, queries, shard_count(rows, rules), rules, k)
 
 
 def op1_nearest(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ first, and the window then runs within buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import spread
+
 #: Order keys lie in 0 .. SPAN - 1.
 SPAN = 1 << 30
 
@@ -25,15 +27,8 @@ def running(df: DataFrame, group: str, key: str, then: list[str], amount: Column
     """``df`` with ``name``: the sum of ``amount`` over the rows of the same
     ``group`` that come before, by ``key`` and the columns in ``then``. ``key``
     must be uniform in 0 .. SPAN - 1; a bucket holds ``per_bucket`` rows of
-    all groups on average. Rows that tie in all of these come in any order.
-    ``df`` is read twice, so it should be a written table."""
+    all groups on average, whatever a group's size. Rows that tie in all of
+    these come in any order. ``df`` is read twice, so it should be a written
+    table."""
     buckets = max(1, -(-df.count() // per_bucket))
-    # never null, so that a plain join keeps the window's partitioning
-    no_null = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    placed = df.withColumn("_g", no_null).withColumn("_bucket", F.floor(F.col(key) * buckets / SPAN).cast("long")).withColumn("_amount", amount.cast("long"))
-    totals = placed.groupBy("_g", "_bucket").agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_g", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_g", "_bucket").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    return ranked.join(starts, ["_g", "_bucket"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_g", "_bucket", "_amount", "_start", "_inside")
+    return spread.running(df, group, F.floor(F.col(key) * buckets / SPAN).cast("long"), [key, *then], amount, name)

@@ -1,13 +1,13 @@
 """Sharding by longest-processing-time scheduling.
 
 Documents with equal texts stay together. Groups, sorted by size, go to the
-least-loaded shard through a heap. The heap itself must stay small however
-many groups there are, so groups below ``total / (shards * parts)`` bytes are
-first gathered into ``shards * parts`` bundles by a hash of the text; there
-can be no more than that many groups above, so the heap sees at most twice
-``shards * parts`` items. Their table is bounded by those two parameters, and
-is the only thing that is collected or broadcast; documents never move for
-their assignment, and a group of a third of all rows costs no skewed join.
+least-loaded shard through a heap. Groups of one size are alike to the heap,
+so it takes the distinct sizes with their counts, a small table: sizes that
+add up to all bytes can't be more than the square root of twice their sum
+(14 million for 100 TB, if each had another size; texts below a megabyte give
+a million at most). Runs of equal sizes are placed at once. Which group of a
+size goes where is settled by its rank within its size, in a window over
+buckets; documents meet their group in a join that splits heavy groups.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread_join
 from . import store
 from .ranks import SPAN, running
 from .text import text_key
@@ -26,22 +29,48 @@ from .text import text_key
 @dataclass(frozen=True)
 class ShardRules:
     shards: int = 40
-    #: Items per shard in the heap; the last ones placed even out the loads.
-    parts: int = 250
     #: Added to the bytes of each text.
     row_bytes: int = 16
 
 
-def longest_first(items: list[tuple[int, tuple]], shards: int) -> dict[tuple, int]:
-    """Shard of each (size, key): the largest first, each to the least-loaded
-    shard, ties to the smaller number."""
+def longest_first(runs: list[tuple[int, int]], shards: int) -> list[list[int]]:
+    """For each (size, count), the largest size first, how many of its items
+    each shard gets: every item goes to the least-loaded shard, ties to the
+    smaller number."""
     heap = [(0, shard) for shard in range(shards)]
-    placed = {}
-    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(heap)
-        placed[key] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+    out = []
+    for size, count in runs:
+        given = [0] * shards
+        if count > 8 * shards:
+            loads = np.zeros(shards, np.int64)
+            for load, shard in heap:
+                loads[shard] = load
+            given = filled(loads, size, count).tolist()
+            heap = [(int(load) + size * n, shard) for shard, (load, n) in enumerate(zip(loads, given, strict=True))]
+            heapq.heapify(heap)
+        else:
+            for _ in range(count):
+                load, shard = heap[0]
+                given[shard] += 1
+                heapq.heapreplace(heap, (load + size, shard))
+        out.append(given)
+    return out
+
+
+def filled(loads: np.ndarray, size: int, count: int) -> np.ndarray:
+    """What ``count`` items of one size, each to the least-loaded shard, add to
+    each: the items before which a shard is at ``loads + k * size`` are taken
+    in the order of that level, so all below some level are, and of those at
+    it the first by number."""
+    below = lambda level: np.maximum(0, -(-(level - loads) // size))
+    low, high = int(loads.min()), int(loads.max()) + size * (count + 1)
+    while high - low > 1:  # the greatest level below which at most count items lie
+        mid = (low + high) // 2
+        low, high = (mid, high) if below(mid).sum() <= count else (low, mid)
+    given = below(low)
+    at_level = np.flatnonzero((loads + given * size) == low)
+    given[at_level[: count - int(given.sum())]] += 1
+    return given
 
 
 def assign(docs: DataFrame, rules: ShardRules = ShardRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,37 +78,31 @@ def assign(docs: DataFrame, rules: ShardRules = ShardRules(), id_col: str = "doc
     counts from 0 without gaps within a shard.
 
     Null texts have ``row_bytes`` and form one group; their checksum is null.
-    Repeated rows are placed each, in one shard. Null ids are allowed. Rows
-    that tie in everything may swap slots among themselves. An empty table
-    gives an empty result. Other columns are ignored.
+    Empty texts are a group of their own, with checksum 0. Repeated rows are
+    placed each, in one shard. Null ids are allowed. Rows that tie in
+    everything may swap slots among themselves; groups of one size may swap
+    shards if the text's hash is another one. An empty table gives an empty
+    result. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + rules.row_bytes
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), text_key(text).alias("group"))
+    key = text_key(text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), key.a.alias("a"), key.b.alias("b"))
     rows = store.written(rows, "sizes")
-    groups = store.written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    bundles = rules.shards * rules.parts
-    large = F.col("bytes") * bundles > total
-    bundle = F.pmod(F.col("group.a"), F.lit(bundles))
-    items = (
-        groups.select(F.when(~large, bundle).alias("bundle"), F.when(large, F.col("group.a")).alias("a"), F.when(large, F.col("group.b")).alias("b"), "bytes")
-        .groupBy("bundle", "a", "b").agg(F.sum("bytes").alias("bytes"))
-    )
-    loads = [(r["bytes"], (r["bundle"] is None, r["bundle"] or 0, r["a"] or 0, r["b"] or 0)) for r in items.collect()]
-    placed = longest_first(loads, rules.shards)
-    alone = [(a, b, shard) for (is_large, _, a, b), shard in placed.items() if is_large]
-    shared = [(n, shard) for (is_large, n, _, _), shard in placed.items() if not is_large]
-    alone_df = spark.createDataFrame(alone, "a long, b long, own_shard int")
-    shared_df = spark.createDataFrame(shared, "bundle long, bundle_shard int")
-    sharded = (
-        rows.withColumns({"a": F.col("group.a"), "b": F.col("group.b"), "bundle": bundle})
-        .join(F.broadcast(alone_df), ["a", "b"], "left").join(F.broadcast(shared_df), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bundle_shard").alias("shard"), F.shiftright(F.xxhash64("doc_id", "a"), 34).alias("h"))
-        .withColumn("key", F.pmod(F.col("h"), F.lit(SPAN)))
-    )
-    return running(sharded, "shard", "key", ["doc_id", "size"], F.lit(1), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    grouped = rows.groupBy("a", "b").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    groups = store.written(grouped.withColumn("key", F.pmod(F.xxhash64("b", "a"), F.lit(SPAN))), "groups")
+    runs = groups.groupBy("bytes").agg(F.count("*").alias("count")).orderBy(F.desc("bytes")).toArrow()  # its rows are bounded, see above
+    sizes, counts = runs.column("bytes").to_pylist(), runs.column("count").to_pylist()
+    upto = np.cumsum(np.array(longest_first(list(zip(sizes, counts, strict=True)), rules.shards), np.int64).reshape(len(sizes), rules.shards), axis=1)
+    kinds = pa.schema([("bytes", pa.int64()), ("upto", pa.list_(pa.int64())), ("count", pa.int64())])
+    plan = spark.createDataFrame(pa.table([pa.array(sizes, pa.int64()), pa.array(upto.tolist(), pa.list_(pa.int64())), pa.array(counts, pa.int64())], schema=kinds))
+    ranked = running(groups, "bytes", "key", ["a", "b"], F.lit(1), "rank")
+    placed = spread_join(ranked, plan, ["bytes"], n="count", total=sum(counts))
+    shard = F.size(F.filter("upto", lambda c: c <= F.col("rank"))).alias("shard")
+    placed = store.written(placed.select("a", "b", "n", shard), "placed")
+    sharded = spread_join(rows, placed, ["a", "b"]).withColumn("key", F.pmod(F.xxhash64("doc_id", "a"), F.lit(SPAN)))
+    return running(store.written(sharded, "sharded"), "shard", "key", ["doc_id", "size"], F.lit(1), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op4_shards(spark, sf_dir: str) -> DataFrame:

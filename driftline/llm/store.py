@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share.
+"""Tables in the folder that driver and executors share, and Arrow batches.
 
 Operators that need an intermediate result twice write it there as Parquet,
 which also cuts the lineage: a lost executor costs a re-read, not a re-run.
@@ -6,51 +6,19 @@ which also cuts the lineage: a lost executor costs a re-read, not a re-run.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import drop, new_path
+from ..shared import materialized as written
+
+__all__ = ["ARROW_BATCH_BYTES", "bounded_batches", "drop", "new_path", "written"]
 
 #: Arrow batches are bounded by bytes, because one text may be as long as a
 #: thousand others.
 ARROW_BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it
-    is unset and the master is local, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/driftline/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._driftline_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` returned."""
-    path = df._driftline_path
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches of this session to ``ARROW_BATCH_BYTES``."""
+    """Holds Arrow batches of this session to ``ARROW_BATCH_BYTES``. Spark reads
+    the setting when a query runs, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

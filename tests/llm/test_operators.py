@@ -6,10 +6,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import heapq
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,56 @@ def test_nearest_over_several_shards(spark):
     assert hits >= 0.9 * 300
 
 
+def recall_of(found, vectors, queries, k):
+    hits = 0
+    for q in queries:
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-scores, k)[:k].tolist()))
+    return hits / (k * len(queries))
+
+
+def test_nearest_recall_in_full_shards(spark):
+    """Two shards of production size, with clusters."""
+    n = 2 * graph_index.GraphRules().shard_rows
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(64, 32))[rng.integers(0, 64, n)] + 0.6 * rng.normal(size=(n, 32))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 32 * n + 1, 32, dtype="int32")), pa.array(vectors.ravel()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat})).repartition(4)
+    found = defaultdict(set)
+    for r in graph_index.nearest(df, F.col("vec_id") % 160 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert recall_of(found, vectors, range(0, n, 160), 20) >= 0.9
+
+
+def test_nearest_over_waves(spark):
+    """Blocks dealt over several tasks a shard give the same."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    one = graph_index.nearest(df, F.col("vec_id") % 5 == 0, 10, graph_index.GraphRules(shard_rows=200)).collect()
+    many = graph_index.nearest(df, F.col("vec_id") % 5 == 0, 10, graph_index.GraphRules(shard_rows=200, block=16, wave=2)).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_nearest_of_integers_and_of_huge_values(spark):
+    rng = np.random.default_rng(9)
+    whole = rng.integers(-9, 10, size=(120, 6))
+    for scale, kind in ((1, "int"), (1, "long"), (1e200, "double"), (1e-200, "double"), (1e30, "float")):
+        vectors = (whole * scale).astype(np.float32 if kind == "float" else float)
+        rows = [(i, v.tolist() if kind in ("float", "double") else [int(x) for x in v]) for i, v in enumerate(vectors)]
+        got = defaultdict(list)
+        for r in graph_index.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        for q in range(0, 120, 20):
+            scores = whole @ whole[q]
+            order = [i for i in np.lexsort((np.arange(120), -scores)) if i != q][:20]
+            assert len(got[q]) == 20 and (scale != 1 or got[q] == order)
+            if scale == 1e30:  # rounded to floats, two may swap at the end
+                assert len(set(got[q]) & set(order)) >= 19
+            if scale == 1e200:  # beyond a double's range: infinite, so ties
+                assert all(scores[i] > 0 for i in got[q]) or (scores > 0).sum() <= 20
+
+
 def test_nearest_odd_rows(spark):
     v = [1.0, 0.0]
     rows = [(20, v), (20, v), (1, v), (2, v), (3, v), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (5, [None, 1.0]), (None, v), (4, [0.5, 0.5]), (100, [1.0, 2.0, 3.0]), (6, [])]
@@ -168,19 +220,52 @@ def test_toxicity_spans_and_odd_rows(spark, odd, empty):
 # 4
 
 
-def test_shards(spark, sf_dir):
-    rows = sharding.op4_shards(spark, sf_dir).collect()
-    texts = texts_of(spark, sf_dir)
-    loads, groups, slots = Counter(), defaultdict(set), defaultdict(list)
+def loads_plain(sizes, shards=40):
+    heap = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    return sorted(heap)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_are_those_of_a_plain_heap(spark, sf):
+    rows = sharding.op4_shards(spark, f"/root/testdata/{sf}").collect()
+    texts = texts_of(spark, f"/root/testdata/{sf}")
+    loads, groups, slots, sizes = Counter({k: 0 for k in range(40)}), defaultdict(set), defaultdict(list), Counter()
     for r in rows:
-        assert r["size"] == len(texts[r["doc_id"]].encode()) + 16
+        text = texts[r["doc_id"]]
+        assert r["size"] == len(text.encode()) + 16
         loads[r["shard"]] += r["size"]
-        groups[texts[r["doc_id"]]].add(r["shard"])
+        sizes[text] += r["size"]
+        groups[text].add(r["shard"])
         slots[r["shard"]].append(r["slot"])
-    assert len(rows) == len(texts) and all(len(g) == 1 for g in groups.values()) and set(loads) <= set(range(40))
+    assert len(rows) == len(texts) and all(len(g) == 1 for g in groups.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    largest = max(sum(len(t.encode()) + 16 for t in texts.values() if t == x) for x in set(texts.values()))
-    assert max(loads.values()) - min(loads.values()) <= largest
+    assert sorted(loads.values()) == loads_plain(sizes.values())
+
+
+def test_shards_of_many_groups(spark):
+    """More groups than any heap should see one by one, and a third of all rows in one."""
+    df = spark.range(0, 30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.repeat(F.lit("x"), (F.col("id") % 17).cast("int")), F.col("id").cast("string"))).alias("text"))
+    loads, sizes = Counter(), Counter()
+    for r in df.join(sharding.assign(df), "doc_id").collect():
+        loads[r["shard"]] += r["size"]
+        sizes[r["text"]] += r["size"]
+    assert sorted(loads.values()) == loads_plain(sizes.values())
+
+
+def test_runs_of_equal_sizes_are_placed_like_single_items():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        shards = int(rng.choice([1, 3, 40]))
+        sizes = np.concatenate([rng.integers(1, 20, 1500), rng.integers(1, 100_000, 40)]).tolist()
+        heap, plain = [(0, k) for k in range(shards)], defaultdict(lambda: [0] * shards)
+        for size in sorted(sizes, reverse=True):
+            load, shard = heap[0]
+            plain[size][shard] += 1
+            heapq.heapreplace(heap, (load + size, shard))
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        assert sharding.longest_first(runs, shards) == [plain[size] for size, _ in runs]
 
 
 def test_shards_odd_rows(odd, empty):
