@@ -7,7 +7,7 @@ looks at nothing before a match, so from the first boundary that it shares
 with the chunk before it, all of its boundaries are right. Each chunk then
 encodes the pre-tokens from there to where the next one takes over. A text
 where two chunks share no boundary within the overlap (one pre-token longer
-than that) is encoded as a whole.
+than that) is encoded as a whole: what follows such a seam may be off anywhere.
 
 Only texts beyond ``chunk`` are shuffled. The tiktoken library encodes a whole
 text, or, where chunks are stitched, one pre-token at a time.
@@ -181,12 +181,18 @@ def public_tokenizer() -> Tokenizer:
     return Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+def digests(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids of each text,
-    and of the bytes that they decode to. Made in Python: a string for each id
-    would fill the JVM's heap."""
-    encoded = encode(docs, tokenizer)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    and of the bytes that they decode to; and the ids, if asked for. Made in
+    Python: a string for each id would fill the JVM's heap.
+
+    A row per input row: null and empty texts have no tokens and the digests
+    of nothing; null ids of rows and repeated rows are kept; very long texts
+    are encoded in chunks; an empty table gives an empty result. Other columns
+    are ignored.
+    """
+    encoded = encode(docs, tokenizer, id_col, text_col)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
@@ -196,9 +202,10 @@ def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
                 joined = " ".join(map(str, ids)).encode()
                 out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True)), *([batch.column("ids")] if with_ids else [])], names)
 
-    return encoded.mapInArrow(digest, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encoded.mapInArrow(digest, kinds + ", ids array<int>" * with_ids)
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

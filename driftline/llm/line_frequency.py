@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread_join
 from . import store
 from .text import SPACE, let, lower_ascii, text_key, words
 
@@ -29,10 +30,10 @@ class LineRules:
     min_words: int = 50
     #: Highest share, in percent, of words within repeated 3-word windows.
     max_repeat_percent: int = 50
-    #: A line is removed if more distinct documents of its host hold it than
-    #: both of these: a number, and a share of the host's distinct documents.
-    max_line_docs: int = 50
+    #: A line is removed if more than this share of its host's distinct
+    #: documents hold it, and more than so few that chance may repeat it.
     max_line_share: float = 0.005
+    max_line_docs: int = 5
     #: A document is depleted if less than this share of its words is left.
     min_left_share: float = 0.3
 
@@ -75,7 +76,7 @@ def frequent_lines(lines: DataFrame, rules: LineRules) -> DataFrame:
     (host, lines) for each distinct document of a host."""
     counts = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs"))
     hosts = lines.groupBy("host").agg(F.count("*").alias("host_docs"))
-    # only lines beyond the fixed limit can be removed, so few rows meet the hosts
+    # lines that few documents hold can't be removed, so few rows meet the hosts
     likely = counts.where(F.col("n_docs") > rules.max_line_docs)
     return likely.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * F.lit(rules.max_line_share)).select("host", "h", "n_docs")
 
@@ -97,16 +98,14 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
         text_key(F.col(text_col)).alias("key"),
         F.struct(*[F.col(c) for c in keep or [id_col]]).alias("row"),
     )
-    distinct = rows.groupBy("host", "key").agg(F.first(hashed_lines(F.col("text"))).alias("lines"))
+    distinct = rows.groupBy("host", "key").agg(F.first(hashed_lines(F.col("text"))).alias("lines"), F.count("*").alias("n"))
     distinct = store.written(distinct, "lines")
-    frequent = frequent_lines(distinct, rules)
-    lost = (
-        distinct.select("host", "key", F.explode("lines").alias("line"))
-        .select("host", "key", "line.h", "line.w")
-        .join(frequent, ["host", "h"])
-        .groupBy("host", "key")
-        .agg(F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
-    )
+    n_rows, n_lines = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    frequent = store.written(frequent_lines(distinct, rules), "frequent")
+    lines = distinct.select("host", "key", "n", F.explode("lines").alias("line")).select("host", "key", "n", "line.h", "line.w")
+    # a line that a third of all documents hold, and a text that a third of all rows have, are split
+    removed = spread_join(lines.withColumnRenamed("n", "rows"), frequent, ["host", "h"], n="n_docs", total=n_lines)
+    lost = store.written(removed.groupBy("host", "key").agg(F.first("rows").alias("n"), F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines")), "lost")
     text = F.coalesce(F.col("text"), F.lit(""))
     stats = rows.select(
         "*",
@@ -118,7 +117,7 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    judged = stats.join(lost, ["host", "key"], "left")
+    judged = spread_join(stats, lost, ["host", "key"], "left", total=n_rows)
     n_words, removed = F.col("s.n_words"), F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
     failed = (n_words < rules.min_words) | (100 * F.col("s.n_repeat_words") > rules.max_repeat_percent * n_words)
     depleted = (n_words - removed).cast("double") < n_words.cast("double") * F.lit(rules.min_left_share)
@@ -150,7 +149,7 @@ nl AS (SELECT doc_id, source, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS
   trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM rl),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
 freq AS (SELECT nl.source, l, count(DISTINCT d.t) AS n FROM nl JOIN d USING (doc_id) GROUP BY nl.source, l),
-bad AS (SELECT f.source, l FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 50 AND f.n > h.n * 0.005::DOUBLE),
+bad AS (SELECT f.source, l FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 5 AND f.n > h.n * 0.005::DOUBLE),
 lost AS (SELECT doc_id, sum(w)::BIGINT AS n FROM nl JOIN bad b ON nl.l = b.l AND nl.source IS NOT DISTINCT FROM b.source GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words,
   length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

@@ -11,6 +11,9 @@ as random samples; ordinary samples come from at most
 table of ``WIDTH * WIDTH`` numbers, whatever the size of the corpus.
 
 One pass over the texts trains, one scans; only transition counts are shuffled.
+Places, overlaps and replacements come from running sums and greatest values
+over a text's matches, so that a text full of matches takes no longer a
+character than any other.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import added, let, scanned
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,6 +32,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Tokens that the models judge: from 16 characters on.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 #: Characters of a token lie in FIRST .. FIRST + WIDTH - 1.
 FIRST, WIDTH = ord("+"), 80
 
@@ -45,23 +49,24 @@ class MarkovRules:
 
 
 def placed(text: Column, pattern: str, group: int, kind: int, keep) -> Column:
-    """array<struct<start, end, kind>> of the matches that ``keep(match,
-    group)`` takes; code points, end exclusive. Starts are sums of the lengths
-    of what lies before: the pieces that a split leaves and earlier matches."""
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    """array<struct<start, kind, end>> of the matches that ``keep(match,
+    group)`` takes; code points, end exclusive. Starts are running sums of the
+    lengths of what lies before: the pieces that a split leaves and earlier
+    matches; so the work grows with the text, however many matches it has."""
+    empty = F.array().cast(SPANS)
 
     def spans(m: Column) -> Column:
-        def one(x: Column, gaps: Column, lengths: Column) -> Column:
-            start = F.aggregate(F.slice(gaps, 1, x.k + 1), F.lit(0), lambda a, v: a + v) + F.aggregate(F.slice(lengths, 1, x.k), F.lit(0), lambda a, v: a + v)
-            return let(start, lambda s: F.struct(s.alias("start"), (s + F.get(lengths, x.k)).alias("end"), F.lit(kind).alias("kind")))
-
-        taken = F.filter(F.transform(F.arrays_zip(m.all.alias("m"), m.part.alias("g")), lambda x, k: F.struct(x.m.alias("m"), x.g.alias("g"), k.alias("k"))), lambda x: keep(x.m, x.g))
-        return let(taken, lambda t: F.when(F.size(t) > 0, let(
-            F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.transform(m.all, F.length).alias("lengths")),
-            lambda at: F.transform(t, lambda x: one(x, at.gaps, at.lengths)),
-        )).otherwise(empty))
-
-    found = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")), spans)
+        taken = F.filter(F.transform(m.all, lambda x, k: F.struct(x.alias("m"), F.get(m.part, k).alias("g"), k.alias("k"))), lambda x: keep(x.m, x.g))
+        gaps, lengths = F.transform(F.split(text, pattern, -1), F.length), F.transform(m.all, F.length)
+        starts = let(F.struct(gaps.alias("gaps"), lengths.alias("lengths")), lambda at: scanned(F.transform(at.lengths, lambda _, k: F.get(at.gaps, k) + F.coalesce(F.get(at.lengths, k - 1), F.lit(0))), added))
+        one = lambda s, x: F.struct(F.get(s, x.k).alias("start"), F.lit(kind).alias("kind"), (F.get(s, x.k) + F.length(x.m)).alias("end"))
+        return let(taken, lambda t: F.when(F.size(t) > 0, let(starts, lambda s: F.transform(t, lambda x: one(s, x)))).otherwise(empty))
+
+    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    if group:
+        found = let(F.struct(matches(0).alias("all"), matches(group).alias("part")), spans)
+    else:
+        found = let(matches(0), lambda m: let(F.struct(m.alias("all"), m.alias("part")), spans))
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
 
 
@@ -82,18 +87,20 @@ def transitions(token: Column) -> Column:
 
 
 def labelled_tokens(docs: DataFrame, rules: MarkovRules) -> DataFrame:
-    """(token, random): values of the fixed rules, and other long tokens."""
+    """(token, random): values of the fixed rules, and other long tokens. One
+    pass over the texts."""
     share = min(1.0, rules.max_ordinary_docs / max(1, docs.count()))
-    inner = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))
-    random = docs.where(F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{32,}}"))).select(F.explode(F.array_distinct(F.concat(
-        F.filter(inner, lambda g: (F.length(g) >= 8) & ~g.contains(".")),
-        F.filter(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), lambda m: F.length(m) >= 16),
-        F.regexp_extract_all("text", F.lit("[0-9a-f]{32,}"), F.lit(0)),
-    ))).alias("token"), F.lit(True).alias("random"))
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    values = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{32,}", " ")
-    ordinary = picked.select(F.explode(F.array_distinct(F.regexp_extract_all(values, F.lit(TOKEN), F.lit(0)))).alias("token"), F.lit(False).alias("random"))
-    return random.unionByName(ordinary)
+    found = lambda pattern, group=0: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    values = F.concat(
+        F.filter(found(ASSIGN, 2), lambda g: (F.length(g) >= 8) & ~g.contains(".")),
+        F.filter(found(ACCESS), lambda m: F.length(m) >= 16),
+        found("[0-9a-f]{32,}"),
+    )
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{32,}", " ")
+    picked = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
+    some = lambda when, tokens, random: F.transform(F.when(when, F.array_distinct(tokens)).otherwise(F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(random).alias("random")))
+    both = F.concat(some(F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{32,}}")), values, True), some(picked, F.regexp_extract_all(rest, F.lit(TOKEN), F.lit(0)), False))
+    return docs.select(F.explode(both).alias("sample")).select("sample.token", "sample.random")
 
 
 def train(samples: DataFrame, rules: MarkovRules = MarkovRules()) -> list[float]:
@@ -129,29 +136,48 @@ def scan(docs: DataFrame, rules: MarkovRules = MarkovRules(), id_col: str = "doc
     start, then kind), and ``redacted``, the text with spans replaced.
 
     Markov spans that overlap a span of the rules are left out. Null texts
-    count as empty and have no spans; repeated rows each get theirs; an empty
-    table gives an empty result. Other columns are ignored unless named in
-    ``keep``; those come back unchanged in a struct ``row``. ``table`` is a
-    trained model; by default it is trained on ``docs``.
+    count as empty and have no spans; very long texts take time in proportion
+    to their length; repeated rows each get theirs; an empty table gives an
+    empty result. Other columns are ignored unless named in ``keep``; those
+    come back unchanged in a struct ``row``, so that no name can clash.
+    ``table`` is a trained model; by default it is trained on ``docs``.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in keep or [id_col]]).alias("row"))
     table = table or train(labelled_tokens(rows, rules), rules)
-    both = F.struct(base_spans(F.col("text")).alias("base"), markov_spans(F.col("text"), table, rules).alias("more"))
-    apart = lambda s: F.concat(s.base, F.filter(s.more, lambda x: ~F.exists(s.base, lambda b: (b.start < x.end) & (x.start < b.end))))
-    ordered = F.transform(F.sort_array(F.transform(let(both, apart), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))), lambda x: x)
-    found = rows.select("doc_id", "text", ordered.alias("spans"), "row")
+    both = F.concat(base_spans(F.col("text")), markov_spans(F.col("text"), table, rules))
+    found = rows.select("doc_id", "text", let(F.sort_array(both), apart).alias("spans"), "row")
     return found.select("doc_id", "spans", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("redacted"), "row")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of overlapping spans replaced by ``mark``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def apart(spans: Column) -> Column:
+    """Sorted spans without those of the models that overlap one of the rules:
+    the rules' spans before reach to at most its start, and the next one
+    starts at its end or later."""
+    fixed = lambda x, value: F.when(x.kind < len(KINDS) - 1, value)
+    reach = scanned(F.transform(spans, lambda x: fixed(x, x.end)), F.greatest)
+    after = scanned(F.transform(spans, lambda x: fixed(x, x.start)), F.least, forward=False)
+    alone = lambda at: F.filter(spans, lambda x, k: (x.kind < len(KINDS) - 1) | ((F.coalesce(F.get(at.reach, k), F.lit(0)) <= x.start) & F.coalesce(F.get(at.after, k) >= x.end, F.lit(True))))
+    return F.when(F.exists(spans, lambda x: x.kind == len(KINDS) - 1), let(F.struct(reach.alias("reach"), after.alias("after")), alone)).otherwise(spans)
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", chunk: int = 512) -> Column:
+    """The text with each stretch of overlapping spans replaced by ``mark``.
+    What is kept is joined from chunks of the text, so no piece is sought from
+    the text's start."""
+
+    def joined_pieces(at: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first = F.floor(a / chunk).cast("int")
+            piece = F.array_join(F.slice(at.chunks, first + 1, F.floor((b - 1) / chunk).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(piece, a % chunk + 1, b - a)).otherwise("")
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc.out, F.substring(text, acc["at"] + 1, x.start - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x.end).alias("at"), F.when(x.start >= acc["at"], fresh).otherwise(acc.out).alias("out"))
+        before = lambda k: F.coalesce(F.get(at.reach, k - 1), F.lit(0))
+        heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | (F.get(spans, k).start >= before(k)))
+        pieces = F.transform(heads, lambda k: cut(before(k), F.get(spans, k).start))
+        return F.array_join(F.concat(pieces, F.array(cut(F.element_at(at.reach, -1), F.length(text)))), mark)
 
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc.out, F.substring(text, acc["at"] + 1, F.length(text))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    return let(F.struct(chunks.alias("chunks"), scanned(F.transform(spans, lambda x: x.end), F.greatest).alias("reach")), joined_pieces)
 
 
 def joined(spans: Column) -> Column:

@@ -11,13 +11,16 @@ and at least ``core`` words of it lie to the anchor's right.
    left. Suffixes whose core is in no other document are dropped; contexts
    that several documents hold settle all of their stretches.
 2. What is left, contexts of one document among others with the same core, is
-   sorted word by word as a suffix array.
-3. Neighbours are compared: common words to the right, then, from the anchor,
-   to the left. Where a core has two contexts, this settles all stretches.
-4. More contexts of one core, and those at the edge of a sorted partition,
-   settle their stretches by counting one hash for each, spread over all
-   tasks. So a passage that a third of all documents hold is no hot group, and
-   none of its pairs are made.
+   dealt out by the core and sorted word by word as a suffix array.
+3. Neighbours are compared: how many words they share to the right in that
+   order, and, sorted once more from the anchor outwards, to the left. For a
+   stretch that starts ``o`` words left of its anchor, runs of neighbours that
+   share ``min_words - o`` words to the right and ``o`` to the left hold it;
+   so every stretch of a core is settled, for any number of contexts.
+4. Only cores with more than ``max_core`` contexts would be large groups. Their
+   stretches are counted by one hash for each, spread over all tasks. So a
+   passage that a third of all documents hold, each with other words around
+   it, is no hot group either, and none of its pairs are made.
 5. Settled stretches go back to their documents, where they are united.
 
 The result is exact, up to collisions of 64-bit hashes.
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread_join
 from . import store
 from .shingles import mixed, word_hashes
 
@@ -45,6 +49,8 @@ class RepeatRules:
     kmer: int = 6
     #: Neighbouring k-mers of which the least is retained.
     window: int = 24
+    #: Contexts of one core that are sorted together.
+    max_core: int = 4_096
 
     @property
     def core(self) -> int:
@@ -109,135 +115,136 @@ def offset_masks(first: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.nd
 
 
 def retained(docs: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(core, ctx, doc_id, at, offsets): the retained suffixes of each document."""
+    """(core, ctx, doc_id, text_id, at, offsets): the retained suffixes of each
+    document. ``docs``: (doc_id, text_id, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "ctx", "doc_id", "at", "offsets"]
+        names = ["core", "ctx", "doc_id", "text_id", "at", "offsets"]
         for batch in batches:
             parts: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "text")), strict=True):
                 words = words_of(text)
                 at, first, counts = np.unique(anchors_of(words, rules), return_index=True, return_counts=True)
                 if len(at):
-                    parts.append((run_hashes(words, at, rules.core).view(np.int64), context_hashes(words, at, rules), np.full(len(at), doc_id), at.astype(np.int32), offset_masks(first, counts, at)))
+                    parts.append((run_hashes(words, at, rules.core).view(np.int64), context_hashes(words, at, rules), np.full(len(at), doc_id), np.full(len(at), text_id), at.astype(np.int32), offset_masks(first, counts, at)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
-    return docs.mapInArrow(find, "core long, ctx long, doc_id long, at int, offsets int")
+    return docs.mapInArrow(find, "core long, ctx long, doc_id long, text_id long, at int, offsets int")
+
+
+CONTEXT = "core long, ctx long, n long, large boolean, doc_id long, several boolean, right binary, left binary, offsets int"
 
 
 def contexts(docs: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(ctx, doc_id, several, right, left, offsets) of each of ``places``.
-    ``right`` and ``left`` hold four bytes a word, ``left`` from the anchor
-    outwards."""
+    """The contexts at each of ``places``, which has their core, n, large,
+    several and offsets. ``right`` and ``left`` hold four bytes a word, the
+    highest first, zeros beyond the text; ``left`` from the anchor outwards."""
     reach = rules.window - 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words = words_of(text)
-                at, first, counts = np.unique(anchors_of(words, rules), return_index=True, return_counts=True)
-                masks = dict(zip(at.tolist(), zip(offset_masks(first, counts, at).tolist(), context_hashes(words, at, rules).tolist(), strict=True), strict=True)) if len(at) else {}
-                short = (words >> np.uint64(32)).astype(">u4")
-                back = short[::-1]
-                n = len(words)
+            for doc_id, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+                short = (words_of(text) >> np.uint64(32)).astype(">u4")
+                padded = np.concatenate([np.zeros(reach, ">u4"), short, np.zeros(rules.min_words, ">u4")])
                 for p in places:
-                    mask, ctx = masks.get(p["at"], (0, None))
-                    if ctx != p["ctx"]:
-                        continue  # another text with this id
-                    i = p["at"]
-                    rows.append((ctx, doc_id, p["several"], short[i : i + rules.min_words].tobytes(), back[n - i : n - i + reach].tobytes(), mask))
+                    i = p["at"] + reach
+                    rows.append((p["core"], p["ctx"], p["n"], p["large"], doc_id, p["several"], padded[i : i + rules.min_words].tobytes(), padded[i - reach : i][::-1].tobytes(), p["offsets"]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["ctx", "doc_id", "several", "right", "left", "offsets"])
-
-    return docs.mapInArrow(find, "ctx long, doc_id long, several boolean, right binary, left binary, offsets int")
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Equal words at the start, four bytes each."""
-    n = min(len(a), len(b)) // 4 * 4
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, np.uint32, n // 4), np.frombuffer(b, np.uint32, n // 4)
-    return int((x != y).argmax())
-
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in CONTEXT.split(", ")])
 
-VERDICT = "ctx long, settled int, open int, doc_id long, several boolean, right binary, left binary"
+    return docs.mapInArrow(find, CONTEXT)
 
 
-def neighbours(rows: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(ctx, settled, open, ...) of sorted contexts. Bit o of ``settled``: the
-    stretch at offset o is in another document; of ``open``: that must be
-    counted."""
+def neighbours(rows: DataFrame, rules: RepeatRules, at_once: int = 16_384) -> DataFrame:
+    """(ctx, mask, n) of contexts that are sorted by core, then right. Bit o
+    of ``mask``: the stretch at offset o is in another document too."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the rows of one core follow one another; edge: the first or last core of the partition
-        block: list[dict] = []
-        edge = True
-        out: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if block and block[-1]["ctx"] == row["ctx"]:
-                    continue  # a document's row that is repeated
-                if block and block[0]["right"][: 4 * rules.core] != row["right"][: 4 * rules.core]:
-                    out += settle(block, edge, rules)
-                    block, edge = [], False
-                if len(block) == 3:  # larger groups are counted; their rows needn't stay
-                    out.append((block[0], 0, block[0]["offsets"]))
-                    del block[0]
-                block.append(row)
-            if len(out) >= 4096:
-                yield settled_batch(out)
-                out = []
-        out += settle(block, True, rules)
-        if out:
-            yield settled_batch(out)
-
-    return rows.mapInArrow(compare, VERDICT)
-
-
-def settle(block: list[dict], edge: bool, rules: RepeatRules) -> list[tuple]:
-    """(row, settled, open) of the contexts of one core."""
-    if len(block) != 2 or edge:
-        return [(row, 0, row["offsets"]) for row in block]
-    one, two = block
-    right, left = common(one["right"], two["right"]), common(one["left"], two["left"])
-    # o words left and min_words - o right must be common
-    shared = sum(1 << o for o in range(max(0, rules.min_words - right), min(left, rules.window - 1) + 1))
-    others = one["doc_id"] != two["doc_id"] or one["several"] or two["several"]
-    return [(row, row["offsets"] & shared if others else 0, 0) for row in block]
-
-
-def settled_batch(out: list[tuple]) -> pa.RecordBatch:
-    rows = [(r["ctx"], s, o, r["doc_id"], r["several"], r["right"] if o else None, r["left"] if o else None) for r, s, o in out]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["ctx", "settled", "open", "doc_id", "several", "right", "left"])
+            held.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                block = pa.Table.from_batches(held)
+                core = block.column("core").to_numpy()
+                other = np.flatnonzero(core != core[-1])  # the last core may go on
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    yield from settled(block.slice(0, cut), rules)
+                held, size = block.slice(cut).to_batches(), block.num_rows - cut
+        if size:
+            yield from settled(pa.Table.from_batches(held), rules)
+
+    return rows.mapInArrow(compare, "ctx long, mask int, n long")
+
+
+def common(words: np.ndarray) -> np.ndarray:
+    """How many words each row shares, from the first on, with the row before."""
+    differ = words[1:] != words[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+
+
+def settled(block: pa.Table, rules: RepeatRules) -> Iterator[pa.RecordBatch]:
+    """(ctx, mask, n) of whole cores in the order of their suffixes."""
+    core, doc_id, offsets = (block.column(c).to_numpy() for c in ("core", "doc_id", "offsets"))
+    several = block.column("several").to_numpy(zero_copy_only=False)
+    words = lambda c, k: np.frombuffer(b"".join(block.column(c).to_pylist()), ">u4").reshape(-1, k)
+    right, left = words("right", rules.min_words), words("left", rules.window - 1)
+    size = len(core)
+    new = np.concatenate([[True], core[1:] != core[:-1]])
+    place = np.cumsum(new)
+    outwards = np.lexsort([*left.T[::-1], place])
+    start_right = np.concatenate([[0], common(right)])
+    start_left = np.concatenate([[0], common(left[outwards])])
+    new_left = np.concatenate([[True], place[outwards][1:] != place[outwards][:-1]])
+    low, high = (np.where(several, x, doc_id) for x in (np.iinfo(np.int64).min, np.iinfo(np.int64).max))  # a context of several documents is unlike any other
+    mask = np.zeros(size, np.int32)
+    run_left = np.empty(size, np.int64)
+    for o in range(rules.window):
+        asks = (offsets >> o & 1).astype(bool)
+        if not asks.any():
+            continue
+        run_right = np.cumsum(new | (start_right < rules.min_words - o))
+        run_left[outwards] = np.cumsum(new_left | (start_left < o))
+        order = np.lexsort([run_left, run_right])
+        first = np.concatenate([[True], (run_right[order][1:] != run_right[order][:-1]) | (run_left[order][1:] != run_left[order][:-1])])
+        begins = np.flatnonzero(first)
+        apart = np.minimum.reduceat(low[order], begins) != np.maximum.reduceat(high[order], begins)
+        hit = np.empty(size, bool)
+        hit[order] = np.repeat(apart, np.diff(np.concatenate([begins, [size]])))
+        mask |= (hit & asks).astype(np.int32) << o
+    some = np.flatnonzero(mask)
+    yield pa.RecordBatch.from_arrays([block.column("ctx").combine_chunks().take(pa.array(some)), pa.array(mask[some]), block.column("n").combine_chunks().take(pa.array(some))], ["ctx", "mask", "n"])
 
 
 def stretches(rows: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(ctx, mask, stretch, doc_id, several): a row for each open offset;
-    stretch is a hash of its words."""
+    """(ctx, n, mask, stretch, doc_id, several): a row for each offset of each
+    context; stretch is a hash of its words."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                right, left = np.frombuffer(r["right"], np.uint32).astype(np.uint64), np.frombuffer(r["left"], np.uint32).astype(np.uint64)
-                offsets = [o for o in range(rules.window) if r["open"] >> o & 1]
-                hashes = run_hashes(np.concatenate([left[::-1], right]), len(left) - np.array(offsets), rules.min_words).view(np.int64)
-                out += [(r["ctx"], 1 << o, h, r["doc_id"], r["several"]) for o, h in zip(offsets, hashes.tolist(), strict=True)]
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["ctx", "mask", "stretch", "doc_id", "several"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                out: list[tuple] = []
+                for r in part.to_pylist():
+                    right, left = np.frombuffer(r["right"], ">u4").astype(np.uint64), np.frombuffer(r["left"], ">u4").astype(np.uint64)
+                    offsets = [o for o in range(rules.window) if r["offsets"] >> o & 1]
+                    hashes = run_hashes(np.concatenate([left[::-1], right]), len(left) - np.array(offsets, np.int64), rules.min_words).view(np.int64)
+                    out += [(r["ctx"], r["n"], 1 << o, h, r["doc_id"], r["several"]) for o, h in zip(offsets, hashes.tolist(), strict=True)]
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["ctx", "n", "mask", "stretch", "doc_id", "several"])
 
-    return rows.mapInArrow(find, "ctx long, mask int, stretch long, doc_id long, several boolean")
+    return rows.mapInArrow(find, "ctx long, n long, mask int, stretch long, doc_id long, several boolean")
 
 
 def united(docs: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(doc_id, start, end, n_words) from (doc_id, found array<struct<at, mask>>):
-    stretches of a document that overlap or touch are one passage."""
+    """(doc_id, start, end, n_words) from (doc_id, found array<struct<at, mask>>),
+    a row per text: stretches of it that overlap or touch are one passage."""
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,36 +267,38 @@ def repeated_passages(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_co
     Passages that touch or overlap are one.
 
     Documents without a repeat have no row; so have null and empty texts, and
-    rows with a null id, which take no part. Rows that share an id and a text
-    are one document; of rows that share an id with different texts, each
-    counts as that document. Words are compared as they are; white space
-    isn't. An empty table gives an empty result. Other columns are ignored.
+    rows with a null id, which take no part. Rows that share an id are one
+    document, so what only they repeat is no repeat; each of their texts has
+    passages of its own, and rows with equal texts have one list. Words are
+    compared as they are; white space isn't. Texts are read whole, however
+    long. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     store.bounded_batches(spark)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_id"), F.col(text_col).alias("text"))
     suffixes = store.written(retained(rows, rules), "suffixes")
     twice = (F.min("doc_id") != F.max("doc_id")).alias("several")
-    shared = store.written(suffixes.groupBy("core").agg(twice).where("several").select("core"), "shared")
-    found = store.written(suffixes.join(shared, "core", "left_semi"), "found")
+    shared = store.written(suffixes.groupBy("core").agg(twice, F.count("*").alias("n")).where("several").select("core", "n"), "shared")
+    found = store.written(spread_join(suffixes, shared, ["core"], "left_semi", total=suffixes.count()), "found")
     store.drop(suffixes)
     # a context is one row from here on
-    each = store.written(found.groupBy("core", "ctx").agg(twice, F.min(F.struct("doc_id", "at")).alias("place"), F.bit_or("offsets").alias("offsets")), "contexts")
-    alone = each.where("NOT several").select("core").distinct()
-    unsettled = each.join(alone, "core", "left_semi").select("place.doc_id", F.struct("place.at", "ctx", "several").alias("p"))
-    places = store.written(unsettled.groupBy("doc_id").agg(F.collect_list("p").alias("places")), "places")
-    around = contexts(rows.join(places, "doc_id").select("doc_id", "text", "places"), rules)
-    ordered = around.repartitionByRange("right", "left").sortWithinPartitions("right", "left")
-    verdicts = store.written(neighbours(ordered, rules), "verdicts")
-    counted = store.written(stretches(verdicts.where("open != 0"), rules), "stretches")
-    again = counted.groupBy("stretch").agg((F.bool_or("several") | (F.min("doc_id") != F.max("doc_id"))).alias("twice")).where("twice").select("stretch")
-    late = counted.join(again, "stretch", "left_semi").select("ctx", "mask")
-    parts = each.where("several").select("ctx", F.col("offsets").alias("mask")).unionByName(verdicts.where("settled != 0").select("ctx", F.col("settled").alias("mask"))).unionByName(late)
-    masks = store.written(parts.groupBy("ctx").agg(F.bit_or("mask").alias("mask")), "masks")
-    for table in (each, verdicts, counted):
+    each = store.written(found.groupBy("core", "ctx").agg(twice, F.min(F.struct("doc_id", "text_id", "at")).alias("place"), F.bit_or("offsets").alias("offsets"), F.count("*").alias("n")), "contexts")
+    cores = store.written(each.groupBy("core").agg(F.count("*").alias("contexts"), (~F.bool_and("several")).alias("alone")).where("alone").select("core", F.col("contexts").alias("_contexts"), (F.col("contexts") > rules.max_core).alias("large")), "cores")
+    unsettled = spread_join(each, cores, ["core"], n="_contexts", total=each.count()).select("place.doc_id", "place.text_id", F.struct("place.at", "core", "ctx", "n", "large", "several", "offsets").alias("p"))
+    places = store.written(unsettled.groupBy("doc_id", "text_id").agg(F.collect_list("p").alias("places")), "places")
+    # rows that repeat an id and a text give the same contexts again
+    around = store.written(contexts(rows.join(places, ["doc_id", "text_id"]).select("doc_id", "text", "places"), rules), "around")
+    ordered = around.where("NOT large").repartition("core").sortWithinPartitions("core", "right")
+    settled_masks = neighbours(ordered, rules)
+    counted = store.written(stretches(around.where("large"), rules), "stretches")
+    again = counted.groupBy("stretch").agg((F.bool_or("several") | (F.min("doc_id") != F.max("doc_id"))).alias("twice"), F.count("*").alias("n")).where("twice").select("stretch", F.col("n").alias("_n"))
+    late = spread_join(counted, store.written(again, "again"), ["stretch"], "left_semi", n="_n", total=counted.count()).select("ctx", "mask", "n")
+    parts = each.where("several").select("ctx", F.col("offsets").alias("mask"), "n").unionByName(settled_masks).unionByName(late)
+    masks = store.written(parts.groupBy("ctx").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "masks")
+    for table in (shared, each, cores, places, around, counted):
         store.drop(table)
-    hits = found.join(masks, "ctx").select("doc_id", "at", F.col("mask").bitwiseAND(F.col("offsets")).alias("mask")).where("mask != 0")
-    return united(hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "mask")).alias("found")), rules)
+    hits = spread_join(found.withColumnRenamed("offsets", "asked"), masks, ["ctx"], total=found.count()).select("doc_id", "text_id", "at", F.col("mask").bitwiseAND(F.col("asked")).alias("mask")).where("mask != 0")
+    return united(hits.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("at", "mask")).alias("found")).select("doc_id", "found"), rules)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:

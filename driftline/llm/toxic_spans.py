@@ -59,6 +59,10 @@ class ToxicRules:
     chain: int = 256
     #: From this probability on, a word is part of an offending span.
     span_at: float = 0.5
+    #: Longest part of a text that is one chain in scoring, and the words on
+    #: each side that it shares with its neighbours and that only they keep.
+    score_chain: int = 4_096
+    score_overlap: int = 128
 
 
 @dataclass(frozen=True)
@@ -146,6 +150,23 @@ def scores_of(words: Words, field: Field) -> np.ndarray:
     return np.bincount(words.owners, field.weights[words.features], len(words.begins)) + field.bias
 
 
+def cut_marginals(chains: list[np.ndarray], transitions: np.ndarray, rules: ToxicRules) -> list[np.ndarray]:
+    """P(toxic) of each position of chains of any length. Long ones are cut
+    into parts that run in step, with some words more on each side; what a word
+    tells of another one fades with each word between."""
+    size, side = rules.score_chain, rules.score_overlap
+    parts, owners = [], []
+    for i, chain in enumerate(chains):
+        for at in range(0, max(1, len(chain)), size):
+            low, high = max(0, at - side), min(len(chain), at + size + side)
+            parts.append(chain[low:high])
+            owners.append((i, at - low, min(size, len(chain) - at)))
+    found: list[list[np.ndarray]] = [[] for _ in chains]
+    for p, (i, skip, n) in zip(marginals(parts, transitions), owners, strict=True):
+        found[i].append(p[skip : skip + n])
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+
+
 def marginals(chains: list[np.ndarray], transitions: np.ndarray) -> list[np.ndarray]:
     """P(toxic) of each position of each chain. Chains of like length run in
     step."""
@@ -291,8 +312,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_train: Column, rules: ToxicRules
             toxic += [x == 1 for x in batch.column("toxic").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([train(texts, toxic, rules).to_bytes()])], ["model"])
 
-    one = store.written(sample, "sample").coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
-    return bytes(one.mapInArrow(learn, "model binary").first()["model"])
+    written = store.written(sample, "sample")
+    one = written.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
+    model = bytes(one.mapInArrow(learn, "model binary").first()["model"])
+    for table in (ids, written):
+        store.drop(table)
+    return model
 
 
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", rules: ToxicRules = ToxicRules()) -> DataFrame:
@@ -301,7 +326,8 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     is the greatest probability in the stretch.
 
     Null texts count as empty; empty ones have the score that no toxic word
-    gives. Null ids and repeated rows are kept as they are. An empty table
+    gives. Very long texts are tagged in parts that overlap, so that no chain
+    is longer than ``score_chain`` and its margins. Null ids and repeated rows are kept as they are. An empty table
     gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -319,7 +345,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
                 texts = part.column("text").to_pylist()
                 found = [words_of(t) for t in texts]
                 bounds = [(w.begins, w.ends) for w in found]
-                p = marginals([scores_of(w, field) for w in found], field.transitions)
+                p = cut_marginals([scores_of(w, field) for w in found], field.transitions, rules)
                 del found
                 spans = [spans_of(t, b, e, x, rules.span_at) for t, (b, e), x in zip(texts, bounds, p, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([document_score(x, field) for x in p]), pa.array(spans, span_type)], ["doc_id", "score", "spans"])

@@ -1,28 +1,32 @@
 """WARC archives: writing, reading and revisit resolution.
 
-Records are made and parsed in Arrow batches; Spark's text writer puts them
-into gzip files of a bounded number of records, on any file system that Spark
-reaches, and the binary reader brings the files back. Only headers are
-shuffled by payload digest; the largest id per digest comes from a partial
-aggregate, so a payload that a third of all pages share is no hot task.
-Payloads move once, in compressed files, when the deduplicated archive is
-written.
+Records are made and parsed in Arrow batches, each a gzip member of its own,
+so that one can be read without those before it. Members are gathered up to a
+number of bytes; Spark's text writer makes a file of each such piece, on any
+file system that Spark reaches, and the binary reader brings the files back.
+Only headers are shuffled by payload digest; the largest id per digest comes
+from a partial aggregate, and joins on a digest or an original are split where
+a third of all pages have one payload. Payloads move once, in compressed
+files, when the deduplicated archive is written.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread_join
 from . import store
 
+#: Compressed bytes from which on a file is closed; one record may go beyond.
+FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -48,43 +52,80 @@ def record(kind: str, record_id: str, page_id, url: str | None, date: str, paylo
     return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields)]).encode() + END.encode() + block
 
 
+def member(data: bytes) -> bytes:
+    """A record as a gzip member."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(data + END.encode()) + pack.flush()
+
+
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of a file, one after another."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(view):
+            parts.append(unpack.decompress(view[at : at + step]))
+            at += len(view[at : at + step]) - len(unpack.unused_data)
+        yield b"".join(parts)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive, by Content-Length."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)  # any number of members
-    at = 0
-    while data.startswith(b"WARC/", at):
-        head = data.index(END.encode(), at)
-        lines = data[at:head].decode("utf-8").split("\r\n")[1:]
-        fields = dict(line.split(": ", 1) for line in lines)
-        begin = head + 4
-        end = begin + int(fields["Content-Length"])
-        yield fields, data[begin:end]
-        at = end + 4
+    """(headers, block) of each record of an archive, compressed by record or
+    as a whole or not at all."""
+    for text in members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        at = 0
+        while text.startswith(b"WARC/", at):
+            head = text.index(END.encode(), at)
+            lines = text[at:head].decode("utf-8").split("\r\n")[1:]
+            fields = dict(line.split(": ", 1) for line in lines)
+            begin = head + 4
+            end = begin + int(fields["Content-Length"])
+            yield fields, text[begin:end]
+            at = end + 4
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def save(records: DataFrame, path: str, per_file: int) -> None:
-    """Writes the binary column ``record``. The text writer puts bytes out as they are."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def files_of(records: Iterator[bytes], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches of one row: the bytes of a file but for its last one, which the
+    writer puts behind each row. That byte is 0: a member ends with its length
+    in four bytes, the highest last; behind one of 16 MB or more stands an
+    empty member."""
+    held: list[bytes] = []
+    size = 0
+    for data in records:
+        packed = member(data)
+        held.append(packed if packed[-1] == 0 else packed + zlib.compress(b"", wbits=31))
+        size += len(held[-1])
+        if size >= file_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["file"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["file"])
+
+
+def save(files: DataFrame, path: str) -> None:
+    """Writes each row of the binary column ``file`` as a file. The text writer
+    puts bytes out as they are."""
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_responses(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", per_file: int = 2_000) -> None:
+def write_responses(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Writes a response record for each row; null payloads are empty, null
     urls and ids leave out their header. Record ids are new random ones."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            out = []
             for page_id, url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = payload or b""
-                out.append(record("response", uuid.uuid4().urn, page_id, url, date, payload, digest_of(payload)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                yield record("response", uuid.uuid4().urn, page_id, url, date, payload, digest_of(payload))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return files_of(records(batches), file_bytes)
 
-    save(pages.select(id_col, url_col, F.col(payload_col).cast("binary")).mapInArrow(make, "record binary"), path, per_file)
+    save(pages.select(id_col, url_col, F.col(payload_col).cast("binary")).mapInArrow(make, "file binary"), path)
 
 
 def read(spark: SparkSession, path: str, id_type: str = "long", with_record: bool = False) -> DataFrame:
@@ -96,20 +137,21 @@ def read(spark: SparkSession, path: str, id_type: str = "long", with_record: boo
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
-                for place, (fields, block) in enumerate(parse(data)):
+            for name, data in zip(*batch.columns, strict=True):
+                rows, size = [], 0
+                for place, (fields, block) in enumerate(parse(data.as_py())):
                     kind = fields["WARC-Type"]
                     payload = block.split(END.encode(), 1)[1] if kind == "response" else None
-                    row = [name, place, fields.get("X-Page-Id"), fields["WARC-Record-ID"][1:-1], kind, None if payload is None else len(payload), None if payload is None else digest_of(payload), fields.get("WARC-Refers-To", "<>")[1:-1] or None]
+                    row = [name.as_py(), place, fields.get("X-Page-Id"), fields["WARC-Record-ID"][1:-1], kind, None if payload is None else len(payload), None if payload is None else digest_of(payload), fields.get("WARC-Refers-To", "<>")[1:-1] or None]
                     rows.append([*row, fields.get("WARC-Target-URI"), fields["WARC-Date"], payload] if with_record else row)
-                    if len(rows) == 256:
+                    size += len(block) if with_record else 0
+                    if len(rows) == 256 or size > store.ARROW_BATCH_BYTES:
                         yield to_batch(rows, with_record)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield to_batch(rows, with_record)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = files.mapInArrow(load, HEADER.format(id="string") + extra)
     return found.withColumn("page_id", F.col("page_id").cast(id_type))
 
@@ -121,39 +163,41 @@ def to_batch(rows: list[list], with_record: bool) -> pa.RecordBatch:
 
 
 def originals(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(payload_digest, payload_bytes, page_id, record_id) of the record that
-    stays a response for each payload of at least ``min_bytes``: the one with
-    the largest page_id; of rows that repeat it, one."""
+    """(payload_digest, payload_bytes, page_id, record_id, n) of the record
+    that stays a response for each payload of at least ``min_bytes``: the one
+    with the largest page_id; of rows that repeat it, one. n: how many records
+    have the payload."""
     large = headers.where((F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes))
     first = F.max(F.struct("page_id", "record_id")).alias("o")
-    return large.groupBy("payload_digest", "payload_bytes").agg(first).select("payload_digest", "payload_bytes", "o.page_id", "o.record_id")
+    return large.groupBy("payload_digest", "payload_bytes").agg(first, F.count("*").alias("n")).select("payload_digest", "payload_bytes", "o.page_id", "o.record_id", "n")
 
 
-def write_deduplicated(spark: SparkSession, source: str, path: str, id_type: str = "long", min_bytes: int = 0, per_file: int = 2_000) -> None:
+def write_deduplicated(spark: SparkSession, source: str, path: str, id_type: str = "long", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Writes the archive in ``source`` again to ``path``, with a revisit
     record for each payload that another record has as its original. Files
-    meet the list of their revisits, of ``per_file`` records at most, as they
-    lie, compressed; records that are no responses stay as they are."""
+    meet the list of their revisits, which is as bounded as they are, as they
+    lie, compressed; records that are no responses stay as they are. Rows that
+    repeat an id and payload are records of their own, one a response; null
+    ids rank lowest; an archive without records gives one without."""
     headers = store.written(read(spark, source, id_type), "headers")
-    o = originals(headers, min_bytes).select("payload_digest", "payload_bytes", F.col("record_id").alias("original"))
-    revisits = headers.where("kind = 'response'").join(o, ["payload_digest", "payload_bytes"]).where("record_id != original")
+    o = originals(headers, min_bytes).select("payload_digest", "payload_bytes", F.col("record_id").alias("original"), "n")
+    responses = headers.where("kind = 'response'").select("file", "place", "record_id", "payload_digest", "payload_bytes")
+    revisits = spread_join(responses, store.written(o.where("n > 1"), "originals"), ["payload_digest", "payload_bytes"], total=headers.count()).where("record_id != original")
     by_file = revisits.groupBy("file").agg(F.collect_list(F.struct("place", "original")).alias("revisits"))
 
-    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            for data, found in zip(batch.column("content").to_pylist(), batch.column("revisits").to_pylist(), strict=True):
-                original = {x["place"]: x["original"] for x in found or []}
-                out: list[bytes] = []
-                for place, (fields, block) in enumerate(parse(data)):
-                    out.append(again(fields, block, original.get(place)))
-                    if len(out) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            for data, found in zip(*batch.columns, strict=True):
+                original = {x["place"]: x["original"] for x in found.as_py() or []}
+                for place, (fields, block) in enumerate(parse(data.as_py())):
+                    yield again(fields, block, original.get(place))
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return files_of(records(batches), file_bytes)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select(F.col("path").alias("file"), "content")
-    save(files.join(by_file, "file", "left").select("content", "revisits").mapInArrow(fresh, "record binary"), path, per_file)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(source).select(F.col("path").alias("file"), "content")
+    save(files.join(by_file, "file", "left").select("content", "revisits").mapInArrow(fresh, "file binary"), path)
+    store.drop(headers)
 
 
 def again(fields: dict[str, str], block: bytes, original: str | None) -> bytes:
@@ -167,13 +211,17 @@ def again(fields: dict[str, str], block: bytes, original: str | None) -> bytes:
 
 def resolve(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of an
-    archive; revisits get bytes and digest from the responses they refer to."""
+    archive; revisits get bytes and digest from the responses they refer to,
+    and nulls if those aren't there. A row per record: null ids, empty
+    payloads and repeated pages come back as they are; an archive without
+    records gives an empty result."""
     rows = store.written(read(spark, path, id_type), "resolved")
-    responses = rows.where("kind = 'response'")
-    targets = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    revisits = rows.where("kind = 'revisit'").select("page_id", "kind", "refers_to_record").join(targets, "refers_to_record", "left")
+    responses, revisits = rows.where("kind = 'response'"), rows.where("kind = 'revisit'").select("page_id", "kind", "refers_to_record")
+    asked = revisits.groupBy("refers_to_record").agg(F.count("*").alias("n"))
+    targets = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).join(asked, "refers_to_record")
+    found = spread_join(revisits, store.written(targets, "targets"), ["refers_to_record"], "left")
     return responses.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.lit(None).cast(id_type).alias("refers_to")).unionByName(
-        revisits.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+        found.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
     )
 
 

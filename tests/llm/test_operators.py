@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import heapq
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,23 @@ def test_line_quality_removes_frequent_lines(spark):
     assert not out[100]["kept"] and out[101]["removed_words"] == 0
 
 
+def test_line_limit_is_a_share_of_the_host(spark):
+    """A small host loses a line that a tenth of it holds; a large one keeps it there at five documents."""
+    own = lambda i: " ".join(f"own{i}word{k}" for k in range(60))
+    rows = [(i, f"share this page\n{own(i)}" if i < 6 else own(i), "small") for i in range(60)]
+    rows += [(1000 + i, f"share this page\n{own(i)}" if i < 6 else own(1000 + i), "large") for i in range(1300)]
+    rows += [(5000 + i, f"share this page\n{own(i)}" if i < 5 else own(i), "tiny") for i in range(8)]
+    out = line_frequency.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("removed_words > 0").collect()
+    assert {r["doc_id"] for r in out} == set(range(6))
+
+
+def test_line_quality_of_a_text_that_a_third_of_all_rows_have(spark):
+    own = lambda i: " ".join(f"own{i}word{k}" for k in range(60))
+    rows = [(i, f"read more\n{own(-1 if i % 3 == 0 else i)}", "h") for i in range(900)]
+    out = line_frequency.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 900 and all(r["removed_words"] == 2 and r["kept"] and r["clean_text"].startswith("own") for r in out)
+
+
 # 3
 
 
@@ -203,6 +221,15 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(counts, seen)
 
 
+def test_long_chains_are_tagged_in_parts():
+    rng = np.random.default_rng(11)
+    chains = [3 * rng.normal(size=n) for n in (0, 1, 300, 2_500, 1_000)]
+    transitions = np.array([[0.5, -1.0], [-0.5, 1.5]])
+    rules = toxic_spans.ToxicRules(score_chain=256, score_overlap=64)
+    for whole, parts in zip(toxic_spans.marginals(chains, transitions), toxic_spans.cut_marginals(chains, transitions, rules), strict=True):
+        assert len(whole) == len(parts) and np.allclose(whole, parts, atol=1e-9)
+
+
 def test_toxicity_spans_and_odd_rows(spark, odd, empty):
     rng = np.random.default_rng(1)
     words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "te", "vo", "zi") for c in ("n", "s", "t")]
@@ -312,6 +339,47 @@ def test_secrets_base_rules(spark):
     assert some > 0
 
 
+def markov_plain(text, table, rules=secrets.MarkovRules()):
+    out = []
+    for m in re.finditer(secrets.TOKEN, text):
+        t = m[0]
+        ratio = sum(table[(ord(a) - secrets.FIRST) * secrets.WIDTH + ord(b) - secrets.FIRST] for a, b in zip(t, t[1:], strict=False))
+        if ratio >= rules.min_ratio and ratio >= rules.min_ratio_per_char * len(t):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def redacted_plain(text, spans):
+    out, at = "", 0
+    for start, _, end in spans:
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_secrets_of_long_texts_against_a_plain_version(spark):
+    """Texts full of tokens, with and without line ends, of up to 2 MB."""
+    rng = np.random.default_rng(12)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    token = lambda n: "".join(rng.choice(alphabet, n))
+    pieces = lambda n: [[f"password = {token(12)}", token(24), "get_user_profile_by_account", f"AKIA{token(16).upper()}", "é😀", f"token:{'0123456789abcdef' * 3}", f"secret={token(20)}x"][k] for k in rng.integers(0, 7, n)]
+    texts = ["", " ".join(pieces(3)), "\n".join(pieces(400)), " ".join(pieces(9_000)), "".join(f"{token(24)}, " for _ in range(78_000))]
+    table = [0.0] * secrets.WIDTH**2
+    for k in rng.integers(0, len(table), 4_000):
+        table[k] = 1.4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    rows = {r["doc_id"]: r for r in secrets.scan(df, table=table).collect()}
+    assert time.monotonic() - began < 60 and len(texts[4]) > 2_000_000
+    for i, text in enumerate(texts):
+        base = spans_plain(text)
+        edges = np.array([(a, b) for a, _, b in base]).reshape(-1, 2)
+        more = [m for m in markov_plain(text, table) if not ((edges[:, 0] < m[2]) & (m[0] < edges[:, 1])).any()]
+        assert [(s["start"], s["kind"], s["end"]) for s in rows[i]["spans"]] == sorted(base + more)
+        assert rows[i]["redacted"] == redacted_plain(text, sorted(base + more))
+
+
 def test_secrets_markov_and_odd_rows(spark, odd, empty):
     rng = np.random.default_rng(2)
     alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -374,6 +442,19 @@ def test_near_duplicates_in_a_large_family(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in near_plain(texts).items()}
 
 
+def test_near_duplicates_when_one_text_is_a_third_of_all_rows(spark):
+    texts = {i: ("same " + " ".join(f"w{k}" for k in range(80))) if i % 3 == 0 else " ".join(f"d{i}w{k}" for k in range(30)) for i in range(1_500)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == near_plain(texts)
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = minhash.near_duplicates(odd).collect()
     by = {r["doc_id"]: r for r in rows}
@@ -391,6 +472,13 @@ def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (100, 98), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
+    assert components(edges.limit(0)).count() == 0 and components(edges.where("a = b")).count() == 0
+
+
+def test_components_of_a_star_and_a_tree(spark):
+    edges = [(5_000 + i, 5_000) for i in range(1, 2_000)] + [(i, i // 2) for i in range(2, 300)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{5_000 + i: 5_000 for i in range(2_000)}, **{i: 1 for i in range(1, 300)}}
 
 
 # 7
@@ -449,6 +537,23 @@ def test_byte_bpe_stitches_chunks(spark):
         assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) and bytes(r["b"]) == texts[r["doc_id"]].encode()
 
 
+def test_byte_bpe_engines_agree_on_awkward_texts():
+    """What is encoded whole and what is encoded by pre-token have the same ids."""
+    tokenizer = byte_bpe.public_tokenizer()
+    library, code = tiktoken_of(tokenizer), byte_bpe.codec(tokenizer)
+    rng = np.random.default_rng(13)
+    parts = ["'s", "'LL", "I'm", "don't", " ", "  ", "\t", "\n", "\r\n", "\u00a0", "\u3000", "\u200b", "ß", "İ", "ſ", "日本", "١٢٣", "½", "1234", "a", "Zz", "_", "!?", "...", "😀", "👩‍👩‍👧", "e\u0301", "\x00", "\x1c", "\x85", "\u2028", "K", "Å"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts, rng.integers(1, 30)))
+        assert code.ids(code.pattern.findall(text)) == library.encode_ordinary(text), text
+
+
+def test_byte_bpe_digests_with_ids(odd):
+    rows = byte_bpe.digests(odd, byte_bpe.public_tokenizer(), with_ids=True).collect()
+    assert len(rows) == 9 and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert {r["ids_sha256"] for r in rows if r["doc_id"] in (1, 2)} == {hashlib.sha256(b"").hexdigest()}
+
+
 # 9
 
 
@@ -475,11 +580,33 @@ def test_warc_odd_rows_and_payloads(spark, tmp_path):
     warc.write_responses(pages, str(tmp_path / "w"))
     bodies = sorted(bytes(r["payload"]) for r in warc.read(spark, str(tmp_path / "w"), with_record=True).collect())
     assert bodies == sorted((r[2] or "").encode() for r in rows)
-    first = next((tmp_path / "w").glob("*.gz")).read_bytes()
-    assert gzip.decompress(first).startswith(b"WARC/1.1\r\n")
+    for file in (tmp_path / "w").glob("part-*"):
+        data = file.read_bytes()
+        whole = gzip.decompress(data)  # members one after another, and nothing else
+        assert b"".join(warc.members(data)) == whole and all(m.startswith(b"WARC/1.1\r\n") for m in warc.members(data))
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    """Large pages, one beyond 16 MB, fill a file sooner than small ones."""
+    rng = np.random.default_rng(14)
+    noise = lambda n: rng.integers(33, 127, n, dtype=np.uint8).tobytes().decode()
+    rows = [(i, "u", noise(300_000)) for i in range(12)] + [(100 + i, "u", "small") for i in range(300)] + [(999, "u", "z" * (17 << 20))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_responses(pages, str(tmp_path / "w"), file_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert 3 <= len(sizes) <= 6 and max(sizes) < 1_500_000
+    back = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, str(tmp_path / "w"), with_record=True).collect()}
+    assert back == {i: body for i, _, body in rows}
+
+
+def test_warc_when_one_payload_is_a_third_of_all_pages(spark):
+    pages = spark.createDataFrame([(i, "u", "hot" if i % 3 == 0 else f"page {i}") for i in range(900)], "page_id long, url string, html string")
+    rows = warc.archive_pages(pages).collect()
+    assert len(rows) == 900
+    assert {(r["page_id"], r["refers_to"]) for r in rows if r["record_type"] == "revisit"} == {(i, 897) for i in range(0, 897, 3)}
+
+
 # 10
 
 
@@ -520,6 +647,32 @@ def test_repeats_against_brute_force(spark):
     assert got == repeats_plain(texts, 50)
 
 
+@pytest.mark.parametrize("max_core", [4_096, 2])
+def test_repeats_of_passages_with_many_contexts(spark, max_core):
+    """One passage in a third of all documents, cut short on either side, with other words around it; sorted and counted."""
+    rng = np.random.default_rng(15)
+    passage = [f"s{i}" for i in range(110)]
+    texts = {}
+    for d in range(240):
+        words = [f"d{d}y{i}" for i in range(rng.integers(0, 70))]
+        if d % 3 == 0:
+            a, b = sorted(rng.choice(111, 2, replace=False))
+            words += passage[a:b]
+        texts[d] = " ".join([*words, *[f"e{d % 7}y{i}" for i in range(rng.integers(0, 60))]])
+    rules = suffix_repeats.RepeatRules(max_core=max_core)
+    got = {(r["doc_id"], r["start"], r["end"]) for r in suffix_repeats.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), rules).collect()}
+    assert got == repeats_plain(texts, 50)
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Texts of one id keep lists of their own, and don't repeat one another."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    own = [f"o{i}" for i in range(20)]
+    rows = [(1, " ".join(a)), (2, " ".join(own + a)), (2, " ".join(b)), (3, " ".join(b)), (4, " ".join(own * 4)), (4, " ".join(own * 4 + ["x"]))]
+    got = sorted((r["doc_id"], r["start"], r["end"]) for r in suffix_repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 60), (2, 0, 60), (2, 20, 80), (3, 0, 60)]
+
+
 def test_repeats_odd_rows(odd, empty):
     rows = suffix_repeats.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["start"], r["end"]) for r in rows} == {(4, 0, 96), (5, 0, 96)}
