@@ -18,14 +18,23 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their boilerplate lines."""
-    return _with_text(line_quality(docs, keep=docs.columns).where("kept"), F.col("clean_text"), docs.columns)
+    """Documents that pass the quality rules, without their boilerplate lines.
+
+    Null and empty texts have no words and are rejected; texts are judged
+    whole, however long. Rows that repeat id and text stay or go together.
+    Null ids and sources are kept; columns of any name come back unchanged. An
+    empty table stays empty."""
+    return _with_text(line_quality(docs, keep=_others(docs)).where("kept"), F.col("clean_text"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id.
+
     Documents without words, and those without an id, are groups of their own.
-    Rows that share an id with other texts stay or go each by its own text."""
+    Rows that share an id with other texts stay or go each by its own text;
+    rows that repeat a kept id and text are one document, and stay. Whole texts
+    count. Columns of any name come back unchanged. An empty table stays
+    empty."""
     dropped = near_duplicates(docs, keyed=True).where("NOT kept").select("doc_id", "key_a", "key_b").distinct()
     key = text_key(docs["text"])
     same = (docs["doc_id"] == dropped["doc_id"]) & (key["a"] == dropped["key_a"]) & (key["b"] == dropped["key_b"])
@@ -33,13 +42,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of each secret."""
-    return _with_text(scan(docs, keep=docs.columns), F.col("redacted"), docs.columns)
+    """All documents, with a mark in the place of each secret.
+
+    Null texts become empty ones. Very long texts take time in proportion to
+    their length. Null ids, repeated rows and columns of any name come back as
+    they are. An empty table stays empty."""
+    return _with_text(scan(docs, keep=_others(docs)), F.col("redacted"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes: a row for each epoch in which it takes
-    words of one, with the text up to the last word that it takes."""
+    words of one, with the text up to the last word that it takes.
+
+    Null and empty texts are never taken. Rows that repeat one another are
+    documents of their own; null ids and sources take part. Columns of any name
+    come back unchanged. An empty table stays empty."""
     taken = mix(docs, MixRules(), keep=docs.columns).documents.where("taken > 0")
     by_epoch = taken.select("row", "size", F.explode("epochs").alias("words")).where("words > 0")
     # a block that ends inside a document cuts it: one document a source and epoch
@@ -48,8 +65,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document's text, as digests, and the decoded bytes'."""
-    return byte_bpe.digests(docs, byte_bpe.public_tokenizer())
+    """Token ids of each document's text, their digest, and that of the bytes
+    that they decode to.
+
+    A row per input row: null and empty texts have no ids, very long ones are
+    encoded in chunks, null ids and repeated rows stay, other columns are
+    ignored. An empty table gives an empty result."""
+    return byte_bpe.digests(docs, byte_bpe.public_tokenizer(), with_ids=True)
+
+
+def _others(docs: DataFrame) -> list[str]:
+    """Columns that a stage doesn't change, so that a text moves once."""
+    return [c for c in docs.columns if c not in ("text", "n_chars")]
 
 
 def _with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
@@ -68,6 +95,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = store.written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            store.drop(before)  # the stage that read it is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
