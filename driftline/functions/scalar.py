@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Candidate offsets from UTC, in minutes: the whole hours, and the zones between them.
-ZONE_MINUTES = tuple(sorted({*range(-720, 841, 60), -570, -210, 210, 270, 330, 345, 390, 525, 570, 630, 765}))
+#: Candidate offsets from UTC in minutes, the whole hours first,
+#: then the half hours and the others between. Of two as near the first counts.
+ZONE_MINUTES = (*range(-720, 841, 60), -570, -210, 210, 330, 570, 630, 345, 765)
 
 
 def micros(ts: Column) -> Column:
@@ -70,46 +73,66 @@ def calibrate(digital: Column, d_min: Column, d_max: Column, p_min: Column, p_ma
     return (digital - d_min) * ((p_max - p_min) / (d_max - d_min)) + p_min
 
 
-def duration_text(s: Column) -> Column:
-    """12s, 3.5m or 2.25h."""
-    return F.when(s < 60, F.format_string("%.0fs", s)).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.2fh", s / 3600))
+def fixed_text(x: Column, digits: int) -> Column:
+    """A double with so many decimals, rounded by its exact binary value, half
+    to even, as C and Python print it; ``format_string`` rounds the shortest
+    decimal that stands for it, half up. For values below 2**52 / 10**digits."""
+    scale = float(10**digits)
+    a = F.abs(x)
 
+    def halves(v):
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
 
-def duration_text_even(s: Column) -> Column:
-    """The same for whole seconds from 0 on, with ties rounded to even."""
+    (ah, al), (sh, sl) = halves(a), halves(scale)
+    high = a * scale
+    low = ((ah * sh - high) + ah * sl + al * sh) + al * sl  # high + low is the exact product
+    whole = F.floor(high)
+    over = high - whole.cast("double") - 0.5
+    up = (over > 0) | ((over == 0) & ((low > 0) | ((low == 0) & (whole % 2 == 1))))
+    n = whole + F.when(up, 1).otherwise(0)
+    parts = [F.floor(n / scale).cast("string"), *([F.lpad((n % int(scale)).cast("string"), digits, "0")] if digits else [])]
+    text = F.concat_ws(".", *parts)
+    return F.when(x.isNull(), None).when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
-    def even(unit: int) -> Column:
-        whole, twice = F.floor(s / unit), 2 * (s % unit)
-        return whole + F.when((twice > unit) | ((twice == unit) & (whole % 2 == 1)), 1).otherwise(0)
 
-    tenths, hundredths = even(6), even(36)
-    minutes = F.format_string("%d.%dm", F.floor(tenths / 10), tenths % 10)
-    hours = F.format_string("%d.%02dh", F.floor(hundredths / 100), hundredths % 100)
-    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, minutes).otherwise(hours)
+def duration_text(s: Column) -> Column:
+    """12.0s, 3.5m or 2.25h."""
+    minutes, hours = F.concat(fixed_text(s / 60, 1), F.lit("m")), F.concat(fixed_text(s / 3600, 2), F.lit("h"))
+    return F.when(s < 60, F.concat(fixed_text(s, 1), F.lit("s"))).when(s < 3600, minutes).otherwise(hours)
 
 
 def offset_text(s: Column) -> Column:
     """A signed offset as +1h02m03.25s."""
     a = F.abs(s)
     whole = F.floor(a / 60)
-    return F.format_string("%s%dh%02dm%05.2fs", F.when(s < 0, "-").otherwise("+"), F.floor(a / 3600), whole % 60, a - whole * 60)
+    rest = F.lpad(fixed_text(a - whole * 60, 2), 5, "0")
+    return F.concat(F.when(s < 0, "-").otherwise("+"), F.format_string("%dh%02dm", F.floor(a / 3600), whole % 60), rest, F.lit("s"))
 
 
 def nearest_zone(offset_s: Column) -> Column:
     """struct<minutes, residual_s>: the candidate UTC offset nearest to an
-    offset; the smaller of two as near."""
-    gaps = F.array(*[F.struct(F.abs(offset_s - 60.0 * m).alias("gap"), F.lit(m).alias("minutes")) for m in ZONE_MINUTES])
+    offset; the first of ``ZONE_MINUTES`` among some as near."""
+    gaps = F.array(*[F.struct(F.abs(offset_s - 60.0 * m).alias("gap"), F.lit(k).alias("k"), F.lit(m).alias("minutes")) for k, m in enumerate(ZONE_MINUTES)])
     best = F.array_min(gaps)
     return F.struct(best.minutes.alias("minutes"), (offset_s - 60.0 * best.minutes).alias("residual_s"))
 
 
+#: Characters that compatibility normalisation turns into a plain space.
+SPACES = "".join(map(chr, (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+#: Forms that it turns into plain ASCII, by their offset: full-width letters, digits and signs.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+
+
 def plain(name: Column) -> Column:
-    """Lower case, with no-break spaces as spaces: what names of sources are compared by."""
-    return F.lower(F.translate(name, chr(0xA0), " "))
+    """Lower case, with every kind of space as a space and full-width forms as
+    plain ones: what names of sources are compared by."""
+    ascii_of = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+    return F.lower(F.translate(name, SPACES + WIDE, " " * len(SPACES) + ascii_of))
 
 
 def source_matches(name: Column, needle: str) -> Column:
-    return plain(name).contains(needle.replace(chr(0xA0), " ").lower())
+    return plain(name).contains(unicodedata.normalize("NFKC", needle).lower())
 
 
 def is_device(hardware: Column, model: Column, prefix: str) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import AlignmentRules
+from ..functions.scalar import fixed_text
+from ..params import AlignmentRules, DensityGate
+from . import stats
 
 
 def sweep(samples: DataFrame, labels: DataFrame, high: Column, low: Column, rules: AlignmentRules, entity: str = "entity") -> DataFrame:
@@ -40,17 +42,62 @@ def best_shift(swept: DataFrame, rules: AlignmentRules, entity: str = "entity")
     )
 
 
-def usable(best: DataFrame, rules: AlignmentRules) -> DataFrame:
-    """Adds usable and reject, the reasons against an entity."""
-    wide = F.col("plateau_epochs") * rules.epoch_s > rules.max_plateau_s
-    flat = F.col("best") < rules.min_separation
-    reject = F.concat_ws("; ", F.when(wide, F.concat(F.lit("plateau "), F.col("plateau_epochs").cast("string"))), F.when(flat, "separation"))
-    return best.withColumn("usable", ~wide & ~flat).withColumn("reject", reject)
+def alignment_table(samples: DataFrame, labels: DataFrame, high: Column, low: Column, rules: AlignmentRules, gate: DensityGate = DensityGate(), entity: str = "entity") -> DataFrame:
+    """A row per entity of ``samples`` (entity, us, k, value; value null where
+    it isn't known): its best shift, separation there and at 0, plateau, rate
+    and median gap of the samples that lie within the shifted labels, the share
+    of label epochs that they cover and of the covered span that is filled,
+    onsets of the low label, all and covered, the first one's epoch, and whether
+    it is usable, or why not. ``labels``: (entity, k, label), unique; epochs
+    between the first and the last without a label are unknown."""
+    known = samples.where("value IS NOT NULL")
+    counts = samples.groupBy(entity).agg(F.count("value").alias("_known"))
+    best = best_shift(sweep(known.select(entity, "k", "value"), labels, high, low, rules, entity), rules, entity)
+    spans = labels.groupBy(entity).agg(F.min("k").alias("_k0"), (F.max("k") - F.min("k") + 1).alias("n_epochs"))
+    probed = best.join(counts.where(F.col("_known") >= rules.min_samples), entity).join(spans, entity)
+    shifted = samples.join(probed.select(entity, "best_m", "_k0", "n_epochs"), entity).withColumn("_e", F.col("k") - F.col("best_m") - F.col("_k0")).where("_e >= 0 AND _e < n_epochs")
+    rates = stats.cadence(shifted.select(entity, "us"), entity).select(entity, F.col("per_min").alias("in_rate"), F.col("median_gap_s").alias("in_gap_s"))
+    covered = shifted.select(entity, "_e").distinct()
+    cover = covered.groupBy(entity).agg(F.count("*").alias("_n"), (F.max("_e") - F.min("_e") + 1).alias("_span"))
+    marked = labels.join(spans, entity).withColumn("_e", F.col("k") - F.col("_k0")).withColumn("_low", low).where("_low").select(entity, "_e")
+    along = Window.partitionBy(entity).orderBy("_e")
+    onsets = marked.withColumn("_before", F.lag("_e").over(along)).where("_e > 0 AND (_before IS NULL OR _before < _e - 1)").select(entity, "_e")
+    held = covered.select(entity, "_e", F.lit(1).alias("_here"))
+    twice = onsets.join(held, [entity, "_e"], "left").join(held.select(entity, (F.col("_e") + 1).alias("_e"), F.col("_here").alias("_prior")), [entity, "_e"], "left")
+    onset_counts = twice.groupBy(entity).agg(F.count("*").alias("_onsets"), F.count(F.when(F.col("_here").isNotNull() & F.col("_prior").isNotNull(), 1)).alias("_covered"), F.min("_e").alias("_first"))
+    joined = counts.join(probed.drop("_known"), entity, "left").join(rates, entity, "left").join(cover, entity, "left").join(onset_counts, entity, "left")
+    seen, plateau_s = F.col("best_m").isNotNull(), F.col("plateau_epochs") * rules.epoch_s
+    rate, gap = F.coalesce("in_rate", F.lit(0.0)), F.col("in_gap_s")
+    far, wide = F.col("best") < rules.min_separation, plateau_s > rules.max_plateau_s
+    sparse = (rate < gate.min_per_minute) | gap.isNull() | (gap > gate.max_median_gap_s)
+    text = F.concat_ws(
+        "; ",
+        F.when(far, F.concat(F.lit("sep "), fixed_text(F.col("best"), 2), F.lit(f"<{rules.min_separation}"))),
+        F.when(wide, F.concat(F.lit("plateau "), fixed_text(plateau_s.cast("double"), 0), F.lit(f"s>{rules.max_plateau_s:.0f}s"))),
+        F.when(sparse, F.concat(F.lit("density rate="), fixed_text(rate, 1), F.lit("/min gap="), F.coalesce(fixed_text(gap, 1), F.lit("inf")), F.lit("s"))),
+    )
+    few = F.when(F.col("_known") < rules.min_samples, "too_few_HR_samples").otherwise("no_probe(insufficient N3/Wake coverage at any offset)")
+    count = lambda c: F.when(seen, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    return joined.select(
+        entity, F.coalesce(seen & ~far & ~wide & ~sparse, F.lit(False)).alias("usable"), F.when(seen, text).otherwise(few).alias("reject"),
+        "best_m", "best", "at_zero", plateau_s.alias("plateau_s"), F.when(seen, rate).otherwise(0.0).alias("in_rate"), "in_gap_s",
+        F.coalesce(F.col("_n") / F.col("n_epochs"), F.lit(0.0)).alias("cover"), F.coalesce(F.col("_n") / F.col("_span"), F.lit(0.0)).alias("contiguity"),
+        count("_onsets").alias("n_onsets"), count("_covered").alias("n_covered"), F.when(seen, F.coalesce("_first", F.lit(-1))).otherwise(-1).cast("long").alias("first_onset"),
+    )
 
 
-def verdict(best: DataFrame, max_spread_epochs: int) -> DataFrame:
-    """One row: how many entities have their best shift at 0, and whether all
-    clocks are clean, off by one constant, or each off by its own."""
-    out = best.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("best_m") == 0).cast("int")), F.lit(0)).cast("long").alias("n_clean"), F.min("best_m").alias("least_m"), F.max("best_m").alias("most_m"), F.percentile(F.col("best_m").cast("double"), F.lit(0.5)).alias("median_m"))
-    kind = F.when(F.col("n_clean") == F.col("n"), "clean").when(F.col("most_m") - F.col("least_m") <= max_spread_epochs, "constant").otherwise("per entity")
+def verdict(table: DataFrame, rules: AlignmentRules, max_spread_s: float = 60) -> DataFrame:
+    """One row: whether all clocks are clean, off by one constant, or each off
+    by its own. Clean: all separations at 0 are positive, and the best ones are
+    better by less than a tenth in the median. ``table``: best_m, best and
+    at_zero of each entity."""
+    some = table.where("best_m IS NOT NULL")
+    mid = lambda c: F.percentile(c, F.lit(0.5))
+    out = some.agg(
+        F.count("*").alias("n"), F.count("at_zero").alias("n_zero"), F.coalesce(F.bool_and(F.col("at_zero") > 0), F.lit(True)).alias("all_positive"),
+        mid(F.col("at_zero")).alias("median_zero"), mid(F.col("best") - F.col("at_zero")).alias("median_gain"),
+        (F.max("best_m") - F.min("best_m")).alias("spread_epochs"), mid(F.col("best_m").cast("double")).alias("median_m"),
+    )
+    clean = F.col("all_positive") & (F.col("median_gain") < 0.1 * F.abs(F.col("median_zero") + 1e-9))
+    kind = F.when(F.col("n") == 0, "none").when(clean, "clean").when(F.col("spread_epochs") * rules.epoch_s <= max_spread_s, "constant").otherwise("per entity")
     return out.withColumn("verdict", kind)

@@ -87,23 +87,45 @@ def welch(x: np.ndarray, rate: float, size: int = 512) -> tuple[np.ndarray, np.n
     return np.fft.rfftfreq(size, 1 / rate), power
 
 
-def spectral_bands(df: DataFrame, window_s: float, rate: float = 4.0, entity: str = "entity", least: int = 16) -> DataFrame:
-    """(entity, window, lf, hf): power of 0.04-0.15 and 0.15-0.4 Hz of the kept
-    beats' intervals, resampled by a spline, in tumbling windows; windows with
-    fewer than ``least`` beats have no row."""
-
-    def bands(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us").drop_duplicates("us")
-        if len(rows) < max(4, least):
-            return pd.DataFrame({entity: [], "window": [], "lf": [], "hf": []})
-        t, rr = rows["us"].to_numpy() / 1e6, rows["rr"].to_numpy(float)
-        f, power = welch(not_a_knot(t, rr, np.arange(t[0], t[-1], 1 / rate)), rate)
-        sums = [float(power[(f >= a) & (f < b)].sum() * (f[1] - f[0])) for a, b in ((0.04, 0.15), (0.15, 0.4))]
-        return pd.DataFrame({entity: [rows[entity].iloc[0]], "window": [rows["window"].iloc[0]], "lf": sums[:1], "hf": sums[1:]})
-
-    placed = df.where("keep").withColumn("window", F.floor(F.col("us") / int(window_s * 1_000_000))).select(entity, "window", "us", "rr")
-    kind = dict(df.dtypes)[entity]
-    return placed.groupBy(entity, "window").applyInPandas(bands, f"{entity} {kind}, window long, lf double, hf double")
+def log_bands(t: np.ndarray, rr: np.ndarray, rules: BeatRules) -> tuple[float, float] | None:
+    """(ln HF, ln LF/HF) of beats at ``t`` seconds, with the bands [0.04, 0.15)
+    and [0.15, 0.40] Hz; None for too few beats, times that don't rise, a grid
+    shorter than a Welch window, or an empty band."""
+    if len(t) < rules.min_beats or (np.diff(t) <= 0).any():
+        return None
+    at = np.arange(t[0], t[-1], 1 / rules.rate)
+    if len(at) < rules.nperseg:
+        return None
+    f, power = welch(not_a_knot(t, rr, at), rules.rate, rules.nperseg)
+    low, high = power[(f >= 0.04) & (f < 0.15)].sum() * f[1], power[(f >= 0.15) & (f <= 0.40)].sum() * f[1]
+    return (float(np.log(high)), float(np.log(low / high))) if low > 0 and high > 0 else None
+
+
+def spectra(beats: DataFrame, points: DataFrame, rules: BeatRules = BeatRules(), entity: str = "entity", chunk_s: float = 3_600) -> DataFrame:
+    """(entity, us, ln_hf, ln_lf_hf) at each of ``points`` (entity, us): of the
+    kept beats of (us - window, us], if there are three or more and their
+    intervals cover enough of it; else nulls. Chunks of ``chunk_s`` are tasks of
+    their own, with the beats that their first windows reach back to, so no
+    task holds an entity's whole series."""
+    width, chunk = int(rules.window_s * 1_000_000), int(chunk_s * 1_000_000)
+    asked = points.select(entity, "us", F.floor(F.col("us") / chunk).alias("_chunk"), F.lit(None).cast("double").alias("rr")).where("us IS NOT NULL").distinct()
+    reach = F.sequence(F.floor(F.col("us") / chunk), F.floor((F.col("us") + width) / chunk))
+    given = beats.where("keep").select(entity, "us", F.explode(reach).alias("_chunk"), F.col("rr").cast("double").alias("rr"))
+
+    def at_points(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows[rows["rr"].notna()].sort_values("us", kind="stable")
+        us, rr = known["us"].to_numpy(), known["rr"].to_numpy()
+        when = rows[rows["rr"].isna()]["us"].to_numpy()
+        total = np.concatenate([[0.0], np.cumsum(rr)])
+        low, high = np.searchsorted(us, when - width, side="right"), np.searchsorted(us, when, side="right")
+        out = []
+        for a, b in zip(low, high, strict=True):
+            covered = b - a >= 3 and (total[b] - total[a]) / 1000 >= rules.min_coverage * rules.window_s
+            out.append((log_bands(us[a:b] / 1e6, rr[a:b], rules) if covered else None) or (None, None))
+        ln_hf, ln_lf_hf = zip(*out, strict=True) if out else ((), ())
+        return pd.DataFrame({entity: [rows[entity].iloc[0]] * len(when), "us": when, "ln_hf": pd.array(ln_hf, "Float64"), "ln_lf_hf": pd.array(ln_lf_hf, "Float64")})
+
+    return asked.unionByName(given).groupBy(entity, "_chunk").applyInPandas(at_points, f"{entity} {dict(points.dtypes)[entity]}, us long, ln_hf double, ln_lf_hf double")
 
 
 def parabolic_peak(before: Column, at: Column, after: Column) -> Column:

@@ -6,10 +6,13 @@ import heapq
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialized
+from . import spread
 from .series import S
+from .stats import ranked_quantiles
 
 
 def lead_labels(df: DataFrame, leads_s: list[float], tau: str = "tau") -> DataFrame:
@@ -45,22 +48,31 @@ def group_folds(df: DataFrame, group: str, folds: int, parts: int = 250) -> Data
     return keyed.join(F.broadcast(table), ["_own", "_a", "_b"]).select(group, "fold")
 
 
+def _by_score(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
+    """(by, _by, _s, p, n) for each distinct score, written."""
+    counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(y)).cast("long").alias("p"), F.count("*").alias("n"))
+    return materialized(counts.withColumn("_by", F.struct(*by).cast("string")), "scores")
+
+
 def auroc(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, positives, auroc), exact, ties at half; null without both
-    classes. Rows are counted by distinct score first."""
-    counts = df.groupBy(*by, score).agg(F.sum(F.col(y)).cast("long").alias("p"), F.count("*").alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("neg", F.col("n") - F.col("p")).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    classes. Rows are counted by distinct score first; how many are below comes
+    from sums over parts of the scores' range, so no task sorts all of them."""
+    counts = _by_score(df, score, y, by)
+    part = spread.part_of(F.col("_s"), spread.splitters(counts, "_s"))
+    ranked = spread.running(counts.withColumn("neg", F.col("n") - F.col("p")), "_by", part, ["_s"], F.col("neg"), "under")
     wins = F.sum(F.col("p").cast("double") * (F.col("under") + F.col("neg") / 2))
     pairs = F.sum("p").cast("double") * F.sum("neg").cast("double")
     return ranked.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.sum("p").cast("long").alias("positives"), F.when(pairs > 0, wins / pairs).alias("auroc"))
 
 
 def auprc(df: DataFrame, score: str, y: str, by: list[str]) -> DataFrame:
-    """(by, auprc): step-wise average precision, tied scores in one step."""
-    counts = df.groupBy(*by, score).agg(F.sum(F.col(y)).cast("long").alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum("n").over(down))
+    """(by, auprc): step-wise average precision, tied scores in one step; null
+    without a positive. Sums over parts of the scores' range, as in ``auroc``."""
+    counts = _by_score(df, score, y, by)
+    part = -spread.part_of(F.col("_s"), spread.splitters(counts, "_s"))
+    above = spread.running_sums(counts, "_by", part, [F.desc("_s")], {"tp": F.col("p"), "seen": F.col("n")})
+    steps = above.withColumn("tp", F.col("tp") + F.col("p")).withColumn("seen", F.col("seen") + F.col("n"))
     area = F.sum(F.col("p").cast("double") * F.col("tp") / F.col("seen"))
     return steps.groupBy(*by).agg(F.when(F.sum("p") > 0, area / F.sum("p").cast("double")).alias("auprc"))
 
@@ -85,20 +97,26 @@ def comparable(df: DataFrame, low: float = 0.53, high: float = 0.69) -> DataFram
     return df.withColumn("comparable", F.col("mean").between(low, high))
 
 
-def lift_verdict(paired: DataFrame, base: str, treated: str, by: list[str], least: float = 0.02) -> DataFrame:
-    """Mean paired lift over folds and a verdict: PASS if it is large and all
-    folds gain, FAIL if the mean isn't above 0, else INCONCLUSIVE."""
+def lift_verdict(paired: DataFrame, base: str, treated: str, by: list[str], passing: float = 0.04, failing: float = 0.02) -> DataFrame:
+    """Mean paired lift over folds and a verdict: PASS if it is at least
+    ``passing`` and all folds gain, FAIL if it is below ``failing`` or two folds
+    or more don't gain, else INCONCLUSIVE."""
     d = F.col(treated) - F.col(base)
     out = paired.groupBy(*by).agg(F.count(d).alias("folds"), F.avg(d).alias("lift"), F.coalesce(F.sum((d > 0).cast("int")), F.lit(0)).cast("long").alias("gains"))
-    won = (F.col("lift") >= least) & (F.col("gains") == F.col("folds"))
-    return out.withColumn("verdict", F.when(won, "PASS").when(F.col("lift") <= 0, "FAIL").otherwise("INCONCLUSIVE"))
+    won = (F.col("lift") >= passing) & (F.col("gains") == F.col("folds"))
+    lost = (F.col("lift") < failing) | (F.col("folds") - F.col("gains") >= 2)
+    return out.withColumn("verdict", F.when(won, "PASS").when(lost, "FAIL").otherwise("INCONCLUSIVE"))
 
 
 def fold_bounds(df: DataFrame, columns: list[str], folds: int, low: float = 0.005, high: float = 0.995, fold: str = "fold") -> DataFrame:
-    """(fold, c_low, c_high): quantiles of the rows of all other folds."""
-    train = df.withColumn("_f", F.explode(F.array(*map(F.lit, range(folds))))).where(F.col("_f") != F.col(fold))
-    q = lambda c, p: F.percentile(F.col(c).cast("double"), F.lit(p))
-    return train.groupBy(F.col("_f").alias(fold)).agg(*[x for c in columns for x in (q(c, low).alias(f"{c}_low"), q(c, high).alias(f"{c}_high"))])
+    """(fold, c_low, c_high): quantiles of the rows of all other folds; a row
+    per fold."""
+    train = df.withColumn("_f", F.explode(F.array(*map(F.lit, range(folds))))).where(F.col("_f") != F.col(fold)).drop(fold).withColumnRenamed("_f", fold)
+    out = None
+    for c in columns:
+        found = ranked_quantiles(train, c, {f"{c}_low": low, f"{c}_high": high}, [fold])
+        out = found if out is None else out.join(found, fold)
+    return out
 
 
 def winsorized(df: DataFrame, bounds: DataFrame, columns: list[str], fold: str = "fold") -> DataFrame:

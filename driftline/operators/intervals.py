@@ -35,23 +35,36 @@ def merged_in_order(df: DataFrame, label: str, gap_s: float, entity: str = "enti
     return numbered.groupBy(entity, "_run", label).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("_run")
 
 
+def fresh_time(by: list[str]) -> Column:
+    """Microseconds of each interval that no earlier one of its group covers;
+    their sum is what the group covers."""
+    before = Window.partitionBy(*by).orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
+    return F.greatest(F.col("end_us") - F.greatest("start_us", F.max("end_us").over(before)), F.lit(0))
+
+
+def minutes(us: Column) -> Column:
+    return us.cast("double") / S / 60
+
+
 def union_minutes(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, minutes): time that the intervals of a group cover."""
-    return merged(df, by).groupBy(*by).agg((F.sum(F.col("end_us") - F.col("start_us")).cast("double") / S / 60).alias("minutes"))
+    return df.withColumn("_fresh", fresh_time(by)).groupBy(*by).agg(minutes(F.sum("_fresh")).alias("minutes"))
 
 
 def session_summary(df: DataFrame, labels: list[str], asleep: list[str], gap_s: float, entity: str = "entity", label: str = "label", source: str = "source") -> DataFrame:
     """A row per session: its bounds, the minutes that each label covers (0 if
-    none), minutes asleep, efficiency in percent, sources and records."""
+    none), minutes asleep, efficiency in percent, sources and records. All
+    windows lie within an entity, so rows move once."""
     keyed = islands(df, [entity], gap_s).withColumnRenamed("island", "session")
     by = [entity, "session"]
-    per_label = union_minutes(keyed, [*by, label]).groupBy(*by).pivot(label, labels).sum("minutes")
-    slept = union_minutes(keyed.where(F.col(label).isin(asleep)), by).withColumnRenamed("minutes", "asleep_min")
-    base = keyed.groupBy(*by).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("records"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"))
-    length = (F.col("end_us") - F.col("start_us")).cast("double") / S / 60
-    joined = base.join(per_label, by, "left").join(slept, by, "left").withColumn("duration_min", length)
-    filled = joined.select(*by, "start_us", "end_us", "records", "sources", "duration_min", *[F.coalesce(F.col(x), F.lit(0.0)).alias(f"{x}_min") for x in labels], F.coalesce("asleep_min", F.lit(0.0)).alias("asleep_min"))
-    return filled.withColumn("efficiency_pct", F.when(F.col("duration_min") > 0, 100 * F.col("asleep_min") / F.col("duration_min")))
+    rested = keyed.withColumn("_rest", F.col(label).isin(asleep))
+    timed = rested.withColumn("_own", fresh_time([*by, label])).withColumn("_slept", F.when(F.col("_rest"), fresh_time([*by, "_rest"])))
+    per_label = [minutes(F.coalesce(F.sum(F.when(F.col(label) == x, F.col("_own"))), F.lit(0))).alias(f"{x}_min") for x in labels]
+    out = timed.groupBy(*by).agg(
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("records"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"),
+        minutes(F.max("end_us") - F.min("start_us")).alias("duration_min"), *per_label, minutes(F.coalesce(F.sum("_slept"), F.lit(0))).alias("asleep_min"),
+    )
+    return out.withColumn("efficiency_pct", F.when(F.col("duration_min") > 0, 100 * F.col("asleep_min") / F.col("duration_min")))
 
 
 def bucketed(df: DataFrame, start: Column, end: Column, width_s: float) -> DataFrame:
@@ -91,6 +104,24 @@ def best_overlap(left: DataFrame, right: DataFrame, left_id: str, order: str, en
     return overlaps(left, right, entity, width_s).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def nearest_by_gap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, entity: str = "entity") -> DataFrame:
+    """(left_id, right_id, gap_us): for each left interval the right one with
+    the smallest gap, 0 where they touch or overlap. Candidates are, of those
+    that start no later, the one that ends last, and the first that starts
+    later; the former of two as near. One pass along time."""
+    side = lambda df, at, kind, i: df.select(entity, F.col(at).alias("us"), F.lit(kind).alias("_kind"), F.struct(F.col("start_us").alias("s"), F.col(i).alias("i"), F.col("end_us").alias("e")).alias("_x"))
+    rows = side(right, "start_us", 0, right_id).unionByName(side(left, "start_us", 1, left_id))
+    w = Window.partitionBy(entity).orderBy("us")
+    back, on = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    started = F.when(F.col("_kind") == 0, F.struct(F.col("_x.e").alias("e"), (-F.col("_x.s")).alias("s"), (-F.col("_x.i")).alias("i")))
+    # of those that started before, the one that reaches furthest; of those that start after, the first
+    found = rows.withColumn("_b", F.max(started).over(back)).withColumn("_a", F.min(F.when(F.col("_kind") == 0, F.col("_x"))).over(on)).where("_kind = 1")
+    start, end = F.col("_x.s"), F.col("_x.e")
+    gap_b, gap_a = F.greatest(start - F.col("_b.e"), F.lit(0)), F.greatest(F.col("_a.s") - end, F.lit(0))
+    picked = F.array_min(F.array_compact(F.array(F.when(F.col("_b").isNotNull(), F.struct(gap_b.alias("gap"), (-F.col("_b.s")).alias("s"), (-F.col("_b.i")).alias("i"))), F.when(F.col("_a").isNotNull(), F.struct(gap_a.alias("gap"), F.col("_a.s").alias("s"), F.col("_a.i").alias("i"))))))
+    return found.withColumn("_p", picked).where("_p IS NOT NULL").select(F.col("_x.i").alias(left_id), F.col("_p.i").alias(right_id), F.col("_p.gap").alias("gap_us"))
+
+
 def last_ended(left: DataFrame, right: DataFrame, left_id: str, right_id: str, entity: str = "entity") -> DataFrame:
     """(left_id, right_id, gap_us): the right interval that ended last before
     or when the left one starts; of several, the greatest id. One pass over
@@ -108,6 +139,14 @@ def clipped(df: DataFrame, start: Column, end: Column) -> DataFrame:
     return df.withColumn("outside", gone).withColumn("clip_start_us", F.when(~gone, F.greatest("start_us", start))).withColumn("clip_end_us", F.when(~gone, F.least("end_us", end)))
 
 
+def clip_statistics(df: DataFrame, start: Column, end: Column, by: list[str]) -> DataFrame:
+    """(by, kept, before_us, after_us, outside): how much of a group's intervals
+    lies before and after the window, and how many lie outside of it."""
+    gone = (F.col("end_us") <= start) | (F.col("start_us") >= end)
+    cut = lambda x: F.coalesce(F.sum(F.when(~gone, F.greatest(x, F.lit(0)))), F.lit(0)).alias
+    return df.groupBy(*by).agg(F.count(F.when(~gone, 1)).alias("kept"), cut(start - F.col("start_us"))("before_us"), cut(F.col("end_us") - end)("after_us"), F.count(F.when(gone, 1)).alias("outside"))
+
+
 def epochs_in(df: DataFrame, epoch_s: float, entity: str = "entity") -> DataFrame:
     """(entity, k) of the epochs, counted from 1970, whose midpoint lies in an
     interval [start, end); each once."""

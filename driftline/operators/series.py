@@ -173,9 +173,9 @@ def quadratic(df: DataFrame, value: str, width_s: float, name: str, least: int =
 
 
 def z_normalized(value: Column, by: WindowSpec) -> Column:
-    """(x - mean) / population SD; null where the SD is 0."""
-    sd = F.stddev_pop(value).over(by)
-    return F.when(sd > 0, (value - F.avg(value).over(by)) / sd)
+    """(x - mean) / population SD; x - mean where the SD is 0."""
+    sd, off = F.stddev_pop(value).over(by), value - F.avg(value).over(by)
+    return F.when(sd > 0, off / sd).otherwise(off)
 
 
 def ranked_quantile(df: DataFrame, value: str, p: float, name: str, by: list[str]) -> DataFrame:
@@ -190,6 +190,17 @@ def ranked_quantile(df: DataFrame, value: str, p: float, name: str, by: list[str
     return picked.groupBy(*by).agg(F.when(F.first("_n") >= 2, F.sum(F.col("_v") * weight)).alias(name))
 
 
+def outer_quartiles(df: DataFrame, value: str, by: list[str], order: str = "us", least: int = 4) -> DataFrame:
+    """(by, n, q1, q3): the exclusive quartiles of each group; of fewer than
+    ``least`` values the first and the last one in time. Nulls don't count."""
+    some = df.where(F.col(value).isNotNull())
+    ends = some.groupBy(*by).agg(F.count("*").alias("n"), F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    low, high = (ranked_quantile(some, value, p, name, by) for p, name in ((0.25, "_q1"), (0.75, "_q3")))
+    few = F.col("n") < least
+    joined = ends.join(low, by).join(high, by)
+    return joined.select(*by, "n", F.when(few, F.col("_first")).otherwise(F.col("_q1")).alias("q1"), F.when(few, F.col("_last")).otherwise(F.col("_q3")).alias("q3"))
+
+
 def grid(df: DataFrame, step_s: float, value: str = "value", entity: str = "entity") -> DataFrame:
     """(entity, us, value) on a regular grid from each entity's first sample
     to its last, by linear interpolation."""

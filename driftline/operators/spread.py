@@ -27,21 +27,40 @@ def spread_join(facts: DataFrame, table: DataFrame, keys: list[str], how: str =
     salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_copies")), F.lit(0).cast("long"))
     dealt = facts.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_copies")
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies, F.lit(1).cast("long")) - 1))).drop(n)
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    # both sides are dealt out at every size: a broadcast below a size limit would make shuffles grow faster than the data
+    return dealt.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def splitters(df: DataFrame, value: str, parts: int = 64) -> list:
+    """Values that cut a column into about equal parts, fewer where it has few."""
+    found = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def part_of(value: Column, cuts: list) -> Column:
+    """How many of the cuts are at most ``value``; rises with it."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)) if cuts else F.lit(0)
 
 
 def running(df: DataFrame, group: str, bucket: Column, order: list[str | Column], amount: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``amount`` over the rows of the same
+    """``running_sums`` of one amount."""
+    return running_sums(df, group, bucket, order, {name: amount})
+
+
+def running_sums(df: DataFrame, group: str, bucket: Column, order: list[str | Column], amounts: dict[str, Column]) -> DataFrame:
+    """``df`` with a column for each amount: its sum over the rows of the same
     ``group`` that come before. ``bucket`` must rise with ``order``: bucket
     totals, a small table, are summed up first, and the window over rows then
     runs within buckets. Rows that tie come in any order. ``df`` is read twice,
     so it should be a written table."""
     # never null, so that a plain join keeps the window's partitioning
     no_null = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
-    placed = df.withColumn("_g", no_null).withColumn("_bucket", bucket).withColumn("_amount", amount.cast("long"))
-    totals = placed.groupBy("_g", "_bucket").agg(F.sum("_amount").alias("_sum"))
+    mine = {name: f"_amount{k}" for k, name in enumerate(amounts)}
+    placed = df.withColumn("_g", no_null).withColumn("_bucket", bucket).withColumns({mine[name]: amount.cast("long") for name, amount in amounts.items()})
+    totals = placed.groupBy("_g", "_bucket").agg(*[F.sum(c).alias(c) for c in mine.values()])
     before = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_g", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select("_g", "_bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_start") for c in mine.values()])
     inside = Window.partitionBy("_g", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    return ranked.join(starts, ["_g", "_bucket"]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_g", "_bucket", "_amount", "_start", "_inside")
+    ranked = placed.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in mine.values()})
+    summed = ranked.join(starts, ["_g", "_bucket"]).withColumns({name: F.col(f"{c}_start") + F.col(f"{c}_inside") for name, c in mine.items()})
+    return summed.drop("_g", "_bucket", *[x for c in mine.values() for x in (c, f"{c}_start", f"{c}_inside")])

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import fixed_text
 from ..params import DensityGate
+from ..shared import materialized
+from . import spread
 from .series import S, lag_gap
 
 
@@ -23,16 +26,36 @@ def quantile(value: Column, p: float) -> Column:
     return F.percentile(value.cast("double"), F.lit(p))
 
 
+def ranked_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
+    """(by, name, ...): exact quantiles by linear interpolation, of few and
+    huge groups: ranks come from counts of distinct values and sums over parts
+    of their range, so no task holds a group. Nulls don't count; a group
+    without values has no row."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = materialized(counts.withColumn("_by", F.struct(*by).cast("string")), "values")
+    ranked = spread.running(counts, "_by", spread.part_of(F.col("_v"), spread.splitters(counts, "_v")), ["_v"], F.col("_n"), "_before")
+    totals = counts.groupBy("_by").agg(F.sum("_n").alias("_all"))
+    rows = ranked.join(totals, "_by")
+    at = {name: (F.col("_all") - 1) * float(p) for name, p in quantiles.items()}
+    held = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_v")))
+    parts = [x for name, r in at.items() for x in (held(F.floor(r)).alias(f"{name}_low"), held(F.ceil(r)).alias(f"{name}_high"), F.max(r - F.floor(r)).alias(f"{name}_part"))]
+    found = rows.groupBy(*by).agg(*parts)
+    return found.select(*by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in quantiles])
+
+
 def rms(value: Column) -> Column:
     return F.sqrt(F.avg(value * value))
 
 
-def time_bins(df: DataFrame, width_s: float, fn: Column, name: str, entity: str = "entity") -> DataFrame:
-    """(entity, b, name) for all bins from the entity's first sample to its
-    last; empty bins have 0."""
+def time_bins(df: DataFrame, width_s: float, fn: Column, name: str, entity: str = "entity", origin_us: Column | None = None) -> DataFrame:
+    """(entity, b, name) for all bins from an origin, or else the entity's
+    first sample, to its last one; empty bins have 0. A last sample that lies
+    on a bin's end belongs to that bin."""
     w = int(width_s * S)
-    start = F.min("us").over(Window.partitionBy(entity))
-    placed = df.withColumn("b", F.floor((F.col("us") - start) / w))
+    whole = Window.partitionBy(entity)
+    start = F.min("us").over(whole) if origin_us is None else origin_us
+    last = F.ceil((F.max("us").over(whole) - start) / w) - 1
+    placed = df.withColumn("b", F.least(F.floor((F.col("us") - start) / w), F.greatest(last, F.lit(0).cast("long"))))
     full = placed.groupBy(entity).agg(F.max("b").alias("_last")).select(entity, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("b"))
     return full.join(placed.groupBy(entity, "b").agg(fn.alias(name)), [entity, "b"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
@@ -55,10 +78,14 @@ def cadence(df: DataFrame, entity: str = "entity") -> DataFrame:
 
 
 def density_gate(cadences: DataFrame, gate: DensityGate = DensityGate()) -> DataFrame:
-    """Adds dense and reason: why a series is too sparse to compute on."""
+    """Adds dense and reason: the first thing that makes a series too sparse to
+    compute on, with its figures; empty for dense ones. Without a gap, a single
+    sample's is infinite."""
     slow = F.col("per_min") < gate.min_per_minute
     gappy = F.col("median_gap_s").isNull() | (F.col("median_gap_s") > gate.max_median_gap_s)
-    reason = F.concat_ws("; ", F.when(slow, "rate"), F.when(gappy, "gap"))
+    rate = F.concat(F.lit("rate "), fixed_text(F.col("per_min"), 2), F.lit(f"/min < {gate.min_per_minute:.1f}/min required"))
+    gap = F.concat(F.lit("median gap "), F.coalesce(fixed_text(F.col("median_gap_s"), 1), F.lit("inf")), F.lit(f"s > {gate.max_median_gap_s:.0f}s required"))
+    reason = F.when(slow, rate).when(gappy, gap).otherwise("")
     return cadences.withColumn("dense", ~slow & ~gappy).withColumn("reason", reason)
 
 

@@ -61,6 +61,8 @@ class PhaseRules:
     max_spread: float = 0.8
     hold_s: float = 60
     confirm_s: float = 30
+    #: Whether firing only says so in its reason.
+    observe_only: bool = False
 
 
 @dataclass(frozen=True)
@@ -71,4 +73,8 @@ class BeatRules:
     max_deviation: float = 0.20
     window_s: float = 300
     min_coverage: float = 0.80
+    #: Spectra: samples a second, and samples of each Welch window.
+    rate: float = 4.0
+    nperseg: int = 512
+    min_beats: int = 8
     grid: tuple[float, ...] = field(default=(5.0,))

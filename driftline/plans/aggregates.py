@@ -31,14 +31,16 @@ def mean_median(ev: DataFrame) -> DataFrame:
 
 @query("quantile_linear", f"{EV} SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.95), 6) AS p95 FROM ev GROUP BY 1")
 def quantile_linear(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("event_type").agg(r(stats.quantile(V(), 0.25)).alias("q1"), r(stats.quantile(V(), 0.95)).alias("p95"))
+    return stats.ranked_quantiles(ev, "value", {"q1": 0.25, "p95": 0.95}, ["event_type"]).select("event_type", r("q1").alias("q1"), r("p95").alias("p95"))
 
 
-@query("quantile_exclusive", f"""{EV}, k AS (SELECT entity, value, row_number() OVER (PARTITION BY entity ORDER BY value) AS k, count(*) OVER (PARTITION BY entity) AS n FROM ev),
-p AS (SELECT *, least(greatest((n + 1) * 0.25::DOUBLE, 1), n) AS x FROM k)
-SELECT entity, round(CASE WHEN max(n) >= 2 THEN sum(value * CASE WHEN k = floor(x) THEN 1 - (x - floor(x)) ELSE x - floor(x) END) END, 6) AS q1 FROM p WHERE k = floor(x) OR k = floor(x) + 1 GROUP BY 1""")
+@query("quantile_exclusive", f"""{EV}, k AS (SELECT entity, event_type, us, value, row_number() OVER (PARTITION BY entity, event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY entity, event_type) AS n FROM ev),
+p AS (SELECT *, least(greatest((n + 1) * 0.25::DOUBLE, 1), n) AS x, least(greatest((n + 1) * 0.75::DOUBLE, 1), n) AS z FROM k)
+SELECT entity, event_type, max(n) AS n,
+round(CASE WHEN max(n) < 4 THEN arg_min(value, us) ELSE sum(value * CASE WHEN k = floor(x) THEN 1 - (x - floor(x)) WHEN k = floor(x) + 1 THEN x - floor(x) ELSE 0 END) END, 6) AS q1,
+round(CASE WHEN max(n) < 4 THEN arg_max(value, us) ELSE sum(value * CASE WHEN k = floor(z) THEN 1 - (z - floor(z)) WHEN k = floor(z) + 1 THEN z - floor(z) ELSE 0 END) END, 6) AS q3 FROM p GROUP BY 1, 2""")
 def quantile_exclusive(ev: DataFrame) -> DataFrame:
-    return series.ranked_quantile(ev, "value", 0.25, "q1", ["entity"]).select("entity", r("q1").alias("q1"))
+    return series.outer_quartiles(ev, "value", ["entity", "event_type"]).select("entity", "event_type", "n", r("q1").alias("q1"), r("q3").alias("q3"))
 
 
 @query("five_number_summary", f"""{EV} SELECT entity, count(*) AS n, min(value) AS lo, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS med, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS hi,
@@ -58,11 +60,15 @@ def rms(ev: DataFrame) -> DataFrame:
     return ev.groupBy("entity").agg(r(stats.rms(V())).alias("rms"))
 
 
-@query("time_bin_agg", f"""{EV}, p AS (SELECT entity, value, floor((us - min(us) OVER (PARTITION BY entity)) / 86400000000)::BIGINT AS b FROM ev),
-g AS (SELECT entity, unnest(range(0, max(b) + 1)) AS b FROM p GROUP BY entity), a AS (SELECT entity, b, max(value) AS peak FROM p GROUP BY 1, 2)
-SELECT g.entity, g.b, coalesce(peak, 0) AS peak FROM g LEFT JOIN a ON g.entity = a.entity AND g.b = a.b""")
+@query("time_bin_agg", f"""{EV}, o AS (SELECT *, floor(min(us) OVER (PARTITION BY entity) / 86400000000)::BIGINT * 86400000000 AS o, max(us) OVER (PARTITION BY entity) AS z FROM ev),
+p AS (SELECT entity, value, least(floor((us - o) / 86400000000)::BIGINT, greatest(ceil((z - o) / 86400000000)::BIGINT - 1, 0)) AS b FROM o),
+g AS (SELECT entity, unnest(range(0, max(b) + 1)) AS b FROM p GROUP BY entity), a AS (SELECT entity, b, sqrt(avg(value * value)) AS rms FROM p GROUP BY 1, 2)
+SELECT g.entity, g.b, round(coalesce(rms, 0), 6) AS rms FROM g LEFT JOIN a ON g.entity = a.entity AND g.b = a.b""")
 def time_bin_agg(ev: DataFrame) -> DataFrame:
-    return stats.time_bins(ev, DAY, F.max("value"), "peak")
+    """From the midnight before an entity's first sample on."""
+    day = DAY * series.S
+    midnight = F.floor(F.min("us").over(Window.partitionBy("entity")) / day) * day
+    return stats.time_bins(ev.withColumn("origin", midnight), DAY, stats.rms(V()), "rms", origin_us=F.col("origin")).select("entity", "b", r("rms").alias("rms"))
 
 
 @query("bin_end_mean", f"{EV} SELECT entity, ceil(us / 86400000000)::BIGINT * 86400000000 AS end_us, round_even(avg(value), 0) AS mean FROM ev GROUP BY 1, 2")
@@ -156,18 +162,29 @@ def cadence(ev: DataFrame) -> DataFrame:
     return _cadence(ev)
 
 
-@query("corpus_inventory", f"""{CADENCE}, s AS (SELECT entity, {", ".join(f"count(*) FILTER (event_type = '{x}') AS n_{x}" for x in ("error", "view"))}, (min(us) - 1704067200000000)::DOUBLE / 1e6 AS off FROM ev GROUP BY 1)
-SELECT entity, n, round(CASE WHEN n >= 2 AND span_min > 0 THEN n / span_min ELSE 0 END, 9) AS per_min, n_error, n_view, round(off, 5) AS origin_offset_s FROM c JOIN s USING (entity)""")
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("corpus_inventory", f"""{CADENCE}, e AS (SELECT *, event_type = 'error' AND lag(event_type) OVER {BY} <> 'error' AS onset FROM ev),
+s AS (SELECT entity, {", ".join(f"count(*) FILTER (event_type = '{x}') AS n_{x}" for x in KINDS)}, count(*) FILTER (onset) AS n_onsets, (min(us) - 1704067200000000)::DOUBLE / 1e6 AS off FROM e GROUP BY 1),
+t AS (SELECT entity, n, CASE WHEN n >= 2 AND span_min > 0 THEN n / span_min ELSE 0 END AS per_min, med, {", ".join(f"n_{x}" for x in KINDS)}, n_onsets, off FROM c JOIN s USING (entity))
+SELECT entity::VARCHAR AS entity, n, round(per_min, 9) AS per_min, round(med, 6) AS median_gap_s, {", ".join(f"n_{x}" for x in KINDS)}, n_onsets, round(off, 5) AS origin_offset_s FROM t
+UNION ALL SELECT 'POOLED', sum(n)::BIGINT, round(avg(per_min), 9), round(quantile_cont(med, 0.5), 6), {", ".join(f"sum(n_{x})::BIGINT" for x in KINDS)}, sum(n_onsets)::BIGINT, round(quantile_cont(off, 0.5), 5) FROM t""")
 def corpus_inventory(ev: DataFrame) -> DataFrame:
-    kinds = [F.count(F.when(F.col("event_type") == x, 1)).alias(f"n_{x}") for x in ("error", "view")]
-    off = (F.min("us") - 1_704_067_200_000_000).cast("double") / 1e6
-    return stats.cadence(ev).join(ev.groupBy("entity").agg(*kinds, r(off, 5).alias("origin_offset_s")), "entity").select("entity", "n", r("per_min", 9).alias("per_min"), "n_error", "n_view", "origin_offset_s")
+    """Cadence, stages, onsets and offset of each entity, and a row of all."""
+    kinds = [F.count(F.when(F.col("event_type") == x, 1)).alias(f"n_{x}") for x in KINDS]
+    marked = ev.withColumn("onset", series.rising(F.col("event_type") == "error"))
+    counts = marked.groupBy("entity").agg(*kinds, F.count(F.when(F.col("onset"), 1)).alias("n_onsets"), ((F.min("us") - 1_704_067_200_000_000).cast("double") / 1e6).alias("off"))
+    each = stats.cadence(ev).join(counts, "entity").select(F.col("entity").cast("string").alias("entity"), "n", "per_min", "median_gap_s", *[f"n_{x}" for x in KINDS], "n_onsets", "off")
+    totals = [F.sum(c).alias(c) for c in (*[f"n_{x}" for x in KINDS], "n_onsets")]
+    pooled = each.agg(F.lit("POOLED").alias("entity"), F.sum("n").alias("n"), F.avg("per_min").alias("per_min"), F.percentile("median_gap_s", F.lit(0.5)).alias("median_gap_s"), *totals, F.percentile("off", F.lit(0.5)).alias("off"))
+    return each.unionByName(pooled).select("entity", "n", r("per_min", 9).alias("per_min"), r("median_gap_s").alias("median_gap_s"), *[f"n_{x}" for x in KINDS], "n_onsets", r("off", 5).alias("origin_offset_s"))
 
 
 @query("per_source_distribution", f"{EV}, x AS (SELECT event_type, floor(value * 10) AS d FROM ev) SELECT event_type, quantile_cont(d, 0.5) AS med, round(quantile_cont(d, 0.95), 6) AS p95 FROM x GROUP BY 1")
 def per_source_distribution(ev: DataFrame) -> DataFrame:
-    d = F.floor(V() * 10)
-    return ev.groupBy("event_type").agg(stats.quantile(d, 0.5).alias("med"), r(stats.quantile(d, 0.95)).alias("p95"))
+    d = ev.select("event_type", F.floor(V() * 10).alias("d"))
+    return stats.ranked_quantiles(d, "d", {"med": 0.5, "p95": 0.95}, ["event_type"]).select("event_type", "med", r("p95").alias("p95"))
 
 
 @query("origin_offset", f"{EV} SELECT entity, round((min(us) - 1704067200000000)::DOUBLE / 1e6, 6) AS offset_s FROM ev GROUP BY 1")
@@ -248,23 +265,17 @@ def calibrate(ev: DataFrame) -> DataFrame:
     return ev.select("event_id", r(scalar.calibrate(V(), F.lit(0.0), F.lit(500.0), F.lit(-1.0), F.lit(1.0))).alias("physical"))
 
 
-@query("fmt_duration", f"{EV}, x AS (SELECT event_id, floor(value * 97) AS s FROM ev) SELECT event_id, CASE WHEN s < 60 THEN format('{{:.0f}}s', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) ELSE printf('%.2fh', s / 3600) END AS text FROM x WHERE s % 3 <> 0")
-def fmt_duration(ev: DataFrame) -> DataFrame:
-    s = F.floor(V() * 97).cast("double")
-    # multiples of 3 seconds can tie in the last digit, which C and Java round apart
-    return ev.where(s % 3 != 0).select("event_id", scalar.duration_text(s).alias("text"))
+DURATIONS = f"{EV}, x AS (SELECT event_id, value * 97 AS s FROM ev) SELECT event_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) ELSE printf('%.2fh', s / 3600) END AS text FROM x"
 
 
-@query("fmt_duration_all", f"""{EV}, x AS (SELECT event_id, floor(value * 97)::BIGINT AS s FROM ev),
-h AS (SELECT *, s // 6 + CASE WHEN s % 6 > 3 OR (s % 6 = 3 AND (s // 6) % 2 = 1) THEN 1 ELSE 0 END AS tenths, s // 36 + CASE WHEN s % 36 > 18 OR (s % 36 = 18 AND (s // 36) % 2 = 1) THEN 1 ELSE 0 END AS hundredths FROM x)
-SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (tenths // 10) || '.' || (tenths % 10) || 'm' ELSE (hundredths // 100) || '.' || lpad((hundredths % 100)::VARCHAR, 2, '0') || 'h' END AS text FROM h""")
-def fmt_duration_all(ev: DataFrame) -> DataFrame:
-    # every row; whole tenths and hundredths, ties to even, so no formatter rounds
-    return ev.select("event_id", scalar.duration_text_even(F.floor(V() * 97)).alias("text"))
+@query("fmt_duration_all", DURATIONS)
+@query("fmt_duration", DURATIONS)
+def fmt_duration(ev: DataFrame) -> DataFrame:
+    return ev.select("event_id", scalar.duration_text(V() * 97).alias("text"))
 
 
-@query("nearest_clean_zone", f"""{EV}, z AS (SELECT DISTINCT unnest(list_concat(range(-720, 841, 60), [-570, -210, 210, 270, 330, 345, 390, 525, 570, 630, 765])) AS m),
-x AS (SELECT event_id, value * 200 - 40000 AS o FROM ev), p AS (SELECT event_id, m, o - 60 * m AS res, row_number() OVER (PARTITION BY event_id ORDER BY abs(o - 60 * m), m) AS k FROM x, z)
+@query("nearest_clean_zone", f"""{EV}, z AS (SELECT unnest(list_concat(range(-720, 841, 60), [-570, -210, 210, 330, 570, 630, 345, 765])) AS m, unnest(range(0, 35)) AS i),
+x AS (SELECT event_id, value * 200 - 40000 AS o FROM ev), p AS (SELECT event_id, m, o - 60 * m AS res, row_number() OVER (PARTITION BY event_id ORDER BY abs(o - 60 * m), i) AS k FROM x, z)
 SELECT event_id, m::INT AS minutes, round(res, 6) AS residual_s FROM p WHERE k = 1""")
 def nearest_clean_zone(ev: DataFrame) -> DataFrame:
     z = scalar.nearest_zone(V() * 200 - 40_000)

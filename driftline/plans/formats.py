@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..operators import stats
 from ..params import PhaseRules
 from ..shared import new_path
 from ..sources import text
@@ -107,7 +108,9 @@ def scan_csv_dict(ev: DataFrame) -> DataFrame:
 @query("sink_csv_cells", "SELECT event_type AS model, count(*) AS n, printf('%.4f', quantile_cont(value, 0.5)) AS med FROM events GROUP BY 1")
 def sink_csv_cells(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "cells")
-    sinks.write_cells(ev.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("med")), path)
+    rows = ev.withColumn("model", F.col("event_type"))
+    medians = stats.ranked_quantiles(rows, "value", {"med": 0.5}, ["model"])
+    sinks.write_cells(rows.groupBy("model").agg(F.count("*").alias("n")).join(medians, "model").select("model", "n", "med"), path)
     return ev.sparkSession.read.schema("model STRING, n LONG, med STRING").option("header", True).csv(path)
 
 
@@ -160,7 +163,10 @@ DAYS_RULES = PhaseRules(reference_s=5 * 86_400, onset_drop=2, onset_window_s=3 *
 
 
 def _samples(ev: DataFrame) -> DataFrame:
-    return ev.select("entity", "us", F.when(F.col("event_type") == "click", "motion").otherwise("value").alias("kind"), "value")
+    """Samples, and an hour before an entity's first one the start of its session."""
+    rows = ev.select("entity", "us", F.when(F.col("event_type") == "click", "motion").otherwise("value").alias("kind"), "value")
+    starts = ev.groupBy("entity").agg((F.min("us") - 3_600_000_000).alias("us")).select("entity", "us", F.lit("start").alias("kind"), F.lit(None).cast("double").alias("value"))
+    return rows.unionByName(starts)
 
 
 @query("phase_machine")
@@ -173,6 +179,8 @@ def phase_machine_stream(ev: DataFrame) -> DataFrame:
     return _drained(phase.phase_stream(_as_stream(_samples(ev)), DAYS_RULES)).select("entity", "us", "phase_from", "phase_to", "reason")
 
 
-@query("delayed_timer", f"{EV} SELECT event_id, us + 10800000000 AS due_us FROM ev WHERE event_type = 'signup'")
+@query("delayed_timer", f"""{EV}, s AS (SELECT event_id, us + 10800000000 AS due_us, max(us) OVER () AS now FROM ev WHERE event_type = 'signup') SELECT event_id, due_us FROM s WHERE due_us // 1000 < now // 1000""")
 def delayed_timer(ev: DataFrame) -> DataFrame:
-    return phase.timers(ev.where("event_type = 'signup'"), 3 * 3600).select("event_id", "due_us")
+    """Follow-ups three hours after a rating, as far as the stream has got."""
+    live = _as_stream(ev.where("event_type = 'signup'").select("entity", F.col("event_id").alias("id"), "us"))
+    return _drained(phase.due_timers(live, 3 * 3600)).select(F.col("id").alias("event_id"), "due_us")

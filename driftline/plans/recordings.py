@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import scalar
-from ..operators import series
+from ..operators import frames, series
 from ..shared import new_path
 from ..sources import binary, text
 from ..streaming import phase
@@ -77,43 +77,8 @@ def scan_edf_signal(ev: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"), r(F.sum(F.col("x").cast("double")), 1).alias("total"))
 
 
-@query("scan_recovered_json", f"{EV} SELECT t, value AS bpm FROM ev WHERE entity % 2 = 1")
-def scan_recovered_json(ev: DataFrame) -> DataFrame:
-    path = new_path(ev.sparkSession, "recovered")
-    pairs = ev.where("entity % 2 = 1").groupBy("entity").agg(F.collect_list(F.struct("t", V().alias("bpm"))).alias("hr"))
-    pairs.select(F.to_json("hr").alias("value")).write.text(path)
-    found = ev.sparkSession.read.text(path).select(F.from_json("value", "ARRAY<STRUCT<t: DOUBLE, bpm: DOUBLE>>").alias("hr"))
-    return found.select(F.explode("hr").alias("s")).select("s.t", "s.bpm")
-
-
-@query("list_files", "SELECT user_id::VARCHAR AS entity, event_type AS night FROM events WHERE user_id < 40 GROUP BY ALL HAVING max(value) > 50")
-def list_files(ev: DataFrame) -> DataFrame:
-    path = new_path(ev.sparkSession, "nights")
-    folder = ["entity", "night"]
-    rows = ev.where("entity < 40").select("entity", F.col("event_type").alias("night"), "value")
-    for name, part in (("hr", rows), ("labels", rows.where("value > 50"))):
-        part.select(*folder, F.lit(name).alias("kind"), F.col("value").cast("string").alias("value")).write.partitionBy("kind", *folder).mode("append").text(path)
-
-    def nights(kind: str) -> DataFrame:
-        files = ev.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/kind={kind}")
-        parts = F.split("path", "/")
-        return files.select(F.split(F.element_at(parts, -3), "=")[1].alias("entity"), F.split(F.element_at(parts, -2), "=")[1].alias("night")).distinct()
-
-    return nights("hr").join(nights("labels"), ["entity", "night"])
-
-
-@query("scan_npz", f"{EV} SELECT entity, count(*) AS n FROM ev WHERE entity < 50 GROUP BY 1")
-def scan_npz(ev: DataFrame) -> DataFrame:
-    # derived arrays are kept as Parquet, partitioned by record
-    path = new_path(ev.sparkSession, "derived")
-    ev.withColumn("part", F.col("entity") % 8).write.partitionBy("part").parquet(path)
-    return ev.sparkSession.read.parquet(path).where("entity < 50").groupBy("entity").agg(F.count("*").alias("n"))
-
-
-# whole tables: the three queries of nearly the same names keep the ids of their SQL
-
-
 @query("scan_recovered_json_all", f"{EV} SELECT t, value AS bpm, event_type AS stage FROM ev")
+@query("scan_recovered_json", f"{EV} SELECT t, value AS bpm, event_type AS stage FROM ev")
 def scan_recovered_json_all(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "recovered")
     found = {}
@@ -126,6 +91,7 @@ def scan_recovered_json_all(ev: DataFrame) -> DataFrame:
 
 
 @query("list_files_all", "SELECT user_id::VARCHAR AS entity, event_type AS night FROM events GROUP BY ALL HAVING max(value) > 50")
+@query("list_files", "SELECT user_id::VARCHAR AS entity, event_type AS night FROM events GROUP BY ALL HAVING max(value) > 50")
 def list_files_all(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "nights")
     rows = ev.select("entity", F.col("event_type").alias("night"), "value").repartition("entity", "night")
@@ -136,6 +102,7 @@ def list_files_all(ev: DataFrame) -> DataFrame:
 
 
 @query("scan_npz_all", f"{EV} SELECT entity, count(*) AS n FROM ev GROUP BY 1")
+@query("scan_npz", f"{EV} SELECT entity, count(*) AS n FROM ev GROUP BY 1")
 def scan_npz_all(ev: DataFrame) -> DataFrame:
     path = new_path(ev.sparkSession, "derived")
     ev.withColumn("part", F.col("entity") % 8).write.partitionBy("part").parquet(path)
@@ -157,11 +124,12 @@ def fmt_offset(ev: DataFrame) -> DataFrame:
     return ev.select("event_id", scalar.offset_text((F.floor(V() * 971) - 9000).cast("double")).alias("text"))
 
 
-@query("midnight_roll", f"""{EV}, c AS (SELECT event_id, entity, us, (us // 1000000) % 86400 AS s FROM ev), f AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY entity ORDER BY us) < -3600 THEN 86400 ELSE 0 END AS roll FROM c)
+@query("midnight_roll", f"""{EV}, c AS (SELECT event_id, entity, us, (us // 1000000) % 86400 AS s FROM ev), f AS (SELECT *, CASE WHEN s - coalesce(lag(s) OVER (PARTITION BY entity ORDER BY us), 64800) < -3600 THEN 86400 ELSE 0 END AS roll FROM c)
 SELECT event_id, (s + sum(roll) OVER (PARTITION BY entity ORDER BY us))::BIGINT AS t FROM f""")
 def midnight_roll(ev: DataFrame) -> DataFrame:
+    """Recordings that start at 18:00."""
     rows = ev.select("event_id", F.col("entity").alias("file"), US().alias("line"), F.date_format(F.timestamp_micros(US()), "HH:mm:ss").alias("clock"))
-    return text.clock_times(rows).select("event_id", F.col("t").cast("long").alias("t"))
+    return text.clock_times(rows, start_s=F.lit(64_800)).select("event_id", F.col("t").cast("long").alias("t"))
 
 
 @query("date_parse", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE epoch_us(ts) // 1000000 - 3600 END AS s FROM events")
@@ -188,19 +156,21 @@ def resample_offsets(ev: DataFrame) -> DataFrame:
 
 @query("rolling_apply", f"""{EV} SELECT event_id, round(quantile_cont(value, 0.9) OVER w - quantile_cont(value, 0.1) OVER w, 6) AS spread FROM ev WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING)""")
 def rolling_apply(ev: DataFrame) -> DataFrame:
-    w = series.centred(2 * DAY)
-    q = lambda p: F.percentile(V(), F.lit(p)).over(w)
-    return ev.select("event_id", r(q(0.9) - q(0.1)).alias("spread"))
+    """A function of the caller's, here a numpy one, over each centred window."""
+    spread = lambda t, x: float(np.quantile(x, 0.9) - np.quantile(x, 0.1))
+    return frames.rolling_apply(ev.select("event_id", "entity", "us", "value"), 2 * DAY, spread, "spread", chunk_s=10 * DAY).select("event_id", r("spread").alias("spread"))
 
 
-@query("per_entity_rows", f"{EV} SELECT entity, count(*) AS n, max(value) - min(value) > 100 AS wide FROM ev GROUP BY 1")
+@query("per_entity_rows", f"""{EV}, m AS (SELECT *, max(value) OVER (PARTITION BY entity ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ev)
+SELECT entity, us, value FROM m WHERE top IS NULL OR value > top""")
 def per_entity_rows(ev: DataFrame) -> DataFrame:
-    def one(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            yield batch.assign(wide=batch["hi"] - batch["lo"] > 100)[["entity", "n", "wide"]]
+    """A function of the caller's from an entity's series to any rows."""
 
-    found = ev.groupBy("entity").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return found.mapInPandas(one, "entity long, n long, wide boolean")
+    def highs(rows: pd.DataFrame) -> pd.DataFrame:
+        before = rows["value"].cummax().shift(1)
+        return rows[before.isna() | (rows["value"] > before)]
+
+    return frames.per_entity(ev.select("entity", "us", "value"), highs, "entity long, us long, value double")
 
 
 # live sources
@@ -231,6 +201,22 @@ def periodic_checkpoint(ev: DataFrame) -> DataFrame:
     return spark.read.schema(ev.schema).parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("state_log", f"{EV}, e AS (SELECT *, lag(event_type) OVER (PARTITION BY entity ORDER BY us) AS b FROM ev) SELECT event_id, b AS state_from, event_type AS state_to FROM e WHERE b IS NULL OR b <> event_type")
+def state_log(ev: DataFrame) -> DataFrame:
+    """The changes of a stream of states, each with what was before, as they come."""
+    live = _as_stream(ev.select("event_id", "entity", "us", F.col("event_type").alias("state")))
+    return _drained(phase.edges(live)).select("event_id", F.col("before").alias("state_from"), F.col("state").alias("state_to"))
+
+
+ACTIONS = {"click": "start", "error": "failed", "purchase": "stop", "view": "rate"}
+
+
+@query("session_lifecycle")
+def session_lifecycle(ev: DataFrame) -> DataFrame:
+    action = scalar.recode(F.col("event_type"), ACTIONS)
+    return _drained(phase.lifecycle(_as_stream(ev.select("entity", "us", action.alias("action")))))
+
+
 @query("edge_stream", f"{EV}, e AS (SELECT *, event_type <> coalesce(lag(event_type) OVER (PARTITION BY entity ORDER BY us), '') AS c FROM ev) SELECT event_id, event_type FROM e WHERE c")
 def edge_stream(ev: DataFrame) -> DataFrame:
     live = _as_stream(ev.select("event_id", "entity", "us", F.col("event_type").alias("state")))

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, firing, joins, series
+from ..operators import evaluate, firing, joins, series, stats
 from ..params import FiringRules
+from ..shared import materialized
 from .registry import DAY, EV, US, V, query, r, table
 from .windows import DECISIONS, points
 
@@ -42,9 +43,20 @@ def auprc(ev: DataFrame) -> DataFrame:
 FOLDS = LEAD_SQL + AUC.format(by="lead_s, fold")
 
 
-@query("learnability_curve", FOLDS + " SELECT lead_s, fold, n, positives, round(auroc, 9) AS auroc FROM auc")
+SWEPT = [DAY * x for x in (0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)]
+CURVE = LEAD_SQL.replace("(VALUES (86400.0::DOUBLE), (259200.0::DOUBLE), (432000.0::DOUBLE)) AS x(e)", "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in SWEPT) + ") AS x(e)") + AUC.format(by="lead_s, fold")
+
+
+@query("learnability_curve", CURVE + """, kp AS (SELECT *, sum(p) OVER w AS tp, sum(p + n) OVER w AS seen FROM c WINDOW w AS (PARTITION BY lead_s, fold ORDER BY score DESC)),
+ap AS (SELECT lead_s, fold, CASE WHEN sum(p) > 0 THEN sum(p::DOUBLE * tp::DOUBLE / seen::DOUBLE) / sum(p)::DOUBLE END AS auprc FROM kp GROUP BY 1, 2)
+SELECT lead_s, fold, n, positives, round(positives / n, 9) AS prevalence, round(auroc, 9) AS auroc, round(auprc, 8) AS auprc FROM auc JOIN ap USING (lead_s, fold)""")
 def learnability_curve(ev: DataFrame) -> DataFrame:
-    return evaluate.auroc(_leads(ev), "score", "y", ["lead_s", "fold"]).select("lead_s", "fold", "n", "positives", r("auroc", 9).alias("auroc"))
+    """Ten leads by five folds, ranked by a rule that SQL can state;
+    ``learnability_models`` fits models."""
+    rows = evaluate.lead_labels(points(ev), SWEPT).withColumn("fold", F.col("entity") % 5).withColumn("score", F.round("sd", 6))
+    by = ["lead_s", "fold"]
+    both = evaluate.auroc(rows, "score", "y", by).join(evaluate.auprc(rows, "score", "y", by), by)
+    return both.select(*by, "n", "positives", r(F.col("positives") / F.col("n"), 9).alias("prevalence"), r("auroc", 9).alias("auroc"), r("auprc", 8).alias("auprc"))
 
 
 def _read_average(ev: DataFrame) -> DataFrame:
@@ -72,7 +84,7 @@ def comparability_stop(ev: DataFrame) -> DataFrame:
 
 @query("paired_lift_verdict", LEAD_SQL + AUC.format(by="lead_s, fold") + ", l2 AS (SELECT lead_s, fold, yl, slope AS sd FROM l)" + AUC.format(by="lead_s, fold").replace("FROM l ", "FROM l2 ").replace(" c AS", " c2 AS").replace("FROM c)", "FROM c2)").replace(" k AS", " k2 AS").replace("FROM k ", "FROM k2 ").replace("auc AS (", "auc2 AS (") + """,
 d AS (SELECT lead_s, b.auroc - a.auroc AS d FROM auc a JOIN auc2 b USING (lead_s, fold)), v AS (SELECT lead_s, count(d) AS folds, avg(d) AS lift, count(*) FILTER (d > 0) AS gains FROM d GROUP BY 1)
-SELECT lead_s, folds, round(lift, 7) AS lift, gains, CASE WHEN lift >= 0.02 AND gains = folds THEN 'PASS' WHEN lift <= 0 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM v""")
+SELECT lead_s, folds, round(lift, 7) AS lift, gains, CASE WHEN lift >= 0.04 AND gains = folds THEN 'PASS' WHEN lift < 0.02 OR folds - gains >= 2 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM v""")
 def paired_lift_verdict(ev: DataFrame) -> DataFrame:
     rows = _leads(ev)
     by = ["lead_s", "fold"]
@@ -149,7 +161,8 @@ def _cross_read(rows: DataFrame, columns: list[str]) -> tuple[float, float]:
 def learnability_models(ev: DataFrame) -> DataFrame:
     """The curve of a model over five folds at each lead, with both metrics;
     ``learnability_curve`` ranks by one feature, as its SQL says."""
-    rows, by, out = points(ev).withColumn("fold", F.col("entity") % 5), ["lead_s", "fold"], None
+    rows = materialized(points(ev).withColumn("fold", F.col("entity") % 5).select("entity", "fold", "sd", "drop_vs_base", "slope", "tau"), "points")
+    by, out = ["lead_s", "fold"], None
     for lead in LEADS:
         scored = evaluate.cross_scored(evaluate.lead_labels(rows, [lead]), ["sd", "drop_vs_base", "slope"], "y", 5).where("score IS NOT NULL")
         one = evaluate.auroc(scored, "score", "y", by).join(evaluate.auprc(scored, "score", "y", by), by)
@@ -160,96 +173,133 @@ def learnability_models(ev: DataFrame) -> DataFrame:
 @query("forward_selection")
 def forward_selection(ev: DataFrame) -> DataFrame:
     features = ["sd", "drop_vs_base", "slope", *SHAPES]
-    rows = _shaped(ev).withColumn("fold", F.col("entity") % 5).select("fold", "tau", *features).cache()
+    rows = _shaped(ev).withColumn("fold", F.col("entity") % 5).select("fold", "tau", *features)
+    rows = materialized(rows, "shaped")
     kept = evaluate.forward_selection(features[1:], features[:1], lambda columns: _cross_read(rows, columns))
     return ev.sparkSession.createDataFrame([(k, c) for k, c in enumerate(kept)], "place int, feature string")
 
 
-# firing
+# firing: a series' score is a rule on its value, between 0 and 1
 
-RULES = FiringRules(sustain_s=2 * DAY, tolerance_s=1.5 * DAY, early_s=4 * DAY, late_s=DAY)
-HIGHS = f"""{EV}, h AS (SELECT entity, us, min(value) OVER w AS high, us - min(us) OVER w >= 43200000000 AS ok FROM ev WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)),
-hs AS (SELECT entity, us, high FROM h WHERE ok), hm AS (SELECT *, max(high) OVER (PARTITION BY entity ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM hs), highs AS (SELECT entity, us, high FROM hm WHERE top IS NULL OR high > top),
-on_ AS (SELECT entity, min(us) AS start_us, min(us) FILTER (event_type = 'error' AND value > 20) AS onset_us FROM ev GROUP BY 1)"""
-GRID = [float(x) for x in range(0, 101, 5)]
-FIRE = HIGHS + """, th AS (SELECT unnest(range(0, 101, 5))::DOUBLE AS threshold), fires AS (SELECT entity, threshold, min(us) AS fire_us FROM highs JOIN th ON high >= threshold GROUP BY 1, 2),
-oc AS (SELECT o.entity, t.threshold, o.onset_us, f.fire_us, CASE WHEN onset_us IS NULL THEN CASE WHEN fire_us IS NULL THEN 'nofire' ELSE 'false_fire' END WHEN fire_us IS NULL THEN 'nofire' WHEN fire_us < onset_us - 345600000000 THEN 'early' WHEN fire_us <= onset_us + 86400000000 THEN 'hit' ELSE 'late' END AS outcome
-FROM on_ o CROSS JOIN th t LEFT JOIN fires f ON f.entity = o.entity AND f.threshold = t.threshold)"""
-RATES = """count(*) AS n, count(*) FILTER (outcome = 'hit') AS n_hit, count(*) FILTER (outcome = 'early') AS n_early, count(*) FILTER (outcome = 'false_fire') AS n_false_fire,
-round(CASE WHEN count(onset_us) > 0 THEN count(*) FILTER (outcome = 'hit') / count(onset_us) END, 9) AS hit_rate, round(count(*) FILTER (outcome IN ('early', 'false_fire')) / count(*), 9) AS ff_rate"""
+SUSTAINS, EARLIES, LATES = [0, DAY, 2 * DAY], [2 * DAY, 3 * DAY, 4 * DAY], [0, DAY // 2, DAY, 2 * DAY]
+BUDGETS = [0.1, 0.2, 0.3]
+TOLERANCE, BEFORE = DAY // 2, DAY
+RULES = FiringRules(sustain_s=2 * DAY, tolerance_s=TOLERANCE, early_s=4 * DAY, late_s=DAY)
+GRID = [k / 100 for k in range(101)]
+HELD = " UNION ALL ".join(f"SELECT {s} AS sustain_s, entity, us, {'score' if s == 0 else 'min(score) OVER w'} AS high, {'true' if s == 0 else f'us - min(us) OVER w >= {(s - TOLERANCE) * 1000000}'} AS ok FROM sc" + (f" WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN {s * 1000000} PRECEDING AND CURRENT ROW)" if s else "") for s in SUSTAINS)
+HIGHS = f"""{EV}, sc AS (SELECT entity, us, event_type, value / (value + 50) AS score FROM ev),
+nap AS (SELECT entity, entity % 5 AS fold, min(us) AS start_us, min(us) FILTER (event_type = 'error' AND value > 20) AS onset_us, min(us) FILTER (event_type NOT IN ('view', 'signup')) AS sleep_us FROM ev GROUP BY 1),
+n AS (SELECT * FROM nap WHERE onset_us IS NULL OR onset_us - start_us >= {BEFORE * 1000000}), hd AS ({HELD}), hs AS (SELECT hd.sustain_s, hd.entity, hd.us, high FROM hd JOIN n USING (entity) WHERE ok),
+hm AS (SELECT *, max(high) OVER (PARTITION BY sustain_s, entity ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM hs), highs AS (SELECT sustain_s, entity, us, high FROM hm WHERE top IS NULL OR high > top)"""
+FIRE = HIGHS + """, th AS (SELECT unnest(range(0, 101)) / 100 AS threshold), fires AS (SELECT sustain_s, entity, threshold, min(us) AS fire_us FROM highs JOIN th ON high >= threshold GROUP BY 1, 2, 3),
+gr AS (SELECT s.sustain_s, n.entity, t.threshold, n.onset_us, f.fire_us FROM n CROSS JOIN th t CROSS JOIN (SELECT unnest([0, 86400, 172800]) AS sustain_s) s LEFT JOIN fires f ON f.entity = n.entity AND f.threshold = t.threshold AND f.sustain_s = s.sustain_s)"""
+OUTCOME = "CASE WHEN onset_us IS NULL THEN CASE WHEN fire_us IS NULL THEN 'nofire' ELSE 'false_fire' END WHEN fire_us IS NULL THEN 'nofire' WHEN fire_us < onset_us - {early} THEN 'early' WHEN fire_us <= onset_us + {late} THEN 'hit' ELSE 'late' END"
 
 
-def _onsets(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("entity").agg(F.min("us").alias("start_us"), F.min(F.when((F.col("event_type") == "error") & (V() > 20), US())).alias("onset_us"))
+def _scored(ev: DataFrame) -> DataFrame:
+    return ev.select("entity", "us", "event_type", "value", (V() / (V() + 50)).alias("score"))
 
 
-def _highs(ev: DataFrame) -> DataFrame:
-    return firing.sustained_highs(ev, RULES, "value")
+def _naps(ev: DataFrame) -> DataFrame:
+    """(entity, fold, start_us, onset_us, sleep_us) of the entities with enough
+    series before their first event."""
+    first = lambda c: F.min(F.when(c, US()))
+    naps = ev.groupBy("entity").agg(F.min("us").alias("start_us"), first((F.col("event_type") == "error") & (V() > 20)).alias("onset_us"), first(~F.col("event_type").isin("view", "signup")).alias("sleep_us"))
+    kept = evaluate.scorable(naps.withColumn("event_us", F.col("onset_us")), BEFORE).drop("event_us")
+    return kept.withColumn("fold", (F.col("entity") % 5).cast("int"))
 
 
-def _outcomes(ev: DataFrame) -> DataFrame:
-    th = joins.parameter_grid(ev.sparkSession, threshold=GRID)
-    every = _onsets(ev).crossJoin(F.broadcast(th)).join(firing.fire_times(_highs(ev), th), ["entity", "threshold"], "left")
-    return every.withColumn("outcome", firing.outcome(F.col("fire_us"), F.col("onset_us"), RULES.early_s, RULES.late_s))
+def _held(ev: DataFrame) -> DataFrame:
+    return firing.held_scores(_scored(ev), SUSTAINS, TOLERANCE).join(_naps(ev).select("entity"), "entity", "left_semi")
 
 
-def _rates(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    return firing.rates(outcomes, by).select(*by, "n", "n_hit", "n_early", "n_false_fire", r("hit_rate", 9).alias("hit_rate"), r("ff_rate", 9).alias("ff_rate"))
+def _fires(ev: DataFrame) -> DataFrame:
+    return firing.fire_steps(_held(ev), GRID)
 
 
-@query("sustained_records", f"{HIGHS} SELECT * FROM highs")
+@query("sustained_records", f"{HIGHS} SELECT sustain_s, entity, us, high FROM highs")
 def sustained_records(ev: DataFrame) -> DataFrame:
-    return _highs(ev)
+    return firing.records(_held(ev)).select("sustain_s", "entity", "us", "high")
 
 
 @query("fire_time", f"{FIRE} SELECT * FROM fires")
 def fire_time(ev: DataFrame) -> DataFrame:
-    return firing.fire_times(_highs(ev), joins.parameter_grid(ev.sparkSession, threshold=GRID))
+    return _fires(ev)
 
 
-@query("classify_outcome", f"{FIRE} SELECT entity, threshold, outcome FROM oc")
+@query("classify_outcome", f"{FIRE} SELECT entity, threshold, " + OUTCOME.format(early=345_600_000_000, late=86_400_000_000) + " AS outcome FROM gr WHERE sustain_s = 172800")
 def classify_outcome(ev: DataFrame) -> DataFrame:
-    return _outcomes(ev).select("entity", "threshold", "outcome")
+    th = joins.parameter_grid(ev.sparkSession, threshold=GRID)
+    fires = _fires(ev).where(F.col("sustain_s") == RULES.sustain_s)
+    every = _naps(ev).crossJoin(F.broadcast(th)).join(fires, ["entity", "threshold"], "left")
+    return every.select("entity", "threshold", firing.outcome(F.col("fire_us"), F.col("onset_us"), RULES.early_s, RULES.late_s).alias("outcome"))
 
 
-@query("frontier", f"{FIRE} SELECT threshold, {RATES} FROM oc GROUP BY 1")
+@query("frontier", FIRE + """, g2 AS (SELECT gr.*, e AS early_s, l AS late_s FROM gr, (SELECT unnest([172800, 259200, 345600]) AS e), (SELECT unnest([0, 43200, 86400, 172800]) AS l))
+SELECT sustain_s, early_s, late_s, threshold, round(count(*) FILTER (fire_us IS NOT NULL AND (onset_us IS NULL OR fire_us < onset_us - early_s * 1000000::BIGINT)) / count(*), 9) AS ff_rate,
+round(count(*) FILTER (fire_us >= onset_us - early_s * 1000000::BIGINT AND fire_us <= onset_us + late_s * 1000000::BIGINT) / greatest(count(onset_us), 1), 9) AS hit_rate FROM g2 GROUP BY 1, 2, 3, 4""")
 def frontier(ev: DataFrame) -> DataFrame:
-    return _rates(_outcomes(ev), ["threshold"])
+    """The rates at 101 thresholds for each sustain, early and late limit."""
+    out = firing.frontier(_fires(ev), _naps(ev), GRID, SUSTAINS, EARLIES, LATES)
+    return out.select("sustain_s", "early_s", "late_s", "threshold", r("ff_rate", 9).alias("ff_rate"), r("hit_rate", 9).alias("hit_rate"))
 
 
-GUARD = HIGHS + """, fv AS (SELECT o.entity, o.entity % 5 AS fold, max(high) FILTER (onset_us IS NULL OR us < onset_us - 345600000000) AS false_high FROM on_ o LEFT JOIN highs h USING (entity) GROUP BY 1, 2),
-gt AS (SELECT x.fold, coalesce(quantile_cont(false_high, 0.8), 1.01) AS threshold FROM fv, (SELECT unnest(range(5)) AS fold) x WHERE fv.fold <> x.fold GROUP BY 1)"""
+GUARD = HIGHS + """, fv AS (SELECT sustain_s, e AS early_s, n.entity, n.fold, max(high) FILTER (onset_us IS NULL OR us < onset_us - e * 1000000::BIGINT) AS false_high FROM n JOIN highs USING (entity), (SELECT unnest([172800, 259200, 345600]) AS e) GROUP BY 1, 2, 3, 4),
+gt AS (SELECT sustain_s, early_s, b AS budget, x.fold, coalesce(quantile_cont(false_high, 1 - b), 1.01) AS threshold FROM fv, (SELECT unnest(range(5)) AS fold) x, (SELECT unnest([0.1, 0.2, 0.3]::DOUBLE[]) AS b) WHERE fv.fold <> x.fold GROUP BY 1, 2, 3, 4)"""
+GUARD = GUARD.replace("quantile_cont(false_high, 1 - b)", "CASE b WHEN 0.1::DOUBLE THEN quantile_cont(false_high, 0.9) WHEN 0.2::DOUBLE THEN quantile_cont(false_high, 0.8) ELSE quantile_cont(false_high, 0.7) END")
 
 
 def _guarded(ev: DataFrame) -> DataFrame:
-    allowed = F.col("onset_us").isNull() | (US() < F.col("onset_us") - int(RULES.early_s * series.S))
-    false_values = _onsets(ev).join(_highs(ev), "entity", "left").groupBy("entity").agg(F.max(F.when(allowed, F.col("high"))).alias("false_high"))
-    train = false_values.withColumn("fold", F.explode(F.array(*map(F.lit, range(5))))).where(F.col("fold") != F.col("entity") % 5)
-    return firing.guarded_threshold(train, 0.2, ["fold"])
+    return firing.guarded_thresholds(firing.records(_held(ev)), _naps(ev), EARLIES, BUDGETS, 5)
 
 
-@query("leak_guarded_threshold", f"{GUARD} SELECT fold, round(threshold, 6) AS threshold FROM gt")
+@query("leak_guarded_threshold", f"{GUARD} SELECT sustain_s, early_s, budget, fold, round(threshold, 9) AS threshold FROM gt")
 def leak_guarded_threshold(ev: DataFrame) -> DataFrame:
-    return _guarded(ev).select(F.col("fold").cast("long").alias("fold"), r("threshold").alias("threshold"))
+    return _guarded(ev).select("sustain_s", "early_s", "budget", F.col("fold").cast("long").alias("fold"), r("threshold", 9).alias("threshold"))
 
 
-@query("event_surface", GUARD + """, fi AS (SELECT o.entity, o.onset_us, gt.fold, min(us) AS fire_us FROM on_ o JOIN gt ON gt.fold = o.entity % 5 LEFT JOIN highs h ON h.entity = o.entity AND high >= threshold GROUP BY 1, 2, 3),
-oc AS (SELECT *, CASE WHEN onset_us IS NULL THEN CASE WHEN fire_us IS NULL THEN 'nofire' ELSE 'false_fire' END WHEN fire_us IS NULL THEN 'nofire' WHEN fire_us < onset_us - 345600000000 THEN 'early' WHEN fire_us <= onset_us + 86400000000 THEN 'hit' ELSE 'late' END AS outcome FROM fi)
-SELECT fold, """ + RATES + " FROM oc GROUP BY 1")
+@query("event_surface", GUARD + """, fi AS (SELECT gt.sustain_s, gt.early_s, gt.budget, gt.fold, n.entity, n.onset_us, min(us) AS fire_us FROM n JOIN gt ON gt.fold = n.fold LEFT JOIN highs h ON h.entity = n.entity AND h.sustain_s = gt.sustain_s AND high >= threshold GROUP BY 1, 2, 3, 4, 5, 6),
+oc AS (SELECT fi.*, l AS late_s FROM fi, (SELECT unnest([0, 43200, 86400, 172800]) AS l)),
+fo AS (SELECT sustain_s, early_s, late_s, budget, fold, CASE WHEN count(onset_us) > 0 THEN count(*) FILTER (fire_us >= onset_us - early_s * 1000000::BIGINT AND fire_us <= onset_us + late_s * 1000000::BIGINT) / count(onset_us) END AS hit,
+count(*) FILTER (fire_us IS NOT NULL AND (onset_us IS NULL OR fire_us < onset_us - early_s * 1000000::BIGINT)) / count(*) AS ff FROM oc GROUP BY 1, 2, 3, 4, 5)
+SELECT sustain_s, early_s, late_s, budget, round(avg(hit), 9) AS hit_mean, round(min(hit), 9) AS hit_min, round(max(hit), 9) AS hit_max, round(avg(ff), 9) AS ff_mean FROM fo GROUP BY 1, 2, 3, 4""")
 def event_surface(ev: DataFrame) -> DataFrame:
-    fold = (F.col("entity") % 5).cast("int")
-    marked = _onsets(ev).withColumn("fold", fold).join(F.broadcast(_guarded(ev)), "fold")
-    fires = marked.join(_highs(ev), "entity").where("high >= threshold").groupBy("entity").agg(F.min("us").alias("fire_us"))
-    out = marked.join(fires, "entity", "left").withColumn("outcome", firing.outcome(F.col("fire_us"), F.col("onset_us"), RULES.early_s, RULES.late_s)).withColumn("fold", F.col("fold").cast("long"))
-    return _rates(out, ["fold"])
-
-
-@query("floor_ceiling", HIGHS + """, g AS (SELECT entity, start_us, min(us) AS fire_us, min(us) FILTER (us - start_us BETWEEN 172800000000 AND 864000000000) AS gated_us FROM hs JOIN on_ USING (entity) WHERE high >= 30 GROUP BY 1, 2)
-SELECT entity, fire_us, gated_us FROM g""")
+    """Hits and false fires of 108 cells, at thresholds that other folds give."""
+    out = firing.event_surface(firing.records(_held(ev)), _naps(ev), _guarded(ev), LATES)
+    return out.select("sustain_s", "early_s", "late_s", "budget", *[r(c, 9).alias(c) for c in ("hit_mean", "hit_min", "hit_max", "ff_mean")])
+
+
+@query("event_surface_models")
+def event_surface_models(ev: DataFrame) -> DataFrame:
+    """The same on the scores of a model that is fitted on the other folds."""
+    naps = _naps(ev)
+    rows = points(ev).join(naps.select("entity", "fold"), "entity")
+    scored = evaluate.cross_scored(rows, ["sd", "drop_vs_base", "slope"], "y", 5).where("score IS NOT NULL").select("entity", "us", "score")
+    held = materialized(firing.held_scores(scored, SUSTAINS, TOLERANCE), "held")
+    found = firing.records(held)
+    return firing.event_surface(found, naps, firing.guarded_thresholds(found, naps, EARLIES, BUDGETS, 5), LATES)
+
+
+FLOORS, CEILINGS = [DAY, 2 * DAY, 3 * DAY, 4 * DAY], [8 * DAY, 12 * DAY, 16 * DAY]
+
+
+@query("floor_ceiling", GUARD + """, g1 AS (SELECT budget, fold, threshold FROM gt WHERE sustain_s = 172800 AND early_s = 345600), cr AS (SELECT g1.budget, n.*, us FROM n JOIN g1 USING (fold) LEFT JOIN hs h ON h.entity = n.entity AND h.sustain_s = 172800 AND high >= threshold),
+ga AS (SELECT budget, fold, entity, onset_us, sleep_us, f AS floor_s, c AS ceil_s, min(us) AS fire_us, min(us) FILTER (us >= sleep_us + f * 1000000::BIGINT AND us <= sleep_us + c * 1000000::BIGINT) AS gated_us
+FROM cr, (SELECT unnest([86400, 172800, 259200, 345600]) AS f), (SELECT unnest([691200, 1036800, 1382400]) AS c) GROUP BY ALL),
+oc AS (SELECT *, coalesce(gated_us < onset_us - 345600000000, gated_us IS NOT NULL AND onset_us IS NULL) AS gff, coalesce(gated_us BETWEEN onset_us - 345600000000 AND onset_us + 86400000000, false) AS ghit,
+coalesce(fire_us < onset_us - 345600000000, fire_us IS NOT NULL AND onset_us IS NULL) AS uff, coalesce(fire_us BETWEEN onset_us - 345600000000 AND onset_us + 86400000000, false) AS uhit FROM ga),
+fo AS (SELECT floor_s, ceil_s, budget, fold, count(*) FILTER (gff) / count(*) AS gff, count(*) FILTER (ghit) / count(*) AS ghit, count(*) FILTER (uff) / count(*) AS uff, count(*) FILTER (uhit) / count(*) AS uhit FROM oc GROUP BY 1, 2, 3, 4),
+fm AS (SELECT floor_s, ceil_s, budget, round(avg(gff), 9) AS gated_ff_mean, round(min(gff), 9) AS gated_ff_min, round(max(gff), 9) AS gated_ff_max, round(avg(ghit), 9) AS gated_catch_mean, round(min(ghit), 9) AS gated_catch_min, round(max(ghit), 9) AS gated_catch_max, round(avg(uff), 9) AS ungated_ff_mean, round(avg(uhit), 9) AS ungated_catch_mean FROM fo GROUP BY 1, 2, 3),
+po AS (SELECT floor_s, ceil_s, budget, count(*) FILTER (uff) AS orig_ff_n, count(*) FILTER (uff AND fire_us < sleep_us + floor_s * 1000000::BIGINT) AS ff_removed_floor, count(*) FILTER (uff AND fire_us > sleep_us + ceil_s * 1000000::BIGINT) AS ff_removed_ceil,
+count(*) FILTER (onset_us < sleep_us + floor_s * 1000000::BIGINT) AS early_deep_fail_n, count(onset_us) AS n_onset, count(*) AS n_scorable FROM oc GROUP BY 1, 2, 3)
+SELECT fm.*, orig_ff_n, ff_removed_floor, orig_ff_n - ff_removed_floor - ff_removed_ceil AS ff_remain_window, ff_removed_ceil, early_deep_fail_n, round(CASE WHEN n_onset > 0 THEN early_deep_fail_n / n_onset END, 9) AS early_deep_fail_frac, n_scorable FROM fm JOIN po USING (floor_s, ceil_s, budget)""")
 def floor_ceiling(ev: DataFrame) -> DataFrame:
-    held, ok = series.sustained_min(V(), US(), RULES.sustain_s, RULES.tolerance_s)
-    rows = ev.withColumn("high", held).withColumn("_ok", ok).where("_ok").select("entity", "us", "high")
-    return firing.gated(rows, _onsets(ev).select("entity", "start_us"), 2 * DAY, 10 * DAY, F.lit(30))
+    """What a floor and a ceiling after falling asleep do to hits and false
+    fires, where the false ones were, and which early events a floor gives up."""
+    held = _held(ev).where(F.col("sustain_s") == RULES.sustain_s)
+    thresholds = _guarded(ev).where((F.col("sustain_s") == RULES.sustain_s) & (F.col("early_s") == RULES.early_s)).select("budget", "fold", "threshold")
+    out = firing.floor_ceiling(held, _naps(ev), thresholds, FLOORS, CEILINGS, RULES)
+    return out.select(*[r(c, 9).alias(c) if c.endswith(("mean", "min", "max", "frac")) else c for c in out.columns])
 
 
 # latencies and sweeps of nights: an order is a night of its customer
@@ -265,42 +315,42 @@ def _nights(o: DataFrame) -> DataFrame:
     return o.select("o_custkey", "o_orderkey", x.alias("o2d"), F.avg(x).over(w).alias("mean"), F.count("*").over(w).alias("nights")).where("nights >= 2")
 
 
-@query("firing_sweep", f"""{NIGHTS}, x AS (SELECT *, m, mean - m AS fire FROM n, (SELECT unnest([0, 2, 4, 6]) AS m) WHERE nights >= 2)
-SELECT m, count(*) AS nights, count(*) FILTER (o2d < fire) AS fails, round(100.0::DOUBLE * count(*) FILTER (o2d < fire) / count(*), 6) AS fail_pct FROM x GROUP BY 1""", of=table("orders"))
+HARD_SD = 10
+SPREAD = f"""{NIGHTS}, sn AS (SELECT *, stddev_samp(o2d) OVER (PARTITION BY o_custkey) > {HARD_SD} AS hard FROM n WHERE nights >= 2)"""
+COSTS = """count(*) FILTER (depth > {d}) AS fails, round(100.0::DOUBLE * count(*) FILTER (depth > {d}) / count(*), 6) AS fail_pct, round(avg(-depth) FILTER (depth <= 0), 6) AS sacrifice_nonfail, round(avg(greatest(-depth, 0)), 6) AS sacrifice_all,
+round(CASE WHEN count(*) FILTER (depth > {d}) > 0 THEN 100.0::DOUBLE * count(*) FILTER (depth > {d} AND hard) / count(*) FILTER (depth > {d}) END, 6) AS hard_share_pct, round(100.0::DOUBLE * count(*) FILTER (hard) / count(*), 6) AS hard_nights_pct,
+round(quantile_cont(depth, 0.25) FILTER (depth > {d}), 6) AS depth_q1, round(quantile_cont(depth, 0.5) FILTER (depth > {d}), 6) AS depth_median, round(quantile_cont(depth, 0.75) FILTER (depth > {d}), 6) AS depth_q3, round(max(depth) FILTER (depth > {d}), 6) AS depth_max"""
+COST_COLUMNS = ("fail_pct", "sacrifice_nonfail", "sacrifice_all", "hard_share_pct", "hard_nights_pct", "depth_q1", "depth_median", "depth_q3", "depth_max")
+
+
+def _depths(o: DataFrame, tolerances: list[int]) -> DataFrame:
+    """Every night by margin and tolerated depth, with its depth past the onset."""
+    from pyspark.sql import Window
+
+    sd = F.stddev_samp("o2d").over(Window.partitionBy("o_custkey"))
+    grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6], d=tolerances)
+    return _nights(o).withColumn("hard", sd > HARD_SD).crossJoin(F.broadcast(grid)).withColumn("depth", F.col("mean") - F.col("m") - F.col("o2d"))
+
+
+@query("firing_sweep", f"{SPREAD}, x AS (SELECT *, mean - m - o2d AS depth FROM sn, (SELECT unnest([0, 2, 4, 6]) AS m)) SELECT m, count(*) AS nights, {COSTS.format(d=0)} FROM x GROUP BY 1", of=table("orders"))
 def firing_sweep(o: DataFrame) -> DataFrame:
-    grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6])
-    fails = F.count(F.when(F.col("o2d") < F.col("mean") - F.col("m"), 1))
-    return _nights(o).crossJoin(F.broadcast(grid)).groupBy("m").agg(F.count("*").alias("nights"), fails.alias("fails"), r(100.0 * fails / F.count("*")).alias("fail_pct"))
+    """What firing so long before an own mean costs, and who pays."""
+    out = firing.depth_costs(_depths(o, [0]), ["m"])
+    return out.select("m", "nights", "fails", *[r(c).alias(c) for c in COST_COLUMNS])
 
 
-@query("depth_grid", f"""{NIGHTS}, x AS (SELECT *, m, d, o2d < mean - m AS before, o2d < mean - m - d AS fail FROM n, (SELECT unnest([0, 2, 4, 6]) AS m), (SELECT unnest([0, 1, 2, 3, 5]) AS d) WHERE nights >= 2)
-SELECT m, d, count(*) FILTER (fail) AS fails, count(*) FILTER (before AND NOT fail) AS in_band, count(*) FILTER (before) AS before FROM x GROUP BY 1, 2""", of=table("orders"))
+@query("depth_grid", f"""{SPREAD}, x AS (SELECT *, mean - m - o2d AS depth FROM sn, (SELECT unnest([0, 2, 4, 6]) AS m), (SELECT unnest([0, 1, 2, 3, 5]) AS d))
+SELECT m, d, count(*) AS nights, {COSTS.format(d="d")}, count(*) FILTER (depth <= 0) AS before, count(*) FILTER (depth > 0 AND depth <= d) AS in_band FROM x GROUP BY 1, 2""", of=table("orders"))
 def depth_grid(o: DataFrame) -> DataFrame:
-    grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6], d=[0, 1, 2, 3, 5])
-    before, fail = F.col("o2d") < F.col("mean") - F.col("m"), F.col("o2d") < F.col("mean") - F.col("m") - F.col("d")
-    count = lambda c: F.count(F.when(c, 1))
-    return _nights(o).crossJoin(F.broadcast(grid)).groupBy("m", "d").agg(count(fail).alias("fails"), count(before & ~fail).alias("in_band"), count(before).alias("before"))
+    """The same by tolerated depth, with how many land within the tolerance."""
+    out = firing.depth_costs(_depths(o, [0, 1, 2, 3, 5]), ["m", "d"])
+    return out.select("m", "d", "nights", "fails", *[r(c).alias(c) for c in COST_COLUMNS], "before", "in_band")
 
 
 @query("depth_costs", of=table("orders"))
 def depth_costs(o: DataFrame) -> DataFrame:
-    """By margin and tolerated depth: failures, their depth past the onset, the
-    hard class's share of them and of all nights, and what firing sacrifices.
-    With a tolerance of 0 these are the figures of the firing sweep."""
-    from pyspark.sql import Window
-
-    sd = F.stddev_samp("o2d").over(Window.partitionBy("o_custkey"))
-    grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6], d=[0, 1, 2, 3, 5])
-    rows = _nights(o).withColumn("hard", sd > 10).crossJoin(F.broadcast(grid)).withColumn("depth", F.col("mean") - F.col("m") - F.col("o2d"))
-    fail, early = F.col("depth") > F.col("d"), F.col("depth") <= 0
-    deep = F.when(fail, F.col("depth"))
-    count = lambda c: F.count(F.when(c, 1))
-    quartiles = [F.percentile(deep, F.lit(p)).alias(name) for name, p in (("depth_q1", 0.25), ("depth_median", 0.5), ("depth_q3", 0.75))]
-    return rows.groupBy("m", "d").agg(
-        F.count("*").alias("nights"), count(fail).alias("fails"), *quartiles, F.max(deep).alias("depth_max"),
-        F.avg(F.when(early, -F.col("depth"))).alias("sacrifice_nonfail"), F.avg(F.greatest(-F.col("depth"), F.lit(0.0))).alias("sacrifice_all"),
-        F.try_divide(count(fail & F.col("hard")), count(fail)).alias("hard_share"), (count(F.col("hard")) / F.count("*")).alias("hard_nights"),
-    )
+    """The costs of every margin and tolerance, unrounded."""
+    return firing.depth_costs(_depths(o, [0, 1, 2, 3, 5]), ["m", "d"])
 
 
 LATENCY = f"""{EV}, o AS (SELECT *, event_type <> 'view' AS o FROM ev), g AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY us) AS g FROM o),
@@ -325,22 +375,31 @@ def onset_latency(ev: DataFrame) -> DataFrame:
     return _latency(ev).join(first, "entity").select("entity", r((F.col("onset_us") - F.col("us")).cast("double") / 6e7, 9).alias("minutes"))
 
 
-@query("detect_onset", f"""{EV}, w AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 129600000000 PRECEDING AND 129600000000 FOLLOWING) AS med, quantile_cont(value, 0.5) OVER (PARTITION BY entity) AS base, min(us) OVER (PARTITION BY entity) AS u0 FROM ev),
-m AS (SELECT *, max(med) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW) AS hi FROM w) SELECT entity, min(us) AS onset_us FROM m WHERE us - u0 >= 86400000000 AND hi <= base - 2 GROUP BY 1""")
+@query("detect_onset", f"""{EV}, x AS (SELECT entity, us, CASE WHEN event_type <> 'click' THEN value END AS v, CASE WHEN event_type = 'click' THEN value END AS mo FROM ev),
+w AS (SELECT *, CASE WHEN v IS NOT NULL THEN quantile_cont(v, 0.5) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 129600000000 PRECEDING AND 129600000000 FOLLOWING) END AS med, quantile_cont(v, 0.5) OVER (PARTITION BY entity) AS base, quantile_cont(mo, 0.25) OVER (PARTITION BY entity) AS q25, min(us) OVER (PARTITION BY entity) AS u0 FROM x),
+m AS (SELECT *, max(med) OVER f AS hi, quantile_cont(mo, 0.5) OVER f AS still FROM w WINDOW f AS (PARTITION BY entity ORDER BY us RANGE BETWEEN CURRENT ROW AND 172800000000 FOLLOWING))
+SELECT entity, min(us) AS onset_us FROM m WHERE us - u0 >= 86400000000 AND med <= base - 2 AND hi <= base - 2 AND still <= q25 GROUP BY 1""")
 def detect_onset(ev: DataFrame) -> DataFrame:
+    """The first time from which on the smoothed value stays below the baseline
+    while motion stays in its lowest quarter; two days long. Clicks are motion."""
     from pyspark.sql import Window
 
-    q, whole = F.percentile(V(), F.lit(0.5)), Window.partitionBy("entity")
-    rows = ev.select("entity", "us", q.over(series.centred(3 * DAY)).alias("med"), q.over(whole).alias("base"), F.min("us").over(whole).alias("u0"))
-    held = rows.withColumn("hi", F.max("med").over(series.trailing(2 * DAY)))
-    return held.where((US() - F.col("u0") >= DAY * series.S) & (F.col("hi") <= F.col("base") - 2)).groupBy("entity").agg(F.min("us").alias("onset_us"))
+    q, whole = (lambda x, p: F.percentile(x, F.lit(p))), Window.partitionBy("entity")
+    ahead = series.along().rangeBetween(0, 2 * DAY * series.S)
+    motion = F.col("event_type") == "click"
+    rows = ev.select("entity", "us", F.when(~motion, V()).alias("v"), F.when(motion, V()).alias("mo"))
+    known = rows.select("*", F.when(F.col("v").isNotNull(), q(F.col("v"), 0.5).over(series.centred(3 * DAY))).alias("med"), q(F.col("v"), 0.5).over(whole).alias("base"), q(F.col("mo"), 0.25).over(whole).alias("q25"), F.min("us").over(whole).alias("u0"))
+    held = known.select("*", F.max("med").over(ahead).alias("hi"), q(F.col("mo"), 0.5).over(ahead).alias("still"))
+    low = F.col("base") - 2
+    return held.where((US() - F.col("u0") >= DAY * series.S) & (F.col("med") <= low) & (F.col("hi") <= low) & (F.col("still") <= F.col("q25"))).groupBy("entity").agg(F.min("us").alias("onset_us"))
 
 
 @query("shape_by_stage", f"""{EV}, s AS (SELECT event_type, stddev_samp(value) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW) AS sd FROM ev)
 SELECT event_type, count(sd) AS n, round(quantile_cont(sd, 0.5), 6) AS median_sd FROM s GROUP BY 1""")
 def shape_by_stage(ev: DataFrame) -> DataFrame:
     rows = ev.select("event_type", series.trailing_sd(V(), series.trailing(3 * DAY)).alias("sd"))
-    return rows.groupBy("event_type").agg(F.count("sd").alias("n"), r(F.percentile("sd", F.lit(0.5))).alias("median_sd"))
+    counts = rows.groupBy("event_type").agg(F.count("sd").alias("n"))
+    return counts.join(stats.ranked_quantiles(rows, "sd", {"median_sd": 0.5}, ["event_type"]), "event_type", "left").select("event_type", "n", r("median_sd").alias("median_sd"))
 
 
 @query("quiet_report", f"""{EV}, x AS (SELECT entity, count(*) FILTER (value < 20) AS quiet, max(value) AS ceiling, count(*) AS n FROM ev GROUP BY 1) SELECT entity, quiet, ceiling, n FROM x WHERE n >= 50""")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals, joins, series
-from .registry import DAY, DAYS, EV, IV, US, V, as_intervals, days, query, r
+from .recordings import resample_offsets
+from .registry import DAY, DAYS, EV, IV, SQL, US, V, as_intervals, days, query, r
 
 BY = "(PARTITION BY entity ORDER BY us)"
 W3 = "(PARTITION BY entity ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW)"
@@ -70,19 +71,36 @@ def low_episodes(ev: DataFrame) -> DataFrame:
     return found.join(deep, ["entity", "start_us"], "left").withColumn("n_deep", F.coalesce("n_deep", F.lit(0).cast("long"))).select("entity", "start_us", "end_us", "n", "n_deep")
 
 
-@query("dual_trigger_replay", f"""{EV}, {SD}, lr AS (SELECT entity, quantile_cont(value, 0.5) AS ref FROM (SELECT *, us - min(us) OVER (PARTITION BY entity) AS since FROM ev) WHERE since <= 604800000000 GROUP BY 1),
+LIGHT = f"""v AS (SELECT *, max(end_us) OVER (PARTITION BY entity ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM iv WHERE label = 'view'),
+vi AS (SELECT *, sum(CASE WHEN reached IS NULL OR start_us - reached > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY start_us, end_us) AS island FROM v), st AS (SELECT entity, min(start_us) AS a, max(end_us) AS b FROM vi GROUP BY entity, island),
+pk AS (SELECT entity, coalesce(min(struct_pack(a := a, b := b)) FILTER (b - a >= 36000000000), min(struct_pack(a := a, b := b))) AS p FROM st GROUP BY 1),
+lr AS (SELECT ev.entity, coalesce(quantile_cont(value, 0.5) FILTER (us BETWEEN p.a AND p.b), quantile_cont(value, 0.5)) AS ref FROM ev LEFT JOIN pk USING (entity) GROUP BY 1)"""
+
+
+@query("dual_trigger_replay", f"""{IV}, {SD}, {LIGHT},
 tg AS (SELECT s.*, mean3 <= ref - 5 AND sd < 40 AS o FROM s JOIN lr USING (entity)), f AS (SELECT *, coalesce(o, false) AS p FROM tg), g AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER {BY} AS g FROM f),
 k AS (SELECT entity, us, row_number() OVER (PARTITION BY entity, g ORDER BY us) AS k FROM g WHERE p), fi AS (SELECT entity, min(us) AS fire_us FROM k WHERE k = 2 GROUP BY 1)
 SELECT fi.entity, fire_us, count(ev.us) > 0 AS caught FROM fi LEFT JOIN ev ON ev.entity = fi.entity AND event_type = 'error' AND ev.us > fire_us AND ev.us <= fire_us + 259200000000 GROUP BY 1, 2""")
 def dual_trigger_replay(ev: DataFrame) -> DataFrame:
     """The first sample at which the value has been below a reference, with a
-    small spread, for two samples in a row; and whether an onset follows."""
-    first = F.min("us").over(Window.partitionBy("entity"))
-    early = ev.withColumn("since", US() - first).where(F.col("since") <= 7 * DAY * series.S)
-    ref = early.groupBy("entity").agg(F.percentile("value", F.lit(0.5)).alias("ref"))
+    small spread, for two samples in a row; and whether an onset follows. The
+    reference is the median of the first light stretch that is long enough, or
+    else of the first, or of the whole series."""
+    stretch = F.struct(F.col("start_us").alias("a"), F.col("end_us").alias("b"))
+    light = intervals.merged(as_intervals(ev).where("label = 'view'"), ["entity"], 3600)
+    first = light.groupBy("entity").agg(F.coalesce(F.min(F.when(F.col("end_us") - F.col("start_us") >= 10 * 3600 * series.S, stretch)), F.min(stretch)).alias("p"))
+    mid = lambda x: F.percentile(x, F.lit(0.5))
+    ref = ev.join(first, "entity", "left").groupBy("entity").agg(F.coalesce(mid(F.when(US().between(F.col("p.a"), F.col("p.b")), V())), mid(V())).alias("ref"))
     on = F.coalesce((F.col("mean3") <= F.col("ref") - 5) & (F.col("sd") < 40), F.lit(False))
     marked = _with_sd(ev).join(ref, "entity").withColumn("on", on)
     second = marked.withColumn("fires", F.col("on") & F.lag("on", 1, False).over(series.along()))
     tau = joins.next_event(second, F.col("event_type") == "error")
     fired = tau.where("fires").groupBy("entity").agg(F.min(F.struct("us", "tau")).alias("f"))
     return fired.select("entity", F.col("f.us").alias("fire_us"), F.coalesce(F.col("f.tau") <= 3 * DAY, F.lit(False)).alias("caught"))
+
+
+@query("shape_overlay", "WITH x AS (" + SQL["resample_offsets"] + ") SELECT entity, k, round(CASE WHEN stddev_pop(value) OVER p > 0 THEN (value - avg(value) OVER p) / stddev_pop(value) OVER p ELSE value - avg(value) OVER p END, 3) AS z FROM x WINDOW p AS (PARTITION BY entity)")
+def shape_overlay(ev: DataFrame) -> DataFrame:
+    """The series around each onset on one grid of offsets, z-normalised."""
+    grid = resample_offsets(ev)
+    return grid.select("entity", "k", r(series.z_normalized(F.col("value"), Window.partitionBy("entity")), 3).alias("z"))

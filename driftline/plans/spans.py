@@ -76,6 +76,12 @@ def interval_clip(iv: DataFrame) -> DataFrame:
     return intervals.clipped(iv, a, b).select("event_id", "outside", "clip_start_us", "clip_end_us")
 
 
+@query("interval_clip_stats", f"""{IV}, w AS (SELECT *, 1704844800000000 AS a, 1705708800000000 AS b FROM iv), c AS (SELECT *, end_us <= a OR start_us >= b AS outside FROM w)
+SELECT entity, count(*) FILTER (NOT outside) AS kept, coalesce(sum(greatest(a - start_us, 0)) FILTER (NOT outside), 0)::BIGINT AS before_us, coalesce(sum(greatest(end_us - b, 0)) FILTER (NOT outside), 0)::BIGINT AS after_us, count(*) FILTER (outside) AS outside FROM c GROUP BY 1""", of=iv_of)
+def interval_clip_stats(iv: DataFrame) -> DataFrame:
+    return intervals.clip_statistics(iv, F.lit(1_704_844_800_000_000), F.lit(1_705_708_800_000_000), ["entity"])
+
+
 PAIRS = f"""{IV}, l AS (SELECT * FROM iv WHERE label = 'error'), q AS (SELECT * FROM iv WHERE label = 'view'),
 p AS (SELECT l.event_id AS l_id, q.event_id AS r_id, l.entity, least(l.end_us, q.end_us) - greatest(l.start_us, q.start_us) AS overlap_us FROM l JOIN q ON l.entity = q.entity AND l.start_us < q.end_us AND q.start_us < l.end_us)"""
 
@@ -94,11 +100,40 @@ def best_overlap_match(iv: DataFrame) -> DataFrame:
     return intervals.best_overlap(*_two(iv), "event_id", "event_id").select(F.col("l_event_id").alias("l_id"), F.col("r_event_id").alias("r_id"), "overlap_us")
 
 
-@query("session_compare", f"""{PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY overlap_us DESC, r_id) AS k FROM p WHERE overlap_us > 0)
-SELECT entity, count(*) AS matched, round(sum(overlap_us)::DOUBLE / 6e7, 5) AS minutes FROM k WHERE k = 1 GROUP BY entity""", of=iv_of)
-def session_compare(iv: DataFrame) -> DataFrame:
-    best = intervals.best_overlap(*_two(iv), "event_id", "event_id")
-    return best.groupBy(F.col("l_entity").alias("entity")).agg(F.count("*").alias("matched"), r(F.sum("overlap_us").cast("double") / 6e7, 5).alias("minutes"))
+@query("nearest_session", f"""{IV}, l AS (SELECT * FROM iv WHERE label = 'error'), q AS (SELECT * FROM iv WHERE label = 'view'),
+p AS (SELECT l.event_id AS l_id, q.event_id AS r_id, greatest(0, l.start_us - q.end_us, q.start_us - l.end_us) AS gap_us, q.start_us > l.start_us AS later, q.start_us, q.end_us FROM l JOIN q USING (entity)),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY gap_us, later, CASE WHEN NOT later THEN -end_us END, start_us, r_id) AS k FROM p) SELECT l_id, r_id, gap_us FROM k WHERE k = 1""", of=iv_of)
+def nearest_session(iv: DataFrame) -> DataFrame:
+    a, b = _two(iv)
+    return intervals.nearest_by_gap(a.withColumnRenamed("event_id", "l_id"), b.withColumnRenamed("event_id", "r_id"), "l_id", "r_id")
+
+
+COMPARE = f"""{IV}, nap AS (SELECT * FROM iv WHERE label = 'error'), o AS (SELECT *, max(end_us) OVER (PARTITION BY entity ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM iv WHERE label <> 'error'),
+st AS (SELECT *, sum(CASE WHEN reached IS NULL OR start_us - reached > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY start_us, end_us) AS session FROM o),
+se AS (SELECT entity, session, min(start_us) AS s, max(end_us) AS e FROM st GROUP BY 1, 2),
+p AS (SELECT nap.event_id, nap.entity, nap.start_us AS a, nap.end_us AS b, session, s, greatest(0, least(nap.end_us, e) - greatest(nap.start_us, s)) AS overlap_us, greatest(0, nap.start_us - e, s - nap.end_us) AS gap_us FROM nap JOIN se USING (entity)),
+g AS (SELECT event_id, min(gap_us) AS gap_us FROM p GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY overlap_us DESC, s) AS k FROM p WHERE overlap_us > 0), m AS (SELECT * FROM k WHERE k = 1),
+c AS (SELECT m.event_id, a, b, st.start_us, st.end_us, st.end_us <= a OR st.start_us >= b AS outside FROM m JOIN st USING (entity, session)),
+z AS (SELECT event_id, count(*) FILTER (NOT outside) AS kept, coalesce(sum(greatest(a - start_us, 0)) FILTER (NOT outside), 0)::BIGINT AS before_us, coalesce(sum(greatest(end_us - b, 0)) FILTER (NOT outside), 0)::BIGINT AS after_us, count(*) FILTER (outside) AS outside FROM c GROUP BY 1),
+h AS (SELECT nap.event_id, count(ev.us) AS samples, quantile_cont(ev.value, 0.5) AS med FROM nap LEFT JOIN ev ON ev.entity = nap.entity AND ev.us BETWEEN nap.start_us AND nap.end_us GROUP BY 1)
+SELECT nap.event_id, m.s AS session_us, m.overlap_us, g.gap_us, kept, before_us, after_us, outside, samples, round(med, 6) AS median_value FROM nap LEFT JOIN m USING (event_id) LEFT JOIN g USING (event_id) LEFT JOIN z USING (event_id) LEFT JOIN h USING (event_id)"""
+
+
+@query("session_compare", COMPARE)
+def session_compare(ev: DataFrame) -> DataFrame:
+    """Each nap with the session that it shares the most with, or how far the
+    nearest one is; that session's stages cut to the nap; and the nap's samples."""
+    iv = as_intervals(ev)
+    naps = iv.where("label = 'error'").select("event_id", "entity", "start_us", "end_us")
+    stages = intervals.islands(iv.where("label <> 'error'").select("entity", "start_us", "end_us"), ["entity"], 3600).withColumnRenamed("island", "session")
+    sessions = stages.groupBy("entity", "session").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    best = intervals.best_overlap(naps, sessions, "event_id", "start_us", width_s=7 * DAY)
+    matched = best.select(F.col("l_event_id").alias("event_id"), F.col("l_entity").alias("entity"), F.col("l_start_us").alias("a"), F.col("l_end_us").alias("b"), F.col("r_session").alias("session"), F.col("r_start_us").alias("session_us"), "overlap_us")
+    gaps = intervals.nearest_by_gap(naps, sessions, "event_id", "session").select("event_id", "gap_us")
+    cuts = intervals.clip_statistics(stages.join(matched, ["entity", "session"]), F.col("a"), F.col("b"), ["event_id"])
+    series_of = intervals.in_intervals(ev.select("entity", "us", "value"), naps, width_s=7 * DAY).groupBy("event_id").agg(F.count("*").alias("samples"), r(F.percentile("value", F.lit(0.5))).alias("median_value"))
+    out = naps.select("event_id").join(matched.drop("entity", "a", "b", "session"), "event_id", "left").join(gaps, "event_id", "left").join(cuts, "event_id", "left").join(series_of, "event_id", "left")
+    return out.withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
 
 
 @query("last_ended", f"""{IV}, l AS (SELECT * FROM iv WHERE label = 'error'), q AS (SELECT * FROM iv WHERE label = 'view'),
@@ -146,23 +181,35 @@ def nearest_asof(ev: DataFrame) -> DataFrame:
     return joins.nearest_event(ev.where("event_type = 'view'"), ev.where("event_type = 'error'")).select("event_id", "near_us")
 
 
-COIN = f"""{EV}, b AS (SELECT entity, floor(us / 21600000000)::BIGINT * 21600000000 AS us, max(value) AS value FROM ev GROUP BY 1, 2)
-SELECT e.event_id, max(b.value) AS peak FROM ev e JOIN b ON e.entity = b.entity AND abs(b.us - e.us) <= 43200000000 WHERE e.event_type = 'error' GROUP BY 1 HAVING max(b.value) >= 80"""
+COIN = f"""{EV}, b AS (SELECT entity, floor(us / 21600000000)::BIGINT * 21600000000 AS us, sqrt(avg(value * value)) AS v FROM ev WHERE event_type = 'click' GROUP BY 1, 2), q AS (SELECT entity, quantile_cont(v, 0.9) AS level FROM b GROUP BY 1),
+h AS (SELECT e.event_id, e.entity, e.us, max(b.v) AS peak FROM ev e JOIN b ON e.entity = b.entity AND abs(b.us - e.us) <= 43200000000 WHERE e.event_type = 'signup' GROUP BY 1, 2, 3),
+c AS (SELECT h.*, row_number() OVER (PARTITION BY h.entity ORDER BY h.us) = 1 AS first FROM h JOIN q USING (entity) WHERE peak >= level)"""
 
 
 def _coincide(ev: DataFrame) -> DataFrame:
-    bins = ev.groupBy("entity", (F.floor(US() / 21_600_000_000) * 21_600_000_000).alias("us")).agg(F.max("value").alias("value"))
-    return joins.coincidences(ev.where("event_type = 'error'").select("event_id", "entity", "us"), bins, F.lit(80), DAY / 2).select("event_id", "peak")
+    """Events within half a day of a bin whose motion is in the series' upper
+    tenth, the entity's first one marked."""
+    bins = ev.where("event_type = 'click'").groupBy("entity", (F.floor(US() / 21_600_000_000) * 21_600_000_000).alias("us")).agg(stats.rms(F.col("value")).alias("value"))
+    levels = bins.groupBy("entity").agg(F.percentile("value", F.lit(0.9)).alias("level"))
+    wakes = ev.where("event_type = 'signup'").select("event_id", "entity", "us").join(levels, "entity")
+    first = F.row_number().over(series.along()) == 1
+    return joins.coincidences(wakes, bins, F.col("level"), DAY / 2).withColumn("first", first)
 
 
-@query("event_coincidence", COIN)
+@query("event_coincidence", f"{COIN} SELECT event_id, round(peak, 6) AS peak, first FROM c")
 def event_coincidence(ev: DataFrame) -> DataFrame:
-    return _coincide(ev)
+    return _coincide(ev).select("event_id", r("peak").alias("peak"), "first")
 
 
-@query("detect_arousal", COIN)
+@query("detect_arousal", f"""{COIN}, w AS (SELECT entity, us, quantile_cont(value, 0.5) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING) AS med FROM ev WHERE event_type <> 'click'),
+n AS (SELECT c.entity, c.us, w.med, row_number() OVER (PARTITION BY c.entity ORDER BY abs(w.us - c.us), w.us) AS k FROM c JOIN w ON w.entity = c.entity WHERE first) SELECT entity, us, round(med, 6) AS value FROM n WHERE k = 1""")
 def detect_arousal(ev: DataFrame) -> DataFrame:
-    return _coincide(ev)
+    """The first waking event with a burst of motion, and the smoothed value
+    nearest to it."""
+    found = _coincide(ev).where("first").select("entity", "us")
+    rest = ev.where("event_type <> 'click'").select("entity", "us", F.percentile(F.col("value"), F.lit(0.5)).over(series.centred(2 * DAY)).alias("med"))
+    near = joins.nearest_event(found, rest.select("entity", "us"))
+    return near.join(rest.withColumnRenamed("us", "near_us"), ["entity", "near_us"]).select("entity", "us", r("med").alias("value"))
 
 
 @query("anchor_lookup", f"""{EV}, a AS (SELECT entity, min(us) AS anchor_us FROM ev WHERE event_type = 'signup' AND value > 100 GROUP BY 1)
@@ -220,32 +267,62 @@ def argmax_plateau(d: DataFrame) -> DataFrame:
     return align.best_shift(_swept(d), RULES).select("entity", "best_m", r("best", 9).alias("best"), r("at_zero", 9).alias("at_zero"), "plateau_epochs")
 
 
-USABLE = BEST + " SELECT entity, NOT wide AND NOT flat AS usable, concat_ws('; ', CASE WHEN wide THEN 'plateau ' || plateau_epochs END, CASE WHEN flat THEN 'separation' END) AS reject FROM u"
+GATE = DensityGate(0.0015, 26_000)
+ALIGN_RULES = AlignmentRules(epoch_s=DAY, reach=7, min_samples=3, plateau_share=0.95, max_plateau_s=2 * DAY, min_separation=1.5)
+#: The sweep on trailing spreads instead of raw values.
+SPREADS = "sdv AS (SELECT entity, us, k, stddev_samp(value) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW) AS sd FROM d)"
+TABLE = BEST.replace("sum(value) AS s, count(*) AS n FROM d", "sum(sd) AS s, count(sd) AS n FROM sdv WHERE sd IS NOT NULL").replace(DAYS, f"{DAYS}, {SPREADS}") + f""",
+cnt AS (SELECT entity, count(sd) AS known FROM sdv GROUP BY 1), sp AS (SELECT entity, min(k) AS k0, max(k) - min(k) + 1 AS n_ep FROM l GROUP BY 1), pb AS (SELECT b.*, k0, n_ep FROM b JOIN cnt USING (entity) JOIN sp USING (entity) WHERE known >= 3),
+sh AS (SELECT sdv.entity, us, k - best_m - k0 AS e FROM sdv JOIN pb USING (entity) WHERE k - best_m - k0 >= 0 AND k - best_m - k0 < n_ep),
+ga AS (SELECT entity, us, (us - lag(us) OVER {BY})::DOUBLE / 1e6 AS gap FROM sh),
+ra AS (SELECT entity, CASE WHEN count(*) >= 2 AND max(us) > min(us) THEN count(*) / ((max(us) - min(us))::DOUBLE / 1e6 / 60) ELSE 0 END AS rate, quantile_cont(gap, 0.5) AS gap FROM ga GROUP BY 1),
+cv AS (SELECT DISTINCT entity, e FROM sh), co AS (SELECT entity, count(*) AS n, max(e) - min(e) + 1 AS span FROM cv GROUP BY 1), lo AS (SELECT l.entity, k - k0 AS e FROM l JOIN sp USING (entity) WHERE label = 'error'),
+ons AS (SELECT entity, e FROM lo WHERE e > 0 AND (entity, e - 1) NOT IN (SELECT entity, e FROM lo)),
+oc AS (SELECT o.entity, count(*) AS n_on, count(*) FILTER (a.e IS NOT NULL AND z.e IS NOT NULL) AS n_cov, min(o.e) AS first FROM ons o LEFT JOIN cv a ON a.entity = o.entity AND a.e = o.e LEFT JOIN cv z ON z.entity = o.entity AND z.e = o.e - 1 GROUP BY 1),
+tb AS (SELECT cnt.entity, known, best_m IS NOT NULL AS seen, best_m, best, at_zero, plateau_epochs * 86400 AS plateau_s, coalesce(rate, 0) AS rate, gap, coalesce(co.n / n_ep, 0) AS cover, coalesce(co.n / span, 0) AS contig, n_on, n_cov, first
+FROM cnt LEFT JOIN pb USING (entity) LEFT JOIN ra USING (entity) LEFT JOIN co USING (entity) LEFT JOIN oc USING (entity)),
+al AS (SELECT entity, coalesce(seen AND NOT best < 1.5 AND NOT plateau_s > 172800 AND NOT (rate < 0.0015 OR gap IS NULL OR gap > 26000), false) AS usable,
+CASE WHEN seen THEN concat_ws('; ', CASE WHEN best < 1.5 THEN 'sep ' || printf('%.2f', best) || '<1.5' END, CASE WHEN plateau_s > 172800 THEN 'plateau ' || printf('%.0f', plateau_s::DOUBLE) || 's>172800s' END,
+CASE WHEN rate < 0.0015 OR gap IS NULL OR gap > 26000 THEN 'density rate=' || printf('%.1f', rate) || '/min gap=' || coalesce(printf('%.1f', gap), 'inf') || 's' END)
+WHEN known < 3 THEN 'too_few_HR_samples' ELSE 'no_probe(insufficient N3/Wake coverage at any offset)' END AS reject, best_m, best, at_zero, plateau_s, CASE WHEN seen THEN rate ELSE 0 END AS in_rate, gap AS in_gap_s, cover, contig AS contiguity,
+CASE WHEN seen THEN coalesce(n_on, 0) ELSE 0 END AS n_onsets, CASE WHEN seen THEN coalesce(n_cov, 0) ELSE 0 END AS n_covered, CASE WHEN seen THEN coalesce(first, -1) ELSE -1 END AS first_onset FROM tb)"""
+
+
+def _aligned(d: DataFrame) -> DataFrame:
+    labels = d.groupBy("entity", "k").agg(F.min("event_type").alias("label"))
+    samples = d.select("entity", "us", "k", series.trailing_sd(F.col("value"), series.trailing(3 * DAY)).alias("value"))
+    return align.alignment_table(samples, labels, F.col("label") == "click", F.col("label") == "error", ALIGN_RULES, GATE)
 
 
-@query("usable_gate", USABLE, of=days)
+@query("usable_gate", f"{TABLE} SELECT entity, usable, reject FROM al", of=days)
 def usable_gate(d: DataFrame) -> DataFrame:
-    return align.usable(align.best_shift(_swept(d), RULES), RULES).select("entity", "usable", "reject")
+    return _aligned(d).select("entity", "usable", "reject")
 
 
-@query("alignment_sweep", f"{BEST} SELECT entity, best_m, round(best, 9) AS best, NOT wide AND NOT flat AS usable FROM u", of=days)
+@query("alignment_sweep", f"""{TABLE} SELECT entity, usable, reject, best_m, round(best, 6) AS best, round(at_zero, 6) AS at_zero, plateau_s, round(in_rate, 9) AS in_rate, round(in_gap_s, 5) AS in_gap_s, round(cover, 9) AS cover, round(contiguity, 9) AS contiguity, n_onsets, n_covered, first_onset FROM al""", of=days)
 def alignment_sweep(d: DataFrame) -> DataFrame:
-    return align.usable(align.best_shift(_swept(d), RULES), RULES).select("entity", "best_m", r("best", 9).alias("best"), "usable")
+    """The whole alignment table: probed on trailing spreads, gated by density."""
+    rounded = {"best": 6, "at_zero": 6, "in_rate": 9, "in_gap_s": 5, "cover": 9, "contiguity": 9}
+    out = _aligned(d)
+    return out.select(*[r(c, rounded[c]).alias(c) if c in rounded else c for c in out.columns])
 
 
-@query("reason_tally", USABLE.replace(" SELECT entity, NOT wide", ", z AS (SELECT entity, NOT wide", 1) + ") SELECT regexp_replace(trim(string_split(reject, ';')[1]), '[0-9.]+', '#', 'g') AS reason, count(*) AS n FROM z WHERE NOT usable GROUP BY 1", of=days)
+@query("reason_tally", f"{TABLE} SELECT regexp_replace(trim(string_split(reject, ';')[1]), '[0-9.]+', '#', 'g') AS reason, count(*) AS n FROM al WHERE NOT usable GROUP BY 1", of=days)
 def reason_tally(d: DataFrame) -> DataFrame:
-    return stats.reason_tally(align.usable(align.best_shift(_swept(d), RULES), RULES).where("NOT usable"), "reject")
+    return stats.reason_tally(_aligned(d).where("NOT usable"), "reject")
 
 
-@query("alignment_verdict", f"""{BEST} SELECT count(*) AS n, count(*) FILTER (best_m = 0) AS n_clean, min(best_m) AS least_m, max(best_m) AS most_m, quantile_cont(best_m::DOUBLE, 0.5) AS median_m,
-CASE WHEN count(*) FILTER (best_m = 0) = count(*) THEN 'clean' WHEN max(best_m) - min(best_m) <= 2 THEN 'constant' ELSE 'per entity' END AS verdict FROM u""", of=days)
+@query("alignment_verdict", f"""{TABLE}, v AS (SELECT count(*) AS n, count(at_zero) AS n_zero, coalesce(bool_and(at_zero > 0), true) AS all_positive, quantile_cont(at_zero, 0.5) AS median_zero, quantile_cont(best - at_zero, 0.5) AS median_gain,
+max(best_m) - min(best_m) AS spread_epochs, quantile_cont(best_m::DOUBLE, 0.5) AS median_m FROM al WHERE best_m IS NOT NULL)
+SELECT n, n_zero, all_positive, round(median_zero, 6) AS median_zero, round(median_gain, 6) AS median_gain, spread_epochs, median_m,
+CASE WHEN n = 0 THEN 'none' WHEN all_positive AND median_gain < 0.1 * abs(median_zero + 1e-9) THEN 'clean' WHEN spread_epochs * 86400 <= 172800 THEN 'constant' ELSE 'per entity' END AS verdict FROM v""", of=days)
 def alignment_verdict(d: DataFrame) -> DataFrame:
-    return align.verdict(align.best_shift(_swept(d), RULES), 2)
+    out = align.verdict(_aligned(d), ALIGN_RULES, 2 * DAY)
+    return out.withColumns({c: r(c) for c in ("median_zero", "median_gain")})
 
 
 @query("density_gate", f"""{EV}, g AS (SELECT entity, us, (us - lag(us) OVER {BY})::DOUBLE / 1e6 AS gap FROM ev),
 c AS (SELECT entity, count(*) AS n, (max(us) - min(us))::DOUBLE / 6e7 AS span, quantile_cont(gap, 0.5) AS med FROM g GROUP BY 1), q AS (SELECT *, CASE WHEN n >= 2 AND span > 0 THEN n / span ELSE 0 END AS per_min FROM c)
-SELECT entity, NOT (per_min < 0.0015) AND NOT (med IS NULL OR med > 26000) AS dense, concat_ws('; ', CASE WHEN per_min < 0.0015 THEN 'rate' END, CASE WHEN med IS NULL OR med > 26000 THEN 'gap' END) AS reason FROM q""")
+SELECT entity, NOT (per_min < 0.0015) AND NOT (med IS NULL OR med > 26000) AS dense, CASE WHEN per_min < 0.0015 THEN 'rate ' || printf('%.2f', per_min) || '/min < 0.0/min required' WHEN med IS NULL OR med > 26000 THEN 'median gap ' || coalesce(printf('%.1f', med), 'inf') || 's > 26000s required' ELSE '' END AS reason FROM q""")
 def density_gate(ev: DataFrame) -> DataFrame:
-    return stats.density_gate(stats.cadence(ev), DensityGate(0.0015, 26_000)).select("entity", "dense", "reason")
+    return stats.density_gate(stats.cadence(ev), GATE).select("entity", "dense", "reason")

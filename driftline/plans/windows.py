@@ -123,11 +123,26 @@ def physiologic_range(ev: DataFrame) -> DataFrame:
     return ev.select("event_id", beats.in_range(V() * 10).alias("ok"))
 
 
+SPECTRAL = BeatRules(min_rr_ms=20, max_rr_ms=2000, window_s=20, min_coverage=0.0, max_deviation=0.8, nperseg=64)
+
+
+def _spectra(ev: DataFrame) -> DataFrame:
+    """At each beat, on a clock on which a day is a second, so that there are
+    bands to see."""
+    b = _beats(ev).withColumn("us", F.floor(F.col("us") / DAY))
+    return beats.spectra(b, b, SPECTRAL, chunk_s=40)
+
+
 @query("spectral_bands")
 def spectral_bands(ev: DataFrame) -> DataFrame:
-    # intervals of a day stand for seconds, so that bands are of days
-    b = _beats(ev).withColumn("us", F.floor(F.col("us") / DAY))
-    return beats.spectral_bands(b, 40, rate=4.0, least=8)
+    return _spectra(ev)
+
+
+@query("hrv_all_features")
+def hrv_all_features(ev: DataFrame) -> DataFrame:
+    """All four features of the trailing window at each beat."""
+    timed = beats.variability(_beats(ev), RULES).select("event_id", "entity", F.floor(F.col("us") / DAY).alias("us"), "ln_rmssd", "sdnn")
+    return timed.join(_spectra(ev), ["entity", "us"], "left").select("event_id", "ln_rmssd", "sdnn", "ln_hf", "ln_lf_hf")
 
 
 @query("beat_ingest", f"""{RR}, m AS (SELECT entity, ceil(us / 86400000000)::BIGINT * 86400000000 AS end_us, round_even(avg(60000 / rr), 0) AS mean FROM kept WHERE keep GROUP BY 1, 2),
@@ -217,7 +232,7 @@ def deviation_from_own_mean(ev: DataFrame) -> DataFrame:
     return ev.select("event_id", r(F.avg("value").over(Window.partitionBy("entity")) - V(), 9).alias("dev"))
 
 
-@query("z_normalize", f"{EV} SELECT event_id, round(CASE WHEN stddev_pop(value) OVER p > 0 THEN (value - avg(value) OVER p) / stddev_pop(value) OVER p END, 6) AS z FROM ev WINDOW p AS (PARTITION BY entity)")
+@query("z_normalize", f"{EV} SELECT event_id, round(CASE WHEN stddev_pop(value) OVER p > 0 THEN (value - avg(value) OVER p) / stddev_pop(value) OVER p ELSE value - avg(value) OVER p END, 6) AS z FROM ev WINDOW p AS (PARTITION BY entity)")
 def z_normalize(ev: DataFrame) -> DataFrame:
     return ev.select("event_id", r(series.z_normalized(V(), Window.partitionBy("entity"))).alias("z"))
 

@@ -119,14 +119,17 @@ def hypnogram(spark: SparkSession, path: str, stages: dict[str, int], unknown: i
     return found.withColumn("stage", F.coalesce(F.try_element_at(table, "event"), F.lit(unknown)))
 
 
-def clock_times(rows: DataFrame, file: str = "file", order: str = "line", clock: str = "clock") -> DataFrame:
-    """Adds t: seconds since the first row's midnight. A clock that jumps back
-    by more than an hour has passed midnight."""
+def clock_times(rows: DataFrame, file: str = "file", order: str = "line", clock: str = "clock", start_s: Column | None = None) -> DataFrame:
+    """Adds t: seconds since the midnight before the recording's start. A clock
+    that lies more than an hour before the one before it, or, in the first row,
+    before the start, has passed midnight. ``start_s``: the start's seconds
+    since midnight; without it the first row starts the recording."""
     parts = F.split(clock, "[:.]")
     s = F.get(parts, F.lit(0)).cast("int") * 3600 + F.get(parts, F.lit(1)).cast("int") * 60 + F.get(parts, F.lit(2)).cast("int")
     w = Window.partitionBy(file).orderBy(order)
     timed = rows.withColumn("_s", s)
-    flagged = timed.withColumn("_roll", F.when(F.col("_s") - F.lag("_s").over(w) < -3600, 86_400).otherwise(0))
+    before = F.lag("_s").over(w) if start_s is None else F.coalesce(F.lag("_s").over(w), start_s)
+    flagged = timed.withColumn("_roll", F.when(F.col("_s") - before < -3600, 86_400).otherwise(0))
     return flagged.withColumn("t", F.col("_s") + F.sum("_roll").over(w)).drop("_s", "_roll")
 
 

@@ -114,6 +114,83 @@ def test_ectopic_beats(spark):
     assert all(r["keep"] for r in beats.ectopic_filter(few, BeatRules()).collect())
 
 
+def test_durations_are_rounded_by_their_binary_value(spark):
+    """As f"{x:.1f}" does it: 69 s is 1.1499999999999999 minutes, 63 s is 1.05000000000000004."""
+    cases = [0.0, 0.25, 0.35, 12.0, 59.94, 59.96, 60.0, 63.0, 69.0, 75.0, 81.0, 3599.0, 3600.0, 3618.0, 3654.0, 5418.0, 86400.0]
+    df = spark.createDataFrame([(x,) for x in cases], "s double")
+    want = [f"{x:.1f}s" if x < 60 else f"{x / 60:.1f}m" if x < 3600 else f"{x / 3600:.2f}h" for x in cases]
+    assert [r[0] for r in df.select(scalar.duration_text(F.col("s"))).collect()] == want
+    assert want[3] == "12.0s" and want[7] == "1.1m" and want[8] == "1.1m"
+
+
+def test_fixed_text_is_what_python_prints(spark):
+    import random
+
+    rng = random.Random(4)
+    cases = [rng.uniform(-1000, 1000) for _ in range(300)] + [k / 8 for k in range(-80, 80)] + [k / 1000 for k in range(0, 3000, 5)] + [0.05, 0.15, 0.25, 2.675, 1e9 + 0.5]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, x double")
+    for digits in (0, 1, 2, 4):
+        got = {r["i"]: r["t"] for r in df.select("i", scalar.fixed_text(F.col("x"), digits).alias("t")).collect()}
+        assert all(got[i] == f"{x:.{digits}f}" for i, x in enumerate(cases))
+
+
+def test_offsets_and_zones(spark):
+    cases = [(3723.25, "+1h02m03.25s"), (-59.0, "-0h00m59.00s"), (0.0, "+0h00m00.00s"), (35_999.5, "+9h59m59.50s")]
+    df = spark.createDataFrame(cases, "s double, t string")
+    assert all(r[0] == r[1] for r in df.select(scalar.offset_text(F.col("s")), "t").collect())
+    # 35 zones: 4:30, 6:30 and 8:45 are none; of two as near the whole hour counts
+    zones = [(270 * 60.0, 240), (390 * 60.0, 360), (525 * 60.0, 540), (345 * 60.0, 345), (-570 * 60.0, -570), (225 * 60.0, 240), (15 * 3600.0, 840), (30 * 60.0, 0), (337.5 * 60.0, 330)]
+    df = spark.createDataFrame(zones, "s double, m int")
+    assert len(scalar.ZONE_MINUTES) == 35
+    assert all(r[0] == r[1] for r in df.select(scalar.nearest_zone(F.col("s")).minutes, "m").collect())
+
+
+def test_full_width_names_match(spark):
+    df = spark.createDataFrame([("Ｆｉｅｌｄ\u2009Ｗatch",)], "s string")
+    assert df.select(scalar.source_matches(F.col("s"), "field\u00a0WATCH")).first()[0]
+
+
+def test_quartiles_of_few_values_are_the_ends_in_time(spark):
+    rows = [(1, 0, 9.0), (1, 1, 3.0), (1, 2, 5.0), (2, 0, 4.0), *[(3, k, v) for k, v in enumerate((4.0, 1.0, 3.0, 2.0))]]
+    df = spark.createDataFrame(rows, "g int, us long, value double")
+    got = {r["g"]: (r["q1"], r["q3"]) for r in series.outer_quartiles(df, "value", ["g"]).collect()}
+    assert got == {1: (9.0, 5.0), 2: (4.0, 4.0), 3: (1.25, 3.75)}
+
+
+def test_z_of_a_flat_series_is_the_deviation(spark):
+    from pyspark.sql import Window
+
+    df = at(spark, (0, 7), (1, 7)).withColumn("z", series.z_normalized(F.col("value"), Window.partitionBy("entity")))
+    assert column(df, "z") == [0.0, 0.0]
+
+
+def test_the_first_clock_may_be_past_midnight(spark):
+    from driftline.sources import text
+
+    rows = spark.createDataFrame([("a", 0, "00:10:00"), ("a", 1, "23:50:00"), ("a", 2, "00:05:00"), ("b", 0, "21:40:00"), ("b", 1, "22:00:00")], "file string, line int, clock string")
+    got = [r["t"] for r in text.clock_times(rows, start_s=F.lit(22 * 3600)).orderBy("file", "line").collect()]
+    # half an hour before the start is no midnight
+    assert got == [86_400 + 600, 86_400 + 85_800, 2 * 86_400 + 300, 78_000, 79_200]
+
+
+def test_last_bin_takes_a_sample_on_its_end(spark):
+    from driftline.operators.stats import rms, time_bins
+
+    out = time_bins(at(spark, (0, 3), (4, 4), (12, 5), (15, 12)), 5, rms(F.col("value")), "rms", origin_us=F.lit(0))
+    assert {r["b"]: round(r["rms"], 9) for r in out.collect()} == {0: round(12.5**0.5, 9), 1: 0.0, 2: round(84.5**0.5, 9)}
+
+
+def test_density_reason_is_the_first_one_with_its_figures(spark):
+    from driftline.operators.stats import cadence, density_gate
+
+    slow = [(1, k * 30 * S) for k in range(11)]
+    bursts = [(2, k * 20 * S + j) for k in range(10) for j in (0, 1)] + [(2, 200 * S)]
+    gappy = [(3, k * 16 * S) for k in range(6)] + [(3, 80 * S + k) for k in range(1, 5)]
+    df = spark.createDataFrame([*slow, *bursts, *gappy, (4, 0)], "entity int, us long")
+    got = {r["entity"]: r["reason"] for r in density_gate(cadence(df)).collect()}
+    assert got == {1: "rate 2.20/min < 4.0/min required", 2: "", 3: "median gap 16.0s > 15s required", 4: "rate 0.00/min < 4.0/min required"}
+
+
 def test_quantiles(spark):
     df = at(spark, *enumerate([1, 2, 3, 4]))
     assert df.agg(F.percentile("value", F.lit(0.25))).first()[0] == 1.75
@@ -136,6 +213,61 @@ def test_epoch_index_floors(spark):
     assert spark.range(1).select(scalar.epoch_index(F.lit(-0.5), F.lit(0.0), 30)).first()[0] == -1
 
 
+def test_nearest_interval_by_gap(spark):
+    naps = spans(spark, (100, 110), (200, 210), (0, 1)).withColumn("id", (F.col("start_us") / S).cast("long"))
+    sessions = spark.createDataFrame([(1, a * S, b * S, i) for a, b, i in ((10, 90, 1), (20, 95, 2), (118, 130, 3), (205, 300, 4), (208, 220, 5))], "entity int, start_us long, end_us long, id long")
+    got = {r["l"]: (r["r"], r["gap_us"] // S) for r in intervals.nearest_by_gap(naps.withColumnRenamed("id", "l"), sessions.withColumnRenamed("id", "r"), "l", "r").collect()}
+    assert got == {100: (2, 5), 200: (4, 0), 0: (1, 9)}
+
+
+def test_clip_statistics(spark):
+    out = intervals.clip_statistics(spans(spark, (-5, 10), (50, 75), (60, 70), (-9, 0)), F.lit(0), F.lit(60 * S), ["entity"]).first()
+    assert tuple(out)[1:] == (2, 5 * S, 15 * S, 2)
+
+
+def test_alignment_table_by_hand(spark):
+    """Labels that lie an epoch late; and entities without enough to probe."""
+    from driftline.operators.align import alignment_table, verdict
+    from driftline.params import AlignmentRules, DensityGate
+
+    rules = AlignmentRules(epoch_s=30, reach=3, min_samples=2, max_plateau_s=30, min_separation=1.5)
+    labels = [(1, k, x) for k, x in enumerate("wwwnnnwwnn")] + [(2, 0, "w"), (3, 0, "w"), (3, 1, "w")]
+    value = {"w": 5.0, "n": 1.0}
+    samples = [(1, (k + 1) * 30 * S + j * 5 * S, k + 1, value[x]) for k, x in enumerate("wwwnnnwwnn") for j in range(6)]
+    samples += [(2, 0, 0, 1.0), (3, 0, 0, 1.0), (3, S, 0, 2.0), (3, 2 * S, 0, None)]
+    table = alignment_table(spark.createDataFrame(samples, "entity int, us long, k long, value double"), spark.createDataFrame(labels, "entity int, k long, label string"), F.col("label") == "w", F.col("label") == "n", rules, DensityGate())
+    rows = {r["entity"]: r for r in table.collect()}
+    one = rows[1]
+    assert (one["usable"], one["reject"], one["best_m"], one["best"], one["plateau_s"]) == (True, "", 1, 4.0, 0)
+    assert (one["n_onsets"], one["n_covered"], one["first_onset"], one["cover"], one["contiguity"], one["in_gap_s"]) == (2, 2, 3, 1.0, 1.0, 5.0)
+    assert rows[2]["reject"] == "too_few_HR_samples" and rows[3]["reject"].startswith("no_probe(") and not rows[3]["usable"] and rows[3]["first_onset"] == -1
+    assert verdict(table, rules).first()["verdict"] == "constant"
+
+
+def test_alignment_reasons_in_their_order(spark):
+    from driftline.operators.align import alignment_table
+    from driftline.params import AlignmentRules, DensityGate
+
+    rules = AlignmentRules(epoch_s=30, reach=2, min_samples=2, max_plateau_s=60, min_separation=1.5)
+    labels = spark.createDataFrame([(1, k, "w" if k < 10 else "n") for k in range(20)], "entity int, k long, label string")
+    samples = spark.createDataFrame([(1, k * 30 * S, k, 2.25 if k < 10 else 1.0) for k in range(20)], "entity int, us long, k long, value double")
+    row = alignment_table(samples, labels, F.col("label") == "w", F.col("label") == "n", rules, DensityGate()).first()
+    assert row["reject"].split("; ") == ["sep 1.25<1.5", "density rate=2.1/min gap=30.0s"] or row["reject"].startswith("sep 1.25<1.5; plateau ")
+
+
+def test_alignment_verdicts(spark):
+    from driftline.operators.align import verdict
+    from driftline.params import AlignmentRules
+
+    def of(*rows):
+        return verdict(spark.createDataFrame(list(rows), "best_m long, best double, at_zero double"), AlignmentRules(epoch_s=30)).first()["verdict"]
+
+    assert of((0, 3.0, 3.0), (4, 3.1, 3.0)) == "clean"  # positive at 0, and hardly better elsewhere
+    assert of((4, 3.0, 1.0), (5, 3.0, 1.0)) == "constant"
+    assert of((4, 3.0, -1.0), (40, 3.0, 1.0)) == "per entity"
+    assert of((None, None, None)) == "none"
+
+
 def test_plateau_spans_all_near_shifts(spark):
     from driftline.operators.align import best_shift
     from driftline.params import AlignmentRules
@@ -146,9 +278,12 @@ def test_plateau_spans_all_near_shifts(spark):
 
 
 def test_lift_verdict(spark):
-    rows = [(1, 0.6, 0.6 + d) for d in (0.040, -0.026, 0.037, 0.030, 0.040)]
-    out = evaluate.lift_verdict(spark.createDataFrame(rows, "g int, a double, b double"), "a", "b", ["g"]).first()
-    assert out["verdict"] == "INCONCLUSIVE" and out["gains"] == 4
+    """PASS from 0.04 with all folds up; FAIL below 0.02, or with two folds not up."""
+    lifts = {1: (0.040, -0.026, 0.037, 0.030, 0.040), 2: (0.05, 0.04, 0.04, 0.04, 0.04), 3: (0.03, 0.03, 0.03, 0.03, 0.03), 4: (0.01, 0.02, 0.02, 0.01, 0.02), 5: (0.2, 0.2, 0.2, 0.0, -0.01), 6: (0.2, 0.2, 0.2, 0.2, 0.0)}
+    rows = [(g, 0.6, 0.6 + d) for g, ds in lifts.items() for d in ds]
+    out = {r["g"]: r for r in evaluate.lift_verdict(spark.createDataFrame(rows, "g int, a double, b double"), "a", "b", ["g"]).collect()}
+    assert {g: r["verdict"] for g, r in out.items()} == {1: "INCONCLUSIVE", 2: "PASS", 3: "INCONCLUSIVE", 4: "FAIL", 5: "FAIL", 6: "INCONCLUSIVE"}
+    assert out[1]["gains"] == 4
 
 
 def test_source_names_match(spark):
@@ -197,3 +332,26 @@ def test_group_folds_are_even_beyond_what_the_driver_places_one_by_one(spark):
     assert placed.count() == 120_001
     loads = [r["count"] for r in df.join(placed, "g").groupBy("fold").count().collect()]
     assert len(loads) == 3 and max(loads) - min(loads) < 1_000
+
+
+def test_quantiles_of_huge_groups_by_rank(spark):
+    import random
+
+    from driftline.operators.stats import ranked_quantiles
+
+    rng = random.Random(8)
+    rows = [(g, rng.choice([None, rng.random(), rng.randint(0, 5) * 1.0])) for g in range(3) for _ in range(900)] + [(7, 2.5), (8, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    ps = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.995, "e": 1.0}
+    got = {r["g"]: tuple(r)[1:] for r in ranked_quantiles(df, "v", ps, ["g"]).collect()}
+    want = {r["g"]: tuple(r["q"]) for r in df.where("v IS NOT NULL").groupBy("g").agg(F.percentile("v", list(ps.values())).alias("q")).collect()}
+    assert got.keys() == want.keys() == {0, 1, 2, 7}
+    assert all(math.isclose(x, y) for g in want for x, y in zip(got[g], want[g], strict=True))
+
+
+def test_session_summary_of_overlapping_labels(spark):
+    rows = [(1, 0, 60, "a"), (1, 30, 50, "a"), (1, 40, 90, "b"), (1, 100, 110, "a"), (1, 800, 810, "b")]
+    df = spark.createDataFrame([(e, a * 60 * S, b * 60 * S, x, x) for e, a, b, x in rows], "entity int, start_us long, end_us long, label string, source string")
+    one, two = intervals.session_summary(df, ["a", "b"], ["a", "b"], 3600).orderBy("start_us").collect()
+    assert (one["a_min"], one["b_min"], one["asleep_min"], one["duration_min"], one["records"], one["sources"]) == (70, 50, 100, 110, 4, "a,b")
+    assert (two["a_min"], two["b_min"], two["asleep_min"]) == (0, 10, 10)

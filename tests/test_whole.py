@@ -1,4 +1,4 @@
-"""Queries that take whole tables, where an older one keeps the ids of its SQL."""
+"""Queries that once read a part of their table read all of it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from driftline import plans
 
 def test_every_duration_is_formatted(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    assert plans.queries()["fmt_duration_all"](spark, sf_dir).count() == rows
+    assert plans.queries()["fmt_duration"](spark, sf_dir).count() == rows
 
 
 def test_every_entity_is_listed_and_scanned(spark, sf_dir):
@@ -15,6 +15,6 @@ def test_every_entity_is_listed_and_scanned(spark, sf_dir):
     entities = {r["user_id"] for r in ev.select("user_id").distinct().collect()}
     nights = {(str(r["user_id"]), r["event_type"]) for r in ev.where("value > 50").select("user_id", "event_type").distinct().collect()}
     found = plans.queries()
-    assert {r["entity"] for r in found["scan_npz_all"](spark, sf_dir).collect()} == entities
-    assert {tuple(r) for r in found["list_files_all"](spark, sf_dir).collect()} == nights
-    assert found["scan_recovered_json_all"](spark, sf_dir).count() == ev.count()
+    assert {r["entity"] for r in found["scan_npz"](spark, sf_dir).collect()} == entities
+    assert {tuple(r) for r in found["list_files"](spark, sf_dir).collect()} == nights
+    assert found["scan_recovered_json"](spark, sf_dir).count() == ev.count()
