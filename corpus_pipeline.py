@@ -31,14 +31,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id.
 
     Documents without words, and those without an id, are groups of their own.
-    Rows that share an id with other texts stay or go each by its own text;
-    rows that repeat a kept id and text are one document, and stay. Whole texts
-    count. Columns of any name come back unchanged. An empty table stays
-    empty."""
-    dropped = near_duplicates(docs, keyed=True).where("NOT kept").select("doc_id", "key_a", "key_b").distinct()
+    Rows that share an id with other texts stay or go each by its own text; of
+    rows that repeat an id and a text one stays. Whole texts count. Columns of
+    any name come back unchanged. An empty table stays empty."""
+    judged = store.written(near_duplicates(docs, keyed=True).where("doc_id IS NOT NULL"), "judged")
+    pairs = judged.groupBy("doc_id", "key_a", "key_b").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
+    dropped, repeated = pairs.where("NOT kept"), pairs.where("kept AND rows > 1")
     key = text_key(docs["text"])
-    same = (docs["doc_id"] == dropped["doc_id"]) & (key["a"] == dropped["key_a"]) & (key["b"] == dropped["key_b"])
-    return docs.join(dropped, same, "left_anti").select(docs.columns)
+
+    def among(found: DataFrame) -> Column:
+        return (docs["doc_id"] == found["doc_id"]) & (key["a"] == found["key_a"]) & (key["b"] == found["key_b"])
+
+    if repeated.isEmpty():
+        return docs.join(dropped, among(dropped), "left_anti")
+    others = pairs.where("NOT kept OR rows > 1")
+    once = docs.join(repeated, among(repeated), "left_semi").groupBy(docs["doc_id"], key["a"], key["b"]).agg(F.any_value(F.struct(*docs.columns)).alias("row"))
+    return docs.join(others, among(others), "left_anti").unionByName(once.select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
