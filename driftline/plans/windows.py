@@ -145,16 +145,38 @@ def hrv_all_features(ev: DataFrame) -> DataFrame:
     return timed.join(_spectra(ev), ["entity", "us"], "left").select("event_id", "ln_rmssd", "sdnn", "ln_hf", "ln_lf_hf")
 
 
-@query("beat_ingest", f"""{RR}, m AS (SELECT entity, ceil(us / 86400000000)::BIGINT * 86400000000 AS end_us, round_even(avg(60000 / rr), 0) AS mean FROM kept WHERE keep GROUP BY 1, 2),
-s AS (SELECT entity, count(*) AS n_beats, round(avg(CASE WHEN keep THEN 0.0 ELSE 1.0 END), 6) AS removed FROM kept GROUP BY 1)
-SELECT m.*, n_beats, removed FROM m JOIN s USING (entity) WHERE removed <= 0.5""")
+INGEST = BeatRules(min_rr_ms=100, max_rr_ms=4000, max_deviation=0.8)
+PEAKS = f"""{EV}, nb AS (SELECT entity, us, value, lag(value) OVER {BY} AS a, lead(value) OVER {BY} AS c, lag(us) OVER {BY} AS u0, lead(us) OVER {BY} AS u2 FROM ev),
+pk AS (SELECT entity, us + CASE WHEN a - 2 * value + c = 0 THEN 0 ELSE least(greatest((a - c) / (2 * (a - 2 * value + c)), -0.5), 0.5) END * ((u2 - u0) // 2) AS pu FROM nb WHERE value > a AND value > c),
+bt AS (SELECT entity, round(pu / 86400)::BIGINT AS us FROM pk), b AS (SELECT * FROM (SELECT entity, us, (us - lag(us) OVER {BY}) / 1e3::DOUBLE AS rr, row_number() OVER {BY} AS i FROM bt) WHERE rr IS NOT NULL),
+g AS (SELECT * FROM b WHERE rr BETWEEN 100 AND 4000), j AS (SELECT *, count(rr) OVER w AS n, quantile_cont(rr, 0.5) OVER w AS med FROM g WINDOW w AS (PARTITION BY entity ORDER BY us ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING)),
+kept AS (SELECT entity, us, rr, n < 11 OR abs(rr - med) <= 0.8::DOUBLE * med AS keep FROM j UNION ALL SELECT entity, us, rr, false FROM b WHERE rr NOT BETWEEN 100 AND 4000),
+sp AS (SELECT entity, floor(min(us) / 86400)::BIGINT AS s0, floor(max(us) / 86400)::BIGINT AS s1 FROM ev WHERE event_type = 'view' GROUP BY 1)"""
+
+
+@query("beat_ingest", f"""{PEAKS}, m AS (SELECT entity, ceil(us / 5000000)::BIGINT * 5000000 AS end_us, round_even(avg(60000 / rr), 0) AS mean FROM kept WHERE keep GROUP BY 1, 2),
+s AS (SELECT k.entity, count(*) AS n_beats, round(avg(CASE WHEN keep THEN 0.0::DOUBLE ELSE 1 END), 6) AS removed, round(avg(CASE WHEN keep THEN 0.0::DOUBLE ELSE 1 END) FILTER (us >= s0 AND us < s1), 6) AS removed_scored FROM kept k JOIN sp USING (entity) GROUP BY 1)
+SELECT m.*, n_beats, removed, removed_scored FROM m JOIN s USING (entity) WHERE removed_scored <= 0.2""")
 def beat_ingest(ev: DataFrame) -> DataFrame:
+    """From a signal to rates: refined peaks are beats, on a clock on which a
+    day is a second; beats out of range or off their predecessors' median go;
+    records that lose too many within the labelled time go; rates come in bins
+    of five seconds."""
     from ..operators.stats import bin_end_means
 
-    b = _beats(ev)
-    kept = b.where("keep").withColumn("rate", F.lit(60000) / F.col("rr"))
-    s = b.groupBy("entity").agg(F.count("*").alias("n_beats"), r(F.avg(F.when(F.col("keep"), 0.0).otherwise(1.0))).alias("removed"))
-    return bin_end_means(kept, DAY, F.col("rate")).join(s, "entity").where("removed <= 0.5")
+    w = series.along()
+    near = ev.select("entity", "us", F.lag("value").over(w).alias("a"), V().alias("b"), F.lead("value").over(w).alias("c"), F.floor((F.lead("us").over(w) - F.lag("us").over(w)) / 2).alias("half"))
+    shift = beats.parabolic_peak(F.col("a"), F.col("b"), F.col("c"))
+    at = near.where("b > a AND b > c").select("entity", F.round((US() + shift * F.col("half")) / 86400).cast("long").alias("us"))
+    rr = ((US() - F.lag("us").over(w)) / 1e3).alias("rr")
+    b = at.select("entity", "us", rr, F.row_number().over(w).alias("i")).where("rr IS NOT NULL")
+    judged = beats.ectopic_filter(b, INGEST)
+    labelled = ev.where("event_type = 'view'").groupBy("entity").agg(F.floor(F.min("us") / 86400).alias("s0"), F.floor(F.max("us") / 86400).alias("s1"))
+    off = F.when(F.col("keep"), 0.0).otherwise(1.0)
+    inside = (US() >= F.col("s0")) & (US() < F.col("s1"))
+    s = judged.join(labelled, "entity").groupBy("entity").agg(F.count("*").alias("n_beats"), r(F.avg(off)).alias("removed"), r(F.avg(F.when(inside, off))).alias("removed_scored"))
+    rates = bin_end_means(judged.where("keep").withColumn("rate", F.lit(60000) / F.col("rr")), 5, F.col("rate"))
+    return rates.join(s, "entity").where("removed_scored <= 0.2")
 
 
 @query("lag_delta", f"{EV} SELECT event_id, round((us - lag(us) OVER {BY})::DOUBLE / 1e6, 6) AS gap_s FROM ev")

@@ -105,3 +105,19 @@ def test_phase_machine_without_motion():
     for _, us, kind, x in (r for r in night() if r[2] == "value"):
         out += phase.step(p, us / 1e6, kind, x, PhaseRules())
     assert [d["reason"] for d in out] == ["motion_unavailable"]
+
+
+def test_stream_is_written_every_so_often(spark, tmp_path):
+    """The sink flushes at each trigger, and a second run goes on where the first stopped."""
+    from driftline import sinks
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for batch in (range(0, 5), range(5, 9)):
+        spark.createDataFrame([(i,) for i in batch], "id long").write.mode("append").parquet(source)
+        stream = sinks.checkpointed(spark.readStream.schema("id long").parquet(source), out, state, every="1 second")
+        try:
+            stream.processAllAvailable()
+            assert stream.lastProgress is not None
+        finally:
+            stream.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(9))
