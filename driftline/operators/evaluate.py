@@ -97,15 +97,35 @@ def comparable(df: DataFrame, low: float = 0.53, high: float = 0.69) -> DataFram
     return df.withColumn("comparable", F.col("mean").between(low, high))
 
 
+def _bar(lift: Column, gains: Column, folds: Column, passing: float, failing: float) -> Column:
+    won, lost = (lift >= passing) & (gains == folds), (lift < failing) | (folds - gains >= 2)
+    return F.when(won, "PASS").when(lost, "FAIL").otherwise("INCONCLUSIVE")
+
+
 def lift_verdict(paired: DataFrame, base: str, treated: str, by: list[str], passing: float = 0.04, failing: float = 0.02) -> DataFrame:
     """Mean paired lift over folds and a verdict: PASS if it is at least
     ``passing`` and all folds gain, FAIL if it is below ``failing`` or two folds
     or more don't gain, else INCONCLUSIVE."""
     d = F.col(treated) - F.col(base)
     out = paired.groupBy(*by).agg(F.count(d).alias("folds"), F.avg(d).alias("lift"), F.coalesce(F.sum((d > 0).cast("int")), F.lit(0)).cast("long").alias("gains"))
-    won = (F.col("lift") >= passing) & (F.col("gains") == F.col("folds"))
-    lost = (F.col("lift") < failing) | (F.col("folds") - F.col("gains") >= 2)
-    return out.withColumn("verdict", F.when(won, "PASS").when(lost, "FAIL").otherwise("INCONCLUSIVE"))
+    return out.withColumn("verdict", _bar(F.col("lift"), F.col("gains"), F.col("folds"), passing, failing))
+
+
+def treatment_verdict(per_fold: DataFrame, passing: float = 0.04, failing: float = 0.02, grows: float = 0.03) -> DataFrame:
+    """One row from (arm, fold, lr_base, lr_treated, rf_base, rf_treated), with
+    the arms ``all`` and ``subset``: the linear model's lift decides; a passing
+    forest makes it inconclusive; a passing subset adds a note that can't make
+    or unmake a pass; and whether the gap between the models grows."""
+    lr, rf = F.col("lr_treated") - F.col("lr_base"), F.col("rf_treated") - F.col("rf_base")
+    growth = rf - lr
+    up = lambda x: F.count(F.when(x > 0, 1))
+    arms = per_fold.groupBy("arm").agg(F.count("*").alias("folds"), F.avg(lr).alias("lr_lift"), up(lr).alias("lr_gains"), F.avg(rf).alias("rf_lift"), up(rf).alias("rf_gains"), F.avg(growth).alias("growth"), up(growth).alias("growing"))
+    barred = arms.withColumns({f"{m}_verdict": _bar(F.col(f"{m}_lift"), F.col(f"{m}_gains"), F.col("folds"), passing, failing) for m in ("lr", "rf")})
+    of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    row = barred.agg(*[of("all", c).alias(c) for c in ("lr_lift", "lr_gains", "lr_verdict", "rf_lift", "rf_gains", "rf_verdict", "growth", "growing")], of("subset", "lr_lift").alias("subset_lift"), of("subset", "lr_verdict").alias("subset_verdict"))
+    main = F.when(F.col("lr_verdict") == "PASS", "PASS").when(F.col("rf_verdict") == "PASS", "INCONCLUSIVE (nonlinear signal)").otherwise(F.col("lr_verdict"))
+    note = F.when((F.col("lr_verdict") != "PASS") & (F.col("subset_verdict") == "PASS"), " + INCONCLUSIVE (subset)").otherwise("")
+    return row.withColumn("verdict", F.concat(main, note)).withColumn("gap_grows", (F.col("growth") >= grows) & (F.col("growing") >= 4))
 
 
 def fold_bounds(df: DataFrame, columns: list[str], folds: int, low: float = 0.005, high: float = 0.995, fold: str = "fold") -> DataFrame:

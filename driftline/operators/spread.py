@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 PARTS = 200
 
 
-def spread_join(facts: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", n: str = "n", total: int | None = None, parts: int = PARTS) -> DataFrame:
+def spread_join(facts: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner", n: str = "n", total: int | None = None, parts: int = PARTS) -> DataFrame:
     """``facts`` joined with ``table``, which has one row a key and says in
     ``n`` how many facts have that key; ``n`` itself doesn't come back.
 
     Keys with more than ``1 / parts`` of the facts are split: their facts are
     dealt over several copies of the key's row. There are fewer than ``parts``
     such keys, whatever the size of the data, so that their list may be
-    broadcast. Keys that are null don't meet.
+    broadcast. Keys that are null don't meet. ``by`` names columns that tell
+    facts of one key apart: their hash deals them, so that a task that runs
+    again after a lost executor deals them the same way.
     """
     total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] if total is None else total
     share = max(1, -(-total // parts))
     copies = F.ceil(F.col(n) / share).cast("long")
     heavy = table.where(F.col(n) > share).select(*keys, copies.alias("_copies"))
-    # within a task the number runs on, so a heavy key's facts are dealt evenly
-    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_copies")), F.lit(0).cast("long"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_copies")), F.lit(0).cast("long"))
     dealt = facts.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_copies")
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies, F.lit(1).cast("long")) - 1))).drop(n)
     # both sides are dealt out at every size: a broadcast below a size limit would make shuffles grow faster than the data

@@ -93,6 +93,34 @@ def paired_lift_verdict(ev: DataFrame) -> DataFrame:
     return evaluate.lift_verdict(base.join(treated, by), "a", "b", ["lead_s"]).select("lead_s", "folds", r("lift", 7).alias("lift"), "gains", "verdict")
 
 
+ARMS = {"lr_base": "sd", "lr_treated": "slope", "rf_base": "drop_vs_base", "rf_treated": "abs(slope)"}
+BAR = "CASE WHEN {m}_lift >= 0.04 AND {m}_gains = folds THEN 'PASS' WHEN {m}_lift < 0.02 OR folds - {m}_gains >= 2 THEN 'FAIL' ELSE 'INCONCLUSIVE' END"
+
+
+@query("treatment_verdict", LEAD_SQL + """, sz AS (SELECT entity FROM ev GROUP BY 1 HAVING count(*) >= 66), u AS (SELECT 'all' AS arm, * FROM l UNION ALL SELECT 'subset', * FROM l WHERE entity IN (SELECT entity FROM sz)),
+v AS (SELECT arm, lead_s, fold, yl, s AS name, round(CASE s """ + " ".join(f"WHEN '{k}' THEN {x}" for k, x in ARMS.items()) + """ END, 6) AS score FROM u, (SELECT unnest(['lr_base', 'lr_treated', 'rf_base', 'rf_treated']) AS s)),
+c AS (SELECT arm, name, lead_s, fold, score, sum(yl) AS p, count(*) - sum(yl) AS n FROM v GROUP BY ALL), k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY arm, name, lead_s, fold ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS un FROM c),
+auc AS (SELECT arm, name, lead_s, fold, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p::DOUBLE * (un + n / 2)) / (sum(p)::DOUBLE * sum(n)::DOUBLE) END AS auroc FROM k GROUP BY 1, 2, 3, 4), pf AS (SELECT arm, name, fold, avg(auroc) AS m FROM auc GROUP BY 1, 2, 3),
+pv AS (SELECT arm, fold, max(m) FILTER (name = 'lr_treated') - max(m) FILTER (name = 'lr_base') AS lr, max(m) FILTER (name = 'rf_treated') - max(m) FILTER (name = 'rf_base') AS rf FROM pf GROUP BY 1, 2),
+d AS (SELECT arm, count(*) AS folds, avg(lr) AS lr_lift, count(*) FILTER (lr > 0) AS lr_gains, avg(rf) AS rf_lift, count(*) FILTER (rf > 0) AS rf_gains, avg(rf - lr) AS growth, count(*) FILTER (rf - lr > 0) AS growing FROM pv GROUP BY 1),
+b AS (SELECT *, """ + BAR.format(m="lr") + " AS lr_verdict, " + BAR.format(m="rf") + """ AS rf_verdict FROM d)
+SELECT round(a.lr_lift, 7) AS lr_lift, a.lr_gains, a.lr_verdict, round(a.rf_lift, 7) AS rf_lift, a.rf_gains, a.rf_verdict, round(a.growth, 7) AS growth, a.growing, round(s.lr_lift, 7) AS subset_lift, s.lr_verdict AS subset_verdict,
+CASE WHEN a.lr_verdict = 'PASS' THEN 'PASS' WHEN a.rf_verdict = 'PASS' THEN 'INCONCLUSIVE (nonlinear signal)' ELSE a.lr_verdict END || CASE WHEN a.lr_verdict <> 'PASS' AND s.lr_verdict = 'PASS' THEN ' + INCONCLUSIVE (subset)' ELSE '' END AS verdict,
+a.growth >= 0.03 AND a.growing >= 4 AS gap_grows FROM b a, b s WHERE a.arm = 'all' AND s.arm = 'subset'""")
+def treatment_verdict(ev: DataFrame) -> DataFrame:
+    """Both models and the subset of entities with long series; rules on the
+    features stand for the models, so that SQL can say it."""
+    long = ev.groupBy("entity").count().where("count >= 66").select("entity", F.lit(True).alias("long"))
+    rows = _leads(ev).join(long, "entity", "left")
+    arms = F.when(F.col("long"), F.array(F.lit("all"), F.lit("subset"))).otherwise(F.array(F.lit("all")))
+    named = F.array(*[F.struct(F.lit(k).alias("name"), F.round(F.expr(x), 6).alias("score")) for k, x in ARMS.items()])
+    scored = rows.select("lead_s", "fold", "y", F.explode(arms).alias("arm"), named.alias("n")).select("lead_s", "fold", "y", "arm", F.explode("n").alias("n")).select("lead_s", "fold", "y", "arm", "n.*")
+    areas = evaluate.auroc(scored, "score", "y", ["arm", "name", "lead_s", "fold"])
+    per_fold = areas.groupBy("arm", "fold", "name").agg(F.avg("auroc").alias("m")).groupBy("arm", "fold").pivot("name", list(ARMS)).agg(F.first("m"))
+    out = evaluate.treatment_verdict(per_fold)
+    return out.withColumns({c: r(c, 7) for c in ("lr_lift", "rf_lift", "growth", "subset_lift")})
+
+
 @query("train_winsorise", f"""{DECISIONS}, rf AS (SELECT *, entity % 5 AS fold FROM ready), b AS (SELECT x.fold, quantile_cont(sd, 0.005) AS lo, quantile_cont(sd, 0.995) AS hi FROM rf, (SELECT unnest(range(5)) AS fold) x WHERE rf.fold <> x.fold GROUP BY 1)
 SELECT event_id, round(least(greatest(sd, lo), hi), 6) AS sd FROM rf JOIN b ON rf.fold = b.fold""")
 def train_winsorise(ev: DataFrame) -> DataFrame:

@@ -76,6 +76,20 @@ def test_ranking_metrics_against_all_pairs(spark):
     assert area[9] is None and precision[9] == 1
 
 
+def test_treatment_verdicts(spark):
+    def of(lr, rf, subset):
+        rows = [("all", k, 0.6, 0.6 + a, 0.6, 0.6 + b) for k, (a, b) in enumerate(zip(lr, rf, strict=True))] + [("subset", k, 0.6, 0.6 + c, 0.6, 0.6) for k, c in enumerate(subset)]
+        r = evaluate.treatment_verdict(spark.createDataFrame(rows, "arm string, fold int, lr_base double, lr_treated double, rf_base double, rf_treated double")).first()
+        return r["verdict"], r["gap_grows"]
+
+    good, fair, bad = [0.05] * 5, [0.03] * 5, [0.0] * 5
+    assert of(good, bad, bad) == ("PASS", False)
+    assert of(fair, good, bad) == ("INCONCLUSIVE (nonlinear signal)", False)
+    assert of(bad, fair, good) == ("FAIL + INCONCLUSIVE (subset)", True)
+    assert of(bad, [0.04, 0.04, 0.04, 0.04, -0.01], bad) == ("FAIL", True)
+    assert of(good, good, good) == ("PASS", False)
+
+
 # surfaces against loops over entities
 
 DAY_US = 86_400_000_000

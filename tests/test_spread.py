@@ -13,10 +13,10 @@ def test_spread_join_gives_what_a_join_gives_and_splits_heavy_keys(spark):
     facts = spark.range(0, 9_000).select(F.col("id").alias("v"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(1000 + F.col("id")).cast("long").alias("k"))
     table = facts.where("k IS NOT NULL AND k % 2 = 1").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
     for how in ("inner", "left", "left_semi"):
-        got = spread.spread_join(facts, table, ["k"], how, parts=20)
+        got = spread.spread_join(facts, table, ["k"], ["v"], how, parts=20)
         want = facts.join(table.drop("n"), ["k"], how)
         assert sorted(map(tuple, got.select(sorted(got.columns)).collect()), key=repr) == sorted(map(tuple, want.select(sorted(want.columns)).collect()), key=repr)
-    empty = spread.spread_join(facts.limit(0), table.limit(0), ["k"])
+    empty = spread.spread_join(facts.limit(0), table.limit(0), ["k"], ["v"])
     assert empty.count() == 0
 
 
@@ -27,7 +27,7 @@ def test_no_task_of_a_spread_join_holds_the_heavy_key(spark):
     try:
         for k, v in zip(kept, ("40", "-1", "false"), strict=True):
             spark.conf.set(k, v)
-        sizes = Counter(r[0] for r in spread.spread_join(facts, table, ["k"], parts=60).select(F.spark_partition_id()).collect())
+        sizes = Counter(r[0] for r in spread.spread_join(facts, table, ["k"], ["v"], parts=60).select(F.spark_partition_id()).collect())
         plain = Counter(r[0] for r in facts.join(table, "k").select(F.spark_partition_id()).collect())
     finally:
         for k, v in kept.items():
