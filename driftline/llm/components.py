@@ -18,13 +18,13 @@ from . import store
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return spread_join(both.where("v > u"), least, ["u"], total=2 * n_edges).where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return spread_join(both.where("v > u"), least, ["u"], ["v"], total=2 * n_edges).where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     # every edge (a, b) has a > b here
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = spread_join(edges, least, ["a"], total=n_edges).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(edges, least, ["a"], ["b"], total=n_edges).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -281,7 +281,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, rules: Graph
     waves = max(1, math.ceil(queries.count() / (rules.block * rules.wave)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     loads = index.withColumn("wave", every(waves))
-    asks = blocks.withColumn("wave", F.pmod(F.monotonically_increasing_id(), F.lit(waves)).cast("int")).withColumn("shard", every(shards))
+    asks = blocks.withColumn("wave", F.pmod(F.xxhash64("query_ids"), F.lit(waves)).cast("int")).withColumn("shard", every(shards))
     both = loads.unionByName(asks, allowMissingColumns=True).repartition("dim", "shard", "wave")
     # the shard itself comes before its blocks
     ordered = both.sortWithinPartitions("dim", "shard", "wave", F.col("graph").isNull())

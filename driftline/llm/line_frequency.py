@@ -104,7 +104,7 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
     frequent = store.written(frequent_lines(distinct, rules), "frequent")
     lines = distinct.select("host", "key", "n", F.explode("lines").alias("line")).select("host", "key", "n", "line.h", "line.w")
     # a line that a third of all documents hold, and a text that a third of all rows have, are split
-    removed = spread_join(lines.withColumnRenamed("n", "rows"), frequent, ["host", "h"], n="n_docs", total=n_lines)
+    removed = spread_join(lines.withColumnRenamed("n", "rows"), frequent, ["host", "h"], ["key"], n="n_docs", total=n_lines)
     lost = store.written(removed.groupBy("host", "key").agg(F.first("rows").alias("n"), F.sum("w").alias("removed_words"), F.collect_set("h").alias("removed_lines")), "lost")
     text = F.coalesce(F.col("text"), F.lit(""))
     stats = rows.select(
@@ -117,7 +117,7 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    judged = spread_join(stats, lost, ["host", "key"], "left", total=n_rows)
+    judged = spread_join(stats, lost, ["host", "key"], ["doc_id"], "left", total=n_rows)
     n_words, removed = F.col("s.n_words"), F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
     failed = (n_words < rules.min_words) | (100 * F.col("s.n_repeat_words") > rules.max_repeat_percent * n_words)
     depleted = (n_words - removed).cast("double") < n_words.cast("double") * F.lit(rules.min_left_share)

@@ -133,7 +133,7 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many = pairs.groupBy("b").agg(F.count("*").alias("n"))
     hubs = store.written(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(many, "b"), "hubs")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    two = spread_join(one, hubs, ["b"], total=pairs.count())
+    two = spread_join(one, hubs, ["b"], ["a"], total=pairs.count())
     return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -181,7 +181,7 @@ def compared(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = apart.groupBy("g", "label").agg(F.count("*").alias("n"))
     top = counts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
     top = store.written(top.select("g", "n", F.col("top.label").alias("top"), F.ceil(F.col("n") / CELL).alias("cells"), F.ceil((F.col("n") - F.col("top.n")) / CELL).alias("outer_cells")), "tops")
-    placed = spread_join(apart, top, ["g"], total=apart.count()).withColumn("h", F.xxhash64("node", "g"))
+    placed = spread_join(apart, top, ["g"], ["node"], total=apart.count()).withColumn("h", F.xxhash64("node", "g"))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     as_member = F.transform(every("outer_cells"), lambda o: F.struct(F.pmod("h", "cells").alias("m"), o.alias("o"), F.lit(False).alias("outer")))
     as_outer = F.when(F.col("label") != F.col("top"), F.transform(every("cells"), lambda m: F.struct(m.alias("m"), F.pmod("h", "outer_cells").alias("o"), F.lit(True).alias("outer"))))
@@ -197,7 +197,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     it; ``docs``: (doc_id, text)."""
     groups = nodes.select(F.posexplode("bands").alias("band", "g"), "node", "id")
     hubs = store.written(groups.groupBy("g").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    members = store.written(spread_join(groups, hubs, ["g"], total=BANDS * nodes.count()).select("g", "band", "node", "id", "hub"), "members")
+    members = store.written(spread_join(groups, hubs, ["g"], ["node"], total=BANDS * nodes.count()).select("g", "band", "node", "id", "hub"), "members")
     n_members = members.count()
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     wanted = members.select("node").distinct()
@@ -208,7 +208,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     first = store.written(components(checked(star, sets, percent)), "first")
     labelled = store.written(members.select("g", "band", "node").join(first, "node", "left").select("g", "band", "node", F.coalesce("component", "node").alias("label")), "labels")
     several = labelled.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high").select("g", "n")
-    apart = store.written(spread_join(labelled, store.written(several, "several"), ["g"], "left_semi", total=n_members), "apart")
+    apart = store.written(spread_join(labelled, store.written(several, "several"), ["g"], ["node"], "left_semi", total=n_members), "apart")
     more = compared(apart, sets, percent)
     # what the second links join are the components of the first
     label = first.withColumnRenamed("component", "label")
@@ -216,7 +216,7 @@ def linked(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     second = store.written(components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "second")
     sizes = first.groupBy("component").agg(F.count("*").alias("n"))
     moved = second.select(F.col("node").alias("component"), F.col("component").alias("new")).join(sizes, "component")
-    again = spread_join(first, store.written(moved, "moved"), ["component"], "left", total=first.count())
+    again = spread_join(first, store.written(moved, "moved"), ["component"], ["node"], "left", total=first.count())
     alone = second.join(first.select("node"), "node", "left_anti")
     return again.select("node", F.coalesce("new", "component").alias("component")).unionByName(alone)
 
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     per_set = sets.drop("bands").join(labels.withColumnRenamed("node", "f1"), "f1", "left").withColumn("label", F.coalesce("component", "f1"))
     per_set = store.written(per_set.select("f1", "f2", "id", "label", F.col("n").alias("rows")), "per_set")
     least = store.written(per_set.groupBy("label").agg(F.min("id").alias("set_component"), F.count("*").alias("n")), "least")
-    classes = store.written(spread_join(per_set, least, ["label"], total=sets.count()).select("f1", "f2", "set_component", F.col("rows").alias("n")), "classes")
+    classes = store.written(spread_join(per_set, least, ["label"], ["f1"], total=sets.count()).select("f1", "f2", "set_component", F.col("rows").alias("n")), "classes")
     linkable = signed.drop("bands").withColumn("linkable", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
-    joined = spread_join(linkable, classes, ["f1", "f2"], "left")
+    joined = spread_join(linkable, classes, ["f1", "f2"], ["doc_id"], "left")
     component = F.when(F.col("linkable"), F.col("set_component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *[f"key_{x}" for x in ("a", "b") if keyed])
 

@@ -98,10 +98,10 @@ def assign(docs: DataFrame, rules: ShardRules = ShardRules(), id_col: str = "doc
     kinds = pa.schema([("bytes", pa.int64()), ("upto", pa.list_(pa.int64())), ("count", pa.int64())])
     plan = spark.createDataFrame(pa.table([pa.array(sizes, pa.int64()), pa.array(upto.tolist(), pa.list_(pa.int64())), pa.array(counts, pa.int64())], schema=kinds))
     ranked = running(groups, "bytes", "key", ["a", "b"], F.lit(1), "rank")
-    placed = spread_join(ranked, plan, ["bytes"], n="count", total=sum(counts))
+    placed = spread_join(ranked, plan, ["bytes"], ["a", "b"], n="count", total=sum(counts))
     shard = F.size(F.filter("upto", lambda c: c <= F.col("rank"))).alias("shard")
     placed = store.written(placed.select("a", "b", "n", shard), "placed")
-    sharded = spread_join(rows, placed, ["a", "b"]).withColumn("key", F.pmod(F.xxhash64("doc_id", "a"), F.lit(SPAN)))
+    sharded = spread_join(rows, placed, ["a", "b"], ["doc_id"]).withColumn("key", F.pmod(F.xxhash64("doc_id", "a"), F.lit(SPAN)))
     return running(store.written(sharded, "sharded"), "shard", "key", ["doc_id", "size"], F.lit(1), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

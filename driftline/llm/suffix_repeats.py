@@ -279,12 +279,12 @@ def repeated_passages(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_co
     suffixes = store.written(retained(rows, rules), "suffixes")
     twice = (F.min("doc_id") != F.max("doc_id")).alias("several")
     shared = store.written(suffixes.groupBy("core").agg(twice, F.count("*").alias("n")).where("several").select("core", "n"), "shared")
-    found = store.written(spread_join(suffixes, shared, ["core"], "left_semi", total=suffixes.count()), "found")
+    found = store.written(spread_join(suffixes, shared, ["core"], ["doc_id", "at"], "left_semi", total=suffixes.count()), "found")
     store.drop(suffixes)
     # a context is one row from here on
     each = store.written(found.groupBy("core", "ctx").agg(twice, F.min(F.struct("doc_id", "text_id", "at")).alias("place"), F.bit_or("offsets").alias("offsets"), F.count("*").alias("n")), "contexts")
     cores = store.written(each.groupBy("core").agg(F.count("*").alias("contexts"), (~F.bool_and("several")).alias("alone")).where("alone").select("core", F.col("contexts").alias("_contexts"), (F.col("contexts") > rules.max_core).alias("large")), "cores")
-    unsettled = spread_join(each, cores, ["core"], n="_contexts", total=each.count()).select("place.doc_id", "place.text_id", F.struct("place.at", "core", "ctx", "n", "large", "several", "offsets").alias("p"))
+    unsettled = spread_join(each, cores, ["core"], ["ctx"], n="_contexts", total=each.count()).select("place.doc_id", "place.text_id", F.struct("place.at", "core", "ctx", "n", "large", "several", "offsets").alias("p"))
     places = store.written(unsettled.groupBy("doc_id", "text_id").agg(F.collect_list("p").alias("places")), "places")
     # rows that repeat an id and a text give the same contexts again
     around = store.written(contexts(rows.join(places, ["doc_id", "text_id"]).select("doc_id", "text", "places"), rules), "around")
@@ -292,12 +292,12 @@ def repeated_passages(docs: DataFrame, rules: RepeatRules = RepeatRules(), id_co
     settled_masks = neighbours(ordered, rules)
     counted = store.written(stretches(around.where("large"), rules), "stretches")
     again = counted.groupBy("stretch").agg((F.bool_or("several") | (F.min("doc_id") != F.max("doc_id"))).alias("twice"), F.count("*").alias("n")).where("twice").select("stretch", F.col("n").alias("_n"))
-    late = spread_join(counted, store.written(again, "again"), ["stretch"], "left_semi", n="_n", total=counted.count()).select("ctx", "mask", "n")
+    late = spread_join(counted, store.written(again, "again"), ["stretch"], ["ctx"], "left_semi", n="_n", total=counted.count()).select("ctx", "mask", "n")
     parts = each.where("several").select("ctx", F.col("offsets").alias("mask"), "n").unionByName(settled_masks).unionByName(late)
     masks = store.written(parts.groupBy("ctx").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "masks")
     for table in (shared, each, cores, places, around, counted):
         store.drop(table)
-    hits = spread_join(found.withColumnRenamed("offsets", "asked"), masks, ["ctx"], total=found.count()).select("doc_id", "text_id", "at", F.col("mask").bitwiseAND(F.col("asked")).alias("mask")).where("mask != 0")
+    hits = spread_join(found.withColumnRenamed("offsets", "asked"), masks, ["ctx"], ["doc_id", "at"], total=found.count()).select("doc_id", "text_id", "at", F.col("mask").bitwiseAND(F.col("asked")).alias("mask")).where("mask != 0")
     return united(hits.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("at", "mask")).alias("found")).select("doc_id", "found"), rules)
 
 

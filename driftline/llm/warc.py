@@ -182,7 +182,7 @@ def write_deduplicated(spark: SparkSession, source: str, path: str, id_type: str
     headers = store.written(read(spark, source, id_type), "headers")
     o = originals(headers, min_bytes).select("payload_digest", "payload_bytes", F.col("record_id").alias("original"), "n")
     responses = headers.where("kind = 'response'").select("file", "place", "record_id", "payload_digest", "payload_bytes")
-    revisits = spread_join(responses, store.written(o.where("n > 1"), "originals"), ["payload_digest", "payload_bytes"], total=headers.count()).where("record_id != original")
+    revisits = spread_join(responses, store.written(o.where("n > 1"), "originals"), ["payload_digest", "payload_bytes"], ["record_id"], total=headers.count()).where("record_id != original")
     by_file = revisits.groupBy("file").agg(F.collect_list(F.struct("place", "original")).alias("revisits"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -216,10 +216,10 @@ def resolve(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     payloads and repeated pages come back as they are; an archive without
     records gives an empty result."""
     rows = store.written(read(spark, path, id_type), "resolved")
-    responses, revisits = rows.where("kind = 'response'"), rows.where("kind = 'revisit'").select("page_id", "kind", "refers_to_record")
+    responses, revisits = rows.where("kind = 'response'"), rows.where("kind = 'revisit'").select("page_id", "record_id", "kind", "refers_to_record")
     asked = revisits.groupBy("refers_to_record").agg(F.count("*").alias("n"))
     targets = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).join(asked, "refers_to_record")
-    found = spread_join(revisits, store.written(targets, "targets"), ["refers_to_record"], "left")
+    found = spread_join(revisits, store.written(targets, "targets"), ["refers_to_record"], ["record_id"], "left").drop("record_id")
     return responses.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.lit(None).cast(id_type).alias("refers_to")).unionByName(
         found.select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
     )
