@@ -79,7 +79,7 @@ def night(deep: bool = True):
 def test_phase_machine_fires_and_matches_the_stream(spark, tmp_path):
     rows = spark.createDataFrame(night(), "entity long, us long, kind string, value double")
     found = phase.phase_decisions(rows).orderBy("us").collect()
-    assert [r["phase_to"] for r in found] == ["asleep", "confirming", "fired"]
+    assert [r["phase_to"] for r in found] == ["asleep", "asleep", "confirming", "wake_fired"]
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = phase.phase_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
@@ -104,7 +104,7 @@ def test_phase_machine_without_motion():
     p, out = phase.Phase(), []
     for _, us, kind, x in (r for r in night() if r[2] == "value"):
         out += phase.step(p, us / 1e6, kind, x, PhaseRules())
-    assert [d["reason"] for d in out] == ["motion_unavailable"]
+    assert [d["reason"] for d in out] == ["phase1_motion_unavailable"]
 
 
 def test_stream_is_written_every_so_often(spark, tmp_path):
