@@ -131,8 +131,9 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     many = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    hubs = store.written(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(many, "b"), "hubs")
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    hubs = store.written(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(many, "b"), "pair_hubs")
+    # dealt out at every size: few pairs would be broadcast, and shuffles grow faster than the data
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
     two = spread_join(one, hubs, ["b"], ["a"], total=pairs.count())
     return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
