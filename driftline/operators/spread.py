@@ -1,11 +1,14 @@
 """Work on huge groups without one task per group: joins on keys of which one
-may hold a third of all rows, and running sums over groups of any size."""
+may hold a third of all rows, and places and running sums in groups of any
+size."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialized
+
 #: A key with more than one in so many rows is split.
 PARTS = 200
 
@@ -64,3 +67,22 @@ def running_sums(df: DataFrame, group: str, bucket: Column, order: list[str | Co
     ranked = placed.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in mine.values()})
     summed = ranked.join(starts, ["_g", "_bucket"]).withColumns({name: F.col(f"{c}_start") + F.col(f"{c}_inside") for name, c in mine.items()})
     return summed.drop("_g", "_bucket", *[x for c in mine.values() for x in (c, f"{c}_start", f"{c}_inside")])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, rows_per_part: int = 200_000) -> DataFrame:
+    """``df`` with ``name``: the place, from 0, of each row among those of its
+    group, by ``order``, nulls first. Rows are sorted once by range, so a group
+    of any size is spread over tasks; how many rows of a group come in the
+    parts before, a table with a row for each group and part, is summed up
+    afterwards. Rows that tie in all of ``order`` come in any order but each
+    get a place of their own. ``by`` must not be null. ``df`` is read three
+    times, so it should be a written table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-df.count() // rows_per_part))
+    in_order = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    # the upper bits of the id are the part, which rises with the order
+    placed = materialized(in_order.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    firsts = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = firsts.select(*by, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(starts, [*by, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
