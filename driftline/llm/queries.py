@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, graph_index, line_frequency, minhash, mixing, secrets, sharding, suffix_repeats, toxic_spans, warc
+from . import byte_bpe, graph_index, line_frequency, merkle, minhash, mixing, secrets, sharding, suffix_repeats, toxic_spans, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": graph_index.op1_nearest,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_repeats": suffix_repeats.op10_repeats,
+    "op13_manifest": merkle.op13_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
