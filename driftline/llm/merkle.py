@@ -182,3 +182,28 @@ def op13_manifest(spark, sf_dir: str) -> DataFrame:
     one_more = F.col("n_chars").cast("decimal(20,0)") + 1  # beyond the greatest long too
     changed = [one_more if c == "n_chars" else F.col(c) for c in names]
     return manifest(docs, [F.col(c) for c in names], F.col("lang"), F.col("doc_id"), tampered, changed).withColumnRenamed("id", "doc_id")
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text"))
+OP13_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1))) AS v FROM range(256) AS r(i))),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_LEAF.format(n="n_chars")}) AS leaf,
+  CASE WHEN xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)::INT])), 4294967295::UBIGINT) % 7 = 0
+    THEN sha256({_LEAF.format(n="(n_chars + 1::HUGEINT)")}) END AS other FROM documents, tab),
+low AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv(g, k, i, h) AS (SELECT g, 0, pos, leaf FROM low
+  UNION ALL SELECT g, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM lv) WHERE n > 1 GROUP BY g, k, i // 2),
+tops AS (SELECT g, max(k) AS height, arg_max(h, k) AS subroot FROM lv GROUP BY g),
+mid AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos FROM tops),
+up(k, i, h) AS (SELECT 0, pos, subroot FROM mid
+  UNION ALL SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM up) WHERE n > 1 GROUP BY k, i // 2),
+crown AS (SELECT max(k) AS height, arg_max(h, k) AS root FROM up),
+steps AS (SELECT doc_id, low.leaf, low.pos, low.g, e AS k, CASE WHEN b.h IS NULL THEN '-' WHEN (low.pos >> e) & 1 = 1 THEN 'l' || b.h ELSE 'r' || b.h END AS s
+    FROM low JOIN tops USING (g), unnest(range(0, height)) AS u(e) LEFT JOIN lv b ON b.g = low.g AND b.k = e AND b.i = xor(low.pos >> e, 1)
+  UNION ALL SELECT doc_id, low.leaf, low.pos, low.g, 1000 + e, CASE WHEN b.h IS NULL THEN '-' WHEN (mid.pos >> e) & 1 = 1 THEN 'l' || b.h ELSE 'r' || b.h END
+    FROM low JOIN mid USING (g), crown, unnest(range(0, crown.height)) AS u(e) LEFT JOIN up b ON b.k = e AND b.i = xor(mid.pos >> e, 1)),
+paths AS (SELECT g, pos, list(s ORDER BY k) AS path FROM steps GROUP BY g, pos),
+done AS (SELECT low.*, subroot, root, coalesce(path, []) AS path FROM low JOIN tops USING (g) CROSS JOIN crown LEFT JOIN paths USING (g, pos)),
+again AS (SELECT *, list_reduce(list_prepend(coalesce(other, leaf), path), lambda x, s: sha256(CASE s[1] WHEN 'l' THEN s[2:] || x WHEN 'r' THEN x || s[2:] ELSE x END)) AS folded_root FROM done)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s[2:] for s in path], '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM again"""

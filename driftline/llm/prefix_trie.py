@@ -201,3 +201,22 @@ def trie(conversations: DataFrame, base: Column, head: Column, most: int, rules:
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     conv = F.col("conv_id")
     return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv - conv % 5, F.crc32(conv.cast("string")) % 9, 8)
+
+
+OP12_SQL = """
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1))) AS v FROM range(256) AS r(i))),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT for x in string_split(conv_id::VARCHAR, '')]), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)::INT])), 4294967295::UBIGINT)::BIGINT % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), tab),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+  {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY 1),
+rb AS (SELECT h.conv_id, pos AS d, x FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND pos <= h
+  UNION ALL SELECT conv_id, pos - h + least(h, coalesce(n.n, 0)), x FROM t JOIN h USING (conv_id) LEFT JOIN n ON base = conv_id - conv_id % 5 WHERE pos > h),
+s AS (SELECT h.conv_id, coalesce(list(x ORDER BY d) FILTER (d IS NOT NULL), []) AS s FROM h LEFT JOIN rb USING (conv_id) GROUP BY 1),
+p AS (SELECT conv_id, d, len(s) AS last, s[1:d] AS k FROM s, unnest(range(0, len(s) + 1)) AS u(d)),
+node AS (SELECT k, d, min(conv_id) AS owner, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last), '') AS ends FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children, CASE WHEN d > 0 THEN (node.n - 1) * strlen(k[d].t) ELSE 0 END AS saved FROM node LEFT JOIN kids USING (k, d)),
+sub AS (SELECT k[1:e] AS k, e AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM full_, unnest(range(0, d + 1)) AS u(e) GROUP BY 1, 2)
+SELECT f.owner AS conv_id, f.d AS depth, up.owner AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sub USING (k, d) LEFT JOIN node up ON up.d = f.d - 1 AND up.k = f.k[1:f.d - 1]"""
