@@ -1,11 +1,9 @@
-"""Leak-safe evaluation: group folds, exact ranking metrics, models, verdicts."""
+"""Leak-safe evaluation: group folds, exact ranking metrics, verdicts."""
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,41 +144,15 @@ def winsorized(df: DataFrame, bounds: DataFrame, columns: list[str], fold: str =
     return joined.withColumns(new).select(df.columns)
 
 
-def cross_scored(df: DataFrame, columns: list[str], y: str, folds: int, forest: bool = False, seed: int = 0, fold: str = "fold") -> DataFrame:
-    """Adds score: of each row by a model trained on the other folds, whose
-    scales are learned there too. Folds without both classes have no model,
-    and null scores. Classes weigh the same."""
-    out = None
-    assembler = VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_x")
-    for k in range(folds):
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        s = train.agg(F.count("*").alias("n"), F.sum(y).alias("p"), *[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
-        if not s["n"] or not s["p"] or s["p"] == s["n"]:
-            part = test.withColumn("score", F.lit(None).cast("double"))
-        else:
-            scaled = {f"_{c}": (F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0) for c in columns}
-            weight = F.when(F.col(y) == 1, s["n"] / (2 * s["p"])).otherwise(s["n"] / (2 * (s["n"] - s["p"])))
-            made = assembler.transform(train.withColumns(scaled).withColumn("_w", weight).withColumn("_y", F.col(y).cast("double")))
-            if forest:
-                model = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=200, maxDepth=12, minInstancesPerNode=50, seed=seed, probabilityCol="_p")
-            else:
-                model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", standardization=False, maxIter=2000, regParam=1 / s["n"], probabilityCol="_p")
-            scored = model.fit(made).transform(assembler.transform(test.withColumns(scaled)))
-            from pyspark.ml.functions import vector_to_array
-
-            part = scored.withColumn("score", F.get(vector_to_array("_p"), F.lit(1))).select(*df.columns, "score")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def forward_selection(candidates: list[str], fixed: list[str], evaluate, min_gain: float = 0.003, max_loss: float = 0.005) -> list[str]:
     """Greedy: in each round the candidate with the greatest mean joins if it
-    gains enough and no fold loses too much. ``evaluate(columns)`` gives
-    (mean, least over folds)."""
+    gains enough and no fold loses too much. ``evaluate(sets)`` gives (mean,
+    least over folds) of each of some sets of features, so that all sets of a
+    round are fitted at once."""
     kept, left = list(fixed), list(candidates)
-    now = evaluate(kept)
+    now = evaluate([kept])[0]
     while left:
-        scored = [(evaluate([*kept, c]), c) for c in left]
+        scored = list(zip(evaluate([[*kept, c] for c in left]), left, strict=True))
         (mean, least), best = max(scored, key=lambda x: (x[0][0], x[1]))
         if mean - now[0] < min_gain or least - now[1] < -max_loss:
             break

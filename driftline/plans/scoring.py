@@ -3,10 +3,10 @@ score of a sample is a rule on its features, so that SQL can say it too."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, firing, joins, series, stats
+from ..operators import evaluate, firing, joins, models, series, stats
 from ..params import FiringRules
 from ..shared import materialized
 from .registry import DAY, EV, US, V, query, r, table
@@ -135,8 +135,6 @@ def common_rows(ev: DataFrame) -> DataFrame:
 
 @query("decision_mask", f"{EV}, x AS (SELECT *, (min(CASE WHEN event_type = 'error' THEN us END) OVER (PARTITION BY entity) - us)::DOUBLE / 1e6 AS tau_first FROM ev) SELECT event_id FROM x WHERE event_type <> 'error' AND (tau_first IS NULL OR tau_first > 0)")
 def decision_mask(ev: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     first = F.min(F.when(F.col("event_type") == "error", US())).over(Window.partitionBy("entity"))
     marked = ev.withColumn("tau_first", (first - US()).cast("double") / series.S)
     return evaluate.first_event_only(marked, "tau_first").where("event_type <> 'error'").select("event_id")
@@ -148,20 +146,37 @@ def group_kfold(ev: DataFrame) -> DataFrame:
     return ev.join(folds, "entity").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"))
 
 
+FEATURE_NAMES = ["sd", "drop_vs_base", "slope"]
+READ_LEADS = [DAY * x for x in (0.5, 1.0, 2.0, 3.0)]
+
+
+def _pointed(ev: DataFrame, leads: list[float]) -> tuple[DataFrame, dict[str, float]]:
+    """Decision points with a fold and a label for each lead, narrow and written."""
+    rows = points(ev).withColumn("fold", F.col("entity") % 5).select("entity", "us", "fold", *FEATURE_NAMES, "tau")
+    labelled, names = models.lead_targets(rows, leads)
+    return materialized(labelled, "points"), names
+
+
+def _areas(scored: DataFrame, names: dict[str, float], *by: str) -> DataFrame:
+    """(by, lead_s, fold, n, positives, auroc) of scores by target."""
+    lead = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("target"))
+    return evaluate.auroc(scored.withColumn("lead_s", lead), "score", "y", [*by, "lead_s", "fold"])
+
+
 @query("logreg_auroc")
 def logreg_auroc(ev: DataFrame) -> DataFrame:
-    rows = points(ev).withColumn("fold", F.col("entity") % 5)
-    scored = evaluate.cross_scored(rows, ["sd", "drop_vs_base", "slope"], "y", 5)
-    return evaluate.auroc(scored.where("score IS NOT NULL"), "score", "y", ["fold"])
+    rows, names = _pointed(ev, [3 * DAY])
+    return _areas(models.logistic_scores(rows, {"all": FEATURE_NAMES}, list(names)), names).drop("lead_s")
 
 
 @query("random_forest_auroc")
 def random_forest_auroc(ev: DataFrame) -> DataFrame:
-    rows = points(ev).withColumn("fold", F.col("entity") % 5)
-    scored = evaluate.cross_scored(rows, ["sd", "drop_vs_base", "slope"], "y", 5, forest=True)
-    return evaluate.auroc(scored.where("score IS NOT NULL"), "score", "y", ["fold"])
+    rows, names = _pointed(ev, [3 * DAY])
+    return _areas(models.forest_scores(rows, {"all": FEATURE_NAMES}, list(names)), names).drop("lead_s")
 
 
+#: Forests of queries that fit dozens of them.
+SMALL_FOREST = models.ForestRules(trees=50)
 SHAPES = ["ac1", "curvature", "reversals"]
 
 
@@ -173,40 +188,72 @@ def _shaped(ev: DataFrame) -> DataFrame:
     return points(ev).join(rows.select("event_id", *SHAPES), "event_id").dropna(subset=SHAPES)
 
 
-def _cross_read(rows: DataFrame, columns: list[str]) -> tuple[float, float]:
-    """Mean and least over five folds of a model's AUROC, averaged over the
-    leads. ``rows``: decision points with their fold, without labels."""
-    per = None
-    for lead in LEADS:
-        scored = evaluate.cross_scored(evaluate.lead_labels(rows, [lead]), columns, "y", 5).where("score IS NOT NULL")
-        one = evaluate.auroc(scored, "score", "y", ["lead_s", "fold"])
-        per = one if per is None else per.unionByName(one)
-    found = evaluate.read_average(per.withColumn("arm", F.lit("model")), "auroc", ["arm"]).first()
-    return (found["mean"] or 0.0, found["least"] or 0.0) if found else (0.0, 0.0)
-
-
 @query("learnability_models")
 def learnability_models(ev: DataFrame) -> DataFrame:
-    """The curve of a model over five folds at each lead, with both metrics;
+    """The curve of fitted models, with both metrics: logistic regression over
+    five folds at ten leads, and forests at the leads that are read.
     ``learnability_curve`` ranks by one feature, as its SQL says."""
-    rows = materialized(points(ev).withColumn("fold", F.col("entity") % 5).select("entity", "fold", "sd", "drop_vs_base", "slope", "tau"), "points")
-    by, out = ["lead_s", "fold"], None
-    for lead in LEADS:
-        scored = evaluate.cross_scored(evaluate.lead_labels(rows, [lead]), ["sd", "drop_vs_base", "slope"], "y", 5).where("score IS NOT NULL")
-        one = evaluate.auroc(scored, "score", "y", by).join(evaluate.auprc(scored, "score", "y", by), by)
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows, names = _pointed(ev, SWEPT)
+    read = [t for t, lead in names.items() if lead in READ_LEADS]
+    sets = {"all": FEATURE_NAMES}
+    linear = models.logistic_scores(rows, sets, list(names)).withColumn("model", F.lit("logistic"))
+    forest = models.forest_scores(rows, sets, read, SMALL_FOREST).withColumn("model", F.lit("forest"))
+    scored = materialized(linear.select("model", "target", "fold", "y", "score").unionByName(forest.select("model", "target", "fold", "y", "score")), "scored")
+    lead = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("target"))
+    by = ["model", "lead_s", "fold"]
+    scored = scored.withColumn("lead_s", lead)
+    return evaluate.auroc(scored, "score", "y", by).join(evaluate.auprc(scored, "score", "y", by), by)
 
 
 @query("forward_selection")
 def forward_selection(ev: DataFrame) -> DataFrame:
-    features = ["sd", "drop_vs_base", "slope", *SHAPES]
-    rows = _shaped(ev).withColumn("fold", F.col("entity") % 5).select("fold", "tau", *features)
+    """Greedy selection by the AUROC over five folds, averaged over the leads
+    that are read; each round fits all its candidates at once."""
+    features = [*FEATURE_NAMES, *SHAPES]
+    rows, names = models.lead_targets(_shaped(ev).withColumn("fold", F.col("entity") % 5).select("fold", "tau", *features), READ_LEADS)
     rows = materialized(rows, "shaped")
-    kept = evaluate.forward_selection(features[1:], features[:1], lambda columns: _cross_read(rows, columns))
+
+    def read(sets: list[list[str]]) -> list[tuple[float, float]]:
+        named = {str(k): columns for k, columns in enumerate(sets)}
+        areas = _areas(models.logistic_scores(rows, named, list(names)), names, "name")
+        found = {r["name"]: r for r in evaluate.read_average(areas, "auroc", ["name"]).collect()}  # a row a set
+        return [(found[k]["mean"] or 0.0, found[k]["least"] or 0.0) if k in found else (0.0, 0.0) for k in named]
+
+    kept = evaluate.forward_selection(features[1:], features[:1], read)
     return ev.sparkSession.createDataFrame([(k, c) for k, c in enumerate(kept)], "place int, feature string")
 
 
+TREATED = {"base": FEATURE_NAMES, "treated": [*FEATURE_NAMES, *SHAPES]}
+
+
+def _treatment_areas(ev: DataFrame) -> DataFrame:
+    """(arm, model, fold, base, treated): the AUROC, averaged over the leads that
+    are read, of models without and with shape features, on common rows. The
+    arm ``subset`` has the entities with long series, and is linear only."""
+    many = F.count("*").over(Window.partitionBy("entity"))
+    long = ev.select("event_id", (many >= 66).alias("long"))
+    rows = _shaped(ev).join(long, "event_id").withColumn("fold", F.col("entity") % 5).select("fold", "long", "tau", *TREATED["treated"])
+    rows, names = models.lead_targets(rows, READ_LEADS)
+    rows = materialized(rows, "common")
+    arms = [("all", "lr", models.logistic_scores(rows, TREATED, list(names))), ("subset", "lr", models.logistic_scores(rows.where("long"), TREATED, list(names))), ("all", "rf", models.forest_scores(rows, TREATED, list(names), SMALL_FOREST))]
+    scored = None
+    for arm, model, part in arms:
+        named = part.select(F.lit(arm).alias("arm"), F.lit(model).alias("model"), "name", "target", "fold", "y", "score")
+        scored = named if scored is None else scored.unionByName(named)
+    areas = _areas(materialized(scored, "scored"), names, "arm", "model", "name")
+    per_fold = areas.groupBy("arm", "model", "fold", "name").agg(F.avg("auroc").alias("m"))
+    return per_fold.groupBy("arm", "model", "fold").pivot("name", list(TREATED)).agg(F.first("m"))
+
+
+@query("treatment_models")
+def treatment_models(ev: DataFrame) -> DataFrame:
+    """The folds behind the fitted verdict, and the verdict itself in each row."""
+    areas = materialized(_treatment_areas(ev), "areas")
+    wide = areas.groupBy("arm", "fold").pivot("model", ["lr", "rf"]).agg(F.first("base").alias("base"), F.first("treated").alias("treated"))
+    verdict = evaluate.treatment_verdict(wide)
+    return areas.withColumn("lift", F.col("treated") - F.col("base")).crossJoin(F.broadcast(verdict.select("verdict", "gap_grows")))  # one row
+
+
 # firing: a series' score is a rule on its value, between 0 and 1
 
 SUSTAINS, EARLIES, LATES = [0, DAY, 2 * DAY], [2 * DAY, 3 * DAY, 4 * DAY], [0, DAY // 2, DAY, 2 * DAY]
@@ -302,7 +349,8 @@ def event_surface_models(ev: DataFrame) -> DataFrame:
     """The same on the scores of a model that is fitted on the other folds."""
     naps = _naps(ev)
     rows = points(ev).join(naps.select("entity", "fold"), "entity")
-    scored = evaluate.cross_scored(rows, ["sd", "drop_vs_base", "slope"], "y", 5).where("score IS NOT NULL").select("entity", "us", "score")
+    rows = materialized(rows.select("entity", "us", "fold", *FEATURE_NAMES, "y"), "points")
+    scored = models.logistic_scores(rows.withColumnRenamed("y", "soon"), {"all": FEATURE_NAMES}, ["soon"]).select("entity", "us", "score")
     held = materialized(firing.held_scores(scored, SUSTAINS, TOLERANCE), "held")
     found = firing.records(held)
     return firing.event_surface(found, naps, firing.guarded_thresholds(found, naps, EARLIES, BUDGETS, 5), LATES)
@@ -336,8 +384,6 @@ NIGHTS = "n AS (SELECT o_custkey, o_orderkey, o_totalprice / 10000 AS o2d, avg(o
 
 
 def _nights(o: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey")
     x = F.col("o_totalprice") / 10000
     return o.select("o_custkey", "o_orderkey", x.alias("o2d"), F.avg(x).over(w).alias("mean"), F.count("*").over(w).alias("nights")).where("nights >= 2")
@@ -353,8 +399,6 @@ COST_COLUMNS = ("fail_pct", "sacrifice_nonfail", "sacrifice_all", "hard_share_pc
 
 def _depths(o: DataFrame, tolerances: list[int]) -> DataFrame:
     """Every night by margin and tolerated depth, with its depth past the onset."""
-    from pyspark.sql import Window
-
     sd = F.stddev_samp("o2d").over(Window.partitionBy("o_custkey"))
     grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6], d=tolerances)
     return _nights(o).withColumn("hard", sd > HARD_SD).crossJoin(F.broadcast(grid)).withColumn("depth", F.col("mean") - F.col("m") - F.col("o2d"))
@@ -410,8 +454,6 @@ SELECT entity, min(us) AS onset_us FROM m WHERE us - u0 >= 86400000000 AND med <
 def detect_onset(ev: DataFrame) -> DataFrame:
     """The first time from which on the smoothed value stays below the baseline
     while motion stays in its lowest quarter; two days long. Clicks are motion."""
-    from pyspark.sql import Window
-
     q, whole = (lambda x, p: F.percentile(x, F.lit(p))), Window.partitionBy("entity")
     ahead = series.along().rangeBetween(0, 2 * DAY * series.S)
     motion = F.col("event_type") == "click"

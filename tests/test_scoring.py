@@ -6,7 +6,7 @@ import math
 import random
 
 from driftline import plans
-from driftline.operators import evaluate, firing
+from driftline.operators import evaluate, firing, models
 from driftline.plans import scoring
 
 
@@ -16,29 +16,46 @@ def test_forest_is_scored_over_five_folds(spark, sf_dir):
 
 
 def test_forward_selection_fits_models_and_offers_shapes(spark, sf_dir, monkeypatch):
-    seen = []
+    seen, fits = [], []
 
     def measure(candidates, fixed, evaluator):
         seen.extend([*fixed, *candidates])
-        mean, least = evaluator(["sd"])
-        assert 0 <= least <= mean <= 1
+        for mean, least in evaluator([["sd"], ["sd", "ac1"]]):
+            assert 0 <= least <= mean <= 1
         return fixed
 
-    fits = []
-    whole = evaluate.cross_scored
+    whole = models.fit_logistic
     monkeypatch.setattr(evaluate, "forward_selection", measure)
-    monkeypatch.setattr(evaluate, "cross_scored", lambda df, columns, y, folds: fits.append(folds) or whole(df, columns, y, folds))
+    monkeypatch.setattr(models, "fit_logistic", lambda df, sets, targets, *rest: fits.append((len(sets), len(targets))) or whole(df, sets, targets, *rest))
     plans.queries()["forward_selection"](spark, sf_dir)
-    assert fits == [5] * len(scoring.LEADS)
+    assert fits == [(2, len(scoring.READ_LEADS))]  # both sets at all leads in one fit
     assert set(seen) == {"sd", "drop_vs_base", "slope", "ac1", "curvature", "reversals"}
 
 
-def test_learnability_models_have_a_row_for_each_lead_and_fold(spark, sf_dir):
+def test_forward_selection_stops():
+    value = {("a",): (0.60, 0.55), ("a", "b"): (0.64, 0.56), ("a", "c"): (0.62, 0.56), ("a", "b", "c"): (0.70, 0.50)}
+    asked = []
+    kept = evaluate.forward_selection(["b", "c"], ["a"], lambda sets: asked.append(len(sets)) or [value[tuple(x)] for x in sets])
+    assert kept == ["a", "b"] and asked == [1, 2, 1]
+
+
+def test_learnability_models_have_a_row_for_each_lead_and_fold(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(scoring, "SMALL_FOREST", models.ForestRules(trees=5, depth=4))
     found = plans.queries()["learnability_models"](spark, sf_dir).collect()
-    assert {(r["lead_s"], r["fold"]) for r in found} == {(lead, k) for lead in scoring.LEADS for k in range(5)}
+    assert {(r["lead_s"], r["fold"]) for r in found if r["model"] == "logistic"} == {(lead, k) for lead in scoring.SWEPT for k in range(5)}
+    assert {r["lead_s"] for r in found if r["model"] == "forest"} == set(scoring.READ_LEADS)
     assert all(0 < r["auprc"] <= 1 for r in found if r["positives"])
 
 
+def test_treatment_models_give_folds_and_one_verdict(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(scoring, "SMALL_FOREST", models.ForestRules(trees=5, depth=4))
+    rows = plans.queries()["treatment_models"](spark, sf_dir).collect()
+    assert {(r["arm"], r["model"]) for r in rows} == {("all", "lr"), ("all", "rf"), ("subset", "lr")} and len({r["verdict"] for r in rows}) == 1
+    lr = [r["lift"] for r in rows if (r["arm"], r["model"]) == ("all", "lr")]
+    passed = sum(lr) / len(lr) >= 0.04 and all(x > 0 for x in lr)
+    assert len(lr) == 5 and passed == (rows[0]["verdict"] == "PASS")
+
+
 def test_folds_and_models_have_plausible_values(spark, sf_dir):
     found = plans.queries()
     folds = found["group_kfold"](spark, sf_dir).collect()
