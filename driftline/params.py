@@ -61,6 +61,8 @@ class PhaseRules:
     max_spread: float = 0.8
     hold_s: float = 60
     confirm_s: float = 30
+    #: How late a sample may come and still find its whole window.
+    max_late_s: float = 120
     #: Whether firing only says so in its reason.
     observe_only: bool = False
 

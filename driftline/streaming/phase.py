@@ -5,7 +5,9 @@ both call it, for each row in its order of arrival. Rows have kind ``value``,
 ``motion``, ``start`` or ``stop``; motion only updates the state, ``start``
 begins a session anew, and without it the first value does. State holds the
 samples of the running windows and of the reference that is being taken, and
-nothing that a gap could empty: a window ends with the sample that asks.
+nothing that a gap could empty: a window ends with the sample that asks. A
+sample that comes late asks for its own, earlier window; samples are kept for
+those that are up to ``max_late_s`` late, and later ones see what is left.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ class Phase:
     confirm_since: float | None = None
     motion_missing: bool = False
     stopped: bool = False
+    #: The newest time so far, from which windows are pruned.
+    newest: float = -math.inf
     #: Values of the first ``reference_s`` seconds, until the awake reference is taken.
     early: list = field(default_factory=list)
     #: Values from the onset on, until the light reference is taken.
@@ -78,11 +82,13 @@ def step(p: Phase, t: float, kind: str, x: float | None, rules: PhaseRules) -> l
         return []
     if kind == "motion":
         p.motion.append((t, x))
-        dropped_before(p.motion, t - rules.onset_window_s)
+        p.newest = max(p.newest, t)
+        dropped_before(p.motion, p.newest - rules.onset_window_s - rules.max_late_s)
         return []
     p.start = t if p.start is None else p.start
     p.values.append((t, x))
-    dropped_before(p.values, t - max(rules.onset_window_s, rules.mean_window_s, rules.spread_window_s))
+    p.newest = max(p.newest, t)
+    dropped_before(p.values, p.newest - max(rules.onset_window_s, rules.mean_window_s, rules.spread_window_s) - rules.max_late_s)
     out: list[dict] = []
 
     def decide(to: str, reason: str, mean: float | None = None, sd: float | None = None) -> None:
@@ -92,7 +98,7 @@ def step(p: Phase, t: float, kind: str, x: float | None, rules: PhaseRules) -> l
     if p.name == "settling":
         settle(p, t, x, rules, decide)
     elif p.light is None:
-        if t <= p.onset + rules.reference_s:
+        if p.onset <= t <= p.onset + rules.reference_s:
             p.after_onset.append(x)
         if t - p.onset >= rules.reference_s:
             p.light, p.light_sd = median(p.after_onset), spread(p.after_onset)
@@ -123,7 +129,7 @@ def settle(p: Phase, t: float, x: float, rules: PhaseRules, decide) -> None:
     mean = sum(near) / len(near)
     if mean <= p.awake - rules.onset_drop and math.sqrt(sum(m * m for m in still) / len(still)) < rules.motion_rms:
         p.onset = t
-        p.after_onset = [v for u, v in p.values if u >= t]
+        p.after_onset = [v for u, v in p.values if t <= u <= t + rules.reference_s]
         decide("asleep", "onset_detected", mean, spread(near))
 
 

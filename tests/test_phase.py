@@ -128,6 +128,33 @@ def test_like_a_version_that_keeps_every_sample():
     assert len(reasons) == 7
 
 
+def test_late_samples_like_a_version_that_keeps_every_sample():
+    """Samples from before the onset that come after it aren't part of the light
+    reference, and a late sample finds its own window."""
+    rules = PhaseRules(reference_s=60, onset_window_s=30, mean_window_s=20, spread_window_s=25, hold_s=20, confirm_s=10, motion_rms=0.5, max_spread=2.0, deep_drop=3.0)
+    reasons = set()
+    for seed in range(300):
+        rng = random.Random(seed)
+        t, rows, level = 0.0, [(0.0, "start", None)] if seed % 2 else [], 60.0
+        for _ in range(rng.randint(30, 250)):
+            t += rng.choice([1, 2, 5, 5])
+            level = max(40.0, level - rng.random() * 0.35)
+            at = max(0.0, t - rng.choice([3, 20, 60, 100])) if rng.random() < 0.2 else t
+            rows.append((at, "motion", rng.random() * 0.4) if rng.random() < 0.4 else (at, "value", level + rng.random()))
+        want = plainly(rows, rules)
+        assert decided(rows, rules) == [(int(u), r) for u, r in want]
+        reasons |= {r for _, r in want}
+    assert {"onset_detected", "light_reference_captured", "wake_fired"} <= reasons
+
+
+def test_the_light_reference_begins_at_the_onset():
+    p = phase.Phase()
+    rows = [(0, "start", None), (0, "value", 60)] + [(t, k, v) for t in range(10, 200, 10) for k, v in (("motion", 0.0), ("value", 60 if t < 180 else 40))]
+    for t, kind, x in [*rows, (200, "value", 40), (210, "value", 40), *[(u, "value", 60) for u in range(100, 180, 4)], (300, "value", 40), (400, "value", 40)]:
+        phase.step(p, t, kind, x, RULES)
+    assert p.light == 40 and p.light_sd == 0 and p.onset >= 180
+
+
 def test_batch_and_stream_decide_alike(spark, sf_dir):
     found = plans.queries()
     batch = sorted(map(tuple, found["phase_machine"](spark, sf_dir).collect()))
