@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import BeatRules
+from .chunks import ROWS, Carried, carried, long_groups, widened
 from .series import along, trailing
 
 
@@ -29,23 +30,25 @@ def ectopic_filter(df: DataFrame, rules: BeatRules = BeatRules(), entity: str =
     return judged.withColumn("keep", keep).drop("_n", "_med").unionByName(out)
 
 
-def variability(df: DataFrame, rules: BeatRules = BeatRules(), entity: str = "entity") -> DataFrame:
+def variability(df: DataFrame, rules: BeatRules = BeatRules(), entity: str = "entity", rows: int = ROWS) -> DataFrame:
     """Adds ln_rmssd and sdnn over (t - window, t], from kept beats. A
     difference counts if both beats are kept, neighbours, and inside. Null
-    with too few beats or too little of the window covered."""
-    w = trailing(rules.window_s, entity, closed=False)
-    nn = F.when(F.col("keep"), F.col("rr"))
-    before = Window.partitionBy(entity).orderBy("us")
-    pair = F.when(F.col("keep") & F.lag("keep").over(before) & (F.col("i") - F.lag("i").over(before) == 1), F.col("rr") - F.lag("rr").over(before))
-    # the first beat of the window has its partner outside
-    marked = df.withColumn("_nn", nn).withColumn("_d2", pair * pair).withColumn("_low", F.min("us").over(w))
-    joined = marked.withColumn("_edge", F.first("_d2").over(w))
-    n_pairs = F.count("_d2").over(w) - F.when(F.col("_edge").isNotNull(), 1).otherwise(0)
-    total = F.sum("_d2").over(w) - F.coalesce("_edge", F.lit(0.0))
-    covered = F.sum("_nn").over(w) >= rules.min_coverage * rules.window_s * 1000
-    rmssd = F.when((n_pairs >= 2) & covered & (total > 0), F.log(F.sqrt(total / n_pairs)))
-    sdnn = F.when((F.count("_nn").over(w) >= 3) & covered, F.stddev_samp("_nn").over(w))
-    return joined.withColumn("ln_rmssd", rmssd).withColumn("sdnn", sdnn).drop("_nn", "_d2", "_low", "_edge")
+    with too few beats or too little of the window covered. An entity of more
+    than ``rows`` beats is taken in chunks."""
+    cuts = long_groups(df, [entity], "us", rows)
+    paired = carried(df, [entity], ["us"], {"_prev": Carried("last", F.struct("i", "rr", "keep"))}, cuts)
+    pair = F.when(F.col("keep") & F.col("_prev.keep") & (F.col("i") - F.col("_prev.i") == 1), F.col("rr") - F.col("_prev.rr"))
+    marked = paired.withColumn("_nn", F.when(F.col("keep"), F.col("rr"))).withColumn("_d2", pair * pair)
+
+    def windows(by: list[str]) -> dict[str, Column]:
+        w = trailing(rules.window_s, by, closed=False)
+        edge = F.first("_d2").over(w)  # the first beat of the window has its partner outside
+        n_pairs = F.count("_d2").over(w) - F.when(edge.isNotNull(), 1).otherwise(0)
+        total = F.sum("_d2").over(w) - F.coalesce(edge, F.lit(0.0))
+        covered = F.sum("_nn").over(w) >= rules.min_coverage * rules.window_s * 1000
+        return {"ln_rmssd": F.when((n_pairs >= 2) & covered & (total > 0), F.log(F.sqrt(total / n_pairs))), "sdnn": F.when((F.count("_nn").over(w) >= 3) & covered, F.stddev_samp("_nn").over(w))}
+
+    return widened(marked, windows, int(rules.window_s * 1_000_000), by=[entity], cuts=cuts).drop("_nn", "_d2", "_prev")
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

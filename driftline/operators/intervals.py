@@ -1,64 +1,84 @@
 """Intervals [start_us, end_us) with labels: union, merging, sessions, clipping
 and matching. Joins on ranges are equi-joins on time buckets, so that no
-entity's rows meet all of another table's."""
+entity's rows meet all of another table's; scans along time go in chunks where
+an entity is long."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import ROWS, Carried, carried, long_groups
 from .series import S
 
 
-def islands(df: DataFrame, by: list[str], gap_s: float = 0.0, strict: bool = False) -> DataFrame:
+ORDER = ["start_us", "end_us"]
+
+
+def islands(df: DataFrame, by: list[str], gap_s: float = 0.0, strict: bool = False, rows: int = ROWS) -> DataFrame:
     """Adds ``island``: intervals of a group chain on while the next start is
-    at most ``gap_s`` after the greatest end so far (below it, if ``strict``)."""
-    w = Window.partitionBy(*by).orderBy("start_us", "end_us")
-    reached = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    at most ``gap_s`` after the greatest end so far (below it, if ``strict``).
+    A group of more than ``rows`` intervals is scanned in chunks."""
+    return _islands(df, by, gap_s, strict, long_groups(df, by, "start_us", rows))
+
+
+def _islands(df: DataFrame, by: list[str], gap_s: float, strict: bool, cuts: DataFrame | None) -> DataFrame:
+    reached = carried(df, by, ORDER, {"_reached": Carried("max", F.col("end_us"))}, cuts)
     gap = F.col("start_us") - F.col("_reached")
     limit = int(gap_s * S)
     new = (gap >= limit) if strict else (gap > limit)
-    return df.withColumn("_reached", reached).withColumn("_new", F.when(F.col("_reached").isNull() | new, 1).otherwise(0)).withColumn("island", F.sum("_new").over(w)).drop("_reached", "_new")
+    flagged = reached.withColumn("_new", F.when(F.col("_reached").isNull() | new, 1).otherwise(0)).withColumn("_flip", -F.col("_new"))
+    # of intervals that tie, the one that begins an island comes first; within one sort that is so anyway
+    order = ORDER if cuts is None else [*ORDER, "_flip"]
+    return carried(flagged, by, order, {"island": Carried("sum", F.col("_new"), edge=0)}, cuts).drop("_reached", "_new", "_flip")
 
 
-def merged(df: DataFrame, by: list[str], gap_s: float = 0.0) -> DataFrame:
+def merged(df: DataFrame, by: list[str], gap_s: float = 0.0, rows: int = ROWS) -> DataFrame:
     """One interval for each island: by, start_us, end_us, n."""
-    return islands(df, by, gap_s).groupBy(*by, "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("island")
+    return islands(df, by, gap_s, rows=rows).groupBy(*by, "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("island")
 
 
-def merged_in_order(df: DataFrame, label: str, gap_s: float, entity: str = "entity") -> DataFrame:
+def merged_in_order(df: DataFrame, label: str, gap_s: float, entity: str = "entity", rows: int = ROWS) -> DataFrame:
     """Neighbours in time, of any label, are merged only if they have one label
     and lie close: entity, label, start_us, end_us, n."""
-    w = Window.partitionBy(entity).orderBy("start_us", "end_us")
-    joins = (F.col(label) == F.lag(label).over(w)) & (F.col("start_us") - F.lag("end_us").over(w) <= int(gap_s * S))
-    numbered = df.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    cuts = long_groups(df, [entity], "start_us", rows)
+    order = [*ORDER, label]
+    before = carried(df, [entity], order, {"_before": Carried("last", F.struct(F.col(label).alias("label"), "end_us"))}, cuts)
+    joins = (F.col(label) == F.col("_before.label")) & (F.col("start_us") - F.col("_before.end_us") <= int(gap_s * S))
+    flagged = before.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_flip", -F.col("_new"))
+    numbered = carried(flagged, [entity], order if cuts is None else [*order, "_flip"], {"_run": Carried("sum", F.col("_new"), edge=0)}, cuts)
     return numbered.groupBy(entity, "_run", label).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("_run")
 
 
-def fresh_time(by: list[str]) -> Column:
-    """Microseconds of each interval that no earlier one of its group covers;
-    their sum is what the group covers."""
-    before = Window.partitionBy(*by).orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
-    return F.greatest(F.col("end_us") - F.greatest("start_us", F.max("end_us").over(before)), F.lit(0))
+def fresh_time(df: DataFrame, by: list[str], name: str, cuts: DataFrame | None) -> DataFrame:
+    """Adds ``name``: microseconds of each interval that no earlier one of its
+    group covers; their sum is what the group covers."""
+    reached = carried(df, by, ORDER, {"_reached": Carried("max", F.col("end_us"))}, cuts)
+    return reached.withColumn(name, F.greatest(F.col("end_us") - F.greatest("start_us", "_reached"), F.lit(0))).drop("_reached")
 
 
 def minutes(us: Column) -> Column:
     return us.cast("double") / S / 60
 
 
-def union_minutes(df: DataFrame, by: list[str]) -> DataFrame:
+def union_minutes(df: DataFrame, by: list[str], rows: int = ROWS) -> DataFrame:
     """(by, minutes): time that the intervals of a group cover."""
-    return df.withColumn("_fresh", fresh_time(by)).groupBy(*by).agg(minutes(F.sum("_fresh")).alias("minutes"))
+    return fresh_time(df, by, "_fresh", long_groups(df, by, "start_us", rows)).groupBy(*by).agg(minutes(F.sum("_fresh")).alias("minutes"))
 
 
-def session_summary(df: DataFrame, labels: list[str], asleep: list[str], gap_s: float, entity: str = "entity", label: str = "label", source: str = "source") -> DataFrame:
+def session_summary(df: DataFrame, labels: list[str], asleep: list[str], gap_s: float, entity: str = "entity", label: str = "label", source: str = "source", rows: int = ROWS) -> DataFrame:
     """A row per session: its bounds, the minutes that each label covers (0 if
     none), minutes asleep, efficiency in percent, sources and records. All
-    windows lie within an entity, so rows move once."""
-    keyed = islands(df, [entity], gap_s).withColumnRenamed("island", "session")
+    windows lie within an entity, so rows move once; an entity of more than
+    ``rows`` intervals is scanned in chunks."""
+    cuts = long_groups(df, [entity], "start_us", rows)
+    keyed = _islands(df, [entity], gap_s, False, cuts).withColumnRenamed("island", "session")
     by = [entity, "session"]
     rested = keyed.withColumn("_rest", F.col(label).isin(asleep))
-    timed = rested.withColumn("_own", fresh_time([*by, label])).withColumn("_slept", F.when(F.col("_rest"), fresh_time([*by, "_rest"])))
+    # a part of an entity that isn't long isn't long
+    inner = lambda table, keys: None if cuts is None else long_groups(table, keys, "start_us", rows)
+    timed = fresh_time(rested, [*by, label], "_own", inner(rested, [*by, label]))
+    timed = fresh_time(timed, [*by, "_rest"], "_slept", inner(rested, [*by, "_rest"])).withColumn("_slept", F.when(F.col("_rest"), F.col("_slept")))
     per_label = [minutes(F.coalesce(F.sum(F.when(F.col(label) == x, F.col("_own"))), F.lit(0))).alias(f"{x}_min") for x in labels]
     out = timed.groupBy(*by).agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("records"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"),

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import ROWS, Carried, carried, long_groups
 from .series import S
 
 
-def next_event(df: DataFrame, is_event: Column, name: str = "tau", entity: str = "entity") -> DataFrame:
+def next_event(df: DataFrame, is_event: Column, name: str = "tau", entity: str = "entity", rows: int = ROWS) -> DataFrame:
     """Adds seconds to the entity's next event strictly after the row; null if
-    there is none. Samples and events are rows of one table."""
-    after = Window.partitionBy(entity).orderBy("us").rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, (F.min(F.when(is_event, F.col("us"))).over(after) - F.col("us")).cast("double") / S)
+    there is none. Samples and events are rows of one table; an entity of more
+    than ``rows`` of them is scanned in chunks."""
+    found = carried(df, [entity], ["us"], {"_next": Carried("min", F.when(is_event, F.col("us")), 1, True, True)}, long_groups(df, [entity], "us", rows))
+    return found.withColumn(name, (F.col("_next") - F.col("us")).cast("double") / S).drop("_next")
 
 
 def next_event_of(samples: DataFrame, events: DataFrame, name: str = "tau", entity: str = "entity") -> DataFrame:
@@ -23,14 +25,12 @@ def next_event_of(samples: DataFrame, events: DataFrame, name: str = "tau", enti
     return next_event(both, F.col("_event"), name, entity).where("NOT _event").drop("_event")
 
 
-def nearest_event(samples: DataFrame, events: DataFrame, name: str = "near_us", entity: str = "entity") -> DataFrame:
+def nearest_event(samples: DataFrame, events: DataFrame, name: str = "near_us", entity: str = "entity", rows: int = ROWS) -> DataFrame:
     """Adds the time of the event nearest to each sample; of two as near, the
     earlier; null if the entity has none."""
     both = samples.withColumn("_event", F.lit(None).cast("long")).unionByName(events.select(entity, "us").withColumn("_event", F.col("us")), allowMissingColumns=True).withColumn("_is", F.col("_event").isNotNull())
-    w = Window.partitionBy(entity).orderBy("us")
-    before = F.last("_event", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_event", True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    found = both.select("*", before.alias("_b"), after.alias("_a")).where("NOT _is")
+    event = F.col("_event")
+    found = carried(both, [entity], ["us"], {"_b": Carried("max", event, 0, False, True), "_a": Carried("min", event, 0, True, True)}, long_groups(both, [entity], "us", rows)).where("NOT _is")
     near = F.when(F.col("_b").isNull() | (F.col("_a") - F.col("us") < F.col("us") - F.col("_b")), F.coalesce("_a", "_b")).otherwise(F.col("_b"))
     return found.withColumn(name, near).drop("_event", "_is", "_b", "_a")
 

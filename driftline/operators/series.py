@@ -7,20 +7,24 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..params import FeatureWindows
+from .chunks import ROWS, Carried, carried, long_groups, widened
 
 S = 1_000_000
 
 
-def along(entity: str = "entity", order: str = "us") -> WindowSpec:
+Keys = str | list[str]
+
+
+def along(entity: Keys = "entity", order: str = "us") -> WindowSpec:
     return Window.partitionBy(entity).orderBy(order)
 
 
-def trailing(width_s: float, entity: str = "entity", order: str = "us", closed: bool = True) -> WindowSpec:
+def trailing(width_s: float, entity: Keys = "entity", order: str = "us", closed: bool = True) -> WindowSpec:
     """[t - w, t], or (t - w, t] if not closed."""
     return along(entity, order).rangeBetween(-int(width_s * S) + (0 if closed else 1), 0)
 
 
-def centred(width_s: float, entity: str = "entity", order: str = "us") -> WindowSpec:
+def centred(width_s: float, entity: Keys = "entity", order: str = "us") -> WindowSpec:
     """[t - w/2, t + w/2]."""
     half = int(width_s * S / 2)
     return along(entity, order).rangeBetween(-half, half)
@@ -44,21 +48,31 @@ def ols_slope(value: Column, us: Column, w: WindowSpec, min_count: int, min_span
     return F.when(enough, F.regr_slope(value, us.cast("double") / S).over(w) * per_s)
 
 
-def features(df: DataFrame, rules: FeatureWindows = FeatureWindows(), entity: str = "entity", value: str = "value") -> DataFrame:
+def features(df: DataFrame, rules: FeatureWindows = FeatureWindows(), entity: str = "entity", value: str = "value", rows: int = ROWS) -> DataFrame:
     """Adds sd, drop (short mean less base mean), slope and ready: causal
     features of each sample; ready rows have all of them and are past the
-    warm-up."""
+    warm-up. An entity of more than ``rows`` samples is taken in chunks that
+    see as much as the widest window of what is before them."""
     v, us = F.col(value), F.col("us")
-    short = counted_mean(v, trailing(rules.short_s, entity), rules.min_short)
-    base = counted_mean(v, trailing(rules.base_s, entity), rules.min_base)
-    slope = ols_slope(v, us, trailing(rules.slope_s, entity), rules.min_slope, rules.min_slope_share * rules.slope_s)
-    first = F.min("us").over(Window.partitionBy(entity))
-    out = df.select("*", trailing_sd(v, trailing(rules.spread_s, entity)).alias("sd"), (short - base).alias("drop"), slope.alias("slope"), first.alias("_first"))
+
+    def windows(by: list[str]) -> dict[str, Column]:
+        short = counted_mean(v, trailing(rules.short_s, by), rules.min_short)
+        base = counted_mean(v, trailing(rules.base_s, by), rules.min_base)
+        slope = ols_slope(v, us, trailing(rules.slope_s, by), rules.min_slope, rules.min_slope_share * rules.slope_s)
+        # whether the series began so long ago: some row lies there
+        warm = F.min(us).over(Window.partitionBy(*by)) if by == [entity] else None
+        return {"sd": trailing_sd(v, trailing(rules.spread_s, by)), "drop": short - base, "slope": slope} | ({"_first": warm} if warm is not None else {})
+
+    widest = max(rules.spread_s, rules.short_s, rules.base_s, rules.slope_s)
+    out = widened(df, windows, int(widest * S), by=[entity], rows=rows)
+    if "_first" not in out.columns:  # cut series: the first time is one aggregate
+        firsts = df.groupBy(F.col(entity).alias("_e")).agg(F.min("us").alias("_first"))
+        out = out.join(firsts, F.col(entity).eqNullSafe(F.col("_e"))).drop("_e")
     ready = (us - F.col("_first") >= int(rules.warm_up_s * S)) & F.col("sd").isNotNull() & F.col("drop").isNotNull() & F.col("slope").isNotNull()
     return out.withColumn("ready", ready).drop("_first")
 
 
-def sustained_min(value: Column, us: Column, hold_s: float, tolerance_s: float, entity: str = "entity") -> tuple[Column, Column]:
+def sustained_min(value: Column, us: Column, hold_s: float, tolerance_s: float, entity: Keys = "entity") -> tuple[Column, Column]:
     """(least value over [t - hold, t], whether the samples span enough of it);
     the value itself for a hold of 0."""
     if hold_s == 0:
@@ -67,10 +81,9 @@ def sustained_min(value: Column, us: Column, hold_s: float, tolerance_s: float,
     return F.min(value).over(w), us - F.min(us).over(w) >= int((hold_s - tolerance_s) * S)
 
 
-def record_highs(df: DataFrame, value: str = "value", entity: str = "entity") -> DataFrame:
+def record_highs(df: DataFrame, value: str = "value", entity: str = "entity", rows: int = ROWS) -> DataFrame:
     """Rows whose value is above all earlier ones of the entity."""
-    before = along(entity).rowsBetween(Window.unboundedPreceding, -1)
-    top = df.withColumn("_top", F.max(value).over(before))
+    top = carried(df, [entity], ["us"], {"_top": Carried("max", F.col(value))}, long_groups(df, [entity], "us", rows))
     return top.where(F.col("_top").isNull() | (F.col(value) > F.col("_top"))).drop("_top")
 
 

@@ -6,30 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import beats, series
+from ..operators.chunks import widened
 from ..params import BeatRules, FeatureWindows
 from .registry import DAY, EV, US, V, query, r
 
 W3 = "(PARTITION BY entity ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW)"
 W7 = "(PARTITION BY entity ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)"
+W3_US, W7_US = 3 * DAY * series.S, 7 * DAY * series.S
 BY = "(PARTITION BY entity ORDER BY us)"
 
 
 @query("trailing_sd", f"{EV} SELECT event_id, round(stddev_samp(value) OVER {W3}, 6) AS sd FROM ev")
 def trailing_sd(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.trailing_sd(V(), series.trailing(3 * DAY))).alias("sd"))
+    found = widened(ev, lambda by: {"sd": series.trailing_sd(V(), series.trailing(3 * DAY, by))}, W3_US)
+    return found.select("event_id", r("sd").alias("sd"))
 
 
 @query("centred_rolling", f"""{EV} SELECT event_id, round(quantile_cont(value, 0.5) OVER w, 6) AS med, round(stddev_pop(value) OVER w, 6) AS sd FROM ev
 WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING)""")
 def centred_rolling(ev: DataFrame) -> DataFrame:
-    w = series.centred(2 * DAY)
-    return ev.select("event_id", r(F.percentile(V(), F.lit(0.5)).over(w)).alias("med"), r(F.stddev_pop(V()).over(w)).alias("sd"))
+    day = DAY * series.S
+    found = widened(ev, lambda by: {"med": F.percentile(V(), F.lit(0.5)).over(series.centred(2 * DAY, by)), "sd": F.stddev_pop(V()).over(series.centred(2 * DAY, by))}, day, day)
+    return found.select("event_id", r("med").alias("med"), r("sd").alias("sd"))
 
 
 @query("trailing_mean_pair", f"""{EV} SELECT event_id, round(CASE WHEN count(*) OVER {W3} >= 3 AND count(*) OVER {W7} >= 5 THEN avg(value) OVER {W3} - avg(value) OVER {W7} END, 6) AS drop_vs_base FROM ev""")
 def trailing_mean_pair(ev: DataFrame) -> DataFrame:
-    short, base = series.counted_mean(V(), series.trailing(3 * DAY), 3), series.counted_mean(V(), series.trailing(7 * DAY), 5)
-    return ev.select("event_id", r(short - base).alias("drop_vs_base"))
+    found = widened(ev, lambda by: {"d": series.counted_mean(V(), series.trailing(3 * DAY, by), 3) - series.counted_mean(V(), series.trailing(7 * DAY, by), 5)}, W7_US)
+    return found.select("event_id", r("d").alias("drop_vs_base"))
 
 
 SLOPE = f"""CASE WHEN count(*) OVER {W3} >= 4 AND us - min(us) OVER {W3} >= 129600000000 THEN regr_slope(value, t) OVER {W3} * 86400 END"""
@@ -37,14 +41,15 @@ SLOPE = f"""CASE WHEN count(*) OVER {W3} >= 4 AND us - min(us) OVER {W3} >= 1296
 
 @query("trailing_ols_slope", f"{EV} SELECT event_id, round({SLOPE}, 6) AS slope FROM ev")
 def trailing_ols_slope(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(series.ols_slope(V(), US(), series.trailing(3 * DAY), 4, 1.5 * DAY, DAY)).alias("slope"))
+    found = widened(ev, lambda by: {"slope": series.ols_slope(V(), US(), series.trailing(3 * DAY, by), 4, 1.5 * DAY, DAY)}, W3_US)
+    return found.select("event_id", r("slope").alias("slope"))
 
 
 @query("trailing_min_sustain", f"""{EV} SELECT event_id, min(value) OVER w AS held, us - min(us) OVER w >= 129600000000 AS ok FROM ev
 WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)""")
 def trailing_min_sustain(ev: DataFrame) -> DataFrame:
-    held, ok = series.sustained_min(V(), US(), 2 * DAY, DAY / 2)
-    return ev.select("event_id", held.alias("held"), ok.alias("ok"))
+    found = widened(ev, lambda by: dict(zip(("held", "ok"), series.sustained_min(V(), US(), 2 * DAY, DAY / 2, by), strict=True)), 2 * DAY * series.S)
+    return found.select("event_id", "held", "ok")
 
 
 @query("running_max_records", f"""{EV}, m AS (SELECT *, max(value) OVER (PARTITION BY entity ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ev)
@@ -79,7 +84,7 @@ def quad_coeff(ev: DataFrame) -> DataFrame:
 
 @query("half_open_trailing", f"""{EV} SELECT event_id, count(*) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS n FROM ev""")
 def half_open_trailing(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", F.count("*").over(series.trailing(3 * DAY, closed=False)).alias("n"))
+    return widened(ev, lambda by: {"n": F.count("*").over(series.trailing(3 * DAY, by, closed=False))}, W3_US).select("event_id", "n")
 
 
 RULES = BeatRules(min_rr_ms=20, max_rr_ms=2000, window_s=10 * DAY, min_coverage=0.0, max_deviation=0.8)
