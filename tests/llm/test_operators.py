@@ -292,7 +292,33 @@ def test_runs_of_equal_sizes_are_placed_like_single_items():
             plain[size][shard] += 1
             heapq.heapreplace(heap, (load + size, shard))
         runs = sorted(Counter(sizes).items(), reverse=True)
-        assert sharding.longest_first(runs, shards) == [plain[size] for size, _ in runs]
+        loads, found = sharding.Loads(shards), []
+        for at in range(0, len(runs), 7):  # the heap outlives batches
+            found += sharding.planned(loads, *map(list, zip(*runs[at : at + 7], strict=True))).to_pylist()
+        for row, (size, count) in zip(found, runs, strict=True):
+            given = [row["each"].count(k) for k in range(shards)] if row["each"] is not None else np.diff([0, *row["upto"]]).tolist()
+            assert (row["bytes"], row["count"], given) == (size, count, plain[size])
+
+
+def test_a_million_sizes_take_bounded_memory_of_the_driver():
+    import tracemalloc
+
+    loads = sharding.Loads(40)
+    batch = sharding.ShardRules().batch
+    tracemalloc.start()
+    for at in range(1_000_000, 0, -batch):
+        sizes = list(range(at, at - batch, -1))
+        table = sharding.planned(loads, sizes, [1 + (s % 50 == 0) * 60 for s in sizes])
+        assert table.num_rows == batch
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000 and max(loads.heap)[0] - min(loads.heap)[0] < 1_000
+
+
+def test_shards_over_several_batches_of_sizes(spark):
+    df = spark.range(0, 900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 150).cast("int")).alias("text"))
+    one, many = (sorted(map(tuple, sharding.assign(df, sharding.ShardRules(batch=n)).select("doc_id", "shard").collect())) for n in (50_000, 40))
+    assert one == many
 
 
 def test_shards_odd_rows(odd, empty):
