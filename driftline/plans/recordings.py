@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import scalar
-from ..operators import frames, series
-from ..shared import new_path
-from ..sources import binary, text
+from ..operators import ecg, frames, series
+from ..shared import materialized, new_path
+from ..sources import binary, edf, text
 from ..streaming import phase
 from .formats import _as_stream, _drained
 from .registry import DAY, EV, US, V, query, r
@@ -68,15 +68,61 @@ def _edf_files(ev: DataFrame) -> str:
 
 @query("scan_edf_header", f"{EV} SELECT 'E' || entity AS labels, ceil(count(*) / 2)::BIGINT AS records FROM ev GROUP BY entity")
 def scan_edf_header(ev: DataFrame) -> DataFrame:
-    return binary.edf_headers(ev.sparkSession, _edf_files(ev)).select("labels", "records")
+    return edf.edf_headers(ev.sparkSession, _edf_files(ev)).select("labels", "records")
 
 
 @query("scan_edf_signal", f"{EV} SELECT 'E' || entity AS label, count(*) + count(*) % 2 AS n, round(sum(floor(value * 10)) / 10, 1) AS total FROM ev GROUP BY entity")
 def scan_edf_signal(ev: DataFrame) -> DataFrame:
-    rows = binary.edf_signals(ev.sparkSession, _edf_files(ev)).select("label", F.explode("samples").alias("x"))
+    rows = edf.edf(ev.sparkSession, _edf_files(ev)).select("label", F.explode("samples").alias("x"))
     return rows.groupBy("label").agg(F.count("*").alias("n"), r(F.sum(F.col("x").cast("double")), 1).alias("total"))
 
 
+ECG_RATE = 128
+
+
+def _ecg_files(ev: DataFrame) -> str:
+    """One recording an entity: each of its values is the time to the next beat,
+    600 ms and 6 for each unit, within 1.4 s, in two leads with drift, waves and noise."""
+    path = new_path(ev.sparkSession, "ecg")
+
+    def make(rows: pd.DataFrame) -> pd.DataFrame:
+        entity = int(rows["entity"].iloc[0])
+        rr = np.clip(600 + 6 * rows.sort_values("us")["value"].fillna(0).to_numpy(), 600, 1400) / 1000
+        beat = 0.5 + np.concatenate([[0.0], np.cumsum(rr)])
+        seconds = int(np.ceil(beat[-1] + 1))
+        t = np.arange(seconds * ECG_RATE) / ECG_RATE
+        since = t - beat[np.clip(np.searchsorted(beat, t + 0.3) - 1, 0, len(beat) - 1)]
+        wave = np.exp(-((since / 0.012) ** 2)) - 0.2 * np.exp(-(((since - 0.035) / 0.012) ** 2)) + 0.25 * np.exp(-(((since - 0.25) / 0.05) ** 2))
+        x = wave + 0.3 * np.sin(2 * np.pi * 0.3 * t) + 0.02 * np.random.default_rng(entity).normal(size=len(t))
+        ours, theirs = (np.clip(np.round(v * 1000), -5000, 5000).astype("<i2").reshape(seconds, ECG_RATE) for v in (0.7 * x, -0.3 * x))
+        pad = lambda s, n: str(s).ljust(n).encode()
+        head = pad(0, 8) + pad(entity, 80) + pad("", 80) + pad("01.01.24", 8) + pad("00.00.00", 8) + pad(768, 8) + pad("", 44) + pad(seconds, 8) + pad(1, 8) + pad(2, 4)
+        fields = [(("ECG1", "ECG2"), 16), (("", ""), 80), (("mV", "mV"), 8), ((-5, -5), 8), ((5, 5), 8), ((-5000, -5000), 8), ((5000, 5000), 8), (("", ""), 80), ((ECG_RATE, ECG_RATE), 8), (("", ""), 32)]
+        return pd.DataFrame({"content": [head + b"".join(pad(v, n) for pair, n in fields for v in pair) + np.hstack([ours, theirs]).astype("<i2").tobytes()]})
+
+    _files(ev.select("entity", "us", "value").groupBy("entity").applyInPandas(make, "content binary"), path)
+    return path
+
+
+@query("ecg_ingest")
+def ecg_ingest(ev: DataFrame) -> DataFrame:
+    """From recordings to a row each: leads, beats, judged intervals, rates in
+    bins of five seconds, and label epochs of ten seconds, in which a value
+    above 40 is deep; half an epoch lies before the recording and some after it."""
+    spark = ev.sparkSession
+    path = _ecg_files(ev)
+    named = edf.edf(spark, path, ["ECG1", "ECG2"])
+    leads = materialized(ecg.lead(named), "leads")
+    names = edf.edf_headers(spark, path).select("file", F.col("patient").cast("long").alias("entity"))
+    k = F.row_number().over(Window.partitionBy("entity").orderBy("us")) - 1
+    stages = ev.select("entity", k.alias("k"), F.when(V() > 40, 3).otherwise(2).alias("stage")).where("k < 12")
+    labels = stages.join(names, "entity").select("file", (F.col("k") * 10_000_000 - 5_000_000).cast("long").alias("us"), "stage")
+    found = materialized(ecg.peaks(leads), "beats")
+    judged = materialized(ecg.intervals_of(found), "intervals")
+    _, summary = ecg.ingest(leads, materialized(labels, "labels"), found, judged, epoch_s=10)
+    return summary.join(names, "file").drop("file")
+
+
 @query("scan_recovered_json_all", f"{EV} SELECT t, value AS bpm, event_type AS stage FROM ev")
 @query("scan_recovered_json", f"{EV} SELECT t, value AS bpm, event_type AS stage FROM ev")
 def scan_recovered_json_all(ev: DataFrame) -> DataFrame:

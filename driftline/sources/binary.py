@@ -1,6 +1,6 @@
-"""Binary recordings: EDF signals and MATLAB 5 matrices, from their published
-layouts. Each file is one row of Spark's binary reader, and is parsed in the
-task that reads it."""
+"""Binary recordings: EDF headers and MATLAB 5 matrices, from their published
+layouts. A MATLAB file holds a night's labels, a few kilobytes; it is one row of
+Spark's binary reader. ``edf`` reads signals."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of each field of the EDF signal headers, in order.
 EDF_FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefilter", 80), ("samples", 8), ("reserved", 32))
@@ -21,7 +20,7 @@ MAT_COMPRESSED, MAT_MATRIX, MAT_CHAR_CLASS = 15, 14, 4
 
 
 def edf_header(data: bytes) -> dict:
-    """start (dd.mm.yy hh.mm.ss), records, record_s, header_bytes and signals."""
+    """patient, start (dd.mm.yy hh.mm.ss), records, record_s, header_bytes and signals."""
     text = lambda a, b: data[a:b].decode("latin-1").strip()
     n = int(text(252, 256))
     at, signals = 256, [{} for _ in range(n)]
@@ -33,43 +32,7 @@ def edf_header(data: bytes) -> dict:
     records = int(text(236, 244))
     if records < 0:  # not known when the recording began
         records = (len(data) - header) // (2 * sum(int(s["samples"]) for s in signals))
-    return {"start": f"{text(168, 176)} {text(176, 184)}", "records": records, "record_s": record_s, "header_bytes": header, "signals": signals}
-
-
-def edf_signals(spark: SparkSession, path: str, labels: list[str] | None = None) -> DataFrame:
-    """(file, sha256, label, unit, rate, start, record, samples): the physical
-    values of each record of the named signals."""
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, sha, data in zip(batch["path"], batch["sha256"], batch["content"], strict=True):
-                head = edf_header(data)
-                sizes = [int(s["samples"]) for s in head["signals"]]
-                raw = np.frombuffer(data, "<i2", head["records"] * sum(sizes), head["header_bytes"]).reshape(head["records"], -1)
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                for k, s in enumerate(head["signals"]):
-                    if labels is not None and s["label"] not in labels:
-                        continue
-                    d0, d1, p0, p1 = (float(s[f]) for f in ("digital_min", "digital_max", "physical_min", "physical_max"))
-                    values = (raw[:, at[k] : at[k + 1]] - d0) * ((p1 - p0) / (d1 - d0)) + p0
-                    yield pd.DataFrame({"file": file, "sha256": sha, "label": s["label"], "unit": s["unit"], "rate": sizes[k] / head["record_s"], "start": head["start"], "record": np.arange(len(values)), "samples": list(values.astype(np.float32))})
-
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
-    return files.mapInPandas(load, "file string, sha256 string, label string, unit string, rate double, start string, record long, samples array<float>")
-
-
-def edf_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, records, record_s, n_signals, labels, hours)."""
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, data in zip(batch["path"], batch["content"], strict=True):
-                h = edf_header(data)
-                rows.append((file, h["start"], h["records"], h["record_s"], len(h["signals"]), "|".join(s["label"] for s in h["signals"]), h["records"] * h["record_s"] / 3600))
-            yield pd.DataFrame(rows, columns=["file", "start", "records", "record_s", "n_signals", "labels", "hours"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(load, "file string, start string, records long, record_s double, n_signals int, labels string, hours double")
+    return {"patient": text(8, 88), "start": f"{text(168, 176)} {text(176, 184)}", "records": records, "record_s": record_s, "header_bytes": header, "signals": signals}
 
 
 def _element(data: bytes, at: int) -> tuple[int, bytes, int]:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from driftline.sources import edf as edf_source
 from driftline.sources import binary, text
 from driftline.streaming import phase
 
@@ -40,12 +41,30 @@ def edf(samples: np.ndarray, records: int = -1) -> bytes:
 
 def test_edf(spark, tmp_path):
     (tmp_path / "n1.edf").write_bytes(edf(np.array([-100, 0, 50, 100, 0, 0, 0, -50])))
-    rows = binary.edf_signals(spark, str(tmp_path), ["ECG"]).orderBy("record").collect()
+    rows = edf_source.edf(spark, str(tmp_path), ["ECG"]).orderBy("record").collect()
     assert np.allclose(rows[0]["samples"], [-1, 0, 0.5, 1]) and np.allclose(rows[1]["samples"], [0, 0, 0, -0.5]) and rows[0]["rate"] == 4
-    head = binary.edf_headers(spark, str(tmp_path)).first()
+    head = edf_source.edf_headers(spark, str(tmp_path)).first()
     assert (head["records"], head["labels"], head["start"]) == (2, "ECG", "01.02.20 22.30.00")
 
 
+def test_edf_in_ranges(spark, tmp_path):
+    """One recording over many tasks, with and without its number of records,
+    cut off within a record, and filters on labels."""
+    x = np.arange(-3_000, 3_000)
+    for name, records in (("known", 1500), ("unknown", -1)):
+        (tmp_path / f"{name}.edf").write_bytes(edf(x, records) + b"\1\2\3")
+    whole = edf_source.edf(spark, str(tmp_path))
+    parts = edf_source.edf(spark, str(tmp_path), range_bytes=800)
+    assert whole.rdd.getNumPartitions() == 2 and parts.rdd.getNumPartitions() == 30
+    read = lambda df: sorted((r["file"], r["record"], tuple(r["samples"])) for r in df.collect())
+    assert read(whole) == read(parts) and len(read(parts)) == 3_000
+    assert np.allclose(np.concatenate([s for f, _, s in read(parts) if "unknown" in f]), x / 100)
+    assert parts.where("label = 'EEG'").count() == 0 and edf_source.edf(spark, str(tmp_path), ["EEG"]).count() == 0
+    assert parts.where("label = 'ECG' AND record = 7").count() == 2
+    (tmp_path / "short.edf").write_bytes(edf(x[:6], 5))
+    assert edf_source.edf(spark, f"file://{tmp_path}/short.edf").count() == 1  # the second record isn't whole
+
+
 def test_hypnogram_rolls_over_midnight(spark, tmp_path):
     lines = ["Name\tX", "", "Sleep Stage\tPosition\tTime [hh:mm:ss]\tEvent\tDuration[s]", "S2\tÄ\t23:59:30\tSLEEP-S2\t30", "-\t-\t23:59:40\tMCAP-A1\t5", "S3\t-\t00.00.00\tSLEEP-S3\t30", "S3\t-\t00.01.00\tSLEEP-S9\t30"]
     (tmp_path / "h.txt").write_bytes("\n".join(lines).encode("latin-1"))
