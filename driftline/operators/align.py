@@ -1,39 +1,81 @@
 """Alignment of mis-clocked label streams by offset search.
 
 The offset grid has the step of the label epochs, so a shifted lookup is an
-integer shift of the sample's epoch. Samples are summed up per epoch before
-they meet the grid; the grid's size is a parameter."""
+integer shift of the sample's epoch, and the sums at all shifts are a cross-
+correlation of sums by epoch with two indicator series."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fixed_text
 from ..params import AlignmentRules, DensityGate
+from ..shared import materialized
 from . import stats
 
 
+#: Label epochs of a chunk of the sweep.
+CHUNK = 16_384
+
+
+def _correlated(table: pa.Table, reach: int) -> pa.Table:
+    """(entity, m, n_high, n_low, s_high, s_low) of one chunk: sums of sample
+    epochs m after the label epochs of either kind, for all shifts at once by
+    Fourier transforms. Counts are whole, so rounding makes them exact."""
+    k = np.asarray(table.column("k"))
+    label = np.asarray(table.column("kind")) > 0
+    first = k[label].min() if label.any() else 0
+    width = int(k[label].max() - first + 1) if label.any() else 0
+    if not width or label.all():
+        return pa.table({"entity": table.column("entity").slice(0, 0), **{c: pa.array([], t) for c, t in (("m", pa.int64()), ("n_high", pa.int64()), ("n_low", pa.int64()), ("s_high", pa.float64()), ("s_low", pa.float64()))}})
+    # samples stand ``reach`` places further in than labels, so that shifts start at 0
+    at = k - first + np.where(label, 0, reach)
+    kept = (at >= 0) & (at < width + 2 * reach)
+    size = 1 << int(width + 2 * reach).bit_length()
+    kind, value, n = (np.asarray(table.column(c).to_numpy()) for c in ("kind", "s", "n"))
+
+    def placed(rows: np.ndarray, amount: np.ndarray) -> np.ndarray:
+        return np.fft.rfft(np.bincount(at[rows], amount[rows], size))
+
+    middle = value[~label & kept].sum() / max(1, n[~label & kept].sum())  # values about 0 lose less to rounding
+    counts, sums = placed(~label & kept, n.astype(float)), placed(~label & kept, value - middle * n)
+    out = {}
+    for name, code in (("high", 1), ("low", 2)):
+        marks = np.conj(placed(label & ((kind & code) > 0), np.ones(len(k))))
+        out[f"n_{name}"] = np.rint(np.fft.irfft(counts * marks, size)[: 2 * reach + 1]).astype(np.int64)
+        out[f"s_{name}"] = np.fft.irfft(sums * marks, size)[: 2 * reach + 1] + middle * out[f"n_{name}"]
+    met = np.flatnonzero((out["n_high"] > 0) | (out["n_low"] > 0))
+    entity = table.column("entity").slice(0, 1).take(pa.array(np.zeros(len(met), np.int64)))
+    return pa.table({"entity": entity, "m": met - reach, **{c: out[c][met] for c in ("n_high", "n_low", "s_high", "s_low")}})
+
+
 def sweep(samples: DataFrame, labels: DataFrame, high: Column, low: Column, rules: AlignmentRules, entity: str = "entity") -> DataFrame:
-    """(entity, m, n_high, n_low, separation) for each shift of ``m`` epochs.
-    ``samples``: (entity, k, value); ``labels``: (entity, k, label), unique;
-    ``high`` and ``low`` are conditions on the label."""
-    sums = samples.groupBy(entity, "k").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
-    shifts = samples.sparkSession.range(-rules.reach, rules.reach + 1).withColumnRenamed("id", "m")
-    shifted = sums.crossJoin(F.broadcast(shifts)).withColumn("k", F.col("k") - F.col("m"))
-    met = shifted.join(labels.withColumn("_high", high).withColumn("_low", low).select(entity, "k", "_high", "_low").where("_high OR _low"), [entity, "k"])
-    n_high, n_low = (F.sum(F.when(F.col(c), F.col("n")).otherwise(0)) for c in ("_high", "_low"))
-    s_high, s_low = (F.sum(F.when(F.col(c), F.col("s")).otherwise(0.0)) for c in ("_high", "_low"))
-    counted = met.groupBy(entity, "m").agg(n_high.alias("n_high"), n_low.alias("n_low"), s_high.alias("_sh"), s_low.alias("_sl"))
+    """(entity, m, n_high, n_low, separation) for each shift of ``m`` epochs
+    that finds a label. ``samples``: (entity, k, value); ``labels``: (entity, k,
+    label), unique; ``high`` and ``low`` are conditions on the label. Samples
+    are summed by epoch and correlated with the labels in chunks of ``CHUNK``
+    label epochs, whose sums add up; the separation is exact to rounding."""
+    sums = samples.where(F.col(entity).isNotNull() & F.col("k").isNotNull()).groupBy(F.col(entity).alias("entity"), F.col("k").cast("long").alias("k")).agg(F.sum("value").cast("double").alias("s"), F.count("value").alias("n")).where("n > 0")
+    near = F.sequence(F.floor((F.col("k") - rules.reach) / CHUNK), F.floor((F.col("k") + rules.reach) / CHUNK))
+    seen = sums.select("entity", F.explode(near).alias("chunk"), "k", "s", "n", F.lit(0).alias("kind"))
+    kind = F.when(high, 1).otherwise(0) + F.when(low, 2).otherwise(0)
+    marked = labels.select(F.col(entity).alias("entity"), F.floor(F.col("k") / CHUNK).alias("chunk"), F.col("k").cast("long").alias("k"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), kind.alias("kind")).where("kind > 0 AND entity IS NOT NULL")
+    schema = f"entity {dict(sums.dtypes)['entity']}, m long, n_high long, n_low long, s_high double, s_low double"
+    reach = rules.reach
+    parts = seen.unionByName(marked).groupBy("entity", "chunk").applyInArrow(lambda table: _correlated(table, reach), schema)
+    counted = parts.groupBy("entity", "m").agg(*[F.sum(c).alias(c) for c in ("n_high", "n_low", "s_high", "s_low")])
     enough = (F.col("n_high") >= rules.min_samples) & (F.col("n_low") >= rules.min_samples)
-    return counted.select(entity, "m", "n_high", "n_low", F.when(enough, F.col("_sh") / F.col("n_high") - F.col("_sl") / F.col("n_low")).alias("separation"))
+    return counted.select(F.col("entity").alias(entity), "m", "n_high", "n_low", F.when(enough, F.col("s_high") / F.col("n_high") - F.col("s_low") / F.col("n_low")).alias("separation"))
 
 
 def best_shift(swept: DataFrame, rules: AlignmentRules, entity: str = "entity") -> DataFrame:
     """(entity, best_m, best, at_zero, plateau_epochs): the first of the best
     shifts, and the span of all that come near to it, together or not."""
     w = Window.partitionBy(entity)
-    order = w.orderBy(F.desc_nulls_last("separation"), "m")
+    order = w.orderBy(F.desc_nulls_last(F.round("separation", 9)), "m")  # equal but for rounding is equal
     top = swept.where("separation IS NOT NULL").withColumn("_best", F.max("separation").over(w)).withColumn("_k", F.row_number().over(order))
     near = F.col("separation") >= rules.plateau_share * F.col("_best")
     return top.groupBy(entity).agg(
@@ -91,13 +133,14 @@ def verdict(table: DataFrame, rules: AlignmentRules, max_spread_s: float = 60) -
     by its own. Clean: all separations at 0 are positive, and the best ones are
     better by less than a tenth in the median. ``table``: best_m, best and
     at_zero of each entity."""
-    some = table.where("best_m IS NOT NULL")
-    mid = lambda c: F.percentile(c, F.lit(0.5))
+    some = materialized(table.where("best_m IS NOT NULL").select(F.lit(0).alias("g"), F.col("best_m").cast("double").alias("best_m"), "best", "at_zero", (F.col("best") - F.col("at_zero")).alias("gain")), "shifts")
     out = some.agg(
         F.count("*").alias("n"), F.count("at_zero").alias("n_zero"), F.coalesce(F.bool_and(F.col("at_zero") > 0), F.lit(True)).alias("all_positive"),
-        mid(F.col("at_zero")).alias("median_zero"), mid(F.col("best") - F.col("at_zero")).alias("median_gain"),
-        (F.max("best_m") - F.min("best_m")).alias("spread_epochs"), mid(F.col("best_m").cast("double")).alias("median_m"),
-    )
+        (F.max("best_m") - F.min("best_m")).cast("long").alias("spread_epochs"),
+    ).withColumn("g", F.lit(0))
+    for c, name in (("at_zero", "median_zero"), ("gain", "median_gain"), ("best_m", "median_m")):
+        out = out.join(stats.ranked_quantiles(some, c, {name: 0.5}, ["g"]), "g", "left")
+    out = out.drop("g")
     clean = F.col("all_positive") & (F.col("median_gain") < 0.1 * F.abs(F.col("median_zero") + 1e-9))
     kind = F.when(F.col("n") == 0, "none").when(clean, "clean").when(F.col("spread_epochs") * rules.epoch_s <= max_spread_s, "constant").otherwise("per entity")
     return out.withColumn("verdict", kind)

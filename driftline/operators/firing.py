@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import FiringRules
 from .series import S, sustained_min
+from .stats import ranked_quantiles, ranked_values
 
 
 def held_scores(df: DataFrame, sustains_s: list[float], tolerance_s: float, score: str = "score", entity: str = "entity") -> DataFrame:
@@ -102,8 +103,10 @@ def guarded_thresholds(highs: DataFrame, naps: DataFrame, earlies_s: list[float]
     tops = joined.groupBy("sustain_s", entity, "fold").agg(*[F.max(F.when(allowed(e), F.col("high"))).alias(f"t{i}") for i, e in enumerate(earlies_s)])
     each = tops.select("sustain_s", "fold", F.explode(F.array(*[F.struct(F.lit(e).alias("early_s"), F.col(f"t{i}").alias("top")) for i, e in enumerate(earlies_s)])).alias("e")).select("sustain_s", F.col("fold").alias("_own"), "e.*")
     train = each.withColumn("fold", F.explode(F.array(*map(F.lit, range(folds))))).where("fold != _own")
-    quantiles = train.groupBy("sustain_s", "early_s", "fold").agg(F.percentile("top", [round(1 - b, 12) for b in budgets]).alias("_q"))
-    cells = F.array(*[F.struct(F.lit(b).alias("budget"), F.coalesce(F.get("_q", F.lit(i)), F.lit(never)).alias("threshold")) for i, b in enumerate(budgets)])
+    by = ["sustain_s", "early_s", "fold"]
+    known = train.groupBy(*by).agg(F.count("top").alias("_n"))
+    quantiles = known.join(ranked_quantiles(train, "top", {f"q{i}": round(1 - b, 12) for i, b in enumerate(budgets)}, by), by, "left")
+    cells = F.array(*[F.struct(F.lit(b).alias("budget"), F.coalesce(f"q{i}", F.lit(never)).alias("threshold")) for i, b in enumerate(budgets)])
     return quantiles.select("sustain_s", "early_s", "fold", F.explode(cells).alias("c")).select("sustain_s", "early_s", "c.budget", "fold", "c.threshold")
 
 
@@ -156,21 +159,39 @@ def floor_ceiling(held: DataFrame, naps: DataFrame, thresholds: DataFrame, floor
     )
 
 
-def depth_costs(nights: DataFrame, by: list[str]) -> DataFrame:
-    """By margin and tolerated depth: failures, nights whose ``depth`` past the
-    onset is above ``d``; how deep they are; the hard class's share of them and
-    of all nights; what firing sacrifices before the onset; and how many nights
-    land before it or within the tolerance."""
-    depth, hard = F.col("depth"), F.col("hard")
-    fail, early = depth > F.col("d"), depth <= 0
-    deep = F.when(fail, depth)
-    quartiles = [F.percentile(deep, F.lit(p)).alias(name) for name, p in (("depth_q1", 0.25), ("depth_median", 0.5), ("depth_q3", 0.75))]
-    n = F.count("*")
-    return nights.groupBy(*by).agg(
-        n.alias("nights"), _n(fail).alias("fails"), (100.0 * _n(fail) / n).alias("fail_pct"), *quartiles, F.max(deep).alias("depth_max"),
-        F.avg(F.when(early, -depth)).alias("sacrifice_nonfail"), F.avg(F.greatest(-depth, F.lit(0.0))).alias("sacrifice_all"),
-        F.try_divide(100.0 * _n(fail & hard), _n(fail)).alias("hard_share_pct"), (100.0 * _n(hard) / n).alias("hard_nights_pct"), _n(early).alias("before"), _n(~early & ~fail).alias("in_band"),
-    )
+def depth_costs(nights: DataFrame, margins: list[float], tolerances: list[float], past: str = "past", hard: str = "hard") -> DataFrame:
+    """A row for each margin ``m`` and tolerated depth ``d``: failures, nights
+    that fire deeper than ``d`` past the onset, where depth is ``past - m``; how
+    deep they are; the hard class's share of them and of all nights; what
+    firing sacrifices before the onset; and how many nights land before it or
+    within the tolerance. All cells are conditional sums of one pass; quartiles
+    above a bound are ranks in one table. ``nights`` is read twice."""
+    x, is_hard = F.col(past), F.col(hard)
+    cells = [(m, d) for m in margins for d in tolerances]
+    per_margin = [e for i, m in enumerate(margins) for e in (_n(x - m <= 0).alias(f"before{i}"), F.sum(F.when(x - m <= 0, m - x)).alias(f"given{i}"))]
+    per_cell = [e for k, (m, d) in enumerate(cells) for e in (_n(x - m > d).alias(f"fails{k}"), _n((x - m > d) & is_hard).alias(f"hard{k}"))]
+    known = nights.agg(F.count(x).alias("n"), _n(is_hard).alias("all_hard"), F.max(x).alias("top"), *per_margin, *per_cell).first()  # a number a cell
+    counts = nights.where(x.isNotNull()).groupBy(x.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = ranked_values(counts)
+    held = lambda rank: F.max(F.when((F.col("_before") <= rank) & (F.lit(rank) < F.col("_before") + F.col("_n")), F.col("_v")))
+    places = {}
+    for k, (_, _) in enumerate(cells):
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            if known[f"fails{k}"]:
+                at = known["n"] - known[f"fails{k}"] + (known[f"fails{k}"] - 1) * p
+                places[f"{name}{k}"] = (int(at), -int(-at // 1), at - int(at))
+    ends = sorted({r for low, high, _ in places.values() for r in (low, high)})
+    value = ranked.agg(*[held(r).alias(f"r{r}") for r in ends]).first() if ends else {}
+    rows = []
+    for k, (m, d) in enumerate(cells):
+        i, n, fails = margins.index(m), known["n"], known[f"fails{k}"]
+        quartiles = [None if (at := places.get(f"{name}{k}")) is None else value[f"r{at[0]}"] + (value[f"r{at[1]}"] - value[f"r{at[0]}"]) * at[2] - m for name in ("q1", "median", "q3")]
+        before, given = known[f"before{i}"], known[f"given{i}"]
+        if n:
+            rows.append((m, d, n, fails, 100.0 * fails / n, *quartiles, known["top"] - m if fails else None, given / before if before else None, (given or 0.0) / n, 100.0 * known[f"hard{k}"] / fails if fails else None, 100.0 * known["all_hard"] / n, before, n - before - fails))
+    kinds = ", ".join(f"{c} double" for c in ("fail_pct", "depth_q1", "depth_median", "depth_q3", "depth_max", "sacrifice_nonfail", "sacrifice_all", "hard_share_pct", "hard_nights_pct"))
+    number = "int" if all(isinstance(v, int) for v in [*margins, *tolerances]) else "double"
+    return nights.sparkSession.createDataFrame(rows, f"m {number}, d {number}, nights long, fails long, {kinds}, before long, in_band long")
 
 
 def gated(highs: DataFrame, starts: DataFrame, floor_s: float, ceil_s: float, threshold: Column, entity: str = "entity") -> DataFrame:

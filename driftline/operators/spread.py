@@ -34,15 +34,31 @@ def spread_join(facts: DataFrame, table: DataFrame, keys: list[str], by: list[st
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def splitters(df: DataFrame, value: str, parts: int = 64) -> list:
-    """Values that cut a column into about equal parts, fewer where it has few."""
-    found = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000)).first()[0]
+#: Rows of a part of a range, and how many parts there are at least and at most.
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 1_000_000, 64, 4096
+
+
+def splitters(df: DataFrame, value: str, parts: int | None = None) -> list:
+    """Values that cut a column into about equal parts, of ``PART_ROWS`` rows
+    where that makes neither too few nor too many; fewer where it has few."""
+    if parts is None:
+        parts = min(MOST_PARTS, max(LEAST_PARTS, -(-df.count() // PART_ROWS)))
+    found = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0]
     return sorted(set(found or []))
 
 
-def part_of(value: Column, cuts: list) -> Column:
-    """How many of the cuts are at most ``value``; rises with it."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)) if cuts else F.lit(0)
+def part_of(value: Column, cuts: list, block: int = 64) -> Column:
+    """How many of the cuts are at most ``value``; rises with it. Of many cuts,
+    first those that begin a block are counted, then those of one block."""
+    below = lambda array: F.size(F.filter(array, lambda c: c <= value))
+    if not cuts:
+        return F.lit(0)
+    if len(cuts) <= block:
+        return below(F.array(*map(F.lit, cuts)))
+    blocks = [cuts[i : i + block] for i in range(0, len(cuts), block)]
+    at = below(F.array(*[F.lit(b[0]) for b in blocks]))
+    inside = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), at - 1)
+    return F.when(at > 0, (at - 1) * block + below(inside)).otherwise(0)
 
 
 def running(df: DataFrame, group: str, bucket: Column, order: list[str | Column], amount: Column, name: str) -> DataFrame:

@@ -43,6 +43,13 @@ def ranked_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by:
     return found.select(*by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in quantiles])
 
 
+def ranked_values(counts: DataFrame) -> DataFrame:
+    """(_v, _n, _before): how many rows have a smaller value, from counts of
+    distinct values; written, and summed over parts of their range."""
+    counts = materialized(counts.withColumn("_by", F.lit("")), "values")
+    return spread.running(counts, "_by", spread.part_of(F.col("_v"), spread.splitters(counts, "_v")), ["_v"], F.col("_n"), "_before").drop("_by")
+
+
 def rms(value: Column) -> Column:
     return F.sqrt(F.avg(value * value))
 

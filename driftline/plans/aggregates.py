@@ -421,8 +421,10 @@ def distinct_sorted(ev: DataFrame) -> DataFrame:
 
 @query("param_grid", f"""{EV}, g AS (SELECT m, d FROM (VALUES (0), (20), (40), (60)) AS a(m), (VALUES (0), (5), (10)) AS b(d)) SELECT m, d, count(*) FILTER (value < m - d) AS below FROM ev, g GROUP BY 1, 2""")
 def param_grid(ev: DataFrame) -> DataFrame:
-    g = joins.parameter_grid(ev.sparkSession, m=[0, 20, 40, 60], d=[0, 5, 10])
-    return ev.crossJoin(F.broadcast(g)).groupBy("m", "d").agg(F.count(F.when(V() < F.col("m") - F.col("d"), 1)).alias("below"))
+    cells = [(m, d) for m in (0, 20, 40, 60) for d in (0, 5, 10)]
+    row = ev.agg(F.count("*").alias("n"), *[F.count(F.when(V() < m - d, 1)).alias(f"c{k}") for k, (m, d) in enumerate(cells)])
+    found = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.col(f"c{k}").alias("below")) for k, (m, d) in enumerate(cells)])
+    return row.where("n > 0").select(F.explode(found).alias("c")).select("c.*")
 
 
 @query("parabolic_peak", f"""{EV}, p AS (SELECT event_id, lag(value) OVER {BY} AS a, value AS b, lead(value) OVER {BY} AS c FROM ev)

@@ -397,17 +397,20 @@ round(quantile_cont(depth, 0.25) FILTER (depth > {d}), 6) AS depth_q1, round(qua
 COST_COLUMNS = ("fail_pct", "sacrifice_nonfail", "sacrifice_all", "hard_share_pct", "hard_nights_pct", "depth_q1", "depth_median", "depth_q3", "depth_max")
 
 
-def _depths(o: DataFrame, tolerances: list[int]) -> DataFrame:
-    """Every night by margin and tolerated depth, with its depth past the onset."""
+MARGINS, TOLERANCES = [0, 2, 4, 6], [0, 1, 2, 3, 5]
+
+
+def _depths(o: DataFrame) -> DataFrame:
+    """Every night with how far its mean lies past its onset; written."""
     sd = F.stddev_samp("o2d").over(Window.partitionBy("o_custkey"))
-    grid = joins.parameter_grid(o.sparkSession, m=[0, 2, 4, 6], d=tolerances)
-    return _nights(o).withColumn("hard", sd > HARD_SD).crossJoin(F.broadcast(grid)).withColumn("depth", F.col("mean") - F.col("m") - F.col("o2d"))
+    nights = _nights(o).select((sd > HARD_SD).alias("hard"), (F.col("mean") - F.col("o2d")).alias("past"))
+    return materialized(nights, "nights")
 
 
 @query("firing_sweep", f"{SPREAD}, x AS (SELECT *, mean - m - o2d AS depth FROM sn, (SELECT unnest([0, 2, 4, 6]) AS m)) SELECT m, count(*) AS nights, {COSTS.format(d=0)} FROM x GROUP BY 1", of=table("orders"))
 def firing_sweep(o: DataFrame) -> DataFrame:
     """What firing so long before an own mean costs, and who pays."""
-    out = firing.depth_costs(_depths(o, [0]), ["m"])
+    out = firing.depth_costs(_depths(o), MARGINS, [0])
     return out.select("m", "nights", "fails", *[r(c).alias(c) for c in COST_COLUMNS])
 
 
@@ -415,14 +418,14 @@ def firing_sweep(o: DataFrame) -> DataFrame:
 SELECT m, d, count(*) AS nights, {COSTS.format(d="d")}, count(*) FILTER (depth <= 0) AS before, count(*) FILTER (depth > 0 AND depth <= d) AS in_band FROM x GROUP BY 1, 2""", of=table("orders"))
 def depth_grid(o: DataFrame) -> DataFrame:
     """The same by tolerated depth, with how many land within the tolerance."""
-    out = firing.depth_costs(_depths(o, [0, 1, 2, 3, 5]), ["m", "d"])
+    out = firing.depth_costs(_depths(o), MARGINS, TOLERANCES)
     return out.select("m", "d", "nights", "fails", *[r(c).alias(c) for c in COST_COLUMNS], "before", "in_band")
 
 
 @query("depth_costs", of=table("orders"))
 def depth_costs(o: DataFrame) -> DataFrame:
     """The costs of every margin and tolerance, unrounded."""
-    return firing.depth_costs(_depths(o, [0, 1, 2, 3, 5]), ["m", "d"])
+    return firing.depth_costs(_depths(o), MARGINS, TOLERANCES)
 
 
 LATENCY = f"""{EV}, o AS (SELECT *, event_type <> 'view' AS o FROM ev), g AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY us) AS g FROM o),

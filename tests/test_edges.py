@@ -355,3 +355,35 @@ def test_session_summary_of_overlapping_labels(spark):
     one, two = intervals.session_summary(df, ["a", "b"], ["a", "b"], 3600).orderBy("start_us").collect()
     assert (one["a_min"], one["b_min"], one["asleep_min"], one["duration_min"], one["records"], one["sources"]) == (70, 50, 100, 110, 4, "a,b")
     assert (two["a_min"], two["b_min"], two["asleep_min"]) == (0, 10, 10)
+
+
+def test_offset_sweep_of_all_shifts_against_a_plain_one(spark, monkeypatch):
+    """1,441 shifts by transforms, over one and over many chunks of epochs."""
+    import numpy as np
+
+    from driftline.operators import align
+    from driftline.params import AlignmentRules
+
+    rng = np.random.default_rng(2)
+    samples, labels = [], []
+    for e in (1, 2, None):
+        own = np.unique(rng.integers(-900, 1_900, 700))
+        samples += [(e, int(k), float(v)) for k in own for v in rng.normal(60, 9, rng.integers(1, 4))] + [(e, 5, None)]
+        labels += [(e, int(k), str(rng.choice(["N3", "W", "R"]))) for k in np.unique(rng.integers(0, 960, 500))]
+    samples.append((3, 0, 1.0))
+    labels.append((4, 0, "N3"))
+    s_df, l_df = spark.createDataFrame(samples, "entity long, k long, value double"), spark.createDataFrame(labels, "entity long, k long, label string")
+    rules = AlignmentRules(min_samples=30)
+    want = {}
+    for e in (1, 2):
+        high, low = ({k for x, k, c in labels if x == e and c == name} for name in ("N3", "W"))
+        for m in range(-720, 721):
+            a, b = ([v for x, k, v in samples if x == e and v is not None and k - m in which] for which in (high, low))
+            if a or b:
+                want[e, m] = (len(a), len(b), np.mean(a) - np.mean(b) if min(len(a), len(b)) >= 30 else None)
+    for chunk in (16_384, 100):
+        monkeypatch.setattr(align, "CHUNK", chunk)
+        got = {(r["entity"], r["m"]): (r["n_high"], r["n_low"], r["separation"]) for r in align.sweep(s_df, l_df, F.col("label") == "N3", F.col("label") == "W", rules).collect()}
+        assert got.keys() == want.keys()
+        for key, (n, k, x) in want.items():
+            assert got[key][:2] == (n, k) and (got[key][2] is None) == (x is None) and (x is None or abs(got[key][2] - x) < 1e-9)

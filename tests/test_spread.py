@@ -43,3 +43,23 @@ def test_running_sums_over_buckets(spark):
         for v, before in sorted((r["v"], r["before"]) for r in rows if r["g"] == g):
             assert before == total
             total += v
+
+
+def test_parts_of_a_range(spark):
+    """Few and many cuts, with values on, between and beyond them."""
+    df = spark.range(0, 2_000).select((F.col("id") / 4).alias("v"))
+    for n in (0, 1, 64, 65, 700):
+        cuts = [float(k) * 0.7 for k in range(n)]
+        got = df.select("v", spread.part_of(F.col("v") - 3, cuts).alias("k")).collect()
+        assert all(r["k"] == sum(c <= r["v"] - 3 for c in cuts) for r in got)
+    assert len(spread.splitters(df, "v", 400)) == 399 and spread.splitters(df.limit(0), "v") == []
+
+
+def test_numbers_in_groups_of_any_size(spark):
+    rows = [(g, k % 50, k) for g, n in (("", 700), ("a", 3), ("b", 300)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, id int").repartition(5)
+    got = spread.numbered(df, ["g"], ["o", "id"], "at", rows_per_part=40).collect()
+    for g in ("", "a", "b"):
+        mine = sorted(((r["o"], r["id"]), r["at"]) for r in got if r["g"] == g)
+        assert [at for _, at in mine] == list(range(len(mine)))
+    assert len(got) == len(rows)
