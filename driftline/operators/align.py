@@ -92,9 +92,10 @@ def alignment_table(samples: DataFrame, labels: DataFrame, high: Column, low: Co
     onsets of the low label, all and covered, the first one's epoch, and whether
     it is usable, or why not. ``labels``: (entity, k, label), unique; epochs
     between the first and the last without a label are unknown."""
+    samples, labels = materialized(samples.select(entity, "us", "k", "value"), "samples"), materialized(labels, "labels")
     known = samples.where("value IS NOT NULL")
     counts = samples.groupBy(entity).agg(F.count("value").alias("_known"))
-    best = best_shift(sweep(known.select(entity, "k", "value"), labels, high, low, rules, entity), rules, entity)
+    best = materialized(best_shift(sweep(known.select(entity, "k", "value"), labels, high, low, rules, entity), rules, entity), "best")
     spans = labels.groupBy(entity).agg(F.min("k").alias("_k0"), (F.max("k") - F.min("k") + 1).alias("n_epochs"))
     probed = best.join(counts.where(F.col("_known") >= rules.min_samples), entity).join(spans, entity)
     shifted = samples.join(probed.select(entity, "best_m", "_k0", "n_epochs"), entity).withColumn("_e", F.col("k") - F.col("best_m") - F.col("_k0")).where("_e >= 0 AND _e < n_epochs")

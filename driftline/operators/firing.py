@@ -173,19 +173,20 @@ def depth_costs(nights: DataFrame, margins: list[float], tolerances: list[float]
     known = nights.agg(F.count(x).alias("n"), _n(is_hard).alias("all_hard"), F.max(x).alias("top"), *per_margin, *per_cell).first()  # a number a cell
     counts = nights.where(x.isNotNull()).groupBy(x.cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     ranked = ranked_values(counts)
-    held = lambda rank: F.max(F.when((F.col("_before") <= rank) & (F.lit(rank) < F.col("_before") + F.col("_n")), F.col("_v")))
     places = {}
-    for k, (_, _) in enumerate(cells):
+    for k in range(len(cells)):
         for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
             if known[f"fails{k}"]:
                 at = known["n"] - known[f"fails{k}"] + (known[f"fails{k}"] - 1) * p
                 places[f"{name}{k}"] = (int(at), -int(-at // 1), at - int(at))
     ends = sorted({r for low, high, _ in places.values() for r in (low, high)})
-    value = ranked.agg(*[held(r).alias(f"r{r}") for r in ends]).first() if ends else {}
+    holds = F.exists(F.array(*[F.lit(r).cast("long") for r in ends]), lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n")))
+    held = ranked.where(holds).collect() if ends else []  # at most a row for each rank
+    value = {r: row["_v"] for row in held for r in ends if row["_before"] <= r < row["_before"] + row["_n"]}
     rows = []
     for k, (m, d) in enumerate(cells):
         i, n, fails = margins.index(m), known["n"], known[f"fails{k}"]
-        quartiles = [None if (at := places.get(f"{name}{k}")) is None else value[f"r{at[0]}"] + (value[f"r{at[1]}"] - value[f"r{at[0]}"]) * at[2] - m for name in ("q1", "median", "q3")]
+        quartiles = [None if (at := places.get(f"{name}{k}")) is None else value[at[0]] + (value[at[1]] - value[at[0]]) * at[2] - m for name in ("q1", "median", "q3")]
         before, given = known[f"before{i}"], known[f"given{i}"]
         if n:
             rows.append((m, d, n, fails, 100.0 * fails / n, *quartiles, known["top"] - m if fails else None, given / before if before else None, (given or 0.0) / n, 100.0 * known[f"hard{k}"] / fails if fails else None, 100.0 * known["all_hard"] / n, before, n - before - fails))

@@ -35,7 +35,7 @@ SLICE = 8 << 20
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Records ``first`` to before ``last`` of a file; all if ``last`` is None.
     Files without a whole header have no range."""
 
@@ -45,6 +45,13 @@ class Range(InputPartition):
     last: int | None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or several small files."""
+
+    ranges: list[Range]
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:") and not path.startswith("file://"):
         path = path.removeprefix("file:")
@@ -81,23 +88,33 @@ class EdfReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, path = opened(self.path)
         info = system.get_file_info(path)
         files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.size > FIXED and not f.base_name.startswith(("_", "."))]
-        out: list[Range] = []
+        out: list[Ranges] = []
+        small: list[Range] = []
+        # at least so many tasks as there are files, or sixty-four
+        pack = min(self.range_bytes, sum(f.size for f in files) // 64)
         for f in sorted(files, key=lambda f: f.path):
             if f.size <= self.range_bytes:  # one range: its task reads the header
-                out.append(Range(f.path, f.size, 0, None))
+                small.append(Range(f.path, f.size, 0, None))
+                if sum(r.size for r in small) >= pack:
+                    out.append(Ranges(small))
+                    small = []
                 continue
             with system.open_input_file(f.path) as file:
                 head = header_of(file, f.size)
             step = max(1, self.range_bytes // record_bytes(head))
-            out += [Range(f.path, f.size, a, min(a + step, head["records"])) for a in range(0, head["records"], step)]
-        return out
+            out += [Ranges([Range(f.path, f.size, a, min(a + step, head["records"]))]) for a in range(0, head["records"], step)]
+        return out + ([Ranges(small)] if small else [])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
+        for one in partition.ranges:
+            yield from self.records(system, one)
+
+    def records(self, system: fs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         with system.open_input_file(partition.file) as file:
             head = header_of(file, partition.size)
             signals = head["signals"]
@@ -141,10 +158,9 @@ class EdfHeaderReader(EdfReader):
     def pushFilters(self, filters):  # noqa: N802
         return filters
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def records(self, system: fs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.first:
             return  # the first range of a file tells all
-        system, _ = opened(self.path)
         with system.open_input_file(partition.file) as file:
             h = header_of(file, partition.size)
         row = (partition.file, h["patient"], h["start"], h["records"], h["record_s"], len(h["signals"]), "|".join(s["label"] for s in h["signals"]), h["records"] * h["record_s"] / 3600)
