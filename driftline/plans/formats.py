@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import sinks
+from .. import documents, sinks
 from ..operators import stats
 from ..params import PhaseRules
 from ..shared import new_path
@@ -78,14 +78,25 @@ def allowed_values(ev: DataFrame) -> DataFrame:
 
 @query("sink_session_json", f"{EV}, s AS (SELECT entity, min(t) AS t FROM ev GROUP BY 1) SELECT strftime(make_timestamp(floor(t * 1e6)::BIGINT), '%Y-%m-%d') || '_' || left(entity || '-session', 8) || '.json' AS name FROM s")
 def sink_session_json(ev: DataFrame) -> DataFrame:
-    docs = _documents(ev)
-    return docs.select(sinks.document_name(F.col("startTimestamp"), F.concat("sessionUUID", F.lit("-session"))).alias("name"))
+    """A file for each session's document, and their names as the folder has them."""
+    path = new_path(ev.sparkSession, "documents")
+    documents.put(documents.named(_documents(ev).withColumn("sessionUUID", F.concat("sessionUUID", F.lit("-session")))), path)
+    return documents.names(ev.sparkSession, path)
 
 
 @query("document_upsert", f"{EV}, d AS (SELECT entity, min(event_type) AS rating FROM ev GROUP BY 1), c AS (SELECT entity, arg_max(event_type, us) AS rating FROM ev WHERE value > 60 GROUP BY 1) SELECT d.entity, coalesce(c.rating, d.rating) AS rating FROM d LEFT JOIN c USING (entity)")
 def document_upsert(ev: DataFrame) -> DataFrame:
-    docs = ev.groupBy("entity").agg(F.min("event_type").alias("rating"))
-    return sinks.upserted(docs, ev.where("value > 60").select("entity", F.col("event_type").alias("rating"), "us"), "entity", "us")
+    """Ratings set in stored documents, a third of which have the older name."""
+    spark, path = ev.sparkSession, new_path(ev.sparkSession, "documents")
+    key = F.format_string("%08d-session", F.col("entity"))
+    docs = ev.groupBy("entity").agg(F.min("event_type").alias("rating"), F.min("t").alias("startTimestamp")).withColumn("sessionUUID", key)
+    stored = documents.named(docs).withColumn("entity", F.get_json_object("value", "$.entity").cast("long")).withColumn("key", F.get_json_object("value", "$.sessionUUID"))
+    documents.put(stored.select(F.when(F.col("entity") % 3 == 0, F.concat("key", F.lit(".json"))).otherwise(F.col("name")).alias("name"), "value"), path)
+    documents.changed(spark, path, ev.where("value > 60").select(key.alias("sessionUUID"), F.col("event_type").alias("rating"), "us"), "sessionUUID", "us")
+    read = documents.loaded(spark, path).select("name", F.from_json("value", "entity LONG, rating STRING").alias("d"))
+    # a document that was found by its older name has a newer one now
+    newest = F.max_by("d.rating", F.col("name").contains("_"))
+    return read.groupBy(F.col("d.entity").alias("entity")).agg(newest.alias("rating"))
 
 
 @query("scan_hr_csv", f"{EV} SELECT t, value FROM ev WHERE event_id % 11 <> 0")

@@ -36,6 +36,23 @@ def write_cells(cells: DataFrame, path: str, digits: int = 4) -> None:
     (cells.withColumns(shown) if shown else cells).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def checkpointed(stream: DataFrame, path: str, checkpoint: str, every: str = "30 seconds"):
-    """Starts a stream that appends what it has every so often."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def checkpointed(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds"):
+    """Starts a stream that writes what it has every so often (once, with all
+    that there is, if ``every`` is None). A batch is a folder of its own, named
+    by its number, so one that is delivered again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def finished(query, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Stops a stream of ``checkpointed`` and writes a last snapshot of what came
+    since the last one; gives all that was written."""
+    query.stop()
+    checkpointed(stream, path, checkpoint, None).awaitTermination()
+    spark = stream.sparkSession
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in stream.dtypes)
+    return spark.read.schema(f"{fields}, batch long").parquet(path).drop("batch")

@@ -22,6 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from ..documents import opened
 from .binary import EDF_FIELDS, edf_header
 
 FIXED = 256
@@ -52,12 +53,6 @@ class Ranges(InputPartition):
     ranges: list[Range]
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:") and not path.startswith("file://"):
-        path = path.removeprefix("file:")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def header_of(file, size: int) -> dict:
     """The header's fields, from its own bytes alone."""
     head = file.read(FIXED)
