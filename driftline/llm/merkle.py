@@ -93,7 +93,8 @@ def tree(nodes: DataFrame, rules: TreeRules) -> tuple[DataFrame, DataFrame]:
     upper = blocks.where(~whole).select("g", F.col("block").alias("pos"), F.ceil(F.col("n") / (1 << bits)).alias("n"), F.col("top").alias("hash"))
     above, _ = top(upper, rules)
     above = above.select("g", F.col("pos").alias("block"), F.col("path").alias("high"), "root")
-    above = above.unionByName(blocks.where(whole).select("g", "block", F.lit("").alias("high"), F.col("top").alias("root")))
+    # a row a block; written, so that what is above isn't made anew for paths and roots
+    above = store.written(above.unionByName(blocks.where(whole).select("g", "block", F.lit("").alias("high"), F.col("top").alias("root"))), "above")
     if blocks.count() <= 2 * rules.top_nodes:
         above = F.broadcast(above)
     found = blocked.groupBy("g", "block").applyInArrow(with_paths, ", ".join(f"`{c}` {kind}" for c, kind in [*blocked.dtypes, ("low", "string")]))
