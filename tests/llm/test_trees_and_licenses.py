@@ -120,8 +120,8 @@ def test_trie_whose_chains_hang_in_a_row(spark):
 
 
 def test_trie_with_a_third_of_all_rows_in_one_conversation(spark):
-    rows = [(3, t, "u", f"t{t}") for t in range(3_000)] + [(c, t, "u", f"t{t}") for c in range(10, 1_500) for t in range(4)]
-    assert built(spark.createDataFrame(rows, TURNS), block=64) == plain_trie(rows)
+    rows = [(3, t, "u", f"t{t}") for t in range(250)] + [(c, t, "u", f"t{t}") for c in range(10, 135) for t in range(4)]
+    assert built(spark.createDataFrame(rows, TURNS), block=16) == plain_trie(rows)
 
 
 def test_trie_of_no_and_of_equal_conversations(spark):
