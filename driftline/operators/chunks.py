@@ -121,6 +121,15 @@ def carried(df: DataFrame, by: list[str], order: list[str], columns: dict[str, C
     return met.select(*df.columns, *[_combined(c.fn, F.col(f"_in_{name}"), F.col(f"_out_{name}")).alias(name) for name, c in columns.items()])
 
 
+def reached(df: DataFrame, by: list[str], at: str, before_us: int, after_us: int, cuts: DataFrame) -> DataFrame:
+    """Rows copied into the chunks (_g, _chunk) that look at them, where windows
+    reach ``before_us`` back and ``after_us`` ahead; a row is at home where
+    _own = _chunk."""
+    # a row is seen from the times at - after .. at + before
+    reach = F.sequence(_chunk(F.col(at) - after_us), _chunk(F.col(at) + before_us))
+    return _placed(df, cuts, by).withColumn("_own", _chunk(F.col(at))).withColumn("_chunk", F.explode(F.coalesce(reach, F.array(F.col("_own"))))).drop("_cuts")
+
+
 def widened(df: DataFrame, columns: Callable[[list[str]], dict[str, Column]], before_us: int, after_us: int = 0, by: list[str] | None = None, at: str = "us", rows: int = ROWS, cuts=...) -> DataFrame:
     """``df`` with ``columns(keys)``: window expressions partitioned by ``keys``
     that look back at most ``before_us`` and ahead at most ``after_us``. A
@@ -130,8 +139,6 @@ def widened(df: DataFrame, columns: Callable[[list[str]], dict[str, Column]], be
     cuts = long_groups(df, by, at, rows) if cuts is ... else cuts
     if cuts is None:
         return df.select("*", *[c.alias(name) for name, c in columns(by).items()])
-    # a row is seen from the times at - after .. at + before
-    reach = F.sequence(_chunk(F.col(at) - after_us), _chunk(F.col(at) + before_us))
-    placed = _placed(df, cuts, by).withColumn("_own", _chunk(F.col(at))).withColumn("_chunk", F.explode(F.coalesce(reach, F.array(F.col("_own"))))).drop("_cuts")
+    placed = reached(df, by, at, before_us, after_us, cuts)
     done = placed.select("*", *[c.alias(name) for name, c in columns(["_g", "_chunk"]).items()])
     return done.where(F.col("_own") == F.col("_chunk")).drop("_g", "_own", "_chunk")

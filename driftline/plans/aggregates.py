@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import joins, series, stats
+from ..operators import joins, medians, series, stats
 from ..shared import new_path
 from .registry import DAY, DAYS, EV, US, V, days, query, r, table
 
@@ -221,7 +221,9 @@ def vector_magnitude(e: DataFrame) -> DataFrame:
 
 @query("gravity_removed", f"{EV} SELECT event_id, round(value - quantile_cont(value, 0.5) OVER (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING), 6) AS rest FROM ev")
 def gravity_removed(ev: DataFrame) -> DataFrame:
-    return ev.select("event_id", r(V() - F.percentile(V(), F.lit(0.5)).over(series.centred(2 * DAY))).alias("rest"))
+    day = DAY * series.S
+    found = medians.sliding_median(ev.select("event_id", "entity", "us", "value"), "gravity", day, day)
+    return found.select("event_id", r(V() - F.col("gravity")).alias("rest"))
 
 
 @query("wrist_orientation", "SELECT vec_id, CASE WHEN embedding[1] < -0.1::FLOAT THEN 'down' ELSE 'up' END AS wrist FROM embeddings", of=table("embeddings"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, intervals, joins, series, stats
+from ..operators import align, intervals, joins, medians, series, stats
 from ..params import AlignmentRules, DensityGate
 from .registry import DAY, DAYS, EV, IV, US, as_intervals, days, query, r
 from .registry import intervals as iv_of
@@ -207,7 +207,8 @@ def detect_arousal(ev: DataFrame) -> DataFrame:
     """The first waking event with a burst of motion, and the smoothed value
     nearest to it."""
     found = _coincide(ev).where("first").select("entity", "us")
-    rest = ev.where("event_type <> 'click'").select("entity", "us", F.percentile(F.col("value"), F.lit(0.5)).over(series.centred(2 * DAY)).alias("med"))
+    day = DAY * series.S
+    rest = medians.sliding_median(ev.where("event_type <> 'click'").select("entity", "us", "value"), "med", day, day)
     near = joins.nearest_event(found, rest.select("entity", "us"))
     return near.join(rest.withColumnRenamed("us", "near_us"), ["entity", "near_us"]).select("entity", "us", r("med").alias("value"))
 

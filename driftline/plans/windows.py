@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import beats, series
-from ..operators.chunks import widened
+from ..operators import beats, medians, series
+from ..operators.chunks import long_groups, widened
 from ..params import BeatRules, FeatureWindows
 from .registry import DAY, EV, US, V, query, r
 
@@ -26,7 +26,9 @@ def trailing_sd(ev: DataFrame) -> DataFrame:
 WINDOW w AS (PARTITION BY entity ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 86400000000 FOLLOWING)""")
 def centred_rolling(ev: DataFrame) -> DataFrame:
     day = DAY * series.S
-    found = widened(ev, lambda by: {"med": F.percentile(V(), F.lit(0.5)).over(series.centred(2 * DAY, by)), "sd": F.stddev_pop(V()).over(series.centred(2 * DAY, by))}, day, day)
+    cuts = long_groups(ev, ["entity"], "us")
+    spreads = widened(ev.select("event_id", "entity", "us", "value"), lambda by: {"sd": F.stddev_pop(V()).over(series.centred(2 * DAY, by))}, day, day, cuts=cuts)
+    found = medians.sliding_median(spreads, "med", day, day, cuts=cuts)
     return found.select("event_id", r("med").alias("med"), r("sd").alias("sd"))
 
 
