@@ -145,3 +145,13 @@ def verdict(table: DataFrame, rules: AlignmentRules, max_spread_s: float = 60) -
     clean = F.col("all_positive") & (F.col("median_gain") < 0.1 * F.abs(F.col("median_zero") + 1e-9))
     kind = F.when(F.col("n") == 0, "none").when(clean, "clean").when(F.col("spread_epochs") * rules.epoch_s <= max_spread_s, "constant").otherwise("per entity")
     return out.withColumn("verdict", kind)
+
+
+def zone_check(table: DataFrame, epoch_s: float, hour_s: float = 3600, tolerance_s: float = 60) -> DataFrame:
+    """One row (n, max_residual_s, zone): how far the best shifts are from whole
+    hours at most, and whether a wrong time zone would explain them all.
+    ``table``: best_m in epochs. Entities without a shift don't count; without
+    any, both are null."""
+    off = F.col("best_m") * F.lit(float(epoch_s))
+    residual = F.abs(off - F.bround(off / hour_s) * hour_s)
+    return table.agg(F.count("best_m").alias("n"), F.max(residual).alias("max_residual_s")).withColumn("zone", F.col("max_residual_s") <= tolerance_s)

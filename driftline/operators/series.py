@@ -214,19 +214,30 @@ def outer_quartiles(df: DataFrame, value: str, by: list[str], order: str = "us",
     return joined.select(*by, "n", F.when(few, F.col("_first")).otherwise(F.col("_q1")).alias("q1"), F.when(few, F.col("_last")).otherwise(F.col("_q3")).alias("q3"))
 
 
-def grid(df: DataFrame, step_s: float, value: str = "value", entity: str = "entity") -> DataFrame:
-    """(entity, us, value) on a regular grid from each entity's first sample
-    to its last, by linear interpolation."""
+def grids(df: DataFrame, step_s: float, values: list[str], entity: str = "entity", aligned: bool = False) -> DataFrame:
+    """(entity, us, values) on a regular grid from each entity's first sample,
+    or if ``aligned`` from the first whole multiple of the step, to its last,
+    by linear interpolation."""
     step = int(step_s * S)
     w = along(entity)
-    pieces = df.select(entity, "us", F.col(value).cast("double").alias("v"), F.lead("us").over(w).alias("_us"), F.lead(F.col(value).cast("double")).over(w).alias("_v"), F.min("us").over(Window.partitionBy(entity)).alias("_0"))
+    first_us = F.min("us").over(Window.partitionBy(entity))
+    origin = F.ceil(first_us / step) * step if aligned else first_us
+    here = {c: F.col(c).cast("double") for c in values}
+    pieces = df.select(entity, "us", *[x.alias(f"_a_{c}") for c, x in here.items()], F.lead("us").over(w).alias("_us"), *[F.lead(x).over(w).alias(f"_b_{c}") for c, x in here.items()], origin.alias("_0"))
     first = F.ceil((F.col("us") - F.col("_0")) / step)
     last = F.when(F.col("_us").isNotNull(), F.ceil((F.col("_us") - F.col("_0")) / step) - 1).otherwise(first)
     # a gap without a grid point is empty; the last sample is a point only if it lies on the grid
     held = F.when(F.col("_us").isNull() & (first * step != F.col("us") - F.col("_0")), F.array().cast("array<bigint>")).when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    points = pieces.select(entity, "us", "v", "_us", "_v", "_0", F.explode(held).alias("_k")).withColumn("_at", F.col("_0") + F.col("_k") * step)
+    points = pieces.withColumn("_k", F.explode(held)).withColumn("_at", F.col("_0") + F.col("_k") * step)
     part = (F.col("_at") - F.col("us")) / (F.col("_us") - F.col("us"))
-    return points.select(entity, F.col("_at").alias("us"), F.coalesce(F.col("v") + (F.col("_v") - F.col("v")) * part, F.col("v")).alias(value))
+    between = lambda a, b: F.coalesce(a + (b - a) * part, a)
+    return points.select(entity, F.col("_at").alias("us"), *[between(F.col(f"_a_{c}"), F.col(f"_b_{c}")).alias(c) for c in values])
+
+
+def grid(df: DataFrame, step_s: float, value: str = "value", entity: str = "entity") -> DataFrame:
+    """(entity, us, value) on a regular grid from each entity's first sample
+    to its last, by linear interpolation."""
+    return grids(df, step_s, [value], entity)
 
 
 def first_true(df: DataFrame, flag: Column, name: str, entity: str = "entity") -> DataFrame:

@@ -43,6 +43,19 @@ def ranked_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by:
     return found.select(*by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in quantiles])
 
 
+def distributions(df: DataFrame, measures: list[str]) -> DataFrame:
+    """(measure, n, least, p25, median, p75, most, mean, abs_median): how each
+    column is distributed over all rows. Nulls don't count; a column without
+    values has a row of nulls, with n 0."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])).alias("s")).select("s.*")
+    long = materialized(long.withColumn("size", F.abs("x")), "measures")
+    ends = long.groupBy("measure").agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    quartiles = ranked_quantiles(long, "x", {"p25": 0.25, "median": 0.5, "p75": 0.75}, ["measure"])
+    sizes = ranked_quantiles(long, "size", {"abs_median": 0.5}, ["measure"])
+    out = ends.join(quartiles, "measure", "left").join(sizes, "measure", "left")
+    return out.select("measure", "n", "least", "p25", "median", "p75", "most", "mean", "abs_median")
+
+
 def ranked_values(counts: DataFrame) -> DataFrame:
     """(_v, _n, _before): how many rows have a smaller value, from counts of
     distinct values; written, and summed over parts of their range."""

@@ -80,3 +80,15 @@ class BeatRules:
     nperseg: int = 512
     min_beats: int = 8
     grid: tuple[float, ...] = field(default=(5.0,))
+
+
+@dataclass(frozen=True)
+class InflectionRules:
+    """Grid, smoothing and windows around onsets, in seconds and rows."""
+
+    step_s: float = 1
+    smooth: int = 15
+    half_s: float = 180
+    share: float = 0.7
+    #: Places to which slopes are compared.
+    digits: int = 9

@@ -181,6 +181,19 @@ def corpus_inventory(ev: DataFrame) -> DataFrame:
     return each.unionByName(pooled).select("entity", "n", r("per_min", 9).alias("per_min"), r("median_gap_s").alias("median_gap_s"), *[f"n_{x}" for x in KINDS], "n_onsets", r("off", 5).alias("origin_offset_s"))
 
 
+MEASURES = {"per_min": 9, "median_gap_s": 6, "offset_s": 5}
+
+
+@query("inventory_distributions", f"""{CADENCE}, o AS (SELECT entity, (min(us) - 1704067200000000)::DOUBLE / 1e6 AS off FROM ev GROUP BY 1), t AS (SELECT CASE WHEN n >= 2 AND span_min > 0 THEN n / span_min ELSE 0 END AS per_min, med, off FROM c JOIN o USING (entity)),
+""" + " UNION ALL ".join(f"SELECT '{m}' AS measure, count({x}) AS n, " + ", ".join(f"round({q}, {d}) AS {a}" for a, q in (("least", f"min({x})"), ("p25", f"quantile_cont({x}, 0.25)"), ("median", f"quantile_cont({x}, 0.5)"), ("p75", f"quantile_cont({x}, 0.75)"), ("most", f"max({x})"), ("mean", f"avg({x})"), ("abs_median", f"quantile_cont(abs({x}), 0.5)"))) + " FROM t" for (m, d), x in zip(MEASURES.items(), ("per_min", "med", "off"), strict=True)).join(["z AS (", ") SELECT * FROM z"]))
+def inventory_distributions(ev: DataFrame) -> DataFrame:
+    """How rates, median gaps and offsets are distributed over the entities."""
+    each = stats.cadence(ev).join(ev.groupBy("entity").agg(((F.min("us") - 1_704_067_200_000_000).cast("double") / 1e6).alias("offset_s")), "entity")
+    found = stats.distributions(each, list(MEASURES))
+    digits = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])[F.col("measure")]
+    return found.select("measure", "n", *[F.coalesce(*[F.when(digits == d, r(c, d)) for d in sorted(set(MEASURES.values()))]).alias(c) for c in found.columns[2:]])
+
+
 @query("per_source_distribution", f"{EV}, x AS (SELECT event_type, floor(value * 10) AS d FROM ev) SELECT event_type, quantile_cont(d, 0.5) AS med, round(quantile_cont(d, 0.95), 6) AS p95 FROM x GROUP BY 1")
 def per_source_distribution(ev: DataFrame) -> DataFrame:
     d = ev.select("event_type", F.floor(V() * 10).alias("d"))

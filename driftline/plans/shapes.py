@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, joins, series
+from ..operators import inflection, intervals, joins, series
+from ..params import InflectionRules
 from .recordings import resample_offsets
 from .registry import DAY, DAYS, EV, IV, SQL, US, V, as_intervals, days, query, r
 
@@ -60,6 +61,37 @@ def shape_inflection_lag(ev: DataFrame) -> DataFrame:
     return near.groupBy("entity").agg(first("ds").alias("s"), first("dv").alias("v")).select("entity", r((F.col("s") - F.col("v")).cast("double") / series.S).alias("lag_s"))
 
 
+#: Six hours stand for a second, five days for the window on either side.
+INFLECTION = InflectionRules(step_s=DAY // 4, half_s=5 * DAY, digits=6)
+STEP = 21_600_000_000
+GB = "(PARTITION BY entity ORDER BY k)"
+
+
+def _smooth(c: str) -> str:
+    return f"(sum({c}) OVER (PARTITION BY entity ORDER BY k ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) + greatest(8 - i, 0) * a_{c} + greatest(7 - n + i, 0) * z_{c}) / 15 AS {c}"
+
+
+def _slope(c: str) -> str:
+    return f"round(coalesce((lead({c}) OVER {GB} - lag({c}) OVER {GB}) / 2, lead({c}) OVER {GB} - {c}, {c} - lag({c}) OVER {GB}), 6) AS d_{c}"
+
+
+@query("inflection_lags", f"""{EV}, {SD}, h AS (SELECT entity, us, value AS v, coalesce(sd, avg(sd) OVER (PARTITION BY entity), 0) AS s FROM s),
+p AS (SELECT *, lead(us) OVER {BY} AS u2, lead(v) OVER {BY} AS v2, lead(s) OVER {BY} AS s2 FROM h),
+x AS (SELECT entity, k, us, v, s, u2, v2, s2 FROM p, unnest(range(ceil(us / {STEP})::BIGINT, CASE WHEN u2 IS NULL THEN ceil(us / {STEP})::BIGINT + CASE WHEN us % {STEP} = 0 THEN 1 ELSE 0 END ELSE ceil(u2 / {STEP})::BIGINT END)) AS t(k)),
+q AS (SELECT entity, k, CASE WHEN u2 IS NULL THEN v ELSE v + (v2 - v) * ((k * {STEP} - us) / (u2 - us)) END AS v, CASE WHEN u2 IS NULL THEN s ELSE s + (s2 - s) * ((k * {STEP} - us) / (u2 - us)) END AS s FROM x),
+b AS (SELECT *, row_number() OVER {GB} AS i, count(*) OVER (PARTITION BY entity) AS n FROM q), ends AS (SELECT entity, arg_min(v, k) AS a_v, arg_max(v, k) AS z_v, arg_min(s, k) AS a_s, arg_max(s, k) AS z_s FROM q GROUP BY 1),
+sm AS (SELECT entity, k, {_smooth('v')}, {_smooth('s')} FROM b JOIN ends USING (entity)), sl AS (SELECT entity, k, {_slope('v')}, {_slope('s')} FROM sm),
+o AS (SELECT entity, us AS o FROM (SELECT *, lag(event_type) OVER {BY} AS before FROM ev) WHERE event_type = 'error' AND before IS DISTINCT FROM 'error'),
+w AS (SELECT entity, o, count(*) AS n, min(struct_pack(d := d_v, k := k)).k * {STEP} AS v, min(struct_pack(d := d_s, k := k)).k * {STEP} AS s FROM sl JOIN o USING (entity) WHERE k * {STEP} BETWEEN o - 432000000000 AND o + 432000000000 GROUP BY 1, 2)
+SELECT entity, o AS onset_us, v AS value_us, s AS sd_us, (s - v)::DOUBLE / 1e6 AS lag_s FROM w WHERE n >= 28""")
+def inflection_lags(ev: DataFrame) -> DataFrame:
+    """For every change to deep, on the smoothed grid, how long after the
+    steepest fall of the value that of its spread comes."""
+    slopes = inflection.smoothed_slopes(_with_sd(ev), INFLECTION)
+    onsets = ev.withColumn("on", series.rising(F.col("event_type") == "error", count_first=True)).where("on")
+    return inflection.inflection_lags(slopes, onsets, INFLECTION)
+
+
 @query("low_episodes", f"""{EV}, {SD}, f AS (SELECT *, coalesce(sd < 20, false) AS o FROM s), g AS (SELECT *, sum(CASE WHEN o THEN 0 ELSE 1 END) OVER {BY} AS g FROM f)
 SELECT entity, min(us) AS start_us, max(us) AS end_us, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_deep FROM g WHERE o GROUP BY entity, g HAVING count(*) >= 3""")
 def low_episodes(ev: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, intervals, joins, medians, series, stats
+from ..operators import align, compare, intervals, joins, medians, series, stats
 from ..params import AlignmentRules, DensityGate
 from .registry import DAY, DAYS, EV, IV, US, as_intervals, days, query, r
 from .registry import intervals as iv_of
@@ -136,6 +136,31 @@ def session_compare(ev: DataFrame) -> DataFrame:
     return out.withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
 
 
+NAP_SERIES = COMPARE[: COMPARE.index(",\nc AS (")] + """,
+x AS (SELECT m.event_id, a, e.us, e.value, e.event_type FROM m JOIN ev e ON e.entity = m.entity AND e.us BETWEEN a AND b WHERE e.value IS NOT NULL),
+rt AS (SELECT event_id, us - a AS off, value, quantile_cont(value, 0.5) OVER w AS med, stddev_pop(value) OVER w AS sd FROM x WHERE event_type <> 'click' WINDOW w AS (PARTITION BY event_id ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND 21600000000 FOLLOWING)),
+gm AS (SELECT event_id, a, us, value - quantile_cont(value, 0.5) OVER (PARTITION BY event_id ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND 21600000000 FOLLOWING) AS rest, ceil((max(us) OVER (PARTITION BY event_id) - a) / 3600000000)::BIGINT AS bins FROM x WHERE event_type = 'click'),
+f AS (SELECT event_id, least((us - a) // 3600000000, bins - 1) AS b, sqrt(avg(rest * rest)) AS rms FROM gm WHERE bins > 0 GROUP BY 1, 2),
+al_b AS (SELECT DISTINCT event_id, unnest(range(bins)) AS b FROM gm WHERE bins > 0)
+SELECT event_id, 'rate' AS kind, round(off::DOUBLE / 6e7, 6) AS at_min, value, round(med, 6) AS median, round(sd, 6) AS sd FROM rt
+UNION ALL SELECT event_id, 'motion', round((b + 0.5) * 60, 6), round(coalesce(rms, 0), 6), NULL, NULL FROM al_b LEFT JOIN f USING (event_id, b)"""
+
+
+@query("session_series", NAP_SERIES)
+def session_series(ev: DataFrame) -> DataFrame:
+    """Along each nap that a session meets: the value with its rolling median
+    and spread, and the motion without its slow part in bins."""
+    iv = as_intervals(ev)
+    naps = iv.where("label = 'error'").select("event_id", "entity", "start_us", "end_us")
+    sessions = intervals.merged(iv.where("label <> 'error'").select("entity", "start_us", "end_us"), ["entity"], 3600)
+    met = intervals.best_overlap(naps, sessions, "event_id", "start_us", width_s=7 * DAY).select(F.col("l_event_id").alias("event_id"), F.col("l_entity").alias("entity"), F.col("l_start_us").alias("start_us"), F.col("l_end_us").alias("end_us"))
+    inside = intervals.in_intervals(ev.select("entity", "us", "value", "event_type"), met, width_s=7 * DAY)
+    rates = compare.rolling_along(inside.where("event_type <> 'click'"), DAY // 2, "event_id")
+    motion = compare.binned_rms(inside.where("event_type = 'click'"), 3600, DAY // 2, "event_id")
+    rates = rates.select("event_id", F.lit("rate").alias("kind"), r("at_min").alias("at_min"), "value", r("median").alias("median"), r("sd").alias("sd"))
+    return rates.unionByName(motion.select("event_id", F.lit("motion").alias("kind"), r("at_min").alias("at_min"), r("rms").alias("value")), allowMissingColumns=True)
+
+
 @query("last_ended", f"""{IV}, l AS (SELECT * FROM iv WHERE label = 'error'), q AS (SELECT * FROM iv WHERE label = 'view'),
 p AS (SELECT l.event_id AS l_id, q.event_id AS r_id, l.start_us - q.end_us AS gap_us, row_number() OVER (PARTITION BY l.event_id ORDER BY q.end_us DESC, q.event_id DESC) AS k FROM l JOIN q ON l.entity = q.entity AND q.end_us <= l.start_us)
 SELECT l_id, r_id, gap_us FROM p WHERE k = 1""", of=iv_of)
@@ -322,6 +347,17 @@ def alignment_verdict(d: DataFrame) -> DataFrame:
     return out.withColumns({c: r(c) for c in ("median_zero", "median_gain")})
 
 
+#: Days stand for epochs, so that five of them stand for an hour.
+ZONE_S = 5 * DAY
+
+
+@query("zone_check", f"""{TABLE}, z AS (SELECT abs(best_m * 86400 - round_even(best_m * 86400 / {ZONE_S}, 0) * {ZONE_S}) AS residual FROM al WHERE best_m IS NOT NULL)
+SELECT count(*) AS n, max(residual)::DOUBLE AS max_residual_s, max(residual) <= 60 AS zone FROM z""", of=days)
+def zone_check(d: DataFrame) -> DataFrame:
+    """Whether all best shifts lie on whole hours, as those of a wrong zone do."""
+    return align.zone_check(_aligned(d), DAY, ZONE_S)
+
+
 @query("density_gate", f"""{EV}, g AS (SELECT entity, us, (us - lag(us) OVER {BY})::DOUBLE / 1e6 AS gap FROM ev),
 c AS (SELECT entity, count(*) AS n, (max(us) - min(us))::DOUBLE / 6e7 AS span, quantile_cont(gap, 0.5) AS med FROM g GROUP BY 1), q AS (SELECT *, CASE WHEN n >= 2 AND span > 0 THEN n / span ELSE 0 END AS per_min FROM c)
 SELECT entity, NOT (per_min < 0.0015) AND NOT (med IS NULL OR med > 26000) AS dense, CASE WHEN per_min < 0.0015 THEN 'rate ' || printf('%.2f', per_min) || '/min < 0.0/min required' WHEN med IS NULL OR med > 26000 THEN 'median gap ' || coalesce(printf('%.1f', med), 'inf') || 's > 26000s required' ELSE '' END AS reason FROM q""")
