@@ -11,7 +11,7 @@ from ..operators import stats
 from ..params import PhaseRules
 from ..shared import new_path
 from ..sources import text
-from ..streaming import phase
+from ..streaming import phase, typed
 from .registry import EV, US, V, query
 
 STAMP = "date_format(timestamp_micros(us div 1000000 * 1000000), 'yyyy-MM-dd HH:mm:ss')"
@@ -190,6 +190,23 @@ def phase_machine_stream(ev: DataFrame) -> DataFrame:
     return _drained(phase.phase_stream(_as_stream(_samples(ev)), DAYS_RULES)).select("entity", "us", "phase_from", "phase_to", "reason")
 
 
+@query("phase_machine_typed")
+def phase_machine_typed(ev: DataFrame) -> DataFrame:
+    """As ``phase_machine_stream``, with typed state in RocksDB."""
+    with typed.rocksdb(ev.sparkSession):
+        return _drained(typed.phase_stream(_as_stream(_samples(ev)), DAYS_RULES)).select("entity", "us", "phase_from", "phase_to", "reason")
+
+
+@query("dedup_by_session", f"""{EV}, m AS (SELECT entity, us, event_type, floor(value)::BIGINT AS id, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY entity ORDER BY us) AS session FROM ev)
+SELECT entity, id, min(us) AS us FROM m WHERE event_type <> 'signup' GROUP BY entity, session, id""")
+def dedup_by_session(ev: DataFrame) -> DataFrame:
+    """Samples with an id that is new in the session, which a signup begins."""
+    kind = F.when(F.col("event_type") == "signup", "start").otherwise("value")
+    rows = ev.select("entity", "us", kind.alias("kind"), F.floor("value").alias("id"))
+    with typed.rocksdb(ev.sparkSession):
+        return _drained(typed.once_a_session(_as_stream(rows))).select("entity", "id", "us")
+
+
 @query("delayed_timer", f"""{EV}, s AS (SELECT event_id, us + 10800000000 AS due_us, max(us) OVER () AS now FROM ev WHERE event_type = 'signup') SELECT event_id, due_us FROM s WHERE due_us // 1000 < now // 1000""")
 def delayed_timer(ev: DataFrame) -> DataFrame:
     """Follow-ups three hours after a rating, as far as the stream has got."""

@@ -16,7 +16,7 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
 def test_queries_without_sql_have_tests_of_their_own():
     """By value: in test_phase, test_scoring and test_beats."""
     assert set(plans.queries()) - set(plans.sql()) == {
-        "phase_machine", "phase_machine_stream", "session_lifecycle", "ecg_ingest",
+        "phase_machine", "phase_machine_stream", "phase_machine_typed", "session_lifecycle", "ecg_ingest",
         "group_kfold", "logreg_auroc", "random_forest_auroc", "learnability_models", "forward_selection", "event_surface_models", "treatment_models", "depth_costs",
         "spectral_bands", "hrv_all_features",
     }
