@@ -5,9 +5,12 @@ is cut into chunks that overlap. Each chunk is pre-tokenised by itself, from
 its first character on, so its first boundaries may be wrong; the pattern
 looks at nothing before a match, so from the first boundary that it shares
 with the chunk before it, all of its boundaries are right. Each chunk then
-encodes the pre-tokens from there to where the next one takes over. A text
-where two chunks share no boundary within the overlap (one pre-token longer
-than that) is encoded as a whole: what follows such a seam may be off anywhere.
+encodes the pre-tokens from there to where the next one takes over. Chunks
+that share no boundary within the overlap (one pre-token is longer than that,
+or runs of digits are counted from different places) are joined to one larger
+chunk, which is pre-tokenised anew and must meet its own neighbours; this goes
+on until all seams are met. So only the surroundings of a lost seam come
+together; where ``ROUNDS`` rounds don't settle a text, its rest does.
 
 Only texts beyond ``chunk`` are shuffled. The tiktoken library encodes a whole
 text, or, where chunks are stitched, one pre-token at a time.
@@ -41,6 +44,8 @@ class Tokenizer:
 
 #: Distinct pre-tokens that a worker keeps; the cache starts anew beyond that.
 CACHE = 200_000
+#: Rounds in which chunks around lost seams are joined, before all that follows one is.
+ROUNDS = 4
 
 
 class Codec:
@@ -93,6 +98,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
     # the number of a row tells repeated rows apart; it is fixed once the chunks are written
     long = rows.where(size > chunk).withColumn("row", F.monotonically_increasing_id())
     step = chunk - overlap
+    columns = f"doc_id {id_type}, row long, n int, at int, part string, more boolean"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +106,6 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
                 for n, at in enumerate(range(0, max(1, len(text) - overlap), step)):
                     yield pa.RecordBatch.from_pylist([{"doc_id": doc, "row": row, "n": n, "at": at, "part": text[at : at + chunk], "more": at + chunk < len(text)}], schema=chunk_type(batch.schema.field("doc_id").type))
 
-    chunks = store.written(long.select("doc_id", "text", "row").mapInArrow(cut, f"doc_id {id_type}, row long, n int, at int, part string, more boolean"), "chunks")
-
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = codec(tokenizer).pattern
         for batch in batches:
@@ -110,33 +114,27 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
                 found = [m.start() for m in pattern.finditer(part)]
                 found = found[:-2] if more else found  # the end of the chunk may have cut these
                 heads.append([at + x for x in found if x < overlap])
-                tails.append([at + x for x in found if x >= step])
+                tails.append([at + x for x in found if x >= len(part) - overlap] if more else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, lists(heads), lists(tails)], [*batch.schema.names, "head", "tail"])
 
-    spread = chunks.repartition("row", "n")
-    bounded = spread.mapInArrow(bounds, f"doc_id {id_type}, row long, n int, at int, part string, more boolean, head array<int>, tail array<int>")
-    along = Window.partitionBy("row").orderBy("n")
-    in_row = Window.partitionBy("row")
-    met = F.when(F.col("more"), F.array_min(F.array_intersect("tail", F.lead("head").over(along))))
-    synced = bounded.withColumn("stop", met).withColumn("start", F.coalesce(F.lag("stop").over(along), F.lit(0)))
-    lost = F.max(F.col("more") & F.col("stop").isNull()).over(in_row)
-    runs = synced.withColumn("lost", lost).groupBy("row", F.when(F.col("lost"), 0).otherwise(F.col("n")).alias("run")).agg(
-        F.first("doc_id").alias("doc_id"),
-        F.sort_array(F.collect_list(F.struct("n", "at", "part"))).alias("parts"),
-        F.first("lost").alias("lost"), F.min("start").alias("start"), F.max("stop").alias("stop"),
-    )
+    def bounded(chunks: DataFrame, name: str) -> DataFrame:
+        return store.written(chunks.mapInArrow(bounds, columns + ", head array<int>, tail array<int>"), name)
+
+    chunks = store.written(long.select("doc_id", "text", "row").mapInArrow(cut, columns), "chunks")
+    parts = bounded(chunks.repartition("row", "n"), "bounds")
+    for k in range(ROUNDS + 1):
+        seams = store.written(seams_of(parts), "seams")
+        if seams.where("lost").isEmpty():
+            break
+        parts = bounded(joined_parts(parts, seams, to_the_end=k == ROUNDS - 1), "bounds")
+    runs = parts.select("doc_id", "row", "n", "at", "part").join(seams.select("row", "n", "start", "stop"), ["row", "n"]).withColumnRenamed("n", "run")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
         for batch in batches:
             out = []
-            for parts, lost, start, stop in zip(*(batch.column(c).to_pylist() for c in ("parts", "lost", "start", "stop")), strict=True):
-                if lost:
-                    found = code.pattern.findall("".join(p["part"][:step] for p in parts[:-1]) + parts[-1]["part"])
-                else:
-                    text, at = parts[0]["part"], parts[0]["at"]
-                    found = [m[0] for m in code.pattern.finditer(text, start - at) if stop is None or m.start() < stop - at]
-                out.append(code.ids(found))
+            for text, at, start, stop in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "start", "stop")), strict=True):
+                out.append(code.ids([m[0] for m in code.pattern.finditer(text, start - at) if stop is None or m.start() < stop - at]))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "run")] + [lists(out)], ["doc_id", "row", "run", "ids"])
 
     encoded = runs.mapInArrow(pieces, f"doc_id {id_type}, row long, run int, ids array<int>")
@@ -144,6 +142,31 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
     return short.unionByName(stitched.select("doc_id", "ids"))
 
 
+def seams_of(parts: DataFrame) -> DataFrame:
+    """(row, n, at, next_at, start, stop, lost): where each chunk's own
+    pre-tokens begin and end; a chunk is lost if it meets the next one nowhere."""
+    along = Window.partitionBy("row").orderBy("n")
+    met = F.when(F.col("more"), F.array_min(F.array_intersect("tail", F.lead("head").over(along))))
+    synced = parts.select("row", "n", "at", "more", "head", "tail").select("row", "n", "at", F.lead("at").over(along).alias("next_at"), met.alias("stop"), "more")
+    return synced.select("row", "n", "at", "next_at", F.coalesce(F.lag("stop").over(along), F.lit(0)).alias("start"), "stop", (F.col("more") & F.col("stop").isNull()).alias("lost"))
+
+
+def joined_parts(parts: DataFrame, seams: DataFrame, to_the_end: bool) -> DataFrame:
+    """Chunks, those on either side of a lost seam joined; all that follow a
+    text's first lost seam if ``to_the_end``."""
+    along = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    apart = ~F.max("lost").over(along) if to_the_end else ~F.last("lost").over(along)
+    first = F.when(F.coalesce(apart, F.lit(True)), F.col("n"))
+    places = seams.select("row", "n", "next_at", first.alias("first"))
+    places = places.select("row", "n", "next_at", F.last("first", True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
+    whole = Window.partitionBy("row", "first")
+    places = places.withColumn("final", F.col("n") == F.max("n").over(whole))
+    own = F.when(F.col("final"), F.col("part")).otherwise(F.expr("substring(part, 1, next_at - at)"))
+    met = parts.select("doc_id", "row", "n", "at", "part", "more").join(places, ["row", "n"])
+    ordered = F.sort_array(F.collect_list(F.struct("n", own.alias("own"))))
+    return met.groupBy("row", "first").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.array_join(ordered["own"], "").alias("part"), F.max_by("more", "n").alias("more")).select("doc_id", "row", F.col("first").alias("n"), "at", "part", "more")
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that the ids of a few rows are in memory at once."""
     for at in range(0, batch.num_rows, rows):

@@ -563,6 +563,27 @@ def test_byte_bpe_stitches_chunks(spark):
         assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) and bytes(r["b"]) == texts[r["doc_id"]].encode()
 
 
+def test_byte_bpe_joins_only_around_lost_seams(spark, monkeypatch):
+    """Runs of letters and digits longer than the overlap lose seams; the rest stays in chunks."""
+    tokenizer = byte_bpe.public_tokenizer()
+    library, rng = tiktoken_of(tokenizer), np.random.default_rng(2)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdef"), rng.integers(1, 9))) for _ in range(n))
+    texts = [words(600) + "1" * 500 + words(600), words(300) + "日" * 333 + "7" * 401 + "\n" * 250 + words(300), "2" * 3001 + " " + words(200), " " * 1999 + words(50), words(900)]
+    joined, sizes = byte_bpe.joined_parts, []
+    monkeypatch.setattr(byte_bpe, "joined_parts", lambda *args, **kw: sizes.append(out := joined(*args, **kw)) or out)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rounds in (byte_bpe.ROUNDS, 1):
+        monkeypatch.setattr(byte_bpe, "ROUNDS", rounds)
+        for r in byte_bpe.encode(df, tokenizer, chunk=200, overlap=60).collect():
+            assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]), r["doc_id"]
+        lengths = {r["doc_id"]: r["l"] for r in sizes[-1].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.length("part"))).alias("l")).collect()}
+        assert lengths[4][-1] == 200  # nothing of it is joined
+        if rounds > 1:
+            assert lengths[0][-2:] == [200, lengths[0][-1]] and 500 < lengths[0][-1] < 1100 and lengths[0].count(200) > 30
+        else:
+            assert lengths[0][-1] > 3000  # all that follows
+
+
 def test_byte_bpe_engines_agree_on_awkward_texts():
     """What is encoded whole and what is encoded by pre-token have the same ids."""
     tokenizer = byte_bpe.public_tokenizer()
