@@ -44,6 +44,8 @@ class Tokenizer:
 
 #: Distinct pre-tokens that a worker keeps; the cache starts anew beyond that.
 CACHE = 200_000
+#: Characters of a chunk, and how many of them it shares with the next one.
+CHUNK, OVERLAP = 16_384, 512
 #: Rounds in which chunks around lost seams are joined, before all that follows one is.
 ROUNDS = 4
 
@@ -75,28 +77,37 @@ def codec(tokenizer: Tokenizer) -> Codec:
     return Codec(tokenizer)
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", chunk: int = 16_384, overlap: int = 512) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids array<int>): a row per input row.
 
     Null and empty texts have no ids; null ids of rows and repeated rows are
     kept as they are; an empty table gives an empty result. Other columns are
     ignored.
     """
-    store.bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = dict(rows.dtypes)["doc_id"]
-    size = F.length("text")
+    rows, short = texts_of(docs, id_col, text_col, chunk)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in store.slices(batch):
                 texts = part.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists([code.encode(t) for t in texts])], ["doc_id", "ids"])
 
-    short = rows.where(size <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>")
+    encoded = rows.where(short).mapInArrow(whole, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return encoded.unionByName(stitched(rows.where(~short), tokenizer, chunk, overlap))
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, Column]:
+    """(doc_id, text) of each row, and whether the text is a single chunk."""
+    store.bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.length("text") <= chunk
+
+
+def stitched(texts: DataFrame, tokenizer: Tokenizer, chunk: int, overlap: int) -> DataFrame:
+    """(doc_id, ids) of the rows of ``texts`` (doc_id, text), by their chunks."""
+    id_type = dict(texts.dtypes)["doc_id"]
     # the number of a row tells repeated rows apart; it is fixed once the chunks are written
-    long = rows.where(size > chunk).withColumn("row", F.monotonically_increasing_id())
+    long = texts.withColumn("row", F.monotonically_increasing_id())
     step = chunk - overlap
     columns = f"doc_id {id_type}, row long, n int, at int, part string, more boolean"
 
@@ -138,8 +149,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "run")] + [lists(out)], ["doc_id", "row", "run", "ids"])
 
     encoded = runs.mapInArrow(pieces, f"doc_id {id_type}, row long, run int, ids array<int>")
-    stitched = encoded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "ids"))), lambda x: x.ids)).alias("ids"))
-    return short.unionByName(stitched.select("doc_id", "ids"))
+    joined = encoded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "ids"))), lambda x: x.ids)).alias("ids"))
+    return joined.select("doc_id", "ids")
 
 
 def seams_of(parts: DataFrame) -> DataFrame:
@@ -167,12 +178,6 @@ def joined_parts(parts: DataFrame, seams: DataFrame, to_the_end: bool) -> DataFr
     return met.groupBy("row", "first").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.array_join(ordered["own"], "").alias("part"), F.max_by("more", "n").alias("more")).select("doc_id", "row", F.col("first").alias("n"), "at", "part", "more")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, so that the ids of a few rows are in memory at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def chunk_type(doc_id: pa.DataType) -> pa.Schema:
     return pa.schema([("doc_id", doc_id), ("row", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("part", pa.string()), ("more", pa.bool_())])
 
@@ -214,21 +219,27 @@ def digests(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_
     are encoded in chunks; an empty table gives an empty result. Other columns
     are ignored.
     """
-    encoded = encode(docs, tokenizer, id_col, text_col)
+    rows, short = texts_of(docs, id_col, text_col, CHUNK)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digested(code: Codec, doc_ids: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+        sha256 = lambda data: hashlib.sha256(data).hexdigest()
+        digest = [pa.array([sha256(" ".join(map(str, x)).encode()) for x in ids], pa.string()), pa.array([sha256(code.decode(x)) for x in ids], pa.string())]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in ids], pa.int64()), *digest, *([lists(ids)] if with_ids else [])], names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
-        for batch in batches:
-            out: list[tuple] = []
-            for ids in (x.values.to_numpy().tolist() for x in batch.column("ids")):
-                joined = " ".join(map(str, ids)).encode()
-                out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()))
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True)), *([batch.column("ids")] if with_ids else [])], names)
-
-    kinds = f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded.mapInArrow(digest, kinds + ", ids array<int>" * with_ids)
+        for part in chain.from_iterable(map(store.slices, batches)):
+            yield digested(code, part.column("doc_id"), [code.encode(t) for t in part.column("text").to_pylist()])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codec(tokenizer)
+        for part in chain.from_iterable(map(store.slices, batches)):
+            yield digested(code, part.column("doc_id"), [x.values.to_numpy().tolist() for x in part.column("ids")])
+
+    kinds = f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    # one worker a task: a second one, to digest what the first encodes, would hold the ranks once more
+    return rows.where(short).mapInArrow(whole, kinds).unionByName(stitched(rows.where(~short), tokenizer, CHUNK, OVERLAP).mapInArrow(joined, kinds))
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ smallest node may be a third of all rows; joins on them are split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     further = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(store.slices, batches)):
             sizes, f1, f2, all_bands = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text)
@@ -113,7 +114,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     coordinate."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(store.slices, batches)):
             found = [shingle_set(text) for text in batch.column("text").to_pylist()]
             sketches = [sketch(x).astype(np.uint32).tobytes() if len(x) else b"" for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(fingerprint, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(sketches, pa.binary())], ["node", "shingles", "sketch"])

@@ -601,6 +601,28 @@ def test_byte_bpe_digests_with_ids(odd):
     assert {r["ids_sha256"] for r in rows if r["doc_id"] in (1, 2)} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_byte_bpe_digests_take_one_worker_a_task(spark):
+    """No step in Python feeds another one of the same task: each would hold the ranks."""
+    tokenizer = byte_bpe.public_tokenizer()
+    library = tiktoken_of(tokenizer)
+    texts = ["a short text", "", LONG[:3000] * 20, "x1 " * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")
+    found = byte_bpe.digests(df, tokenizer, with_ids=True)
+    rows = found.collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r["doc_id"]])
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+    def in_a_task(plan, above: int = 0) -> int:
+        name = plan.nodeName()
+        here = 0 if re.search("Aggregate|Join|Window|Sort|Repartition", name) else above + ("Arrow" in name)
+        return max([here, *(in_a_task(plan.children().apply(i), here) for i in range(plan.children().size()))])
+
+    assert in_a_task(found._jdf.queryExecution().optimizedPlan()) == 1
+
+
 # 9
 
 
