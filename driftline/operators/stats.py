@@ -82,9 +82,15 @@ def time_bins(df: DataFrame, width_s: float, fn: Column, name: str, entity: str
 
 def bin_end_means(df: DataFrame, width_s: float, value: Column, entity: str = "entity") -> DataFrame:
     """(entity, end_us, mean): bins (end - width, end], the mean rounded half
-    to even; empty bins have no row."""
+    to even; empty bins have no row. A bin's values are summed in the order of
+    time, one by one: a mean of just a half would otherwise be rounded by the
+    error of whatever order its parts were summed in."""
     w = int(width_s * S)
-    return df.groupBy(entity, (F.ceil(F.col("us") / w) * w).alias("end_us")).agg(F.bround(F.avg(value)).alias("mean"))
+    binned = df.select(entity, "us", value.alias("_v"), (F.ceil(F.col("us") / w) * w).alias("end_us"))
+    in_order = Window.partitionBy(entity, "end_us").orderBy("us", "_v")
+    running = F.avg("_v").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lead(F.lit(True)).over(in_order).isNull()
+    return binned.select(entity, "end_us", running.alias("_m"), last.alias("_last")).where("_last").select(entity, "end_us", F.bround("_m").alias("mean"))
 
 
 def cadence(df: DataFrame, entity: str = "entity") -> DataFrame:

@@ -103,6 +103,18 @@ def test_bin_ends_and_half_even(spark):
     assert [r[0] for r in half.select(F.bround("x")).collect()] == [62.0, 64.0]
 
 
+def test_bin_means_are_sums_in_the_order_of_time(spark):
+    """Just a half in that order, a little more in another one, however the rows are dealt."""
+    from driftline.operators.stats import bin_end_means
+
+    values = [60.66, 24.42, 86.24, 42.68]
+    for order, want in ((values, 54.0), (values[::-1], 53.0)):
+        rows = [(1, k, v) for k, v in enumerate(order, 1)]
+        for dealt in (rows, rows[::-1]):
+            df = spark.createDataFrame(dealt, "entity int, us long, value double").coalesce(1)
+            assert [r["mean"] for r in bin_end_means(df, 5, F.col("value")).collect()] == [want]
+
+
 def test_ectopic_beats(spark):
     def kept(last):
         rows = [(1, i, i * S, v) for i, v in enumerate([1000.0] * 11 + [last, 1000.0])]
