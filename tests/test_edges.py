@@ -115,6 +115,11 @@ def test_bin_means_are_sums_in_the_order_of_time(spark):
             assert [r["mean"] for r in bin_end_means(df, 5, F.col("value")).collect()] == [want]
 
 
+def test_rates_without_a_gap_are_infinite(spark):
+    gaps = spark.createDataFrame([(0.0,), (-0.0,), (None,), (1000.0,)], "x double")
+    assert [r[0] for r in gaps.select(scalar.rate_of(F.col("x"))).collect()] == [math.inf, -math.inf, None, 60.0]
+
+
 def test_ectopic_beats(spark):
     def kept(last):
         rows = [(1, i, i * S, v) for i, v in enumerate([1000.0] * 11 + [last, 1000.0])]
