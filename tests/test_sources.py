@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -140,3 +141,15 @@ def test_stream_is_written_every_so_often(spark, tmp_path):
         finally:
             stream.stop()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(9))
+
+
+def test_recordings_hold_values_beyond_sixteen_bits(spark):
+    """Values above 500, negative ones, ones of more than 16 bits of tenths, and nulls, as floor(value * 10) says."""
+    from driftline.plans import recordings
+
+    values = {1: [560.21, 0.07, 3.99], 2: [-12.34, 499.9], 3: [1e9 + 0.1, -3e5, None, 7.0]}
+    ev = spark.createDataFrame([(e, k, x) for e, xs in values.items() for k, x in enumerate(xs)], "entity long, us long, value double")
+    found = {r["label"]: (r["n"], r["total"]) for r in recordings.scan_edf_signal(ev).collect()}
+    tenths = {e: sum(math.floor(x * 10) for x in xs if x is not None) for e, xs in values.items()}
+    assert found == {f"E{e}": (len(xs) + len(xs) % 2, round(tenths[e] / 10, 1)) for e, xs in values.items()}
+    assert {(r["labels"], r["records"]) for r in recordings.scan_edf_header(ev).collect()} == {("E1", 2), ("E2", 1), ("E3", 2)}
