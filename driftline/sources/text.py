@@ -3,9 +3,15 @@ hypnograms. Schemas are given, never inferred."""
 
 from __future__ import annotations
 
+import fnmatch
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import documents
 from ..functions.scalar import parse_offset_time, source_matches
 
 RECORD = "_type STRING, _sourceName STRING, _unit STRING, _startDate STRING, _endDate STRING, _value STRING"
@@ -91,14 +97,18 @@ def header_csv(spark: SparkSession, path: str, schema: str, gate: str | None = N
 
 def paired_files(spark: SparkSession, path: str, first: str, second: str) -> DataFrame:
     """Folders below ``path`` that hold both files, in the order of their
-    numbers: entity, night, first, second."""
-
-    def listed(name: str, column: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(path)
-        parts = F.split("path", "/")
-        return files.select(F.element_at(parts, -3).alias("entity"), F.element_at(parts, -2).alias("night"), F.col("path").alias(column))
-
-    return listed(first, "first").join(listed(second, "second"), ["entity", "night"]).orderBy("entity", F.col("night").try_cast("int"), "night")
+    numbers: entity, night, first, second. Patterns are those of the shell; a
+    task lists whole folders and pairs what each holds."""
+
+    def pairs(_, folder: str, names: list[str]) -> Iterator[tuple]:
+        parts = folder.split("/")
+        both = [[n for n in names if fnmatch.fnmatchcase(n, pattern)] for pattern in (first, second)]
+        for a, b in itertools.product(*both):
+            yield parts[-2], parts[-1], f"{folder}/{a}", f"{folder}/{b}"
+
+    columns = ["entity", "night", "first", "second"]
+    found = documents.walked(spark, path, pairs, [(c, pa.string()) for c in columns], ", ".join(f"{c} string" for c in columns))
+    return found.orderBy("entity", F.col("night").try_cast("int"), "night")
 
 
 def hypnogram(spark: SparkSession, path: str, stages: dict[str, int], unknown: int = 5) -> DataFrame:

@@ -73,3 +73,24 @@ def test_a_batch_delivered_twice_changes_nothing(spark, tmp_path):
     df.where("id >= 20").write.mode("append").parquet(source)  # comes after the last trigger
     found = sinks.finished(running, live, out, state)
     assert found.count() == 30 and found.agg(F.sum("id")).first()[0] == sum(range(30))
+
+
+def test_lines_go_to_a_file_for_each_name(spark, tmp_path):
+    """Also where a name's lines come in many batches, and nothing else is left in the folders."""
+    path = str(tmp_path / "lines")
+    rows = spark.range(25_000).select(F.concat(F.col("id") % 3, F.lit("/"), F.col("id") % 2, F.lit(".csv")).alias("name"), F.when(F.col("id") > 5, F.col("id").cast("string")).alias("line"))
+    assert documents.write_lines(rows, path) == 6
+    files = {str(f.relative_to(path)): sorted(f.read_text().split("\n")[:-1]) for f in (tmp_path / "lines").rglob("*") if f.is_file()}
+    assert files == {f"{k}/{m}.csv": sorted(str(i) if i > 5 else "" for i in range(25_000) if i % 3 == k and i % 2 == m) for k in range(3) for m in range(2)}
+
+
+def test_folders_are_walked_once_each(spark, tmp_path):
+    import pyarrow as pa
+
+    path = str(tmp_path / "files")
+    names = ["top.txt", *(f"{k % 70}/{k}/x.txt" for k in range(150))]
+    assert documents.write(spark.createDataFrame([(n, n) for n in names], "name string, content string"), path) == 151
+    (tmp_path / "files" / "_hidden").mkdir()
+    (tmp_path / "files" / "_hidden" / "y.txt").write_text("y")
+    found = documents.walked(spark, path, lambda system, folder, names: [(f"{folder}/{n}",) for n in names], [("path", pa.string())], "path string")
+    assert sorted(r["path"] for r in found.collect()) == sorted(f"{path}/{n}" for n in names)

@@ -153,3 +153,14 @@ def test_recordings_hold_values_beyond_sixteen_bits(spark):
     tenths = {e: sum(math.floor(x * 10) for x in xs if x is not None) for e, xs in values.items()}
     assert found == {f"E{e}": (len(xs) + len(xs) % 2, round(tenths[e] / 10, 1)) for e, xs in values.items()}
     assert {(r["labels"], r["records"]) for r in recordings.scan_edf_header(ev).collect()} == {("E1", 2), ("E2", 1), ("E3", 2)}
+
+
+def test_listed_files_have_any_name(spark):
+    """Names that a path can't hold as they are, absent names, and nights without a value above 50."""
+    from driftline.plans import recordings
+
+    rows = [(1, "a=b", 60.0), (1, "a=b", 70.0), (1, "x/y z+%", 51.0), (2, None, 99.0), (None, "view", 80.0), (3, "low", 50.0), (4, "none", None), (5, "..", math.nan)]
+    ev = spark.createDataFrame(rows, "entity long, event_type string, value double")
+    found = sorted(((r["entity"], r["night"]) for r in recordings.list_files_all(ev).collect()), key=repr)
+    assert found == sorted([("1", "a=b"), ("1", "x/y z+%"), ("2", None), (None, "view"), ("5", "..")], key=repr)
+    assert recordings.list_files_all(ev.where("false")).count() == 0
