@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import fnmatch
 import itertools
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,38 @@ def paired_files(spark: SparkSession, path: str, first: str, second: str) -> Dat
     return found.orderBy("entity", F.col("night").try_cast("int"), "night")
 
 
+def recovered(spark: SparkSession, path: str) -> DataFrame:
+    """(t, bpm, stage) of all pairs of ``{base}.hr.json`` and
+    ``{base}.stages.json`` below ``path``, each an array of samples. Samples of
+    equal times are joined one to one, in the order of the documents; a base
+    without either document, and a time without either sample, have no row."""
+    number = lambda v: None if v is None else float(v)
+
+    def joined(system: fs.FileSystem, folder: str, names: list[str]) -> Iterator[tuple]:
+        def samples(name: str, field: str) -> dict[tuple[float, int], object]:
+            with system.open_input_file(f"{folder}/{name}") as file:
+                rows = json.loads(file.read())
+            seen: dict[float, int] = {}
+            out = {}
+            for row in rows:
+                t = number(row.get("t"))
+                if t is not None:
+                    out[t, seen.setdefault(t, 0)] = row.get(field)
+                    seen[t] += 1
+            return out
+
+        held = set(names)
+        for name in names:
+            base = name.removesuffix(".hr.json")
+            if base != name and f"{base}.stages.json" in held:
+                rates, stages = samples(name, "bpm"), samples(f"{base}.stages.json", "stage")
+                for at, rate in rates.items():
+                    if at in stages:
+                        yield at[0], number(rate), stages[at]
+
+    return documents.walked(spark, path, joined, [("t", pa.float64()), ("bpm", pa.float64()), ("stage", pa.string())], "t double, bpm double, stage string")
+
+
 def hypnogram(spark: SparkSession, path: str, stages: dict[str, int], unknown: int = 5) -> DataFrame:
     """(file, line, clock, duration_s, stage) of the sleep events of
     tab-separated Latin-1 exports, whose table begins after a header line that

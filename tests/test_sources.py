@@ -164,3 +164,17 @@ def test_listed_files_have_any_name(spark):
     found = sorted(((r["entity"], r["night"]) for r in recordings.list_files_all(ev).collect()), key=repr)
     assert found == sorted([("1", "a=b"), ("1", "x/y z+%"), ("2", None), (None, "view"), ("5", "..")], key=repr)
     assert recordings.list_files_all(ev.where("false")).count() == 0
+
+
+def test_recovered_samples_of_equal_times_are_joined_one_to_one(spark, tmp_path):
+    from driftline.plans import recordings
+
+    rows = [(1, 1.0, 60.0, "view"), (1, 1.0, 61.0, "click"), (1, 2.0, None, "view"), (2, 1.0, math.nan, None), (3, 1e9 + 0.123456, 7.5, "é \"x\"\n")]
+    ev = spark.createDataFrame(rows, "entity long, t double, value double, event_type string")
+    found = recordings.scan_recovered_json_all(ev).collect()
+    assert sorted(repr(tuple(r)) for r in found) == sorted(repr((t, x, s)) for _, t, x, s in rows)
+    assert recordings.scan_recovered_json_all(ev.where("false")).count() == 0
+    (tmp_path / "a.hr.json").write_text('[{"t": 1, "bpm": 50}, {"t": 2, "bpm": 51}]')
+    (tmp_path / "a.stages.json").write_text('[{"t": 2, "stage": "deep"}, {"t": 3, "stage": "light"}]')
+    (tmp_path / "b.hr.json").write_text('[{"t": 2, "bpm": 52}]')
+    assert [tuple(r) for r in text.recovered(spark, str(tmp_path)).collect()] == [(2.0, 51.0, "deep")]
